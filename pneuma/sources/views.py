@@ -175,6 +175,10 @@ SELECT event_id,
        CAST((event_id * 23) % 9000 AS DOUBLE) AS population_density,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST((event_id * 13) % 50 AS DOUBLE) END AS respiratory_admissions
 FROM events""",
+    "health_source": """
+SELECT event_id, date, pm25 AS "PM2.5", co AS "CO", temperature, humidity, aqi AS "AQI",
+       population_density, respiratory_admissions
+FROM health_raw""",
     "profiles": """
 SELECT c_custkey AS user_id,
        CAST(25 + c_custkey % 45 AS INTEGER) AS age,
@@ -197,7 +201,7 @@ SELECT * FROM (VALUES
 }
 
 # Dependency order for WITH clauses.
-_VIEW_DEPS = {"stations_raw": ["measurements_raw"]}
+_VIEW_DEPS = {"stations_raw": ["measurements_raw"], "health_source": ["health_raw"]}
 
 
 def with_views(sql: str, *names: str) -> str:
