@@ -150,3 +150,12 @@ def interpolate_limited(df: DataFrame, group_cols: list[str], rn: str, cols: lis
                    .otherwise(line))
     drop = [f"_{t}_{c}" for c in cols for t in ("p", "n", "ci", "co")] + ["_blk"]
     return j.withColumns(out).drop(*drop)
+
+
+def collect_previous(df: DataFrame, group_cols: list[str], rn: str, value: Column, n: int,
+                     block_rows: int = DEFAULT_BLOCK_ROWS, name: str = "history") -> DataFrame:
+    """Array of ``value`` over the previous ``n`` rows (oldest first, current row excluded)."""
+    x = _blocks_with_halo(df, rn, block_rows, n)
+    w = Window.partitionBy(*group_cols, "_blk").orderBy(rn).rowsBetween(-n, -1)
+    return (x.select(*df.columns, "_is_halo", F.collect_list(value).over(w).alias(name))
+             .filter(F.col("_is_halo") == 0).drop("_is_halo"))
