@@ -1 +1,208 @@
-"""Registered queries."""
+"""Registered queries: zones and clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import alerts as A
+from ..functions import index as IX
+from ..functions.exprs import decimal_avg, rround
+from ..operators import zones as Z
+from ..sources import views as V
+from ..tables import CLUSTER_FEATURES
+from . import sqlfrag as Q
+from .catalog import register
+
+SCORED = f"(SELECT *, {Q.score()} AS ier_score FROM measurements)"
+
+# Fixed zone model for the checkable assignment queries: the fixture centroids
+# (original scale) with a fixed scaler.
+FIX_MEAN = [50.0, 25.0, 50.0, 10.0, 35.0]
+FIX_SCALE = [60.0, 15.0, 30.0, 12.0, 20.0]
+
+
+def fixture_model() -> Z.ZoneModel:
+    cents = [[(v - m) / s for v, m, s in zip(row[2:], FIX_MEAN, FIX_SCALE)] for row in V.ZONE_CENTROIDS]
+    return Z.ZoneModel(list(CLUSTER_FEATURES), FIX_MEAN, FIX_SCALE, cents,
+                       {row[0]: row[1] for row in V.ZONE_CENTROIDS})
+
+
+def _sql_sq_dists(model: Z.ZoneModel, prefix: str = "") -> list[str]:
+    out = []
+    for cen in model.centroids:
+        terms = []
+        for f, m, s, c in zip(model.features, model.mean, model.scale, cen):
+            z = f"(({prefix}{f} - {Q.lit(m)}) / {Q.lit(s)})"
+            terms.append(f"(({z} - {Q.lit(c)}) * ({z} - {Q.lit(c)}))")
+        out.append(" + ".join(terms))
+    return out
+
+
+def _sql_argmin(ds: list[str]) -> str:
+    n = len(ds)
+    whens = []
+    for i in range(n - 1):
+        conds = " AND ".join(f"d{i} <= d{j}" for j in range(i + 1, n))
+        whens.append(f"WHEN {conds} THEN {i}")
+    return f"(CASE {' '.join(whens)} ELSE {n - 1} END)"
+
+
+def _zone_of(model, cid="cluster_id"):
+    parts = " ".join(f"WHEN {i} THEN '{z}'" for i, z in model.labels.items())
+    return f"COALESCE(CASE {cid} {parts} END, 'A')"
+
+
+DAILY_SQL = f"""(SELECT station, CAST(datetime AS DATE) AS date,
+       {', '.join(f'{Q.decimal_avg(f, 6)} AS {f}' for f in CLUSTER_FEATURES)}
+FROM {SCORED} s GROUP BY station, CAST(datetime AS DATE))"""
+DAILY_NN = f"(SELECT * FROM {DAILY_SQL} d0 WHERE {' AND '.join(f'{f} IS NOT NULL' for f in CLUSTER_FEATURES)})"
+
+
+DAILY_OUT = f"SELECT station, CAST(date AS VARCHAR) AS date, {', '.join(CLUSTER_FEATURES)} FROM {DAILY_NN} t"
+
+
+def _date_str(df):
+    return df.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@register("daily_station_mean", V.with_views(DAILY_OUT, "measurements"))
+def q_daily(spark, sf):
+    m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
+    return _date_str(Z.daily_station_mean(m))
+
+
+@register("cluster_features", V.with_views(DAILY_OUT, "measurements"))
+def q_cluster_features(spark, sf):
+    return _date_str(Z.cluster_features(V.measurements(spark, sf)))
+
+
+@register("standardize", V.with_views(f"""
+SELECT station, CAST(date AS VARCHAR) AS date, {', '.join(
+    Q.rround(f"({f} - m_{f}) / (CASE WHEN s_{f} = 0 THEN 1.0E0 ELSE s_{f} END)", 6) + f' AS {f}_z'
+    for f in CLUSTER_FEATURES)}
+FROM {DAILY_NN} d CROSS JOIN (SELECT {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}'
+                                                 for f in CLUSTER_FEATURES)} FROM {DAILY_NN} d2) st""",
+                                      "measurements"))
+def q_standardize(spark, sf):
+    d = Z.cluster_features(V.measurements(spark, sf))
+    s = Z.standardize(d)
+    return _date_str(s).select("station", "date", *[rround(f"{f}_z", 6).alias(f"{f}_z") for f in CLUSTER_FEATURES])
+
+
+def _assign_sql(src: str, keep: str, model: Z.ZoneModel) -> str:
+    ds = _sql_sq_dists(model)
+    return f"""(SELECT *, {_zone_of(model)} AS zone FROM (
+  SELECT {keep}, {_sql_argmin(ds)} AS cluster_id, d0, d1, d2, d3 FROM (
+    SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(ds))} FROM {src} s) a) b)"""
+
+
+FIX = fixture_model()
+
+
+@register("zone_assign", V.with_views(f"""
+SELECT event_id, cluster_id, zone, {Q.zone_field('zone', 1)} AS zone_label, {Q.zone_field('zone', 4)} AS zone_color,
+       {Q.zone_field('zone', 3)} AS zone_recommendation
+FROM {_assign_sql(SCORED, 'event_id', FIX)} t""", "measurements"))
+def q_zone_assign(spark, sf):
+    m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
+    out = Z.zone_assign(m, FIX)
+    return out.select("event_id", "cluster_id", "zone", "zone_label", "zone_color", "zone_recommendation")
+
+
+def _dist_sql():
+    labs = [FIX.labels[i] for i in range(len(FIX.centroids))]
+    items = ", ".join(f"{{'distance': {Q.rround(f'sqrt(d{i})', 4)}, 'zone': '{z}'}}" for i, z in enumerate(labs))
+    sel = ", ".join(f"s[{k + 1}].zone AS zone_{k + 1}, s[{k + 1}].distance AS distance_{k + 1}" for k in range(len(labs)))
+    return f"SELECT event_id, {sel} FROM (SELECT event_id, list_sort([{items}]) AS s FROM {_assign_sql(SCORED, 'event_id', FIX)} t) u"
+
+
+@register("zone_distances", V.with_views(_dist_sql(), "measurements"))
+def q_zone_distances(spark, sf):
+    m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
+    out = m.select("event_id", Z.zone_distances_col(FIX).alias("s"))
+    cols = []
+    for k in range(len(FIX.centroids)):
+        cols += [F.col("s")[k]["zone"].alias(f"zone_{k + 1}"), F.col("s")[k]["distance"].alias(f"distance_{k + 1}")]
+    return out.select("event_id", *cols)
+
+
+
+
+@register("rank_centroids", V.with_views(f"""
+SELECT cluster_id, zone, {Q.rround('ier_score', 4)} AS ier_score FROM (
+  SELECT cluster_id, ier_score,
+         CASE row_number() OVER (ORDER BY ier_score, cluster_id) WHEN 1 THEN 'A' WHEN 2 THEN 'B'
+              WHEN 3 THEN 'C' WHEN 4 THEN 'D' END AS zone
+  FROM (SELECT CAST(substr(station, 9) AS INTEGER) % 4 AS cluster_id,
+               {Q.decimal_avg('ier_score', 6)} AS ier_score
+        FROM {DAILY_NN} a GROUP BY CAST(substr(station, 9) AS INTEGER) % 4) b) c""",
+                                         "measurements"))
+def q_rank_centroids(spark, sf):
+    d = Z.cluster_features(V.measurements(spark, sf))
+    cid = F.substring("station", 9, 8).cast("int") % 4
+    cen = d.groupBy(cid.alias("cluster_id")).agg(decimal_avg("ier_score", 6).alias("ier_score"))
+    r = Z.rank_centroids(cen)
+    return r.join(cen, "cluster_id").select("cluster_id", "zone", rround("ier_score", 4).alias("ier_score"))
+
+
+def _quality_sql(model: Z.ZoneModel) -> str:
+    ds = _sql_sq_dists(model)
+    zs = ", ".join(f"(({f} - {Q.lit(m)}) / {Q.lit(s)}) AS z{i}"
+                   for i, (f, m, s) in enumerate(zip(model.features, model.mean, model.scale)))
+    nf = len(model.features)
+    own = "CASE cluster_id " + " ".join(f"WHEN {i} THEN d{i}" for i in range(len(ds))) + " END"
+    sq = " + ".join(f"((z{i} - m{i}) * (z{i} - m{i}))" for i in range(nf))
+    sqab = " + ".join(f"((a.m{i} - b.m{i}) * (a.m{i} - b.m{i}))" for i in range(nf))
+    return f"""
+WITH z AS (SELECT {_sql_argmin([f'd{i}' for i in range(len(ds))])} AS cluster_id, * FROM (
+             SELECT {', '.join(f'{d} AS d{i}' for i, d in enumerate(ds))}, {zs} FROM {DAILY_NN} d) a),
+x AS (SELECT cluster_id, {own} AS d2, {', '.join(f'z{i}' for i in range(nf))} FROM z),
+means AS (SELECT cluster_id, {', '.join(f'{Q.decimal_avg(f"z{i}", 6)} AS m{i}' for i in range(nf))}
+          FROM x GROUP BY cluster_id),
+intra AS (SELECT x.cluster_id, {Q.decimal_avg(f'sqrt({sq})', 6)} AS s FROM x JOIN means USING (cluster_id)
+          GROUP BY x.cluster_id),
+cm AS (SELECT * FROM means JOIN intra USING (cluster_id)),
+r AS (SELECT a.cluster_id AS i, max(CASE WHEN sqrt({sqab}) = 0 THEN NULL ELSE (a.s + b.s) / sqrt({sqab}) END) AS ri
+      FROM cm a JOIN cm b ON a.cluster_id <> b.cluster_id GROUP BY a.cluster_id)
+SELECT {Q.rround('CAST(sum(CAST(d2 AS DECIMAL(38,6))) AS DOUBLE)', 2)} AS inertia,
+       (SELECT {Q.rround(Q.decimal_avg('ri', 9), 4)} FROM r) AS davies_bouldin, count(*) AS n FROM x"""
+
+
+@register("cluster_quality", V.with_views(_quality_sql(FIX), "measurements"))
+def q_cluster_quality(spark, sf):
+    d = Z.cluster_features(V.measurements(spark, sf))
+    return Z.cluster_quality(d, FIX)
+
+
+@register("zone_statistics", V.with_views(f"""
+SELECT zone, {', '.join(
+    f"{Q.rround(Q.decimal_avg(f, 6), 3)} AS {f}_mean, {Q.rround(f'stddev_samp({f})', 3)} AS {f}_std, "
+    f"count({f}) AS {f}_count" for f in CLUSTER_FEATURES)}
+FROM {_assign_sql(SCORED, 'event_id, ' + ', '.join(CLUSTER_FEATURES), FIX)} t GROUP BY zone""", "measurements"))
+def q_zone_statistics(spark, sf):
+    m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
+    return Z.zone_statistics(m, FIX)
+
+
+@register("kmeans_train")
+def q_kmeans_train(spark, sf):
+    """Zone model trained on the daily station features (rows-only check)."""
+    zm = Z.train_zones(V.measurements(spark, sf))
+    return zm.to_df(spark).withColumn("inertia", F.lit(zm.meta["inertia"]))
+
+
+@register("evaluate_k")
+def q_evaluate_k(spark, sf):
+    """K sweep 2..8 with inertia, Davies-Bouldin, silhouette; best K flagged."""
+    from ..session import checkpoint
+    from ..tables import KMEANS_SWEEP
+    daily = Z.cluster_features(V.measurements(spark, sf))
+    st = Z.standardize_stats(daily).collect()[0]
+    mean = [float(st[f"{f}_mean"]) for f in CLUSTER_FEATURES]
+    scale = [float(st[f"{f}_scale"]) for f in CLUSTER_FEATURES]
+    scaled = checkpoint(Z.standardize(daily))
+    res = Z.evaluate_k(scaled, mean, scale, KMEANS_SWEEP, restarts=3)
+    bk = Z.best_k(res)
+    return spark.createDataFrame([(r["k"], r["inertia"], r["davies_bouldin"], r["silhouette"], r["k"] == bk)
+                                  for r in res],
+                                 "k int, inertia double, davies_bouldin double, silhouette double, best boolean")
