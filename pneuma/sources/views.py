@@ -26,7 +26,20 @@ def _eid_mod(mult: int, mod: int) -> Column:
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean hourly-ish readings, no nulls (skips the cleaning stage)."""
-    ev = read_table(spark, sf_dir, "events")
+    return measurements_from(read_table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a streaming file source."""
+    schema = read_table(spark, sf_dir, "events").schema
+    r = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.load(sf_dir)
+
+
+def measurements_from(ev: DataFrame) -> DataFrame:
+    """``measurements`` over any events DataFrame (batch or streaming)."""
     return ev.select(
         "event_id", "user_id", F.col("ts").alias("datetime"),
         _station(F.col("user_id")).alias("station"),
