@@ -71,22 +71,29 @@ def ier_score_by_column(pathologie_col, bounds: Mapping | None = None) -> Column
     return rround(clip(total, 0.0, 100.0), 2)
 
 
-def _level_field(score, idx: int, contiguous: bool = False) -> Column:
-    """C7 field ``idx`` (2 level, 3 color, 4 action) for a score.
+def risk_index(score, contiguous: bool = False) -> Column:
+    """C7 as a level index 0..3 for a score.
 
-    The score is clamped to [0, 100]; the four inclusive integer ranges leave
-    gaps (25 < s < 26 ...) and NULL, which fall to the last level.
+    The score is clamped to [0, 100] (NULL counts as 100); the four inclusive
+    integer ranges leave gaps (25 < s < 26 ...) that fall to the last level.
     ``contiguous=True`` closes the gaps (s <= 25, s <= 50, s <= 75).
     """
     s = col(score)
-    s2 = F.when(s.isNull(), F.lit(100.0)).otherwise(
-        F.when(s < 0.0, F.lit(0.0)).when(s > 100.0, F.lit(100.0)).otherwise(s))
+    s2 = F.least(F.greatest(F.coalesce(s, F.lit(100.0)), F.lit(0.0)), F.lit(100.0))
     expr = None
-    for lo, hi, *vals in RISK_LEVELS[:-1]:
+    for i, (lo, hi, *_vals) in enumerate(RISK_LEVELS[:-1]):
         cond = (s2 <= F.lit(float(hi))) if contiguous else s2.between(float(lo), float(hi))
-        v = F.lit(vals[idx - 2])
-        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
-    return expr.otherwise(F.lit(RISK_LEVELS[-1][idx]))
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr.otherwise(F.lit(len(RISK_LEVELS) - 1))
+
+
+def level_from_index(idx, field: int) -> Column:
+    """Text of level ``idx`` (field 2 level, 3 color, 4 action)."""
+    return F.element_at(F.array(*[F.lit(r[field]) for r in RISK_LEVELS]), col(idx) + 1)
+
+
+def _level_field(score, idx: int, contiguous: bool = False) -> Column:
+    return level_from_index(risk_index(score, contiguous), idx)
 
 
 def risk_level(score, contiguous: bool = False) -> Column:
@@ -114,8 +121,9 @@ def ier_columns(pathologie: str = "general", bounds: Mapping | None = None,
         for f in IER_FEATURES:
             out.append((f"{f}_norm_ier", normalize_minmax(f, f, bounds)))
     out.append((score_col, ier_score(pathologie, bounds)))
-    sc = F.col(score_col)
-    out += [("ier_level", risk_level(sc)), ("ier_action", risk_action(sc)), ("ier_color", risk_color(sc))]
+    out.append(("_risk_idx", risk_index(F.col(score_col))))
+    out += [("ier_level", level_from_index("_risk_idx", 2)), ("ier_action", level_from_index("_risk_idx", 4)),
+            ("ier_color", level_from_index("_risk_idx", 3))]
     if add_details:
         for f in IER_FEATURES:
             out.append((f"{f}_contrib", rround(F.lit(w[f]) * F.col(f"{f}_norm_ier"), 3)))

@@ -24,7 +24,7 @@ def ier_batch(df: DataFrame, pathologie: str = "general", bounds: Mapping | None
     out = df
     for name, expr in IX.ier_columns(pathologie, bounds, add_details):
         out = out.withColumn(name, expr)
-    return out
+    return out.drop("_risk_idx")
 
 
 def ier_all_pathologies(df: DataFrame, bounds: Mapping | None = None,
