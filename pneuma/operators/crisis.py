@@ -222,7 +222,8 @@ def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id
     if global_rows is not None:
         aug = L.augment_global(x.withColumn("user_id", F.lit(user_id)), global_rows)
         x = aug.drop("source")
-    x = FT.finite_mask(x.select("event_id", *FEATURE_NAMES, "symptom_label"))
+    # stored features as stored (Q7); absent ones default to 0.0 as in the labeled projection
+    x = training_set(x.sparkSession, "labeled", labeled=x).drop("user_id")
     if x.count() < MIN_SAMPLES_USER:
         return None
     m = rf_train(x, user_id=user_id, num_trees=num_trees, seed=seed)

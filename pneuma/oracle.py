@@ -26,7 +26,7 @@ def _norm(v):
 
     import numpy as np
     import pandas as pd
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float) and math.isnan(v):
         return None

@@ -94,14 +94,16 @@ def q_zone_from_ier(spark, sf):
 @register("zone_info", V.with_views(f"""
 SELECT user_id, z AS zone, {Q.zone_field('z', 1)} AS zone_label, {Q.zone_field('z', 2)} AS zone_description,
        {Q.zone_field('z', 3)} AS zone_recommendation, {Q.zone_field('z', 4)} AS zone_color,
-       {Q.zone_field('z', 5)} AS zone_risk_score
+       CAST({Q.zone_field('z', 5)} AS DOUBLE) AS zone_risk_score
 FROM (SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'D' ELSE 'X' END AS z
       FROM (SELECT DISTINCT user_id FROM events)) t""", "measurements"))
 def q_zone_info(spark, sf):
     u = V.read_table(spark, sf, "events").select("user_id").distinct()
     m5 = F.col("user_id") % 5
     z = F.when(m5 == 0, "A").when(m5 == 1, "B").when(m5 == 2, "C").when(m5 == 3, "D").otherwise("X")
-    return S.add_zone_info(u.select("user_id", z.alias("zone")))
+    out = S.add_zone_info(u.select("user_id", z.alias("zone")))
+    # unknown zones have no risk score: a double column keeps NULL as NaN in both engines' frames
+    return out.withColumn("zone_risk_score", F.col("zone_risk_score").cast("double"))
 
 
 ALERTS_SQL = V.with_views(f"""
