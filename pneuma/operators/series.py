@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK_ROWS = 1 << 20
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, "left").drop(*[f"__r_{k}" for k in keys])
+def _gk(group_cols: list[str]) -> Column:
+    """Internal series key: a struct of the group columns (never NULL itself).
+
+    Struct equality treats NULL fields as equal, so plain equi-joins on it
+    keep rows with NULL group values, and the join reuses the (key, block)
+    hash partitioning of the windows instead of reshuffling.
+    """
+    return F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.struct(F.lit(0).alias("g"))
 
 
 def _asc(cols):
@@ -48,14 +48,14 @@ def add_row_number(df: DataFrame, group_cols: list[str], order_cols: list, bucke
     (e.g. ``date_trunc('day', datetime)`` for a time order, ``floor(id / w)``
     for an id order); NULLs order last, as in pandas sorting.
     """
-    b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy(*group_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group_cols).orderBy(F.col("_bkt").asc_nulls_last()) \
-              .rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*group_cols, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = _null_safe_join(b, offs, [*group_cols, "_bkt"])
-    w2 = Window.partitionBy(*group_cols, "_bkt").orderBy(*_asc(order_cols))
-    return j.withColumn(name, F.col("_off") + F.row_number().over(w2)).drop("_off", "_bkt")
+    b = df.withColumns({"_gk": _gk(group_cols),
+                        "_bk": F.struct(bucket.isNull().alias("n"), bucket.alias("v"))})
+    counts = b.groupBy("_gk", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_gk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_gk", "_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    j = b.join(offs, ["_gk", "_bk"], "left")
+    w2 = Window.partitionBy("_gk", "_bk").orderBy(*_asc(order_cols))
+    return j.withColumn(name, F.col("_off") + F.row_number().over(w2)).select(*df.columns, name)
 
 
 def _blocks_with_halo(df: DataFrame, rn: str, block_rows: int, halo: int) -> DataFrame:
@@ -76,8 +76,8 @@ def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str
     Means sum exactly as DECIMAL before one division so the value does not
     depend on summation order.
     """
-    x = _blocks_with_halo(df, rn, block_rows, rows - 1)
-    w = Window.partitionBy(*group_cols, "_blk").orderBy(rn).rowsBetween(-(rows - 1), 0)
+    x = _blocks_with_halo(df.withColumn("_gk", _gk(group_cols)), rn, block_rows, rows - 1)
+    w = Window.partitionBy("_gk", "_blk").orderBy(rn).rowsBetween(-(rows - 1), 0)
     outs = []
     for name, fn, src in specs:
         c = F.col(src)
@@ -101,8 +101,8 @@ def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str
 def lag_blocked(df: DataFrame, group_cols: list[str], rn: str, src: str, name: str, default=None,
                 offset: int = 1, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """``lag(src, offset, default)`` per group along ``rn`` over bounded blocks."""
-    x = _blocks_with_halo(df, rn, block_rows, offset)
-    w = Window.partitionBy(*group_cols, "_blk").orderBy(rn)
+    x = _blocks_with_halo(df.withColumn("_gk", _gk(group_cols)), rn, block_rows, offset)
+    w = Window.partitionBy("_gk", "_blk").orderBy(rn)
     e = F.lag(F.col(src), offset).over(w)
     # The first ``offset`` rows of a series have no predecessor inside the halo either.
     e = F.when(F.col(rn) > offset, e).otherwise(F.lit(default))
@@ -118,8 +118,8 @@ def interpolate_limited(df: DataFrame, group_cols: list[str], rn: str, cols: lis
     in a gap only the first ``limit`` rows are filled (with the straight line
     towards the next valid value, however far it is).
     """
-    x = df.withColumn("_blk", F.floor((F.col(rn) - 1) / F.lit(block_rows)))
-    keys = [*group_cols, "_blk"]
+    x = df.withColumns({"_gk": _gk(group_cols), "_blk": F.floor((F.col(rn) - 1) / F.lit(block_rows))})
+    keys = ["_gk", "_blk"]
 
     def sv(c):
         return F.when(F.col(c).isNotNull(), F.struct(F.col(rn).alias("r"), F.col(c).alias("v")))
@@ -127,17 +127,18 @@ def interpolate_limited(df: DataFrame, group_cols: list[str], rn: str, cols: lis
     # Per-block first/last valid (rn, value): a small table, one row per block.
     summ = x.groupBy(*keys).agg(*[F.max(sv(c)).alias(f"_l_{c}") for c in cols],
                                 *[F.min(sv(c)).alias(f"_f_{c}") for c in cols])
-    wb = Window.partitionBy(*group_cols).orderBy("_blk")
+    # Running frames only (an unbounded-following frame is re-evaluated per row): the next
+    # valid value is the running "last non-null" in descending order.
+    wb = Window.partitionBy("_gk").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    wbd = Window.partitionBy("_gk").orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*keys,
-                        *[F.last(f"_l_{c}", ignorenulls=True)
-                          .over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_ci_{c}") for c in cols],
-                        *[F.first(f"_f_{c}", ignorenulls=True)
-                          .over(wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_co_{c}") for c in cols])
+                        *[F.last(f"_l_{c}", ignorenulls=True).over(wb).alias(f"_ci_{c}") for c in cols],
+                        *[F.last(f"_f_{c}", ignorenulls=True).over(wbd).alias(f"_co_{c}") for c in cols])
     wp = Window.partitionBy(*keys).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    wn = Window.partitionBy(*keys).orderBy(rn).rowsBetween(0, Window.unboundedFollowing)
+    wn = Window.partitionBy(*keys).orderBy(F.desc(rn)).rowsBetween(Window.unboundedPreceding, 0)
     inner = x.select("*", *[F.last(sv(c), ignorenulls=True).over(wp).alias(f"_p_{c}") for c in cols],
-                     *[F.first(sv(c), ignorenulls=True).over(wn).alias(f"_n_{c}") for c in cols])
-    j = _null_safe_join(inner, carry, keys)
+                     *[F.last(sv(c), ignorenulls=True).over(wn).alias(f"_n_{c}") for c in cols])
+    j = inner.join(carry, keys, "left")
     out = {}
     for c in cols:
         p = F.coalesce(F.col(f"_p_{c}"), F.col(f"_ci_{c}"))
@@ -148,14 +149,13 @@ def interpolate_limited(df: DataFrame, group_cols: list[str], rn: str, cols: lis
                    .when(p.isNull() | (k > limit), F.lit(None))
                    .when(n.isNull(), p["v"])
                    .otherwise(line))
-    drop = [f"_{t}_{c}" for c in cols for t in ("p", "n", "ci", "co")] + ["_blk"]
-    return j.withColumns(out).drop(*drop)
+    return j.withColumns(out).select(*df.columns)
 
 
 def collect_previous(df: DataFrame, group_cols: list[str], rn: str, value: Column, n: int,
                      block_rows: int = DEFAULT_BLOCK_ROWS, name: str = "history") -> DataFrame:
     """Array of ``value`` over the previous ``n`` rows (oldest first, current row excluded)."""
-    x = _blocks_with_halo(df, rn, block_rows, n)
-    w = Window.partitionBy(*group_cols, "_blk").orderBy(rn).rowsBetween(-n, -1)
+    x = _blocks_with_halo(df.withColumn("_gk", _gk(group_cols)), rn, block_rows, n)
+    w = Window.partitionBy("_gk", "_blk").orderBy(rn).rowsBetween(-n, -1)
     return (x.select(*df.columns, "_is_halo", F.collect_list(value).over(w).alias(name))
              .filter(F.col("_is_halo") == 0).drop("_is_halo"))
