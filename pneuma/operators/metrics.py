@@ -87,7 +87,7 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                        F.col("r.support").cast("long").alias("support"))
 
 
-def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 4096) -> DataFrame:
+def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets: int = 1 << 16) -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney U with average ranks for ties).
 
     Rows are counted per distinct score; the number of rows below each score
@@ -105,9 +105,51 @@ def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket (bounded)
     boff = btot.select("_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.join(boff, "_b").withColumn("below", F.col("_off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = per.join(F.broadcast(boff), "_b").withColumn("below", F.col("_off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
     rs = ranked.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("rank_sum"),
                     F.sum("pos").alias("P"), F.sum(F.col("n") - F.col("pos")).alias("N"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
                  (F.col("rank_sum") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N")))
     return rs.select(rround(auc, 6).alias("auc_roc"), F.col("P").alias("n_pos"), F.col("N").alias("n_neg"))
+
+
+def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str | None = None,
+                      buckets: int = 1 << 16) -> DataFrame:
+    """Exact percentiles with linear interpolation (as pandas ``quantile``): columns ``p0, p1, ...``.
+
+    One row, or one row per ``group`` value. No aggregation buffer holds the
+    distinct values: rows are counted per (group, distinct value) with partial
+    aggregation; the rank below each value comes from per-bucket totals over
+    the group's value range plus a running sum inside the bucket; the values
+    around each target position are picked by joining the few target rows
+    (broadcast) on the rank ranges. NULL and NaN are ignored.
+    """
+    g = F.col(group) if group else F.lit(0)
+    x = df.select(g.alias("_g"), F.col(col).cast("double").alias("v")) \
+          .filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    per = x.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("n"))
+    rng = per.groupBy("_g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("_tot"))
+    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
+    per = per.join(F.broadcast(rng), "_g").withColumn(  # one row per group
+        "_b", F.least(F.floor((F.col("v") - F.col("lo")) / span * F.lit(float(buckets))), F.lit(buckets - 1)))
+    btot = per.groupBy("_g", "_b").agg(F.sum("n").alias("_bn"))
+    wb = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    boff = btot.select("_g", "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_g", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.join(boff, ["_g", "_b"]).withColumn("below", F.col("_off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    # targets: 0-based positions floor(h) and floor(h) + 1 for h = (N - 1) * p, per group
+    tgt = rng.select("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                                               for i, p in enumerate(probs)])).alias("t"), "_tot") \
+             .select("_g", F.col("t.i").alias("i"), ((F.col("_tot") - 1) * F.col("t.p")).alias("h"))
+    pos = tgt.select(F.col("_g").alias("_pg"), "i", "h",
+                     F.posexplode(F.array(F.floor("h").cast("long"), F.floor("h").cast("long") + 1)).alias("which", "k"))
+    cond = (F.col("_pg") == F.col("_g")) & (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("n"))
+    hit = ranked.join(F.broadcast(pos), cond).select("_g", "i", "h", "which", "v")
+    vals = hit.groupBy("_g", "i", "h").agg(F.min(F.when(F.col("which") == 0, F.col("v"))).alias("lo_v"),
+                                           F.min(F.when(F.col("which") == 1, F.col("v"))).alias("hi_v"))
+    frac = F.col("h") - F.floor("h")
+    q = F.when(F.col("hi_v").isNull() | (frac == 0), F.col("lo_v")) \
+         .otherwise(F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * frac)
+    out = vals.groupBy("_g").pivot("i", list(range(len(probs)))).agg(F.first(q))
+    cols = [F.col(str(i)).alias(f"p{i}") for i in range(len(probs))]
+    return out.select(F.col("_g").alias(group), *cols) if group else out.select(*cols)

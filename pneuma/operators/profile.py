@@ -59,27 +59,29 @@ def null_profile(df: DataFrame, cols=STATION_FEATURES) -> DataFrame:
 def describe_stats(df: DataFrame, cols=STATION_FEATURES, digits: int = 3) -> DataFrame:
     """Count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max per column.
 
-    Exact percentiles (one aggregate per column, holding a count per
-    distinct value); one row per column.
+    Moments come from one aggregation pass; the quartiles from the exact
+    distributed percentile (no buffer of distinct values); one row per column.
     """
+    from .metrics import exact_percentiles
     present = [c for c in cols if c in df.columns]
     aggs = []
     for c in present:
         aggs += [F.count(c).alias(f"{c}__count"), decimal_avg(c, 6).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
-                 F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
-                 F.max(c).alias(f"{c}__max")]
+                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
     a = df.agg(*aggs)
+    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in present)
+    long = df.selectExpr(f"stack({len(present)}, {stack}) AS (feature, v)")
+    q = exact_percentiles(long, "v", [0.25, 0.5, 0.75], group="feature")  # one row per column
     rows = None
     for c in present:
         r = a.select(F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
                      rround(f"{c}__mean", digits).alias("mean"), rround(f"{c}__std", digits).alias("std"),
                      rround(F.col(f"{c}__min").cast("double"), digits).alias("min"),
-                     rround(F.col(f"{c}__q")[0], digits).alias("p25"), rround(F.col(f"{c}__q")[1], digits).alias("p50"),
-                     rround(F.col(f"{c}__q")[2], digits).alias("p75"),
                      rround(F.col(f"{c}__max").cast("double"), digits).alias("max"))
         rows = r if rows is None else rows.unionByName(r)
-    return rows
+    out = rows.join(F.broadcast(q), "feature", "left")
+    return out.select("feature", "count", "mean", "std", "min", rround("p0", digits).alias("p25"),
+                      rround("p1", digits).alias("p50"), rround("p2", digits).alias("p75"), "max")
 
 
 def station_summary(df: DataFrame) -> DataFrame:
