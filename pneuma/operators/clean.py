@@ -122,7 +122,7 @@ def health_outliers(df: DataFrame) -> DataFrame:
 
 
 def interpolate_global(df: DataFrame, order_col: str = "event_id", limit: int = HEALTH_INTERP_LIMIT,
-                       cols=HEALTH_FEATURES, bucket_width: int = 1 << 16,
+                       cols=HEALTH_FEATURES, bucket_width: int = 1 << 20,
                        block_rows: int = series.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Interpolation over the whole table in ``order_col`` order (one series).
 

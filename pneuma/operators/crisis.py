@@ -76,6 +76,7 @@ def training_set(spark, source: str, stations: DataFrame | None = None, health:
     if "zone" not in x.columns:
         x = x.withColumn("zone", A.zone_from_ier("ier_score"))
     x = L.weak_labels(x)
+    x = FT.add_series_rn(x)  # one row numbering serves the symptom lag and the rolling features
     x = L.synthetic_profile(x, pathologie=pathologie, block_rows=block_rows)
     return FT.finite_mask(FT.features_batch(x, keep=("event_id",), block_rows=block_rows))
 

@@ -14,15 +14,30 @@ from . import series
 ROLL_SPECS = [(name, fn, src) for name, fn, src in FX.HISTORY_SPECS]
 
 
-def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None) -> tuple[DataFrame, list[str]]:
-    """Row number along (datetime, tiebreak) per group (or one global series)."""
-    order = (["datetime"] if "datetime" in df.columns else []) + ([tiebreak] if tiebreak and tiebreak in df.columns else [])
+def rn_name(group: str | None, tiebreak: str | None) -> str:
+    """Name of the row-number column of a series (group, datetime, tiebreak) so later steps can reuse it."""
+    return f"_rn_{group or 'all'}_{tiebreak or 'none'}"
+
+
+def add_series_rn(df: DataFrame, group: str | None = "station", tiebreak: str | None = "event_id") -> DataFrame:
+    """Attach the series row number once; ``rolling_24``, ``with_history`` and ``symptom_lag`` reuse it."""
+    x, _, name, _ = _series_rn(df, group, tiebreak)
+    return x
+
+
+def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None):
+    """Row number along (datetime, tiebreak) per group (or one global series); reused when present."""
+    groups = [group] if group and group in df.columns else []
+    tb = tiebreak if tiebreak and tiebreak in df.columns else None
+    name = rn_name(groups[0] if groups else None, tb)
+    if name in df.columns:
+        return df, groups, name, False
+    order = (["datetime"] if "datetime" in df.columns else []) + ([tb] if tb else [])
     if not order:
         raise ValueError("an order column (datetime or a tiebreak key) is required")
-    groups = [group] if group and group in df.columns else []
     first = order[0]
     bucket = F.date_trunc("day", first) if first == "datetime" else F.floor(F.col(first) / F.lit(1 << 16))
-    return series.add_row_number(df, groups, order, bucket, "_rn"), groups
+    return series.add_row_number(df, groups, order, bucket, name), groups, name, True
 
 
 def rolling_24(df: DataFrame, group: str = "station", tiebreak: str | None = "event_id",
@@ -32,21 +47,22 @@ def rolling_24(df: DataFrame, group: str = "station", tiebreak: str | None = "ev
     Per station when a station column exists, else one global series; a
     missing source column gives 0.0; 3 digits.
     """
-    x, groups = _series_rn(df, group, tiebreak)
+    x, groups, rn, made = _series_rn(df, group, tiebreak)
     specs = [s for s in ROLL_SPECS if s[2] in df.columns]
-    out = series.rolling(x, groups, "_rn", specs, rows, block_rows, digits=3)
+    out = series.rolling(x, groups, rn, specs, rows, block_rows, digits=3)
     missing = {name: F.lit(0.0) for name, _, src in ROLL_SPECS if src not in df.columns}
-    return out.withColumns(missing).drop("_rn")
+    out = out.withColumns(missing)
+    return out.drop(rn) if made else out
 
 
 def with_history(df: DataFrame, group: str = "station", tiebreak: str | None = "event_id", n: int = 24,
                  block_rows: int = series.DEFAULT_BLOCK_ROWS, name: str = "history") -> DataFrame:
     """Attach the previous ``n`` readings of the series as ARRAY<STRUCT<pm25,co,humidity,ier_score>>."""
-    x, groups = _series_rn(df, group, tiebreak)
+    x, groups, rn, made = _series_rn(df, group, tiebreak)
     fields = [F.col(f.name).cast("double").alias(f.name) if f.name in df.columns
               else F.lit(None).cast("double").alias(f.name) for f in HISTORY_TYPE.elementType.fields]
-    out = series.collect_previous(x, groups, "_rn", F.struct(*fields), n, block_rows, name)
-    return out.drop("_rn")
+    out = series.collect_previous(x, groups, rn, F.struct(*fields), n, block_rows, name)
+    return out.drop(rn) if made else out
 
 
 def history_features(df: DataFrame, history: str = "history") -> DataFrame:
@@ -58,9 +74,10 @@ def symptom_lag(df: DataFrame, label: str = "symptom_label", group: str | None =
                 tiebreak: str | None = "event_id", block_rows: int = series.DEFAULT_BLOCK_ROWS,
                 name: str = "symptom_yesterday") -> DataFrame:
     """E5: previous row's label in the series (first row -> 0)."""
-    x, groups = _series_rn(df, group, tiebreak)
-    out = series.lag_blocked(x, groups, "_rn", label, name, default=0, block_rows=block_rows)
-    return out.withColumn(name, F.col(name).cast("int")).drop("_rn")
+    x, groups, rn, made = _series_rn(df, group, tiebreak)
+    out = series.lag_blocked(x, groups, rn, label, name, default=0, block_rows=block_rows)
+    out = out.withColumn(name, F.col(name).cast("int"))
+    return out.drop(rn) if made else out
 
 
 def profile_join(df: DataFrame, profiles: DataFrame, key: str = "user_id") -> DataFrame:

@@ -101,7 +101,7 @@ def union_sources(*dfs: DataFrame) -> DataFrame:
 def sample_positions(df: DataFrame, key: str, seed: int = SEED, name: str = "_pos") -> DataFrame:
     """Dense position of every row in a hash-random permutation (distributed numbering)."""
     x = df.withColumn("_u", hash_uniform(key, seed, "perm"))
-    out = series.add_row_number(x, [], ["_u", key], F.floor(F.col("_u") * F.lit(4096.0)), name)
+    out = series.add_row_number(x, [], ["_u", key], F.floor(F.col("_u") * F.lit(float(1 << 20))), name)
     return out.drop("_u")
 
 
@@ -144,7 +144,7 @@ def augment_global(user_rows: DataFrame, global_rows: DataFrame, user_col: str =
 def stratified_ranks(df: DataFrame, label: str = "symptom_label", key: str = "event_id", seed: int = SEED) -> DataFrame:
     """Per-label dense rank of rows in hash order, plus the label's row count."""
     x = df.withColumn("_u", hash_uniform(key, seed, "split"))
-    x = series.add_row_number(x, [label], ["_u", key], F.floor(F.col("_u") * F.lit(4096.0)), "_rk")
+    x = series.add_row_number(x, [label], ["_u", key], F.floor(F.col("_u") * F.lit(float(1 << 20))), "_rk")
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nl"))
     return x.join(F.broadcast(n), label).drop("_u")  # one row per label value
 

@@ -99,3 +99,21 @@ def weights_check(spark) -> DataFrame:
              .agg(F.sum("weight").alias("s"), F.count("*").alias("n_features"))
              .select("pathologie", rround("s", 9).alias("weight_sum"),
                      (F.abs(F.col("s") - 1.0) < 1e-9).alias("valid"), "n_features"))
+
+
+def validate_readings(df: DataFrame, required=IER_FEATURES) -> DataFrame:
+    """Required fields present and numeric; typed DOUBLE columns plus ``is_valid`` and ``reject_reason``.
+
+    Works on string-typed input (e.g. a stream of raw messages). A missing
+    column raises at once (no job); per row, NULL fields are 'missing' and
+    unparsable ones 'not_numeric'.
+    """
+    require_columns(df, required, "reading")
+    typed = {f: F.col(f).cast("string").try_cast("double") for f in required}
+    missing = F.concat_ws(",", *[F.when(F.col(f).isNull(), F.lit(f)) for f in required])
+    bad = F.concat_ws(",", *[F.when(F.col(f).isNotNull() & typed[f].isNull(), F.lit(f)) for f in required])
+    reason = F.concat_ws(";", F.when(missing != "", F.concat(F.lit("missing:"), missing)),
+                         F.when(bad != "", F.concat(F.lit("not_numeric:"), bad)))
+    out = df.withColumn("reject_reason", F.when(reason != "", reason))
+    out = out.withColumns(typed)
+    return out.withColumn("is_valid", F.col("reject_reason").isNull())

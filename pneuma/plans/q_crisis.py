@@ -47,3 +47,58 @@ def q_crisis_scores(spark, sf):
     """H12 with a trained forest: probability (4 digits), level, notify for every reading."""
     m = CR.rf_train(_training(spark, sf), cross_validate=False, num_trees=50)
     return CR.crisis_batch(_training(spark, sf), m).select("event_id", "proba_crisis", "alert_level", "should_notify")
+
+
+from ..functions import alerts as A  # noqa: E402
+from ..operators import features as FT  # noqa: E402
+from ..tables import FEATURE_NAMES  # noqa: E402
+from .q_features import ORDER, _finite_sql, cyc_sql, hist_sql, roll_sql  # noqa: E402
+from .q_labels import AGE_SQL, SMOKER_SQL, WEAK  # noqa: E402
+
+TRAINING_SQL = V.with_views(f"""
+SELECT event_id, symptom_label, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURE_NAMES)} FROM (
+  SELECT s.*, {Q.zone_risk('zone')} AS zone_risk_score, {cyc_sql('hour(datetime)', 'month(datetime)')},
+         {roll_sql(ORDER)}
+  FROM (SELECT w.*, {AGE_SQL} AS age, 4 AS pathologie_encoded, {SMOKER_SQL} AS is_smoker,
+               CAST(COALESCE(lag(symptom_label) OVER (PARTITION BY station ORDER BY {ORDER}), 0) AS INTEGER)
+                 AS symptom_yesterday
+        FROM {WEAK} w) s) t
+WHERE {' AND '.join(_finite_sql(f) for f in FEATURE_NAMES)}""", "measurements")
+from . import catalog as _cat  # noqa: E402
+
+_cat.ORACLE["training_set"] = TRAINING_SQL
+
+
+def _p_single_sql(s, z, sy):
+    pz = f"(CASE WHEN ({z}) IN ('C', 'D') THEN least({Q.crisis_base(s)} + 0.15E0, 1.0E0) ELSE {Q.crisis_base(s)} END)"
+    return Q.rround(f"CASE WHEN {sy} THEN least({pz} + 0.1E0, 1.0E0) ELSE {pz} END", 4)
+
+
+CRISIS_RT_SQL = V.with_views(f"""
+SELECT event_id, {', '.join(FEATURE_NAMES)}, n_invalid, n_invalid = 0 AS is_valid, p AS proba_crisis,
+       lv AS alert_level, {Q.crisis_color('lv')} AS alert_color, p >= 0.4E0 AS should_notify,
+       {Q.crisis_message('p', 'lv', "'general'")} AS message, 'heuristic_fallback' AS model_used
+FROM (SELECT *, {Q.crisis_level('p')} AS lv FROM (
+  SELECT *, {_p_single_sql('ier_score', 'zone', 'symptom_yesterday <> 0')} AS p,
+         CAST(len(list_filter([{', '.join(f"CASE WHEN NOT {_finite_sql(f)} THEN '{f}' END" for f in FEATURE_NAMES)}],
+                              lambda x: x IS NOT NULL)) AS INTEGER) AS n_invalid
+  FROM (SELECT event_id, zone, pm25, co, humidity, temperature, ier_score,
+               CAST({Q.zone_risk('zone')} AS DOUBLE) AS zone_risk_score,
+               {cyc_sql('hour(datetime)', 'month(datetime)')}, {hist_sql(ORDER)},
+               35.0E0 AS age, 4.0E0 AS pathologie_encoded, 0.0E0 AS is_smoker,
+               CAST(CAST(sy AS INTEGER) AS DOUBLE) AS symptom_yesterday
+        FROM (SELECT *, {Q.zone_from_ier('ier_score * 1.3E0')} AS zone, event_id % 4 = 1 AS sy
+              FROM (SELECT *, {Q.score('asthme')} AS ier_score FROM measurements) a) b) c) d) e""",
+                             "measurements")
+
+
+@register("crisis_realtime", CRISIS_RT_SQL)
+def q_crisis_realtime(spark, sf):
+    """H13 without a model: realtime features, validity, heuristic probability, level, message."""
+    m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score("asthme"))
+    m = m.withColumns({"zone": A.zone_from_ier(F.col("ier_score") * 1.3),
+                       "symptom_yesterday": F.col("event_id") % 4 == 1})
+    h = FT.with_history(m, block_rows=CHECK_BLOCK_ROWS)
+    out = CR.crisis_realtime(h)
+    return out.select("event_id", *FEATURE_NAMES, F.size("invalid_features").alias("n_invalid"), "is_valid",
+                      "proba_crisis", "alert_level", "alert_color", "should_notify", "message", "model_used")

@@ -205,3 +205,40 @@ def q_crisis_heuristic(spark, sf):
         "notify_single": A.crisis_notify("p_single"),
         "message_single": A.crisis_message("p_single", "level_single", F.lit("general")),
     })
+
+
+def _reading_strings(ev):
+    eid = F.col("event_id")
+    return ev.select(
+        "event_id",
+        F.when(eid % 97 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("pm25"),
+        F.when(eid % 89 == 0, F.lit(None)).otherwise(((eid * 37) % 5000 / 100.0).cast("string")).alias("co"),
+        ((eid * 53) % 1000 / 10.0).cast("string").alias("humidity"),
+        F.when(eid % 83 == 0, F.lit("x")).otherwise(((eid * 31) % 700 / 10.0 - 25.0).cast("string"))
+         .alias("temperature"))
+
+
+@register("reading_validation", V.with_views("""
+SELECT event_id, TRY_CAST(pm25 AS DOUBLE) AS pm25, TRY_CAST(co AS DOUBLE) AS co,
+       TRY_CAST(humidity AS DOUBLE) AS humidity, TRY_CAST(temperature AS DOUBLE) AS temperature,
+       NULLIF(concat_ws(';', CASE WHEN miss <> '' THEN 'missing:' || miss END,
+                             CASE WHEN bad <> '' THEN 'not_numeric:' || bad END), '') AS reject_reason,
+       NULLIF(concat_ws(';', CASE WHEN miss <> '' THEN 'missing:' || miss END,
+                             CASE WHEN bad <> '' THEN 'not_numeric:' || bad END), '') IS NULL AS is_valid
+FROM (SELECT *, concat_ws(',', CASE WHEN pm25 IS NULL THEN 'pm25' END, CASE WHEN co IS NULL THEN 'co' END,
+                          CASE WHEN humidity IS NULL THEN 'humidity' END,
+                          CASE WHEN temperature IS NULL THEN 'temperature' END) AS miss,
+             concat_ws(',', CASE WHEN pm25 IS NOT NULL AND TRY_CAST(pm25 AS DOUBLE) IS NULL THEN 'pm25' END,
+                          CASE WHEN co IS NOT NULL AND TRY_CAST(co AS DOUBLE) IS NULL THEN 'co' END,
+                          CASE WHEN humidity IS NOT NULL AND TRY_CAST(humidity AS DOUBLE) IS NULL THEN 'humidity' END,
+                          CASE WHEN temperature IS NOT NULL AND TRY_CAST(temperature AS DOUBLE) IS NULL
+                               THEN 'temperature' END) AS bad
+      FROM (SELECT event_id,
+                   CASE WHEN event_id % 97 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS pm25,
+                   CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(((event_id * 37) % 5000) / 100.0E0 AS VARCHAR) END AS co,
+                   CAST(((event_id * 53) % 1000) / 10.0E0 AS VARCHAR) AS humidity,
+                   CASE WHEN event_id % 83 = 0 THEN 'x'
+                        ELSE CAST(((event_id * 31) % 700) / 10.0E0 - 25.0E0 AS VARCHAR) END AS temperature
+            FROM events) s) t""", "measurements"))
+def q_reading_validation(spark, sf):
+    return S.validate_readings(_reading_strings(V.read_table(spark, sf, "events")))

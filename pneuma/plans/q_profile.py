@@ -129,3 +129,19 @@ def q_batch_summary(spark, sf):
 
 
 _ = F
+
+
+from .q_clean import interp_sql  # noqa: E402
+
+
+@register("null_profile_filled", V.with_views(f"""
+SELECT feature, n_null, CASE WHEN n > 0 THEN {Q.rround('CAST(n_null AS DOUBLE) / n * 100.0E0', 2)} END AS pct_null
+FROM (SELECT count(*) AS n, {', '.join(f'count_if({c} IS NULL) AS {c}' for c in STATION_FEATURES)}
+      FROM {interp_sql(RH_VIEW, ['event_id', 'user_id', 'datetime', 'station'], STATION_FEATURES, 'station',
+                       'datetime NULLS LAST, event_id', 24)} r) a
+UNPIVOT (n_null FOR feature IN ({', '.join(STATION_FEATURES)}))""", "measurements_raw"))
+def q_null_profile_filled(spark, sf):
+    """D4 after the limited interpolation (the 'after fill' profile)."""
+    from .q_clean import CHECK_BLOCK_ROWS
+    x = C.interpolate_station(C.relative_humidity(V.measurements_raw(spark, sf)), block_rows=CHECK_BLOCK_ROWS)
+    return PR.null_profile(x)
