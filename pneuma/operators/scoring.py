@@ -117,3 +117,14 @@ def validate_readings(df: DataFrame, required=IER_FEATURES) -> DataFrame:
     out = df.withColumn("reject_reason", F.when(reason != "", reason))
     out = out.withColumns(typed)
     return out.withColumn("is_valid", F.col("reject_reason").isNull())
+
+
+def pathologie_check(df: DataFrame, col: str = "pathologie") -> DataFrame:
+    """C1 for a column: rows per normalised pathologie (lower + strip) and whether it has index weights.
+
+    Unknown values (which the literal form rejects) are reported instead of failing the job.
+    """
+    from ..tables import IER_WEIGHTS
+    key = F.lower(F.trim(F.col(col)))
+    return (df.groupBy(key.alias("pathologie")).agg(F.count(F.lit(1)).alias("n_rows"))
+              .withColumn("has_weights", F.coalesce(F.col("pathologie").isin(*IER_WEIGHTS), F.lit(False))))

@@ -242,3 +242,19 @@ FROM (SELECT *, concat_ws(',', CASE WHEN pm25 IS NULL THEN 'pm25' END, CASE WHEN
             FROM events) s) t""", "measurements"))
 def q_reading_validation(spark, sf):
     return S.validate_readings(_reading_strings(V.read_table(spark, sf, "events")))
+
+
+@register("pathologie_check", V.with_views("""
+SELECT lower(trim(pathologie)) AS pathologie, count(*) AS n_rows,
+       COALESCE(lower(trim(pathologie)) IN ('asthme', 'rhinite', 'bronchite', 'general'), false) AS has_weights
+FROM profiles GROUP BY lower(trim(pathologie))""", "profiles"))
+def q_pathologie_check(spark, sf):
+    return S.pathologie_check(V.profiles(spark, sf))
+
+
+@register("sort_series", V.with_views(f"""
+SELECT {M_COLS} FROM measurements ORDER BY station, datetime NULLS LAST, event_id""", "measurements"))
+def q_sort_series(spark, sf):
+    """readings in (station, datetime) order; the sort is the output (range-partitioned, no single task)."""
+    m = V.measurements(spark, sf).select(*[c.strip() for c in M_COLS.split(",")])
+    return m.orderBy("station", F.col("datetime").asc_nulls_last(), "event_id")

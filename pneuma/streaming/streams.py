@@ -47,11 +47,15 @@ def stream_score(readings: DataFrame, pathologie: str = "general", bounds: Mappi
 def stream_daily_mean(readings: DataFrame, lateness: str = "1 day",
                       features=CLUSTER_FEATURES) -> DataFrame:
     """Per (station, day) means; a day is emitted once the watermark passes its end."""
-    # watermarks need an instant type: wall-clock TIMESTAMP_NTZ read as UTC
-    w = readings.withColumn("_et", F.col("datetime").cast("timestamp")).withWatermark("_et", lateness)
+    # Watermarks need an instant type: the wall-clock TIMESTAMP_NTZ is read as UTC explicitly,
+    # so day windows follow the readings' calendar days whatever the session time zone.
+    d = F.col("datetime")
+    et = F.make_timestamp(F.year(d), F.month(d), F.dayofmonth(d), F.hour(d), F.minute(d),
+                          F.second(d), F.lit("UTC"))  # second precision is enough for a day window
+    w = readings.withColumn("_et", et).withWatermark("_et", lateness)
     g = w.groupBy(F.window("_et", "1 day").alias("w"), "station")
-    return g.agg(*[decimal_avg(f, 6).alias(f) for f in features]) \
-            .select("station", F.to_date(F.col("w.start")).alias("date"), *features)
+    return g.agg(F.min(F.to_date("datetime")).alias("date"), *[decimal_avg(f, 6).alias(f) for f in features]) \
+            .select("station", "date", *features)
 
 
 HISTORY_STATE = T.StructType([T.StructField("pm25", T.ArrayType(T.DoubleType())),
