@@ -130,7 +130,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str |
     per = x.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("n"))
     rng = per.groupBy("_g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("_tot"))
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
-    per = per.join(F.broadcast(rng), "_g").withColumn(  # one row per group
+    # one row per group: hinted only for the ungrouped case, else the optimizer sizes it
+    per = per.join(F.broadcast(rng) if group is None else rng, "_g").withColumn(
         "_b", F.least(F.floor((F.col("v") - F.col("lo")) / span * F.lit(float(buckets))), F.lit(buckets - 1)))
     btot = per.groupBy("_g", "_b").agg(F.sum("n").alias("_bn"))
     wb = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
