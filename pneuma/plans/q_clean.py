@@ -86,7 +86,7 @@ SELECT rows_before, {', '.join(f'removed_{c}' for c, _, _ in STATION_LIMITS)}, r
          AS removed_pct,
        rows_before - removed_total AS rows_after
 FROM (SELECT count(*) AS rows_before,
-             {', '.join(f"count_if(f = '{c}') AS removed_{c}" for c, _, _ in STATION_LIMITS)},
+             {', '.join(f"CAST(count_if(f = '{c}') AS BIGINT) AS removed_{c}" for c, _, _ in STATION_LIMITS)},
              count(f) AS removed_total
       FROM (SELECT {_first_fail_sql(STATION_LIMITS)} AS f FROM {RH_VIEW} t) a) b""", "measurements_raw"))
 def q_outlier_counts(spark, sf):

@@ -102,3 +102,97 @@ def q_crisis_realtime(spark, sf):
     out = CR.crisis_realtime(h)
     return out.select("event_id", *FEATURE_NAMES, F.size("invalid_features").alias("n_invalid"), "is_valid",
                       "proba_crisis", "alert_level", "alert_color", "should_notify", "message", "model_used")
+
+
+# --- crisis scalars under their own keys -----------------------------------------------------------------
+
+P_SQL = "((event_id * 7) % 1000) / 1000.0E0"
+
+
+@register("crisis_alert_level", V.with_views(f"""
+SELECT event_id, p, {Q.crisis_level('p')} AS alert_level, {Q.crisis_color(Q.crisis_level('p'))} AS alert_color,
+       p >= 0.4E0 AS should_notify FROM (SELECT event_id, {P_SQL} AS p FROM events) t""", "measurements"))
+def q_crisis_alert_level(spark, sf):
+    """C15 on a probability spread over [0, 1) (thresholds on the unrounded value)."""
+    ev = V.read_table(spark, sf, "events").select("event_id", ((F.col("event_id") * 7) % 1000 / 1000.0).alias("p"))
+    lvl = A.crisis_alert_level("p")
+    return ev.select("event_id", "p", lvl.alias("alert_level"), A.crisis_alert_color(lvl).alias("alert_color"),
+                     A.crisis_notify("p").alias("should_notify"))
+
+
+@register("crisis_message", V.with_views(f"""
+SELECT m.event_id, {Q.crisis_message('t.p', Q.crisis_level('t.p'), "COALESCE(lower(trim(pr.pathologie)), 'general')")}
+       AS message
+FROM measurements m JOIN (SELECT event_id, {P_SQL} AS p FROM events) t USING (event_id)
+LEFT JOIN profiles pr ON m.user_id = pr.user_id""", "measurements", "profiles"))
+def q_crisis_message(spark, sf):
+    """Message per level with the user's pathologie (top two levels), percentage truncated."""
+    from ..operators import features as FT  # noqa: F401
+    m = V.measurements(spark, sf).select("event_id", "user_id",
+                                         ((F.col("event_id") * 7) % 1000 / 1000.0).alias("p"))
+    pr = V.profiles(spark, sf).select("user_id", F.lower(F.trim("pathologie")).alias("path"))
+    x = m.join(pr, "user_id", "left")
+    return x.select("event_id", A.crisis_message("p", A.crisis_alert_level("p"),
+                                                 F.coalesce(F.col("path"), F.lit("general"))).alias("message"))
+
+
+@register("crisis_heuristic_batch", V.with_views(f"""
+SELECT event_id, ier_score, p AS proba_crisis, {Q.crisis_level('p')} AS alert_level, p >= 0.4E0 AS should_notify
+FROM (SELECT event_id, ier_score, {Q.crisis_base('ier_score')} AS p
+      FROM (SELECT event_id, {Q.score('rhinite')} AS ier_score FROM measurements) a) t""", "measurements"))
+def q_crisis_heuristic_batch(spark, sf):
+    """C17: batch heuristic (index bands only, no zone or symptom bonus)."""
+    m = V.measurements(spark, sf).select("event_id", IX.ier_score("rhinite").alias("ier_score"))
+    return CR.crisis_batch(m)
+
+
+@register("crisis_heuristic_single", V.with_views(f"""
+SELECT event_id, p, {Q.crisis_level('p')} AS alert_level, p >= 0.4E0 AS should_notify,
+       {Q.crisis_message('p', Q.crisis_level('p'), "'general'")} AS message
+FROM (SELECT event_id, {_p_single_sql('ier_score', 'zone', 'sy')} AS p
+      FROM (SELECT event_id, ier_score, {Q.zone_from_ier('ier_score')} AS zone, event_id % 3 = 0 AS sy
+            FROM (SELECT event_id, {Q.score('general')} AS ier_score FROM measurements) a) b) t""", "measurements"))
+def q_crisis_heuristic_single(spark, sf):
+    """Per-reading heuristic with zone C/D and previous-day symptom bonuses, 4 digits before the level."""
+    m = V.measurements(spark, sf).select("event_id", IX.ier_score("general").alias("ier_score"))
+    m = m.withColumns({"zone": A.zone_from_ier("ier_score"), "sy": F.col("event_id") % 3 == 0})
+    p = A.crisis_heuristic_single("ier_score", "zone", "sy")
+    x = m.select("event_id", p.alias("p"))
+    lvl = A.crisis_alert_level("p")
+    return x.select("event_id", "p", lvl.alias("alert_level"), A.crisis_notify("p").alias("should_notify"),
+                    A.crisis_message("p", lvl, F.lit("general")).alias("message"))
+
+
+@register("top_features")
+def q_top_features(spark, sf):
+    """the 8 most important features of the forest trained on the training set."""
+    m = CR.rf_train(_training(spark, sf), cross_validate=False)
+    return CR.top_features(spark, m, 8)
+
+
+@register("rf_cross_validate")
+def q_rf_cross_validate(spark, sf):
+    """5-fold stratified cross-validation (AUC and F1 mean and std) on the training part."""
+    from ..operators import labels as L
+    from ..operators import metrics as MT
+    from ..session import checkpoint
+    ts = _training(spark, sf)
+    split = checkpoint(CR._assemble(MT.with_class_weight(L.stratified_split(ts), "symptom_label")))
+    cv = CR.cross_validate_forest(split.filter(~F.col("is_test")), 200, 12, 42)
+    return spark.createDataFrame([tuple(float(cv[k]) for k in ("cv_auc_mean", "cv_auc_std", "cv_f1_mean", "cv_f1_std"))],
+                                 "cv_auc_mean double, cv_auc_std double, cv_f1_mean double, cv_f1_std double")
+
+
+@register("retrain_user")
+def q_retrain_user(spark, sf):
+    """Retrain the user with the most survey rows: own rows + global sample with weak labels -> forest."""
+    from ..operators import labels as L
+    le = V.labeled_entries(spark, sf)
+    feats = _training(spark, sf).drop("symptom_label")
+    own = le.select("user_id", "event_id", "symptom_label").join(feats, "event_id")
+    uid = own.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first().user_id  # one row
+    glob = L.weak_labels(V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
+                         .withColumn("zone", A.zone_from_ier("ier_score"))).select("event_id", "symptom_label")
+    glob = glob.join(feats, "event_id")
+    m = CR.retrain_user(own.filter(F.col("user_id") == uid).drop("user_id"), glob, uid)
+    return CR.meta_df(spark, m)

@@ -258,3 +258,9 @@ def q_sort_series(spark, sf):
     """readings in (station, datetime) order; the sort is the output (range-partitioned, no single task)."""
     m = V.measurements(spark, sf).select(*[c.strip() for c in M_COLS.split(",")])
     return m.orderBy("station", F.col("datetime").asc_nulls_last(), "event_id")
+
+
+@register("realtime", SCORE_RT_SQL)
+def q_realtime(spark, sf):
+    """The per-reading pipeline (index, zone fallback, alert) as one projection."""
+    return q_score_realtime(spark, sf)

@@ -182,7 +182,7 @@ def q_cluster_distribution(spark, sf):
 @register("confusion_matrix", V.with_views(f"""
 SELECT l.label, COALESCE(pred_0, 0) AS pred_0, COALESCE(pred_1, 0) AS pred_1
 FROM (VALUES (0), (1)) l(label) LEFT JOIN (
-  SELECT label, count_if(prediction = 0) AS pred_0, count_if(prediction = 1) AS pred_1 FROM {SCORED_LABELS} s
+  SELECT label, CAST(count_if(prediction = 0) AS BIGINT) AS pred_0, CAST(count_if(prediction = 1) AS BIGINT) AS pred_1 FROM {SCORED_LABELS} s
   GROUP BY label) c USING (label)""", "measurements", "labeled_entries"))
 def q_confusion(spark, sf):
     return MT.confusion_matrix(_scored_labels(spark, sf))
@@ -206,9 +206,9 @@ def _report_sql() -> str:
             row("macro avg", f"({p0} + {p1}) / 2", f"({r0} + {r1}) / 2", f"({f0} + {f1}) / 2", n),
             row("weighted avg", div(f"{p0} * {s0} + {p1} * {s1}", n), div(f"{r0} * {s0} + {r1} * {s1}", n),
                 div(f"{f0} * {s0} + {f1} * {s1}", n), n)]
-    return (f"""WITH c AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS DOUBLE) AS tp,
-  CAST(count_if(label = 0 AND prediction = 1) AS DOUBLE) AS fp, CAST(count_if(label = 1 AND prediction = 0) AS DOUBLE) AS fn,
-  CAST(count_if(label = 0 AND prediction = 0) AS DOUBLE) AS tn FROM {SCORED_LABELS} s)\n"""
+    return (f"""WITH c AS (SELECT CAST(CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS DOUBLE) AS tp,
+  CAST(CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS DOUBLE) AS fp, CAST(CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS DOUBLE) AS fn,
+  CAST(CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS DOUBLE) AS tn FROM {SCORED_LABELS} s)\n"""
             + "\nUNION ALL\n".join(rows))
 
 
@@ -297,3 +297,36 @@ SELECT user_id, pm25, {', '.join(f'0.0E0 AS {f}' for f in FEATURE_NAMES if f !=
 FROM labeled_entries""", "labeled_entries"))
 def q_append_labeled(spark, sf):
     return R.labeled_projection(V.labeled_entries(spark, sf))
+
+
+APPEND_SQL = V.with_views(f"""
+SELECT user_id, pm25, {', '.join(f'0.0E0 AS {f}' for f in FEATURE_NAMES if f != 'pm25')}, symptom_label, timestamp
+FROM labeled_entries""", "labeled_entries")
+
+
+@register("load_labeled", APPEND_SQL)
+def q_load_labeled(spark, sf):
+    """A8 (+A13): append the survey rows to a user-partitioned table in the checkpoint folder, load all users."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labeled_{uuid.uuid4().hex}"
+    R.append_labeled(V.labeled_entries(spark, sf), path)
+    # the partition column is re-typed on read: keep the source type
+    return R.load_labeled(spark, path).withColumn("user_id", F.col("user_id").cast("bigint"))
+
+
+@register("stream_labels", APPEND_SQL)
+def q_stream_labels(spark, sf):
+    """Survey rows streamed into the labeled table (deduplicated within the watermark), then read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import streams as ST
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_labels_{uuid.uuid4().hex}"
+    src = V.events_stream(spark, sf).select(
+        "user_id", "event_id", F.col("ts").alias("timestamp"), F.col("value").alias("pm25"),
+        F.when(F.col("value") + (F.col("event_id") * 7919) % 40 > 70, 1).otherwise(0).cast("int").alias("symptom_label"))
+    q = ST.stream_labels(spark, src, f"{base}/table", checkpoint=f"{base}/ck")
+    q.awaitTermination()
+    return R.load_labeled(spark, f"{base}/table").withColumn("user_id", F.col("user_id").cast("bigint"))

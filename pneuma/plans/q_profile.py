@@ -20,7 +20,7 @@ RAW_COLS = ["PM2.5", "CO", "TEMP", "DEWP"]
 
 @register("station_load_profile", V.with_views(f"""
 SELECT station, count(*) AS n_rows, {', '.join(
-    f'count_if("{c}" IS NULL) AS {c.replace(".", "").lower()}_nan' for c in RAW_COLS)}
+    f'CAST(count_if("{c}" IS NULL) AS BIGINT) AS {c.replace(".", "").lower()}_nan' for c in RAW_COLS)}
 FROM stations_raw GROUP BY station""", "stations_raw"))
 def q_station_load_profile(spark, sf):
     return PR.station_load_profile(V.stations_raw(spark, sf))
@@ -57,7 +57,7 @@ def q_level_distribution(spark, sf):
 
 @register("null_profile", V.with_views(f"""
 SELECT feature, n_null, CASE WHEN n > 0 THEN {Q.rround('CAST(n_null AS DOUBLE) / n * 100.0E0', 2)} END AS pct_null
-FROM (SELECT count(*) AS n, {', '.join(f'count_if({c} IS NULL) AS {c}' for c in STATION_FEATURES)} FROM {RH_VIEW} r) a
+FROM (SELECT count(*) AS n, {', '.join(f'CAST(count_if({c} IS NULL) AS BIGINT) AS {c}' for c in STATION_FEATURES)} FROM {RH_VIEW} r) a
 UNPIVOT (n_null FOR feature IN ({', '.join(STATION_FEATURES)}))""", "measurements_raw"))
 def q_null_profile(spark, sf):
     return PR.null_profile(C.relative_humidity(V.measurements_raw(spark, sf)))
@@ -136,7 +136,7 @@ from .q_clean import interp_sql  # noqa: E402
 
 @register("null_profile_filled", V.with_views(f"""
 SELECT feature, n_null, CASE WHEN n > 0 THEN {Q.rround('CAST(n_null AS DOUBLE) / n * 100.0E0', 2)} END AS pct_null
-FROM (SELECT count(*) AS n, {', '.join(f'count_if({c} IS NULL) AS {c}' for c in STATION_FEATURES)}
+FROM (SELECT count(*) AS n, {', '.join(f'CAST(count_if({c} IS NULL) AS BIGINT) AS {c}' for c in STATION_FEATURES)}
       FROM {interp_sql(RH_VIEW, ['event_id', 'user_id', 'datetime', 'station'], STATION_FEATURES, 'station',
                        'datetime NULLS LAST, event_id', 24)} r) a
 UNPIVOT (n_null FOR feature IN ({', '.join(STATION_FEATURES)}))""", "measurements_raw"))
