@@ -14,12 +14,20 @@ def con():
     return duckdb_conn(SF)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_oracle(spark, con, key):
-    spdf = E.queries()[key](spark, SF).toPandas()
+    sdf = E.queries()[key](spark, SF)
+    spdf = sdf.toPandas()
     dpdf = con.execute(E.oracle_sql()[key]).df()
     r = compare(spdf, dpdf)
     assert r["ok"], r
+    duck_types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {E.oracle_sql()[key]}").fetchall()}
+    diffs = [(c, t, duck_types.get(c)) for c, t in sdf.dtypes if SPARK_TO_DUCK.get(t, t) != duck_types.get(c)]
+    assert not diffs, diffs
 
 
 def test_every_key_has_builder():
