@@ -59,3 +59,21 @@ def test_retrain_user(spark):
     glob = feats.withColumn("symptom_label", (F.col("pm25") > 40).cast("int"))
     m = CR.retrain_user(one, glob, uid, num_trees=10)
     assert m is None or m.name == f"rf_user_{uid}"
+
+
+def test_model_persistence(spark, tmp_dir):
+    import os
+
+    from pneuma.plans.pipelines import run_batch, write_batch
+    from pneuma.plans.q_models import FIX
+    FIX.save(spark, os.path.join(tmp_dir, "zones"))
+    back = Z.ZoneModel.load(spark, os.path.join(tmp_dir, "zones"))
+    assert back.labels == FIX.labels and back.centroids == FIX.centroids
+    ts = CR.training_set(spark, "synthetic", stations=V.measurements(spark, "/root/testdata/sf0.001"), block_rows=512)
+    m = CR.rf_train(ts, cross_validate=False, num_trees=5, max_depth=4)
+    m.save(os.path.join(tmp_dir, "rf"), spark)
+    m2 = CR.CrisisModel.load(spark, os.path.join(tmp_dir, "rf"))
+    assert m2.name == "rf_global" and m2.meta["n_samples"] == m.meta["n_samples"]
+    scored = run_batch(V.measurements(spark, "/root/testdata/sf0.001").drop("user_id"), "asthme")
+    write_batch(scored.withColumn("pathologie", F.lit("asthme")), os.path.join(tmp_dir, "batch"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "batch")).filter("pathologie = 'asthme'").count() == scored.count()
