@@ -104,13 +104,13 @@ def health_label(df: DataFrame, percentile: float = 75.0, source: str = "respira
                  label: str = "symptom_label") -> DataFrame:
     """label = 1 when source >= its percentile (linear interpolation); NULL -> 0.
 
-    The threshold is an exact distributed percentile (a single row), attached
+    The threshold is an exact percentile (a single row, plan chosen by size), attached
     to every row by a broadcast cross join of that one row.
     """
-    from .metrics import exact_percentiles
+    from .metrics import percentiles
     if source not in df.columns:
         return df
-    thr = exact_percentiles(df, source, [percentile / 100.0]).select(F.col("p0").alias("_thr"))
+    thr = percentiles(df, source, [percentile / 100.0]).select(F.col("p0").alias("_thr"))
     out = df.crossJoin(F.broadcast(thr))
     return (out.withColumn(label, F.coalesce(F.col(source) >= F.col("_thr"), F.lit(False)).cast("int"))
                .drop("_thr", source))

@@ -154,3 +154,26 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str |
     out = vals.groupBy("_g").pivot("i", list(range(len(probs)))).agg(F.first(q))
     cols = [F.col(str(i)).alias(f"p{i}") for i in range(len(probs))]
     return out.select(F.col("_g").alias(group), *cols) if group else out.select(*cols)
+
+
+def percentiles(df: DataFrame, col: str, probs: list[float], group: str | None = None,
+                max_buffer_distinct: int = 1_000_000) -> DataFrame:
+    """Exact percentiles, choosing the plan from a measured size.
+
+    Spark's exact ``percentile`` keeps one count per distinct value in its
+    aggregation buffer. A first, cheap pass measures the distinct values
+    (``approx_count_distinct``, per group); when they are under
+    ``max_buffer_distinct`` (with a margin for the estimate) that buffer is
+    bounded and the one-pass aggregate is used, otherwise
+    :func:`exact_percentiles`, which needs no buffer. Same result either way.
+    """
+    v = F.col(col).cast("double")
+    x = df.select((F.col(group) if group else F.lit(0)).alias("_g"), v.alias("v")) \
+          .filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    nd = x.groupBy("_g").agg(F.approx_count_distinct("v", 0.05).alias("nd")).agg(F.max("nd")).collect()[0][0]
+    if nd is not None and nd * 1.2 > max_buffer_distinct:
+        return exact_percentiles(df, col, probs, group)
+    arr = F.percentile(F.col("v"), F.array(*[F.lit(float(p)) for p in probs]))
+    out = x.groupBy("_g").agg(arr.alias("_q"))
+    cols = [F.col("_q")[i].alias(f"p{i}") for i in range(len(probs))]
+    return out.select(F.col("_g").alias(group), *cols) if group else out.select(*cols)

@@ -60,9 +60,10 @@ def describe_stats(df: DataFrame, cols=STATION_FEATURES, digits: int = 3) -> Dat
     """Count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max per column.
 
     Moments come from one aggregation pass; the quartiles from the exact
-    distributed percentile (no buffer of distinct values); one row per column.
+    percentile whose plan is chosen by the measured number of distinct values
+    (bounded buffer, or the distributed rank method); one row per column.
     """
-    from .metrics import exact_percentiles
+    from .metrics import percentiles
     present = [c for c in cols if c in df.columns]
     aggs = []
     for c in present:
@@ -71,7 +72,7 @@ def describe_stats(df: DataFrame, cols=STATION_FEATURES, digits: int = 3) -> Dat
     a = df.agg(*aggs)
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in present)
     long = df.selectExpr(f"stack({len(present)}, {stack}) AS (feature, v)")
-    q = exact_percentiles(long, "v", [0.25, 0.5, 0.75], group="feature")  # one row per column
+    q = percentiles(long, "v", [0.25, 0.5, 0.75], group="feature")  # one row per column
     rows = None
     for c in present:
         r = a.select(F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
