@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import clip, rround
 from ..tables import (
     HEALTH_FEATURES, HEALTH_INTERP_LIMIT, HEALTH_KEEP, HEALTH_LIMITS, HEALTH_RENAME, MAGNUS_A, MAGNUS_B,
-    STATION_DROP, STATION_FEATURES, STATION_INTERP_LIMIT, STATION_LIMITS, STATION_RENAME, require_columns,
+    STATION_DROP, STATION_FEATURES, STATION_INTERP_LIMIT, STATION_LIMITS, STATION_RENAME,
 )
 from . import series
 
@@ -71,10 +71,13 @@ def drop_missing(df: DataFrame, cols=STATION_FEATURES) -> DataFrame:
 
 def interpolate_station(df: DataFrame, limit: int = STATION_INTERP_LIMIT,
                         block_rows: int = series.DEFAULT_BLOCK_ROWS, order_tiebreak: str = "event_id",
-                        cols=STATION_FEATURES) -> DataFrame:
-    """Per-station linear interpolation by row position, limit 24, order (datetime, tiebreak)."""
+                        cols=STATION_FEATURES, time_bucket: str = "day") -> DataFrame:
+    """Per-station linear interpolation by row position, limit 24, order (datetime, tiebreak).
+
+    ``time_bucket`` is the numbering bucket (see ``features.add_series_rn``).
+    """
     order = ["datetime"] + ([order_tiebreak] if order_tiebreak in df.columns else [])
-    x = series.add_row_number(df, ["station"], order, F.date_trunc("day", "datetime"), "_rn")
+    x = series.add_row_number(df, ["station"], order, F.date_trunc(time_bucket, "datetime"), "_rn")
     present = [c for c in cols if c in df.columns]
     out = series.interpolate_limited(x, ["station"], "_rn", present, limit, block_rows)
     return out.drop("_rn")

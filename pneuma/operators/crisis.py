@@ -18,7 +18,6 @@ from ..functions.exprs import rround
 from ..tables import (
     FEATURE_NAMES, MIN_SAMPLES_USER, RF_CV_MIN_ROWS, RF_FOLDS, RF_MAX_DEPTH, RF_MIN_LEAF, RF_TREES, SEED,
 )
-from . import clean as C
 from . import features as FT
 from . import labels as L
 from . import metrics as MT
@@ -267,5 +266,3 @@ def retrain_all(labeled: DataFrame, models_meta: DataFrame, global_rows: DataFra
     cached.unpersist()
     return results
 
-
-_ = (C,)

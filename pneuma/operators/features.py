@@ -19,13 +19,18 @@ def rn_name(group: str | None, tiebreak: str | None) -> str:
     return f"_rn_{group or 'all'}_{tiebreak or 'none'}"
 
 
-def add_series_rn(df: DataFrame, group: str | None = "station", tiebreak: str | None = "event_id") -> DataFrame:
-    """Attach the series row number once; ``rolling_24``, ``with_history`` and ``symptom_lag`` reuse it."""
-    x, _, name, _ = _series_rn(df, group, tiebreak)
+def add_series_rn(df: DataFrame, group: str | None = "station", tiebreak: str | None = "event_id",
+                  time_bucket: str = "day") -> DataFrame:
+    """Attach the series row number once; ``rolling_24``, ``with_history`` and ``symptom_lag`` reuse it.
+
+    ``time_bucket`` ('day', 'hour', ...) bounds the rows one numbering task
+    sorts: use a finer unit for series denser than a day per task.
+    """
+    x, _, name, _ = _series_rn(df, group, tiebreak, time_bucket)
     return x
 
 
-def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None):
+def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None, time_bucket: str = "day"):
     """Row number along (datetime, tiebreak) per group (or one global series); reused when present."""
     groups = [group] if group and group in df.columns else []
     tb = tiebreak if tiebreak and tiebreak in df.columns else None
@@ -36,7 +41,7 @@ def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None):
     if not order:
         raise ValueError("an order column (datetime or a tiebreak key) is required")
     first = order[0]
-    bucket = F.date_trunc("day", first) if first == "datetime" else F.floor(F.col(first) / F.lit(1 << 16))
+    bucket = F.date_trunc(time_bucket, first) if first == "datetime" else F.floor(F.col(first) / F.lit(1 << 16))
     return series.add_row_number(df, groups, order, bucket, name), groups, name, True
 
 

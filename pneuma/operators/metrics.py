@@ -40,12 +40,10 @@ def distribution(df: DataFrame, col: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """2x2 counts, rows = true label, columns pred_0 / pred_1 (missing cells 0)."""
-    labels = df.select(F.col(label).cast("int").alias("label")).distinct()
     base = F.broadcast(df.sparkSession.createDataFrame([(0,), (1,)], "label int"))
     counts = (df.select(F.col(label).cast("int").alias("label"), F.col(pred).cast("int").alias("p"))
                 .groupBy("label").agg(F.count_if(F.col("p") == 0).alias("pred_0"),
                                       F.count_if(F.col("p") == 1).alias("pred_1")))
-    _ = labels
     return base.join(counts, "label", "left").fillna(0, ["pred_0", "pred_1"])
 
 

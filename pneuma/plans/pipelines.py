@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import scoring as S
@@ -46,5 +45,3 @@ def write_batch(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy("pathologie").parquet(path))
 
-
-_ = F

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import clean as C
 from ..sources import views as V
 from ..tables import HEALTH_LIMITS, STATION_FEATURES, STATION_LIMITS
@@ -189,5 +187,3 @@ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in HEALTH_DOUBLES)} AND {limits_sql
 def q_health_pipeline(spark, sf):
     return C.health_pipeline(V.health_source(spark, sf), block_rows=CHECK_BLOCK_ROWS)
 
-
-_ = F  # functions kept for local expressions

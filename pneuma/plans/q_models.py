@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import alerts as A
 from ..functions import index as IX
 from ..functions.exprs import decimal_avg, rround
 from ..operators import zones as Z

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import index as IX
 from ..operators import clean as C
 from ..operators import profile as PR
@@ -128,8 +126,6 @@ def q_batch_summary(spark, sf):
     return PR.batch_summary(P.run_batch(m, "general"))
 
 
-_ = F
-
 
 from .q_clean import interp_sql  # noqa: E402
 

@@ -10,7 +10,6 @@ from ..functions import index as IX
 from ..sources import views as V
 from ..streaming import streams as ST
 from ..tables import CLUSTER_FEATURES
-from . import sqlfrag as Q
 from .catalog import register
 from .q_features import ORDER, SCORED, hist_sql
 from .q_index import M_COLS, SCORE_RT_SQL
@@ -46,5 +45,3 @@ def q_stream_daily(spark, sf):
     out = ST.run_to_table(spark, ST.stream_daily_mean(m), _name("stream_daily"))
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
-
-_ = Q
