@@ -68,40 +68,46 @@ HISTORY_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructFie
 
 
 def _history_fn(n: int = 24):
+    """State function: vectorised over each batch of a station (no per-row Python).
+
+    The previous ``n`` values (state) are prepended to the batch; window sums
+    come from cumulative sums of values in exact micro-units (as the DECIMAL
+    sums of the batch operator), maxima from sliding-window views.
+    """
     import numpy as np
     import pandas as pd
+    fields = ["pm25", "co", "humidity", "ier_score"]
+
+    def windows(vals: np.ndarray, n_prev: int):
+        m = len(vals) - n_prev
+        idx = np.arange(n_prev, n_prev + m)
+        lo = np.maximum(0, idx - n)
+        cnt = idx - lo
+        micro = np.rint(vals * 1e6).astype(np.int64)
+        cs = np.concatenate([[0], np.cumsum(micro)])
+        mean = np.where(cnt > 0, np.rint((cs[idx] - cs[lo]) / 1e6 / np.maximum(cnt, 1) * 1000.0) / 1000.0, 0.0)
+        padded = np.concatenate([np.full(n, -np.inf), vals])
+        mx = np.lib.stride_tricks.sliding_window_view(padded, n)[idx].max(axis=1)
+        mx = np.where(cnt > 0, np.rint(mx * 1000.0) / 1000.0, 0.0)
+        return mean, mx
 
     def fn(key, pdfs, state):
-        fields = ["pm25", "co", "humidity", "ier_score"]
-        prev = {f: [] for f in fields}
-        if state.exists:
-            st = state.get
-            prev = {f: list(st[i]) for i, f in enumerate(fields)}
-        outs = []
+        prev = {f: np.array(state.get[i], dtype=float) if state.exists else np.empty(0)
+                for i, f in enumerate(fields)}
         for pdf in pdfs:
             pdf = pdf.sort_values(["datetime", "event_id"], kind="mergesort")
-            cols = {f: pdf[f].astype(float).fillna(0.0).to_numpy() for f in fields}
-            res = {name: np.empty(len(pdf)) for name, _, _ in FX.HISTORY_SPECS}
-            for i in range(len(pdf)):
-                for name, fn_, src in FX.HISTORY_SPECS:
-                    h = prev[src][-n:]
-                    if not h:
-                        res[name][i] = 0.0
-                    elif fn_ == "mean":
-                        # exact decimal-style sum (values have <= 6 decimals)
-                        s = sum(round(v * 1e6) for v in h) / 1e6
-                        res[name][i] = np.rint(s / len(h) * 1000.0) / 1000.0
-                    else:
-                        res[name][i] = np.rint(max(h) * 1000.0) / 1000.0
-                for f in fields:
-                    prev[f].append(float(cols[f][i]))
-                    prev[f] = prev[f][-n:]
-            out = pd.DataFrame({"event_id": pdf["event_id"].astype("int64").to_numpy(),
-                                "station": key[0], **res})
-            outs.append(out)
-        state.update(tuple(prev[f] for f in fields))
-        for o in outs:
-            yield o
+            res = {}
+            cur = {}
+            for f in fields:
+                vals = np.concatenate([prev[f], pdf[f].astype(float).fillna(0.0).to_numpy()])
+                cur[f] = vals
+                res[f] = windows(vals, len(prev[f]))
+            out = {"event_id": pdf["event_id"].astype("int64").to_numpy(), "station": key[0]}
+            for name, fn_, src in FX.HISTORY_SPECS:
+                out[name] = res[src][0] if fn_ == "mean" else res[src][1]
+            prev = {f: cur[f][-n:] for f in fields}
+            yield pd.DataFrame(out)
+        state.update(tuple(prev[f].tolist() for f in fields))
     return fn
 
 

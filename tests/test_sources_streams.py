@@ -72,3 +72,23 @@ def test_stream_labels_dedup(spark, tmp_dir):
     q.awaitTermination()
     got = spark.read.parquet(os.path.join(tmp_dir, "labeled"))
     assert got.count() == le.count()
+
+
+def test_stream_history_state_across_batches(spark, tmp_dir):
+    from pneuma.functions import features as FX
+    from pneuma.functions import index as IX
+    from pneuma.operators import features as FT
+    ev = V.read_table(spark, "/root/testdata/sf0.01", "events")
+    src = os.path.join(tmp_dir, "events_by_week")
+    for i, (lo, hi) in enumerate([("2024-01-01", "2024-01-08"), ("2024-01-08", "2024-01-15"),
+                                  ("2024-01-15", "2024-01-22"), ("2024-01-22", "2024-02-01")]):
+        part = ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz")) & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+        part.coalesce(1).write.parquet(os.path.join(src, f"week={i}"))
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
+    m = V.measurements_from(stream).withColumn("ier_score", IX.ier_score())
+    got = ST.run_to_table(spark, ST.stream_history(m), "t_hist_weeks")
+    batch = V.measurements(spark, "/root/testdata/sf0.01").withColumn("ier_score", IX.ier_score())
+    exp = FT.history_features(FT.with_history(batch, block_rows=512)) \
+            .select("event_id", "station", *[n for n, _, _ in FX.HISTORY_SPECS])
+    assert got.count() == exp.count()
+    assert got.select(*exp.columns).exceptAll(exp).count() == 0
