@@ -70,15 +70,21 @@ def drop_missing(df: DataFrame, cols=STATION_FEATURES) -> DataFrame:
 
 
 def interpolate_station(df: DataFrame, limit: int = STATION_INTERP_LIMIT,
-                        block_rows: int = series.DEFAULT_BLOCK_ROWS, order_tiebreak: str = "event_id",
+                        block_rows: int | None = None, order_tiebreak: str = "event_id",
                         cols=STATION_FEATURES, time_bucket: str = "day") -> DataFrame:
     """Per-station linear interpolation by row position, limit 24, order (datetime, tiebreak).
 
-    ``time_bucket`` is the numbering bucket (see ``features.add_series_rn``).
+    ``time_bucket`` is the numbering bucket (see ``features.add_series_rn``). By default the
+    buckets are also the interpolation blocks (one shuffle); ``block_rows`` switches to
+    fixed-size row blocks (a second shuffle, bounded blocks whatever the bucket sizes).
     """
     order = ["datetime"] + ([order_tiebreak] if order_tiebreak in df.columns else [])
-    x = series.add_row_number(df, ["station"], order, F.date_trunc(time_bucket, "datetime"), "_rn")
     present = [c for c in cols if c in df.columns]
+    if block_rows is None:
+        # the numbering buckets are the blocks: one shuffle of the data
+        return series.interpolate_bucketed(df, ["station"], order, F.date_trunc(time_bucket, "datetime"),
+                                           present, limit)
+    x = series.add_row_number(df, ["station"], order, F.date_trunc(time_bucket, "datetime"), "_rn")
     out = series.interpolate_limited(x, ["station"], "_rn", present, limit, block_rows)
     return out.drop("_rn")
 
@@ -126,27 +132,30 @@ def health_outliers(df: DataFrame) -> DataFrame:
 
 def interpolate_global(df: DataFrame, order_col: str = "event_id", limit: int = HEALTH_INTERP_LIMIT,
                        cols=HEALTH_FEATURES, bucket_width: int = 1 << 20,
-                       block_rows: int = series.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """Interpolation over the whole table in ``order_col`` order (one series).
 
     The row order is a global one, yet no window sees the whole table: rows are
     numbered through per-bucket counts and interpolated over bounded blocks.
     """
-    x = series.add_row_number(df, [], [order_col], F.floor(F.col(order_col) / F.lit(bucket_width)), "_rn")
     # integer columns (calendar parts) are never NULL after B7; only doubles need filling
     dtypes = dict(df.dtypes)
     present = [c for c in cols if c in df.columns and dtypes[c] in ("double", "float")]
+    bucket = F.floor(F.col(order_col) / F.lit(bucket_width))
+    if block_rows is None:
+        return series.interpolate_bucketed(df, [], [order_col], bucket, present, limit)
+    x = series.add_row_number(df, [], [order_col], bucket, "_rn")
     out = series.interpolate_limited(x, [], "_rn", present, limit, block_rows)
     return out.drop("_rn")
 
 
 def health_pipeline(df: DataFrame, percentile: float = 75.0, order_col: str = "event_id",
-                    block_rows: int = series.DEFAULT_BLOCK_ROWS) -> DataFrame:
+                    block_rows: int | None = None, bucket_width: int = 1 << 20) -> DataFrame:
     """Project -> calendar -> label (threshold before any drop) -> interpolate -> drop -> limits."""
     x = health_project(df, keep_extra=[order_col] if order_col in df.columns else [])
     x = health_calendar(x)
     x = health_label(x, percentile)
-    x = interpolate_global(x, order_col, HEALTH_INTERP_LIMIT, block_rows=block_rows)
+    x = interpolate_global(x, order_col, HEALTH_INTERP_LIMIT, bucket_width=bucket_width, block_rows=block_rows)
     feats = [c for c in HEALTH_FEATURES if c in x.columns]
     x = x.na.drop(subset=feats + ["symptom_label"])
     return health_outliers(x)

@@ -159,3 +159,51 @@ def collect_previous(df: DataFrame, group_cols: list[str], rn: str, value: Colum
     w = Window.partitionBy("_gk", "_blk").orderBy(rn).rowsBetween(-n, -1)
     return (x.select(*df.columns, "_is_halo", F.collect_list(value).over(w).alias(name))
              .filter(F.col("_is_halo") == 0).drop("_is_halo"))
+
+
+def interpolate_bucketed(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column, cols: list[str],
+                         limit: int) -> DataFrame:
+    """Limited linear interpolation (as :func:`interpolate_limited`) with the numbering buckets as blocks.
+
+    The dense row number is computed by a window partitioned by (series,
+    bucket); the previous / next valid values inside a bucket come from
+    windows with that same partitioning (only a re-sort, no new shuffle), and
+    across buckets from a small per-bucket carry table. One shuffle of the
+    data instead of two.
+    """
+    b = df.withColumns({"_gk": _gk(group_cols), "_bk": F.struct(bucket.isNull().alias("n"), bucket.alias("v"))})
+    counts = b.groupBy("_gk", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_gk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_gk", "_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    keys = ["_gk", "_bk"]
+    j = b.join(offs, keys, "left")
+    order = _asc(order_cols)
+    x = j.withColumn("_rn", F.col("_off") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def sv(c):
+        return F.when(F.col(c).isNotNull(), F.struct(F.col("_rn").alias("r"), F.col(c).alias("v")))
+
+    wp = Window.partitionBy(*keys).orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    wn = Window.partitionBy(*keys).orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
+    inner = x.select("*", *[F.last(sv(c), ignorenulls=True).over(wp).alias(f"_p_{c}") for c in cols],
+                     *[F.last(sv(c), ignorenulls=True).over(wn).alias(f"_n_{c}") for c in cols])
+    # per-bucket first/last valid (rn, value) and the running carry across buckets: small tables
+    summ = x.groupBy(*keys).agg(*[F.max(sv(c)).alias(f"_l_{c}") for c in cols],
+                                *[F.min(sv(c)).alias(f"_f_{c}") for c in cols])
+    wb = Window.partitionBy("_gk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    wbd = Window.partitionBy("_gk").orderBy(F.desc("_bk")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*keys,
+                        *[F.last(f"_l_{c}", ignorenulls=True).over(wb).alias(f"_ci_{c}") for c in cols],
+                        *[F.last(f"_f_{c}", ignorenulls=True).over(wbd).alias(f"_co_{c}") for c in cols])
+    jj = inner.join(carry, keys, "left")
+    out = {}
+    for c in cols:
+        p = F.coalesce(F.col(f"_p_{c}"), F.col(f"_ci_{c}"))
+        n = F.coalesce(F.col(f"_n_{c}"), F.col(f"_co_{c}"))
+        k = F.col("_rn") - p["r"]
+        line = p["v"] + (n["v"] - p["v"]) / (n["r"] - p["r"]).cast("double") * k.cast("double")
+        out[c] = (F.when(F.col(c).isNotNull(), F.col(c))
+                   .when(p.isNull() | (k > limit), F.lit(None))
+                   .when(n.isNull(), p["v"])
+                   .otherwise(line))
+    return jj.withColumns(out).select(*df.columns)

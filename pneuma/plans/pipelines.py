@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 
 from ..operators import clean as C
 from ..operators import scoring as S
-from ..operators import series
 from ..tables import STATION_FEATURES
 
 
-def preprocess(raw: DataFrame, block_rows: int = series.DEFAULT_BLOCK_ROWS,
-               order_key: str = "No") -> DataFrame:
+def preprocess(raw: DataFrame, block_rows: int | None = None,
+               order_key: str = "No", time_bucket: str = "day") -> DataFrame:
     """Raw station rows -> clean table (datetime, station, pm25, co, temperature, humidity).
 
     Humidity is computed before gaps are filled; interpolation runs per station
@@ -23,7 +22,7 @@ def preprocess(raw: DataFrame, block_rows: int = series.DEFAULT_BLOCK_ROWS,
     x = raw.withColumnRenamed(order_key, "_row") if order_key in raw.columns else raw
     x = C.rename_datetime(x)
     x = C.relative_humidity(x)
-    x = C.interpolate_station(x, block_rows=block_rows, order_tiebreak="_row")
+    x = C.interpolate_station(x, block_rows=block_rows, order_tiebreak="_row", time_bucket=time_bucket)
     x = C.drop_missing(x)
     x = C.remove_outliers(x)
     return x.select("datetime", "station", *STATION_FEATURES)

@@ -121,7 +121,8 @@ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in STATION_FEATURES)} AND {limits_s
 
 @register("preprocess", PREPROCESS_SQL)
 def q_preprocess(spark, sf):
-    return P.preprocess(V.stations_raw(spark, sf), block_rows=CHECK_BLOCK_ROWS)
+    # default plan: the day buckets of the row numbering are the interpolation blocks
+    return P.preprocess(V.stations_raw(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -185,5 +186,6 @@ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in HEALTH_DOUBLES)} AND {limits_sql
 
 @register("health_pipeline", HEALTH_PIPE_SQL)
 def q_health_pipeline(spark, sf):
-    return C.health_pipeline(V.health_source(spark, sf), block_rows=CHECK_BLOCK_ROWS)
+    # default plan (numbering buckets as blocks); narrow buckets so that gaps cross bucket borders
+    return C.health_pipeline(V.health_source(spark, sf), bucket_width=1000)
 

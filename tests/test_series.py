@@ -74,3 +74,19 @@ def test_rolling_and_interpolation_vs_pandas(spark, block):
     first = s.groupby("station").cumcount() == 0
     exp_lag = exp_l.where(~first.to_numpy(), 0.0)
     assert np.allclose(lg["prev"].to_numpy(float), exp_lag.to_numpy(float), equal_nan=True)
+
+
+def test_interpolate_bucketed_vs_pandas(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(3):
+        for i in range(400):
+            v = None if (rng.random() < 0.3 or (g == 2 and 100 <= i < 180)) else float(np.round(rng.normal(10, 3), 2))
+            rows.append((i, f"s{g}", v))
+    pdf = pd.DataFrame(rows, columns=["k", "station", "x"])
+    df = spark.createDataFrame(pdf)
+    out = series.interpolate_bucketed(df, ["station"], ["k"], F.floor(F.col("k") / 37), ["x"], 24).toPandas()
+    s = pdf.sort_values(["station", "k"])
+    exp = s.groupby("station")["x"].transform(lambda v: v.interpolate(method="linear", limit=24))
+    got = out.set_index(["station", "k"]).loc[list(zip(s.station, s.k))]["x"]
+    assert np.allclose(got.to_numpy(float), exp.to_numpy(float), equal_nan=True, atol=1e-9)
