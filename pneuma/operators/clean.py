@@ -78,13 +78,15 @@ def interpolate_station(df: DataFrame, limit: int = STATION_INTERP_LIMIT,
     buckets are also the interpolation blocks (one shuffle); ``block_rows`` switches to
     fixed-size row blocks (a second shuffle, bounded blocks whatever the bucket sizes).
     """
-    order = ["datetime"] + ([order_tiebreak] if order_tiebreak in df.columns else [])
+    tb = order_tiebreak if order_tiebreak in df.columns else None
+    order = ["datetime"] + ([tb] if tb else [])
     present = [c for c in cols if c in df.columns]
+    numeric = tb is not None and dict(df.dtypes)[tb] in ("int", "bigint", "smallint", "tinyint")
+    bucket = series.time_id_bucket("datetime", tb, time_bucket, numeric_tiebreak=numeric)
     if block_rows is None:
         # the numbering buckets are the blocks: one shuffle of the data
-        return series.interpolate_bucketed(df, ["station"], order, F.date_trunc(time_bucket, "datetime"),
-                                           present, limit)
-    x = series.add_row_number(df, ["station"], order, F.date_trunc(time_bucket, "datetime"), "_rn")
+        return series.interpolate_bucketed(df, ["station"], order, bucket, present, limit)
+    x = series.add_row_number(df, ["station"], order, bucket, "_rn")
     out = series.interpolate_limited(x, ["station"], "_rn", present, limit, block_rows)
     return out.drop("_rn")
 

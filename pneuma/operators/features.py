@@ -41,7 +41,9 @@ def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None, time_buck
     if not order:
         raise ValueError("an order column (datetime or a tiebreak key) is required")
     first = order[0]
-    bucket = F.date_trunc(time_bucket, first) if first == "datetime" else F.floor(F.col(first) / F.lit(1 << 16))
+    numeric = tb is not None and dict(df.dtypes)[tb] in ("int", "bigint", "smallint", "tinyint")
+    bucket = (series.time_id_bucket("datetime", tb, time_bucket, numeric_tiebreak=numeric) if first == "datetime"
+              else F.floor(F.col(first) / F.lit(1 << 16)))
     return series.add_row_number(df, groups, order, bucket, name), groups, name, True
 
 

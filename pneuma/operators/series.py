@@ -36,6 +36,19 @@ def _gk(group_cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.struct(F.lit(0).alias("g"))
 
 
+def time_id_bucket(ts: str, tiebreak: str | None, unit: str = "day", id_width: int = 1 << 20,
+                   numeric_tiebreak: bool = True) -> Column:
+    """Numbering bucket for the order (ts, tiebreak): (time unit, id range), NULL times last.
+
+    Monotone in the order, and no bucket holds more than ``id_width`` rows
+    when the tiebreak is a unique number, however dense one time unit is.
+    """
+    parts = [F.col(ts).isNull().alias("n"), F.date_trunc(unit, ts).alias("t")]
+    if tiebreak is not None and numeric_tiebreak:
+        parts.append(F.floor(F.col(tiebreak) / F.lit(id_width)).alias("i"))
+    return F.struct(*parts)
+
+
 def _asc(cols):
     return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in cols]
 

@@ -90,3 +90,14 @@ def test_interpolate_bucketed_vs_pandas(spark):
     exp = s.groupby("station")["x"].transform(lambda v: v.interpolate(method="linear", limit=24))
     got = out.set_index(["station", "k"]).loc[list(zip(s.station, s.k))]["x"]
     assert np.allclose(got.to_numpy(float), exp.to_numpy(float), equal_nan=True, atol=1e-9)
+
+
+def test_row_number_nulls_last(spark):
+    rows = [(1, "a", "2024-01-02 10:00:00"), (2, "a", None), (3, "a", "2024-01-01 09:00:00"),
+            (4, "a", "2024-01-02 08:00:00"), (5, "b", None), (6, "b", "2024-01-05 00:00:00")]
+    df = spark.createDataFrame(rows, "event_id long, station string, ts string") \
+              .withColumn("datetime", F.col("ts").cast("timestamp_ntz"))
+    out = series.add_row_number(df, ["station"], ["datetime", "event_id"],
+                                series.time_id_bucket("datetime", "event_id"), "rn")
+    got = {r.event_id: r.rn for r in out.collect()}
+    assert got == {3: 1, 4: 2, 1: 3, 2: 4, 6: 1, 5: 2}
