@@ -68,3 +68,12 @@ def decimal_avg(c, scale: int = 4) -> Column:
     c = col(c)
     return (F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
             / F.count(c).cast("double"))
+
+
+def micro_units(c) -> Column:
+    """``c`` as a LONG count of 1e-6 units, rounded half-up to 6 decimals like a DECIMAL(·,6) cast.
+
+    Sums of these are exact and run on long arithmetic; ``sum / 1e6`` equals the
+    DECIMAL sum converted to double.
+    """
+    return F.rint(F.round(col(c), 6) * F.lit(1e6)).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..tables import DEFAULT_AGE, PATHOLOGIE_CODES, PATHOLOGIE_DEFAULT_CODE
-from .exprs import col, rround
+from .exprs import col, micro_units, rround
 
 TWO_PI = 2 * math.pi
 
@@ -72,9 +72,9 @@ def history_features(history, window: int = 24) -> list[tuple[str, Column]]:
     for name, fn, field in HISTORY_SPECS:
         vals = F.transform(last, _field_or_zero(field))
         if fn == "mean":
-            s = F.aggregate(vals, F.lit(0).cast("decimal(38,6)"),
-                            lambda acc, x: acc + x.cast("decimal(38,6)"))
-            e = s.cast("double") / F.size(vals).cast("double")
+            # exact sum in micro-units on long arithmetic (same value as a DECIMAL(38,6) sum)
+            s = F.aggregate(vals, F.lit(0).cast("long"), lambda acc, x: acc + micro_units(x))
+            e = s.cast("double") / F.lit(1e6) / F.size(vals).cast("double")
         else:
             e = F.array_max(vals)
         out.append((name, F.when(F.coalesce(F.size(last), F.lit(0)) > 0, rround(e, 3)).otherwise(F.lit(0.0))))

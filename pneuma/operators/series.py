@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import micro_units
+
 DEFAULT_BLOCK_ROWS = 1 << 20
 
 
@@ -95,14 +97,15 @@ def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str
     for name, fn, src in specs:
         c = F.col(src)
         if fn == "mean":
-            e = (F.sum(c.cast("decimal(38,6)")).over(w).cast("double")
+            # exact sum in micro-units (long arithmetic), one division
+            e = (F.sum(micro_units(c)).over(w).cast("double") / F.lit(1e6)
                  / F.count(c).over(w).cast("double"))
         elif fn == "max":
             e = F.max(c).over(w)
         elif fn == "min":
             e = F.min(c).over(w)
         elif fn == "sum":
-            e = F.sum(c.cast("decimal(38,6)")).over(w).cast("double")
+            e = F.sum(micro_units(c)).over(w).cast("double") / F.lit(1e6)
         else:
             raise ValueError(fn)
         if digits is not None:
