@@ -93,9 +93,11 @@ def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     bucket, so ties and ranks are exact without a global sort in one task.
     ``buckets`` splits the score range [min, max] evenly.
     """
+    from ..session import checkpoint
     x = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
-    per = x.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    rng = x.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    # one pass over the data: counts per distinct score (materialised; every later step reads it)
+    per = checkpoint(x.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")))
+    rng = per.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     per = per.crossJoin(F.broadcast(rng)).withColumn(
         "_b", F.least(F.floor((F.col("s") - F.col("lo")) / span * F.lit(float(buckets))), F.lit(buckets - 1)))

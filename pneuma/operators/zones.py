@@ -159,9 +159,12 @@ def cluster_quality(df: DataFrame, model: ZoneModel, assigned: bool = False) ->
     zcols = {f"_z_{f}": (F.col(f) - F.lit(float(m))) / F.lit(float(s))
              for f, m, s in zip(model.features, model.mean, model.scale)}
     x = x.select("cluster_id", own.alias("_d2"), *[e.alias(k) for k, e in zcols.items()])
-    inertia = x.agg(F.sum(F.col("_d2").cast("decimal(38,6)")).cast("double").alias("inertia"),
-                    F.count(F.lit(1)).alias("n"))
-    means = x.groupBy("cluster_id").agg(*[decimal_avg(k, 6).alias(f"_m{k}") for k in zcols])
+    # one pass: per-cluster count, squared-distance sum and centre (K rows)
+    per = x.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"),
+                                      F.sum(F.col("_d2").cast("decimal(38,6)")).alias("_sd2"),
+                                      *[decimal_avg(k, 6).alias(f"_m{k}") for k in zcols])
+    inertia = per.agg(F.sum("_sd2").cast("double").alias("inertia"), F.sum("_n").alias("n"))
+    means = per.select("cluster_id", *[f"_m{k}" for k in zcols])
     # K-row table of centres: broadcast is bounded by K.
     xm = x.join(F.broadcast(means), "cluster_id")
     dist = F.sqrt(_sum_sq([(F.col(k), F.col(f"_m{k}")) for k in zcols]))
@@ -202,7 +205,8 @@ def train_zones(clean: DataFrame, pathologie: str = "general", bounds=None, k: i
                 sweep: list[int] | None = None) -> ZoneModel:
     """Clean rows -> daily features -> scaler -> (optional K sweep) -> K-Means -> zone labels."""
     from ..session import checkpoint
-    daily = cluster_features(clean, pathologie, bounds)
+    # daily means are small (stations x days): materialise once, every later pass reads them
+    daily = checkpoint(cluster_features(clean, pathologie, bounds))
     stats = standardize_stats(daily).collect()[0]  # one row
     mean = [float(stats[f"{f}_mean"]) for f in CLUSTER_FEATURES]
     scale = [float(stats[f"{f}_scale"]) for f in CLUSTER_FEATURES]

@@ -169,7 +169,9 @@ SELECT {Q.rround('CAST(sum(CAST(d2 AS DECIMAL(38,6))) AS DOUBLE)', 2)} AS inerti
 
 @register("cluster_quality", V.with_views(_quality_sql(FIX), "measurements"))
 def q_cluster_quality(spark, sf):
-    d = Z.cluster_features(V.measurements(spark, sf))
+    from ..session import checkpoint
+    # the daily table is small (stations x days): materialised once for the quality passes
+    d = checkpoint(Z.cluster_features(V.measurements(spark, sf)))
     return Z.cluster_quality(d, FIX)
 
 
