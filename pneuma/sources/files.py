@@ -35,6 +35,24 @@ def _list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in (st or []))
 
 
+def _csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names from the first line of a CSV file (a small read, no Spark job; compressed files too)."""
+    import csv
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    if codec is not None:
+        stream = codec.createInputStream(stream)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        line = reader.readLine() or ""
+    finally:
+        reader.close()
+    return tuple(next(csv.reader([line.lstrip("\ufeff")]), []))
+
+
 def load_stations(spark: SparkSession, raw_dir: str, pattern: str = "PRSA_Data_*.csv") -> DataFrame:
     """A1: all station CSVs, 10 columns, station taken from the file name when the column is absent.
 
@@ -46,7 +64,7 @@ def load_stations(spark: SparkSession, raw_dir: str, pattern: str = "PRSA_Data_*
         raise FileNotFoundError(f"no station file matching {pattern} in {raw_dir}")
     by_header: dict[tuple, list[str]] = {}
     for f in files:
-        hdr = tuple(spark.read.option("header", True).csv(f).columns)  # header only (no job over the data)
+        hdr = _csv_header(spark, f)
         by_header.setdefault(hdr, []).append(f)
     out = None
     for hdr, group in by_header.items():

@@ -102,3 +102,10 @@ def test_unknown_pathologie_raises():
     with pytest.raises(ValueError):
         IX.get_weights("copd")
     assert math.isclose(sum(IX.get_weights(" Asthme ").values()), 1.0)
+
+
+def test_score_by_pathologie_column(spark):
+    rows = [(45.0, 2.5, 72.0, 28.0, p) for p in ("asthme", " Rhinite ", "BRONCHITE", "general", "copd")]
+    df = spark.createDataFrame(rows, "pm25 double, co double, humidity double, temperature double, p string")
+    got = [r.s for r in df.select(IX.ier_score_by_column("p").alias("s")).collect()]
+    assert got == [30.12, 39.78, 29.92, 36.45, None]
