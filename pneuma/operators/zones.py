@@ -187,17 +187,22 @@ def fit_kmeans(scaled: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_REST
 
     ``scaled`` holds the standardized ``<f>_z`` columns; it is cached by the caller.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     vec = VectorAssembler(inputCols=[f"{f}_z" for f in features], outputCol="_features").transform(scaled)
-    best = None
-    for r in range(restarts):
+
+    def fit(r):
         km = KMeans(k=k, maxIter=max_iter, seed=seed + r, featuresCol="_features", initMode="k-means||")
         m = km.fit(vec)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best[1], best[0]
+        return m.summary.trainingCost, r, m
+
+    # the restarts are independent Spark ML jobs: run them concurrently, keep the lowest cost
+    with ThreadPoolExecutor(max_workers=min(restarts, 8)) as ex:
+        results = list(ex.map(fit, range(restarts)))
+    cost, _, best = min(results, key=lambda t: (t[0], t[1]))
+    return best, cost
 
 
 def train_zones(clean: DataFrame, pathologie: str = "general", bounds=None, k: int = KMEANS_K,

@@ -202,7 +202,7 @@ def q_evaluate_k(spark, sf):
     mean = [float(st[f"{f}_mean"]) for f in CLUSTER_FEATURES]
     scale = [float(st[f"{f}_scale"]) for f in CLUSTER_FEATURES]
     scaled = checkpoint(Z.standardize(daily))
-    res = Z.evaluate_k(scaled, mean, scale, KMEANS_SWEEP, restarts=3)
+    res = Z.evaluate_k(scaled, mean, scale, KMEANS_SWEEP)
     bk = Z.best_k(res)
     return spark.createDataFrame([(r["k"], r["inertia"], r["davies_bouldin"], r["silhouette"], r["k"] == bk)
                                   for r in res],
