@@ -20,13 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once, so that Python workers can import it.
-
-    In local mode the workers share the driver's path and nothing is sent.
-    """
+    """Send the package to the Python workers once per Spark context, so that they can import it."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        return
     if getattr(sc, "_pneuma_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secrets, simhash, token_files
+from . import (bpe, decontaminate, language_id, preference, quality_rules, secrets, simhash, token_files, url_lists)
 from .common import checkpoint, table
 
 QUERIES: dict = {}
@@ -33,6 +33,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                              public_tokenizers.PATTERN)
 
 
+@register("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 @register("op4_quality_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = checkpoint(quality_rules.text_stats(table(spark, sf_dir, "documents")))
@@ -41,6 +47,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+@register("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op7_url_lists", url_lists.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_lists.evaluate(url_lists.captures_of(pages), url_lists.entries_of(pages))
+    return found.withColumns({c: found[c].cast("string") for c in ("day", "valid_from", "valid_to")})
+
+
 @register("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
@@ -49,3 +67,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_secret_ownership", secrets.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@register("op10_preference", preference.ORACLE)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_rows(*preference.pairs_of(table(spark, sf_dir, "conversations")))
