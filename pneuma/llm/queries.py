@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, language_id, preference, quality_rules, secrets, simhash, token_files, url_lists)
+from . import (bpe, decontaminate, language_id, preference, quality_rules, secrets, simhash, suffix_dedup, token_files,
+               url_lists)
 from .common import checkpoint, table
 
 QUERIES: dict = {}
@@ -47,6 +48,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+@register("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 @register("op6_decontaminate")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
