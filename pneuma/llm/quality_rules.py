@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, ship
+from .common import batches_by_bytes, checkpoint, ship
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -110,6 +110,37 @@ def text_stats(docs: DataFrame) -> DataFrame:
         run, f"doc_id long, {STAT_SCHEMA}")
 
 
+def _unused(columns: list[str], name: str) -> str:
+    while name in columns:
+        name = "_" + name
+    return name
+
+
+def with_stats(docs: DataFrame) -> DataFrame:
+    """(row, statistics): the whole row of ``docs`` as a struct beside its counts, in one pass."""
+    ship(docs.sparkSession)
+    place, name = docs.columns.index("text"), _unused(docs.columns, "quality_stats")
+    names = [x.split()[0] for x in STAT_SCHEMA.split(", ")]
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        for batch in batches_by_bytes(it, "text", 4 << 20):
+            cols = list(zip(*(count_text(t) for t in batch.column(place).to_pylist())))
+            stats = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+            yield pa.record_batch([*batch.columns, stats], names=[*batch.schema.names, name])
+
+    fields = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    stats = ",".join(f"{n}: long" for n in names)
+    out = docs.mapInArrow(run, f"{fields},`{name}` struct<{stats}>")
+    return out.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), f"{name}.*")
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that the base rules and the learned list keep, with all their columns."""
+    rules = learn(checkpoint(text_stats(docs)), labels, max_rows)
+    return with_stats(docs).where(verdict(rules) == -1).select("row.*")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 

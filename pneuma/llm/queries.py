@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, language_id, preference, quality_rules, secrets, simhash, suffix_dedup, token_files,
+from . import (bpe, decontaminate, language_id, preference, quality_rules, secret_scan, simhash, suffix_dedup, token_files,
                url_lists)
 from .common import checkpoint, table
 
@@ -70,9 +70,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-@register("op9_secret_ownership", secrets.ORACLE)
+@register("op9_secret_ownership", secret_scan.ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
 @register("op10_preference", preference.ORACLE)

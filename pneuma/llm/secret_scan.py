@@ -173,6 +173,47 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     return raw.select(*keys).join(r, same, "left").select(*keys, F.coalesce("spans", empty).alias("spans"))
 
 
+def redact(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every found span replaced by ``mask``, but for widely copied examples; all columns stay.
+
+    n_chars, where there is one, is that of the new text. Overlapping spans become one. Texts are
+    shuffled once, by (doc_id, hash of the text).
+    """
+    found = find_secrets(docs, owner, max_owners=max_owners)
+    spans = (found.select("doc_id", "text_md5", F.filter("spans", lambda s: s["verdict"] != "example").alias("spans"))
+             .where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_md5"]))
+    # Ends reached so far make overlapping spans into runs: a run begins where no earlier span reaches.
+    reach = spans.select(F.col("doc_id").alias("s_id"), F.col("text_md5").alias("s_md5"), F.aggregate(
+        "spans", F.array().cast("array<struct<a:bigint,z:bigint>>"),
+        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["z"] > s["start"]), F.concat(
+            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
+            F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"),
+                             F.greatest(F.get(acc, F.size(acc) - 1)["z"], s["end"]).alias("z")))))
+        .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("a"), s["end"].alias("z")))))).alias("runs"))
+    row = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("doc_id"),
+                      F.md5(F.coalesce(docs["text"], F.lit(""))).alias("md5"))
+    met = row.join(reach.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("md5") == F.col("s_md5")),
+                   "left")
+    text, runs = F.col("row.text"), F.col("runs")
+
+    def piece(r: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(runs, i - 1)["z"])
+        return F.concat(F.substring(text, before.cast("int") + 1, (r["a"] - before).cast("int")), F.lit(mask))
+
+    end = F.get(runs, F.size(runs) - 1)["z"].cast("int")
+    new = F.when(runs.isNull(), text).otherwise(F.concat(
+        F.array_join(F.transform(runs, piece), ""), F.substring(text, end + 1, F.length(text))))
+    out = []
+    for f in docs.schema:
+        c = F.col(f"row.`{f.name}`")
+        if f.name == "text":
+            c = new
+        elif f.name == "n_chars":
+            c = F.when(runs.isNull(), c).otherwise(F.length(new).cast(f.dataType))
+        out.append(c.alias(f.name))
+    return met.select(*out)
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(

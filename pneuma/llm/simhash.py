@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, checkpoint, ship
@@ -51,17 +51,19 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint's bits as a signed long. No shuffle."""
+    """(doc_id, tag, fp) per row; fp is the fingerprint's bits as a signed long, tag a hash of the text. No shuffle."""
     ship(docs.sparkSession)
 
     def run(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         for batch in batches_by_bytes(it, "text", 4 << 20):
-            fp = np.array([fingerprint(t, shingle_words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))],
+                                  names=["doc_id", "tag", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("tag"),
+                       docs["text"]).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def _segment_keys(fp, i: int):
@@ -91,9 +93,10 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``; the component is the smallest doc_id reachable.
+    """(doc_id, tag, fp, component, component_id) per row of ``docs``.
 
-    It is null only if every document of the component has a null doc_id.
+    component names the group by a fingerprint; component_id is the smallest doc_id reachable, null only if
+    every document of the component has a null doc_id.
     """
     own = checkpoint(fingerprints(docs, shingle_words))
     nodes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
@@ -101,8 +104,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     labelled = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(
         "fp", "first_doc", F.coalesce("component", "fp").alias("component"))
     first = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of_fp = checkpoint(labelled.join(first, "component").select("fp", "component_id"))
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = checkpoint(labelled.join(first, "component").select("fp", "component", "component_id"))
+    return own.join(of_fp, "fp").select("doc_id", "tag", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each group, with all columns: that of the smallest doc_id (null is the largest).
+
+    Decisions are made on (doc_id, hash of the text) alone; texts are shuffled once, by those keys, so no group
+    meets in one task. Of rows that repeat doc_id and text any one stays.
+    """
+    found = checkpoint(near_duplicates(docs, shingle_words, max_bits).select("doc_id", "tag", "component"))
+    kept = (found.groupBy("component")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("k"), F.count(F.lit(1)).alias("n"))
+            .select(F.col("k.doc_id").alias("k_id"), F.col("k.tag").alias("k_tag")))
+    row = docs.select(F.struct("*").alias("row"), F.xxhash64(docs["text"]).alias("tag"),
+                      docs["doc_id"].cast("long").alias("doc_id"))
+    out = row.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_id"))
+                   & (F.col("tag") == F.col("k_tag")), "left_semi")
+    if found.groupBy("doc_id", "tag").count().where("count > 1").limit(1).count():
+        first = Window.partitionBy("doc_id", "tag").orderBy(F.lit(0))
+        out = out.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    return out.select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
