@@ -81,12 +81,11 @@ def interpolate_station(df: DataFrame, limit: int = STATION_INTERP_LIMIT,
     tb = order_tiebreak if order_tiebreak in df.columns else None
     order = ["datetime"] + ([tb] if tb else [])
     present = [c for c in cols if c in df.columns]
-    numeric = tb is not None and dict(df.dtypes)[tb] in ("int", "bigint", "smallint", "tinyint")
-    bucket = series.time_id_bucket("datetime", tb, time_bucket, numeric_tiebreak=numeric)
+    bucket, level = series.time_bucket("datetime", time_bucket), series.time_level("datetime")
     if block_rows is None:
-        # the numbering buckets are the blocks: one shuffle of the data
-        return series.interpolate_bucketed(df, ["station"], order, bucket, present, limit)
-    x = series.add_row_number(df, ["station"], order, bucket, "_rn")
+        # the numbering buckets are the blocks: their windows share one partitioning
+        return series.interpolate_bucketed(df, ["station"], order, bucket, present, limit, level)
+    x = series.add_row_number(df, ["station"], order, bucket, "_rn", level)
     out = series.interpolate_limited(x, ["station"], "_rn", present, limit, block_rows)
     return out.drop("_rn")
 
@@ -144,9 +143,10 @@ def interpolate_global(df: DataFrame, order_col: str = "event_id", limit: int =
     dtypes = dict(df.dtypes)
     present = [c for c in cols if c in df.columns and dtypes[c] in ("double", "float")]
     bucket = F.floor(F.col(order_col) / F.lit(bucket_width))
+    level = F.floor(F.col(order_col) / F.lit(bucket_width * 1024))
     if block_rows is None:
-        return series.interpolate_bucketed(df, [], [order_col], bucket, present, limit)
-    x = series.add_row_number(df, [], [order_col], bucket, "_rn")
+        return series.interpolate_bucketed(df, [], [order_col], bucket, present, limit, level)
+    x = series.add_row_number(df, [], [order_col], bucket, "_rn", level)
     out = series.interpolate_limited(x, [], "_rn", present, limit, block_rows)
     return out.drop("_rn")
 

@@ -23,8 +23,7 @@ def add_series_rn(df: DataFrame, group: str | None = "station", tiebreak: str |
                   time_bucket: str = "day") -> DataFrame:
     """Attach the series row number once; ``rolling_24``, ``with_history`` and ``symptom_lag`` reuse it.
 
-    ``time_bucket`` ('day', 'hour', ...) bounds the rows one numbering task
-    sorts: use a finer unit for series denser than a day per task.
+    ``time_bucket`` ('day', 'hour', ...) is the coarse numbering bucket; denser units are cut further.
     """
     x, _, name, _ = _series_rn(df, group, tiebreak, time_bucket)
     return x
@@ -41,10 +40,13 @@ def _series_rn(df: DataFrame, group: str | None, tiebreak: str | None, time_buck
     if not order:
         raise ValueError("an order column (datetime or a tiebreak key) is required")
     first = order[0]
-    numeric = tb is not None and dict(df.dtypes)[tb] in ("int", "bigint", "smallint", "tinyint")
-    bucket = (series.time_id_bucket("datetime", tb, time_bucket, numeric_tiebreak=numeric) if first == "datetime"
-              else F.floor(F.col(first) / F.lit(1 << 16)))
-    return series.add_row_number(df, groups, order, bucket, name), groups, name, True
+    if first == "datetime":
+        bucket, level = series.time_bucket("datetime", time_bucket), series.time_level("datetime")
+    elif dict(df.dtypes)[first] in ("int", "bigint", "smallint", "tinyint"):
+        bucket, level = F.floor(F.col(first) / F.lit(1 << 16)), F.floor(F.col(first) / F.lit(1 << 26))
+    else:  # an order without a coarse unit: the cuts alone make the buckets
+        bucket, level = F.lit(0), None
+    return series.add_row_number(df, groups, order, bucket, name, level), groups, name, True
 
 
 def rolling_24(df: DataFrame, group: str = "station", tiebreak: str | None = "event_id",

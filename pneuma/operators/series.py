@@ -4,11 +4,12 @@ A plain ``Window.partitionBy('station')`` puts a whole station into one task;
 with few stations (or one station holding a third of the rows) that is one
 giant sort. Here every window runs over bounded blocks instead:
 
-1. ``add_row_number``: dense 1-based position inside each series. Rows are
-   counted per (series, coarse bucket) — a small table — the buckets' offsets
-   are a running sum over that small table, and the position is the offset plus
-   ``row_number`` inside the bucket. One shuffle of the data, keyed by
-   (series, bucket).
+1. ``add_row_number``: dense 1-based position inside each series. Rows fall
+   into buckets that are runs of the order: a coarse bucket of the first order column
+   (a day, an id range), cut further at order keys drawn from the data, one in
+   ``SPLIT_ROWS``, so a dense day becomes many buckets whatever its ids look
+   like. The buckets' offsets are running sums of their counts, in two levels,
+   and the position is the offset plus ``row_number`` inside the bucket.
 2. Fixed-size row blocks ``(rn - 1) div block_rows`` then bound every window:
    * ``rolling``: n-row frames; the last n-1 rows of each block are also
      emitted into the next block (halo, tagged and dropped after the window).
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from ..functions.exprs import micro_units
 
 DEFAULT_BLOCK_ROWS = 1 << 20
+#: One order key in so many becomes a cut between buckets.
+SPLIT_ROWS = 1 << 18
+#: Buckets that one running sum of the first level covers, where buckets are numbers.
+_LEVEL = 1024
 
 
 def _gk(group_cols: list[str]) -> Column:
@@ -38,37 +43,90 @@ def _gk(group_cols: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in group_cols]) if group_cols else F.struct(F.lit(0).alias("g"))
 
 
-def time_id_bucket(ts: str, tiebreak: str | None, unit: str = "day", id_width: int = 1 << 20,
-                   numeric_tiebreak: bool = True) -> Column:
-    """Numbering bucket for the order (ts, tiebreak): (time unit, id range), NULL times last.
+def time_bucket(ts: str, unit: str = "day") -> Column:
+    """Coarse bucket of a time order: the time unit, NULL times last."""
+    return F.struct(F.col(ts).isNull().alias("n"), F.date_trunc(unit, ts).alias("t"))
 
-    Monotone in the order, and no bucket holds more than ``id_width`` rows
-    when the tiebreak is a unique number, however dense one time unit is.
-    """
-    parts = [F.col(ts).isNull().alias("n"), F.date_trunc(unit, ts).alias("t")]
-    if tiebreak is not None and numeric_tiebreak:
-        parts.append(F.floor(F.col(tiebreak) / F.lit(id_width)).alias("i"))
-    return F.struct(*parts)
+
+def time_level(ts: str) -> Column:
+    """First level of the running sums over time buckets: the year."""
+    return F.struct(F.col(ts).isNull().alias("n"), F.date_trunc("year", ts).alias("t"))
 
 
 def _asc(cols):
     return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in cols]
 
 
+def _order_key(cols) -> Column:
+    """The order as one comparable value, NULLs last."""
+    parts = []
+    for i, c in enumerate(cols):
+        c = F.col(c) if isinstance(c, str) else c
+        parts += [c.isNull().alias(f"n{i}"), c.alias(f"v{i}")]
+    return F.struct(*parts)
+
+
+def _bucketed(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column, level: Column | None,
+              split_rows: int | None = None) -> DataFrame:
+    """``df`` with the series ``_gk``, the level ``_lv`` and the bucket ``_bk``: runs of the order.
+
+    Cuts are the order keys whose hash falls into one of ``split_rows`` classes; equal keys share
+    their side, so only rows equal in the whole order cannot be told apart. The table of cuts has one row per
+    coarse bucket that has any.
+    """
+    b = df.withColumns({"_gk": _gk(group_cols), "_b0": F.struct(bucket.isNull().alias("n"), bucket.alias("v")),
+                        "_lv": F.lit(0) if level is None else level, "_ok": _order_key(order_cols)})
+    cuts = (b.where(F.pmod(F.xxhash64("_ok"), F.lit(split_rows or SPLIT_ROWS)) == 0).groupBy("_gk", "_b0")
+            .agg(F.sort_array(F.collect_set("_ok")).alias("_cuts")))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_ok"))), F.lit(0))
+    j = b.join(cuts, ["_gk", "_b0"], "left")
+    return j.withColumn("_bk", F.struct("_b0", F.when(F.col("_cuts").isNull(), 0).otherwise(part).alias("part"))).drop(
+        "_b0", "_ok", "_cuts")
+
+
+def _offsets(b: DataFrame) -> DataFrame:
+    """(_gk, _lv, _bk, _off): rows of the series before each bucket; running sums over levels, then inside each."""
+    counts = b.groupBy("_gk", "_lv", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    levels = counts.groupBy("_gk", "_lv").agg(F.sum("_n").alias("_n"))
+    wl = Window.partitionBy("_gk").orderBy("_lv").rowsBetween(Window.unboundedPreceding, -1)
+    base = levels.select("_gk", "_lv", F.coalesce(F.sum("_n").over(wl), F.lit(0)).alias("_base"))
+    wb = Window.partitionBy("_gk", "_lv").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counts.select("_gk", "_lv", "_bk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_in"))
+    return inside.join(base, ["_gk", "_lv"]).select("_gk", "_bk", (F.col("_base") + F.col("_in")).alias("_off"))
+
+
+def _carry(summ: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Last valid (rn, value) before and first valid after each block, per column, from (_gk, _lv, key, _l_*, _f_*).
+
+    Positions rise along the series, so last and first are max and min; levels first, then inside each.
+    """
+    levels = summ.groupBy("_gk", "_lv").agg(*[F.max(f"_l_{c}").alias(f"_l_{c}") for c in cols],
+                                            *[F.min(f"_f_{c}").alias(f"_f_{c}") for c in cols])
+
+    def around(df: DataFrame, part: list[str], order: str, tag: str):
+        # Running frames only: an unbounded-following frame is evaluated anew for every row.
+        up = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        down = Window.partitionBy(*part).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return [*[F.max(f"_l_{c}").over(up).alias(f"_p{tag}_{c}") for c in cols],
+                *[F.min(f"_f_{c}").over(down).alias(f"_n{tag}_{c}") for c in cols]]
+
+    outer = levels.select("_gk", "_lv", *around(levels, ["_gk"], "_lv", "o"))
+    inner = summ.select("_gk", "_lv", key, *around(summ, ["_gk", "_lv"], key, "i"))
+    return inner.join(outer, ["_gk", "_lv"]).select(
+        "_gk", key, *[F.coalesce(f"_pi_{c}", f"_po_{c}").alias(f"_ci_{c}") for c in cols],
+        *[F.coalesce(f"_ni_{c}", f"_no_{c}").alias(f"_co_{c}") for c in cols])
+
+
 def add_row_number(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column,
-                   name: str = "_rn") -> DataFrame:
+                   name: str = "_rn", level: Column | None = None, split_rows: int | None = None) -> DataFrame:
     """Dense position (1-based) of each row in its group ordered by ``order_cols``.
 
-    ``bucket`` must be non-decreasing along ``order_cols`` inside a group
-    (e.g. ``date_trunc('day', datetime)`` for a time order, ``floor(id / w)``
-    for an id order); NULLs order last, as in pandas sorting.
+    ``bucket`` must be non-decreasing along the first order column inside a group (``time_bucket``
+    for a time order, ``floor(id / w)`` for an id order), ``level`` along the buckets; NULLs order
+    last, as in pandas sorting.
     """
-    b = df.withColumns({"_gk": _gk(group_cols),
-                        "_bk": F.struct(bucket.isNull().alias("n"), bucket.alias("v"))})
-    counts = b.groupBy("_gk", "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_gk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_gk", "_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = b.join(offs, ["_gk", "_bk"], "left")
+    b = _bucketed(df, group_cols, order_cols, bucket, level, split_rows)
+    j = b.join(_offsets(b), ["_gk", "_bk"], "left")
     w2 = Window.partitionBy("_gk", "_bk").orderBy(*_asc(order_cols))
     return j.withColumn(name, F.col("_off") + F.row_number().over(w2)).select(*df.columns, name)
 
@@ -141,15 +199,9 @@ def interpolate_limited(df: DataFrame, group_cols: list[str], rn: str, cols: lis
         return F.when(F.col(c).isNotNull(), F.struct(F.col(rn).alias("r"), F.col(c).alias("v")))
 
     # Per-block first/last valid (rn, value): a small table, one row per block.
-    summ = x.groupBy(*keys).agg(*[F.max(sv(c)).alias(f"_l_{c}") for c in cols],
-                                *[F.min(sv(c)).alias(f"_f_{c}") for c in cols])
-    # Running frames only (an unbounded-following frame is re-evaluated per row): the next
-    # valid value is the running "last non-null" in descending order.
-    wb = Window.partitionBy("_gk").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    wbd = Window.partitionBy("_gk").orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*keys,
-                        *[F.last(f"_l_{c}", ignorenulls=True).over(wb).alias(f"_ci_{c}") for c in cols],
-                        *[F.last(f"_f_{c}", ignorenulls=True).over(wbd).alias(f"_co_{c}") for c in cols])
+    summ = x.withColumn("_lv", F.floor(F.col("_blk") / F.lit(_LEVEL))).groupBy("_gk", "_lv", "_blk").agg(
+        *[F.max(sv(c)).alias(f"_l_{c}") for c in cols], *[F.min(sv(c)).alias(f"_f_{c}") for c in cols])
+    carry = _carry(summ, "_blk", cols)
     wp = Window.partitionBy(*keys).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     wn = Window.partitionBy(*keys).orderBy(F.desc(rn)).rowsBetween(Window.unboundedPreceding, 0)
     inner = x.select("*", *[F.last(sv(c), ignorenulls=True).over(wp).alias(f"_p_{c}") for c in cols],
@@ -178,21 +230,17 @@ def collect_previous(df: DataFrame, group_cols: list[str], rn: str, value: Colum
 
 
 def interpolate_bucketed(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column, cols: list[str],
-                         limit: int) -> DataFrame:
+                         limit: int, level: Column | None = None, split_rows: int | None = None) -> DataFrame:
     """Limited linear interpolation (as :func:`interpolate_limited`) with the numbering buckets as blocks.
 
     The dense row number is computed by a window partitioned by (series,
     bucket); the previous / next valid values inside a bucket come from
     windows with that same partitioning (only a re-sort, no new shuffle), and
-    across buckets from a small per-bucket carry table. One shuffle of the
-    data instead of two.
+    across buckets from a small per-bucket carry table.
     """
-    b = df.withColumns({"_gk": _gk(group_cols), "_bk": F.struct(bucket.isNull().alias("n"), bucket.alias("v"))})
-    counts = b.groupBy("_gk", "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_gk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_gk", "_bk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    b = _bucketed(df, group_cols, order_cols, bucket, level, split_rows)
     keys = ["_gk", "_bk"]
-    j = b.join(offs, keys, "left")
+    j = b.join(_offsets(b), keys, "left")
     order = _asc(order_cols)
     x = j.withColumn("_rn", F.col("_off") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
@@ -204,13 +252,9 @@ def interpolate_bucketed(df: DataFrame, group_cols: list[str], order_cols: list,
     inner = x.select("*", *[F.last(sv(c), ignorenulls=True).over(wp).alias(f"_p_{c}") for c in cols],
                      *[F.last(sv(c), ignorenulls=True).over(wn).alias(f"_n_{c}") for c in cols])
     # per-bucket first/last valid (rn, value) and the running carry across buckets: small tables
-    summ = x.groupBy(*keys).agg(*[F.max(sv(c)).alias(f"_l_{c}") for c in cols],
-                                *[F.min(sv(c)).alias(f"_f_{c}") for c in cols])
-    wb = Window.partitionBy("_gk").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    wbd = Window.partitionBy("_gk").orderBy(F.desc("_bk")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*keys,
-                        *[F.last(f"_l_{c}", ignorenulls=True).over(wb).alias(f"_ci_{c}") for c in cols],
-                        *[F.last(f"_f_{c}", ignorenulls=True).over(wbd).alias(f"_co_{c}") for c in cols])
+    summ = x.groupBy("_gk", "_lv", "_bk").agg(*[F.max(sv(c)).alias(f"_l_{c}") for c in cols],
+                                              *[F.min(sv(c)).alias(f"_f_{c}") for c in cols])
+    carry = _carry(summ, "_bk", cols)
     jj = inner.join(carry, keys, "left")
     out = {}
     for c in cols:

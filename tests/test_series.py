@@ -98,6 +98,63 @@ def test_row_number_nulls_last(spark):
     df = spark.createDataFrame(rows, "event_id long, station string, ts string") \
               .withColumn("datetime", F.col("ts").cast("timestamp_ntz"))
     out = series.add_row_number(df, ["station"], ["datetime", "event_id"],
-                                series.time_id_bucket("datetime", "event_id"), "rn")
+                                series.time_bucket("datetime"), "rn", series.time_level("datetime"))
     got = {r.event_id: r.rn for r in out.collect()}
     assert got == {3: 1, 4: 2, 1: 3, 2: 4, 6: 1, 5: 2}
+
+
+def _adversarial(kind: str) -> pd.DataFrame:
+    """Readings whose ids do not follow time: falling, straddling id ranges, text or none; ties, NULL times, one dense minute."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(2):
+        for i in range(260):
+            t = pd.Timestamp("2024-03-01") + pd.Timedelta(minutes=int(rng.integers(0, 4000)) // 7 * 7)
+            if 100 <= i < 180:
+                t = pd.Timestamp("2024-03-02 12:00") + pd.Timedelta(seconds=int(rng.integers(0, 60)))
+            if i % 65 == 0:
+                t = pd.NaT
+            v = None if rng.random() < 0.3 else float(np.round(rng.normal(50, 20), 2))
+            rows.append([g * 10 ** 7 + i, f"st{g}", t, v])
+    pdf = pd.DataFrame(rows, columns=["event_id", "station", "datetime", "pm25"])
+    order = pdf["datetime"].rank(method="first", na_option="bottom")
+    if kind == "falling":
+        pdf["event_id"] = (10 ** 6 - order).astype("int64")
+    if kind == "straddling":
+        pdf["event_id"] = rng.permutation(len(pdf)) * 700_001 + 3
+    if kind == "text":
+        pdf["event_id"] = [f"id{x}" for x in rng.permutation(len(pdf))]
+    if kind == "none":
+        pdf["datetime"] = pd.Timestamp("2024-03-01") + pd.to_timedelta(rng.permutation(len(pdf)), unit="s")
+    return pdf
+
+
+@pytest.mark.parametrize("kind", ["falling", "straddling", "text", "none"])
+@pytest.mark.parametrize("split", [3, 1 << 18])
+def test_series_operators_with_ids_that_do_not_follow_time(spark, monkeypatch, kind, split):
+    from pneuma.operators import clean, features
+    monkeypatch.setattr(series, "SPLIT_ROWS", split)
+    pdf = _adversarial(kind)
+    pdf["co"], pdf["humidity"], pdf["ier_score"] = pdf["pm25"] * 2, pdf["pm25"] / 2, pdf["pm25"].fillna(0.0)
+    pdf["symptom_label"] = (pdf["ier_score"] > 50).astype(int)
+    df = spark.createDataFrame(pdf).repartition(5)
+    tie = None if kind == "none" else "event_id"
+    s = pdf.sort_values(["station", "datetime", "event_id"], na_position="last")
+    g = s.groupby("station")
+
+    def by_id(out):
+        return out.toPandas().set_index("event_id").loc[s["event_id"]]
+
+    roll = by_id(features.rolling_24(df, tiebreak=tie))
+    want = g["pm25"].transform(lambda v: v.rolling(24, min_periods=1).mean())
+    assert np.allclose(roll["pm25_24h_mean"] if "pm25_24h_mean" in roll else roll[features.ROLL_SPECS[0][0]], want, atol=1.5e-3,
+                       equal_nan=True)
+    inter = by_id(clean.interpolate_station(df, order_tiebreak=tie or "-", cols=["pm25"]))["pm25"]
+    assert np.allclose(inter.astype(float), g["pm25"].transform(lambda v: v.interpolate(method="linear", limit=24)), equal_nan=True)
+    lag = by_id(features.symptom_lag(df, tiebreak=tie))["symptom_yesterday"]
+    assert list(lag) == list(g["symptom_label"].shift(1).fillna(0).astype(int))
+    hist = by_id(features.with_history(df, tiebreak=tie))["history"]
+    values = {k: list(v) for k, v in g["ier_score"]}
+    at = g.cumcount()
+    for h, st, i in zip(hist, s["station"], at):
+        assert [x["ier_score"] for x in h] == values[st][max(0, i - 24):i]
