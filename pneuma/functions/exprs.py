@@ -24,8 +24,8 @@ def rround(c, digits: int) -> Column:
 
 
 def clip(c, lo: float, hi: float) -> Column:
-    """Clip to [lo, hi]; NULL stays NULL."""
-    c = col(c)
+    """Clip to [lo, hi]; NULL stays NULL and NaN becomes NULL (it compares above every bound in Spark)."""
+    c = nan_to_null(c)
     return F.when(c < F.lit(lo), F.lit(float(lo))).when(c > F.lit(hi), F.lit(float(hi))).otherwise(c)
 
 
@@ -35,6 +35,18 @@ def nan_to_null(c) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def finite_or_null(c) -> Column:
+    """``c`` where it is a finite number, else NULL (NaN compares above infinity, so one comparison does)."""
+    c = col(c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
+def finite_columns(df):
+    """Every floating column with NaN and infinities as NULL: the one place where a source normalises them."""
+    floats = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: finite_or_null(F.col(f"`{c}`")) for c in floats}) if floats else df
+
+
 def is_finite(c) -> Column:
     """True when ``c`` is neither NULL, NaN nor +-infinity."""
     c = col(c)
@@ -63,9 +75,10 @@ def decimal_avg(c, scale: int = 4) -> Column:
     """Order-independent mean: exact DECIMAL sum, then one double division.
 
     Plain ``avg`` sums doubles in task order, so last bits depend on the plan;
-    this form gives the same double on every run and in SQL engines.
+    this form gives the same double on every run and in SQL engines. NaN and
+    infinities are left out, as NULL is.
     """
-    c = col(c)
+    c = finite_or_null(c)
     return (F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
             / F.count(c).cast("double"))
 
@@ -76,4 +89,4 @@ def micro_units(c) -> Column:
     Sums of these are exact and run on long arithmetic; ``sum / 1e6`` equals the
     DECIMAL sum converted to double.
     """
-    return F.rint(F.round(col(c), 6) * F.lit(1e6)).cast("long")
+    return F.rint(F.round(finite_or_null(c), 6) * F.lit(1e6)).cast("long")

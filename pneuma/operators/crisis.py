@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alerts as A
@@ -118,7 +118,11 @@ def rf_train(train_set: DataFrame, user_id: str | None = None, cross_validate: b
     if n < MIN_SAMPLES_USER:
         raise ValueError(f"not enough rows: {n} < {MIN_SAMPLES_USER}")
     key = "event_id" if "event_id" in train_set.columns else None
-    base = train_set if key else train_set.withColumn("event_id", F.monotonically_increasing_id())
+    if key is None:  # a key from the data: equal rows are told apart by a rank, so no row moves when recomputed
+        h = F.xxhash64(*[F.col(c) for c in sorted(train_set.columns)])
+        train_set = train_set.withColumn("_h", h).withColumn(
+            "event_id", F.xxhash64("_h", F.row_number().over(Window.partitionBy("_h").orderBy("_h")))).drop("_h")
+    base = train_set
     split = L.stratified_split(base, "symptom_label", "event_id")
     split = checkpoint(_assemble(MT.with_class_weight(split, "symptom_label")))
     train = split.filter(~F.col("is_test"))
@@ -164,17 +168,23 @@ def cross_validate_forest(train: DataFrame, num_trees: int, max_depth: int, seed
     folds.unpersist()
     aucs = [r["auc_roc"] or 0.0 for r in res]
     f1s = [r["f1_score"] for r in res]
-    return {"cv_auc_mean": statistics.fmean(aucs), "cv_auc_std": statistics.pstdev(aucs),
+    return {"n_folds": len(res), "cv_auc_mean": statistics.fmean(aucs), "cv_auc_std": statistics.pstdev(aucs),
             "cv_f1_mean": statistics.fmean(f1s), "cv_f1_std": statistics.pstdev(f1s)}
 
 
+META_SCHEMA = ("model_name string, user_id string, n_samples long, n_user_samples long, auc_roc double, f1_score double, "
+               "positive_rate double, cv_auc_mean double, cv_auc_std double, cv_f1_mean double, cv_f1_std double, "
+               "n_features int, feature_names array<string>, n_trees int, max_depth int, timestamp timestamp_ntz")
+
+
 def meta_df(spark, model: CrisisModel) -> DataFrame:
+    """One row with everything a reader of the saved model needs to know."""
     m = model.meta
     return spark.createDataFrame(
         [(m.get("model_name"), m.get("user_id"), m.get("n_samples"), m.get("n_user_samples", m.get("n_samples")),
-          m.get("auc_roc"), m.get("f1_score"), m.get("positive_rate"), m.get("timestamp"))],
-        "model_name string, user_id string, n_samples long, n_user_samples long, auc_roc double, "
-        "f1_score double, positive_rate double, timestamp timestamp_ntz")
+          m.get("auc_roc"), m.get("f1_score"), m.get("positive_rate"), m.get("cv_auc_mean"), m.get("cv_auc_std"),
+          m.get("cv_f1_mean"), m.get("cv_f1_std"), len(FEATURE_NAMES), list(FEATURE_NAMES),
+          int(model.model.getNumTrees), int(model.model.getMaxDepth()), m.get("timestamp"))], META_SCHEMA)
 
 
 def top_features(spark, model: CrisisModel, n: int = 8) -> DataFrame:
@@ -228,41 +238,73 @@ def crisis_realtime(df: DataFrame, model: CrisisModel | None = None, top_n: int
     return FT.feature_map(out).drop("_p", "_path", "features", "rawPrediction", "probability", "prediction")
 
 
-def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id, num_trees: int = RF_TREES,
-                 seed: int = SEED) -> CrisisModel | None:
-    """User rows (+ global sample with weak labels, common columns, G2) -> clean -> forest."""
+@dataclass
+class RetrainResult:
+    """What a retraining did: the decision with its reason, and the model if there is one."""
+    user_id: object
+    retrained: bool
+    reason: str
+    n_user_samples: int = 0
+    model: CrisisModel | None = None
+
+
+def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id, last_count: int | None = None,
+                 has_model: bool = False, force: bool = False, num_trees: int = RF_TREES, seed: int = SEED) -> RetrainResult:
+    """Decide (I1, or ``force``), then user rows (+ global sample with weak labels, G2) -> clean -> forest.
+
+    ``last_count`` is the number of the user's rows at the last training (None: no meta).
+    """
+    from .retrain import should_retrain
+    spark = labeled_user.sparkSession
+    mine = labeled_user.withColumn("user_id", F.lit(user_id))
+    known = spark.createDataFrame([(user_id, last_count, last_count is not None)] if has_model else [],
+                                  f"user_id {dict(mine.dtypes)['user_id']}, n_user_samples long, has_meta boolean")
+    row = should_retrain(mine, known).first()
+    if row is None:
+        return RetrainResult(user_id, False, "no rows")
+    if not row.retrain and not force:
+        return RetrainResult(user_id, False, row.reason, int(row.n_samples))
     x = labeled_user
     if global_rows is not None:
-        aug = L.augment_global(x.withColumn("user_id", F.lit(user_id)), global_rows)
-        x = aug.drop("source")
-    # stored features as stored (Q7); absent ones default to 0.0 as in the labeled projection
-    x = training_set(x.sparkSession, "labeled", labeled=x).drop("user_id")
+        x = L.augment_global(mine, global_rows).drop("source")
+    # stored features as stored (Q7); absent ones default to 0.0 as in the labeled projection. A user's own row and
+    # the same reading in the sample may share an id: they are different training rows.
+    x = training_set(spark, "labeled", labeled=x).drop("user_id")
     if x.count() < MIN_SAMPLES_USER:
-        return None
+        return RetrainResult(user_id, False, row.reason, int(row.n_samples))
     m = rf_train(x, user_id=user_id, num_trees=num_trees, seed=seed)
-    m.meta["n_user_samples"] = int(labeled_user.count())
-    return m
+    m.meta["n_user_samples"] = int(row.n_samples)
+    return RetrainResult(user_id, True, row.reason, int(row.n_samples), m)
 
 
-def retrain_all(labeled: DataFrame, models_meta: DataFrame, global_rows: DataFrame | None = None,
-                num_trees: int = RF_TREES, max_parallel: int = 4) -> dict:
-    """I4: decide for every user in one job (I1), then fit the eligible users' forests.
+def retrain_all(spark, labeled_path: str, models_meta: DataFrame, out_path: str, global_rows: DataFrame | None = None,
+                force: bool = False, num_trees: int = RF_TREES, max_parallel: int = 4) -> DataFrame:
+    """Decide for every user in one job (I1), fit the eligible users' forests, save each under ``out_path``.
 
-    Fits run from a bounded thread pool over one cached labeled table; each
-    fit is itself a distributed Spark ML job.
+    Decisions are a stored table; due users stream from it one at a time, and no more than ``max_parallel`` fits are under way.
+    A fit reads only its user's bucket of the labeled table, its model is saved and let go, so the driver
+    holds neither users nor models. Returns the meta rows of the models written.
     """
-    from concurrent.futures import ThreadPoolExecutor
+    from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
-    from .retrain import should_retrain
-    dec = should_retrain(labeled, models_meta).filter("retrain").select("user_id")
-    users = [r.user_id for r in dec.toLocalIterator()]
-    cached = labeled.cache()
+    from ..session import checkpoint
+    from .retrain import load_labeled, should_retrain
+    due = checkpoint(should_retrain(load_labeled(spark, labeled_path), models_meta)
+                     .filter(F.lit(force) | F.col("retrain")).select("user_id"))
 
-    def one(u):
-        return u, retrain_user(cached.filter(F.col("user_id") == F.lit(u)).drop("user_id"), global_rows, u, num_trees)
+    def one(u) -> None:
+        r = retrain_user(load_labeled(spark, labeled_path, u).drop("user_id"), global_rows, u, force=True, num_trees=num_trees)
+        if r.model is not None:
+            r.model.save(f"{out_path.rstrip('/')}/model=rf_user_{u}", spark)
 
     with ThreadPoolExecutor(max_workers=max_parallel) as ex:
-        results = dict(ex.map(one, users))
-    cached.unpersist()
-    return results
-
+        running = set()
+        for row in due.toLocalIterator():
+            if len(running) >= max_parallel:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                for f in done:
+                    f.result()
+            running.add(ex.submit(one, row.user_id))
+        for f in running:
+            f.result()
+    return spark.read.option("recursiveFileLookup", True).schema(META_SCHEMA).parquet(f"{out_path.rstrip('/')}/*/meta")

@@ -106,15 +106,13 @@ def sample_positions(df: DataFrame, key: str, seed: int = SEED, name: str = "_po
 
 
 def augment_global(user_rows: DataFrame, global_rows: DataFrame, user_col: str = "user_id", key: str = "event_id",
-                   fraction: float = AUGMENT_FRACTION, minimum: int = AUGMENT_MIN, seed: int = SEED,
-                   bucket_rows: int = 4096) -> DataFrame:
+                   fraction: float = AUGMENT_FRACTION, minimum: int = AUGMENT_MIN, seed: int = SEED) -> DataFrame:
     """Each user's rows plus a random sample of the global rows, n = max(50, int(0.3 n_user)), capped.
 
     The global rows get one hash-random permutation; user u takes the run of
     n_u consecutive positions starting at a hash-random offset (mod N). A run
-    of a random permutation is a uniform random subset, and users' runs are
-    matched to positions with an equi-join on position buckets (no cross join:
-    each user touches only the few buckets its run covers). Columns: the
+    of a random permutation is a uniform random subset; each user's positions are
+    listed and met in one equi-join, whose output is the sample itself. Columns: the
     intersection of both sides, plus ``user_col`` and ``source``.
     """
     common = [c for c in user_rows.columns if c in global_rows.columns and c != user_col]
@@ -124,19 +122,12 @@ def augment_global(user_rows: DataFrame, global_rows: DataFrame, user_col: str =
     want = F.least(F.greatest(F.lit(minimum), F.floor(F.col("_nu") * F.lit(fraction)).cast("long")), F.col("_tot"))
     start = F.floor(hash_uniform(user_col, seed, "offset") * F.col("_tot")).cast("long")
     runs = counts.crossJoin(F.broadcast(n_glob)).select(user_col, want.alias("_n"), start.alias("_s"), "_tot")
-    # buckets covered by [s, min(s + n, N)) and, when the run wraps, by [0, s + n - N)
-    b = F.lit(bucket_rows)
-    end1 = F.least(F.col("_s") + F.col("_n"), F.col("_tot"))
-    bk1 = F.sequence(F.floor(F.col("_s") / b), F.floor((end1 - 1) / b))
-    wrap = F.col("_s") + F.col("_n") - F.col("_tot")
-    bk2 = F.when(wrap > 0, F.sequence(F.lit(0).cast("long"), F.floor((wrap - 1) / b))) \
-           .otherwise(F.array().cast("array<bigint>"))
-    runs = runs.filter(F.col("_n") > 0) \
-               .withColumn("_bk", F.explode(F.array_distinct(F.concat(bk1, bk2))))
-    g = pos.withColumn("_p0", F.col("_pos") - 1).withColumn("_bk", F.floor(F.col("_p0") / b))
-    j = runs.join(g, "_bk")
-    rel = (F.col("_p0") - F.col("_s") + F.col("_tot")) % F.col("_tot")
-    picked = j.filter(rel < F.col("_n")).select(user_col, *common, F.lit("global").alias("source"))
+    # one row per wanted position, mod N: exactly the rows that are kept meet in the join
+    wanted = runs.filter(F.col("_n") > 0).select(user_col, F.explode(F.sequence(
+        F.col("_s"), F.col("_s") + F.col("_n") - 1)).alias("_at"), "_tot").select(
+        user_col, (F.col("_at") % F.col("_tot")).alias("_p0"))
+    g = pos.withColumn("_p0", F.col("_pos") - 1).drop("_pos")
+    picked = wanted.join(g, "_p0").select(user_col, *common, F.lit("global").alias("source"))
     mine = user_rows.select(user_col, *common, F.lit("user").alias("source"))
     return mine.unionByName(picked)
 

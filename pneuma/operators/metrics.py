@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rround
+from . import series
 
 
 def positive_rate(df: DataFrame, label: str = "symptom_label") -> DataFrame:
@@ -91,7 +92,8 @@ def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     Rows are counted per distinct score; the number of rows below each score
     comes from per-bucket totals (a small table) plus a running sum inside the
     bucket, so ties and ranks are exact without a global sort in one task.
-    ``buckets`` splits the score range [min, max] evenly.
+    ``buckets`` splits the score range [min, max] evenly; a bucket with many distinct
+    scores is cut further at scores drawn from the data, so an outlier gathers nothing.
     """
     from ..session import checkpoint
     x = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
@@ -101,11 +103,7 @@ def auc_roc(df: DataFrame, label: str = "label", score: str = "score", buckets:
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     per = per.crossJoin(F.broadcast(rng)).withColumn(
         "_b", F.least(F.floor((F.col("s") - F.col("lo")) / span * F.lit(float(buckets))), F.lit(buckets - 1)))
-    btot = per.groupBy("_b").agg(F.sum("n").alias("_bn"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket (bounded)
-    boff = btot.select("_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.join(F.broadcast(boff), "_b").withColumn("below", F.col("_off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = series.sum_before(per, [], ["s"], F.col("_b"), "n", "below")
     rs = ranked.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("rank_sum"),
                     F.sum("pos").alias("P"), F.sum(F.col("n") - F.col("pos")).alias("N"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
@@ -133,11 +131,7 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str |
     # one row per group: hinted only for the ungrouped case, else the optimizer sizes it
     per = per.join(F.broadcast(rng) if group is None else rng, "_g").withColumn(
         "_b", F.least(F.floor((F.col("v") - F.col("lo")) / span * F.lit(float(buckets))), F.lit(buckets - 1)))
-    btot = per.groupBy("_g", "_b").agg(F.sum("n").alias("_bn"))
-    wb = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    boff = btot.select("_g", "_b", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_g", "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.join(boff, ["_g", "_b"]).withColumn("below", F.col("_off") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = series.sum_before(per, ["_g"], ["v"], F.col("_b"), "n", "below")
     # targets: 0-based positions floor(h) and floor(h) + 1 for h = (N - 1) * p, per group
     tgt = rng.select("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
                                                for i, p in enumerate(probs)])).alias("t"), "_tot") \
@@ -145,7 +139,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str |
     pos = tgt.select(F.col("_g").alias("_pg"), "i", "h",
                      F.posexplode(F.array(F.floor("h").cast("long"), F.floor("h").cast("long") + 1)).alias("which", "k"))
     cond = (F.col("_pg") == F.col("_g")) & (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("n"))
-    hit = ranked.join(F.broadcast(pos), cond).select("_g", "i", "h", "which", "v")
+    # a few rows per group: hinted only where there is one group
+    hit = ranked.join(F.broadcast(pos) if group is None else pos, cond).select("_g", "i", "h", "which", "v")
     vals = hit.groupBy("_g", "i", "h").agg(F.min(F.when(F.col("which") == 0, F.col("v"))).alias("lo_v"),
                                            F.min(F.when(F.col("which") == 1, F.col("v"))).alias("hi_v"))
     frac = F.col("h") - F.floor("h")
@@ -156,24 +151,6 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str |
     return out.select(F.col("_g").alias(group), *cols) if group else out.select(*cols)
 
 
-def percentiles(df: DataFrame, col: str, probs: list[float], group: str | None = None,
-                max_buffer_distinct: int = 1_000_000) -> DataFrame:
-    """Exact percentiles, choosing the plan from a measured size.
-
-    Spark's exact ``percentile`` keeps one count per distinct value in its
-    aggregation buffer. A first, cheap pass measures the distinct values
-    (``approx_count_distinct``, per group); when they are under
-    ``max_buffer_distinct`` (with a margin for the estimate) that buffer is
-    bounded and the one-pass aggregate is used, otherwise
-    :func:`exact_percentiles`, which needs no buffer. Same result either way.
-    """
-    v = F.col(col).cast("double")
-    x = df.select((F.col(group) if group else F.lit(0)).alias("_g"), v.alias("v")) \
-          .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    nd = x.groupBy("_g").agg(F.approx_count_distinct("v", 0.05).alias("nd")).agg(F.max("nd")).collect()[0][0]
-    if nd is not None and nd * 1.2 > max_buffer_distinct:
-        return exact_percentiles(df, col, probs, group)
-    arr = F.percentile(F.col("v"), F.array(*[F.lit(float(p)) for p in probs]))
-    out = x.groupBy("_g").agg(arr.alias("_q"))
-    cols = [F.col("_q")[i].alias(f"p{i}") for i in range(len(probs))]
-    return out.select(F.col("_g").alias(group), *cols) if group else out.select(*cols)
+def percentiles(df: DataFrame, col: str, probs: list[float], group: str | None = None) -> DataFrame:
+    """Exact percentiles (see :func:`exact_percentiles`): one plan at every size."""
+    return exact_percentiles(df, col, probs, group)

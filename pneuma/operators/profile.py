@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import decimal_avg, rround
+from ..functions.exprs import decimal_avg, finite_or_null, rround
 from ..tables import EXPECTED_STATIONS, STATION_FEATURES
 
 
@@ -59,27 +59,25 @@ def null_profile(df: DataFrame, cols=STATION_FEATURES) -> DataFrame:
 def describe_stats(df: DataFrame, cols=STATION_FEATURES, digits: int = 3) -> DataFrame:
     """Count, mean, std (ddof 1), min, 25/50/75 % (linear interpolation), max per column.
 
-    Moments come from one aggregation pass; the quartiles from the exact
-    percentile whose plan is chosen by the measured number of distinct values
-    (bounded buffer, or the distributed rank method); one row per column.
+    Moments come from one aggregation pass, the quartiles from the distributed
+    rank method over (column, distinct value); NaN and infinities count as missing.
     """
     from .metrics import percentiles
     present = [c for c in cols if c in df.columns]
     aggs = []
     for c in present:
-        aggs += [F.count(c).alias(f"{c}__count"), decimal_avg(c, 6).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"), F.max(c).alias(f"{c}__max")]
+        v = finite_or_null(c)
+        aggs += [F.count(v).alias(f"{c}__count"), decimal_avg(c, 6).alias(f"{c}__mean"),
+                 F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
     a = df.agg(*aggs)
+    df = df.select(*[finite_or_null(c).alias(c) for c in present])
     stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in present)
     long = df.selectExpr(f"stack({len(present)}, {stack}) AS (feature, v)")
     q = percentiles(long, "v", [0.25, 0.5, 0.75], group="feature")  # one row per column
-    rows = None
-    for c in present:
-        r = a.select(F.lit(c).alias("feature"), F.col(f"{c}__count").alias("count"),
-                     rround(f"{c}__mean", digits).alias("mean"), rround(f"{c}__std", digits).alias("std"),
-                     rround(F.col(f"{c}__min").cast("double"), digits).alias("min"),
-                     rround(F.col(f"{c}__max").cast("double"), digits).alias("max"))
-        rows = r if rows is None else rows.unionByName(r)
+    one = ", ".join(f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, CAST(`{c}__min` AS DOUBLE), CAST(`{c}__max` AS DOUBLE)"
+                    for c in present)
+    wide = a.selectExpr(f"stack({len(present)}, {one}) AS (feature, count, mean, std, min, max)")
+    rows = wide.select("feature", "count", *[rround(x, digits).alias(x) for x in ("mean", "std", "min", "max")])
     out = rows.join(F.broadcast(q), "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", rround("p0", digits).alias("p25"),
                       rround("p1", digits).alias("p50"), rround("p2", digits).alias("p75"), "max")

@@ -92,13 +92,37 @@ def labeled_projection(df: DataFrame, label: str = "symptom_label", ts: str = "t
                      F.col(ts).alias("timestamp") if ts in df.columns else F.current_timestamp().alias("timestamp"))
 
 
-def append_labeled(df: DataFrame, path: str, user_col: str = "user_id") -> None:
-    """Append rows to the labeled table, partitioned by user (new counts come from D8)."""
-    labeled_projection(df, user_col=user_col).write.mode("append").partitionBy(user_col).parquet(path)
+#: The labeled table has so many folders, whatever the number of users.
+LABEL_BUCKETS = 64
+
+
+def _user_bucket(user: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(user.cast("string")), F.lit(LABEL_BUCKETS)).cast("int")
+
+
+def append_labeled(df: DataFrame, path: str, user_col: str = "user_id", batch: str | None = None) -> DataFrame:
+    """Add rows to the labeled table; returns the new row count of each user that was in ``df``.
+
+    The table is one folder per append (``batch``, a fresh name by default), split by a hash
+    bucket of the user. Writing the same batch again replaces it, so a retried micro-batch adds nothing twice.
+    """
+    import uuid
+    rows = labeled_projection(df, user_col=user_col)
+    name = batch or uuid.uuid4().hex
+    # One file per bucket and task at most; the rows are not shuffled for it.
+    rows.withColumn("_bucket", _user_bucket(F.col(user_col))).write.mode("overwrite").partitionBy("_bucket").parquet(
+        f"{path.rstrip('/')}/_batch={name}")
+    spark = df.sparkSession
+    users = rows.select(user_col).distinct()
+    return user_sample_count(load_labeled(spark, path).join(users, user_col, "left_semi"), user_col)
 
 
 def load_labeled(spark, path: str, user_id=None, schema=None) -> DataFrame:
-    """The labeled table, one user (partition pruning) or all; empty frame with schema when absent."""
+    """The labeled table, one user (only that user's bucket is read) or all; empty frame with schema when absent.
+
+    NaN and infinities are NULL.
+    """
+    from ..functions.exprs import finite_columns
     from ..tables import LABELED_SCHEMA
     try:
         df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
@@ -107,5 +131,7 @@ def load_labeled(spark, path: str, user_id=None, schema=None) -> DataFrame:
             return spark.createDataFrame([], schema or LABELED_SCHEMA)
         raise
     if user_id is not None:
+        if "_bucket" in df.columns:
+            df = df.filter(F.col("_bucket") == _user_bucket(F.lit(user_id)))
         df = df.filter(F.col("user_id") == F.lit(user_id))
-    return df
+    return finite_columns(df.drop("_bucket", "_batch"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import micro_units
+from ..functions.exprs import finite_or_null, micro_units
 
 DEFAULT_BLOCK_ROWS = 1 << 20
 #: One order key in so many becomes a cut between buckets.
@@ -84,9 +84,9 @@ def _bucketed(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Co
         "_b0", "_ok", "_cuts")
 
 
-def _offsets(b: DataFrame) -> DataFrame:
-    """(_gk, _lv, _bk, _off): rows of the series before each bucket; running sums over levels, then inside each."""
-    counts = b.groupBy("_gk", "_lv", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+def _offsets(b: DataFrame, amount: Column | None = None) -> DataFrame:
+    """(_gk, _bk, _off): rows (or ``amount``) of the series before each bucket; over levels, then inside each."""
+    counts = b.groupBy("_gk", "_lv", "_bk").agg((F.count(F.lit(1)) if amount is None else F.sum(amount)).alias("_n"))
     levels = counts.groupBy("_gk", "_lv").agg(F.sum("_n").alias("_n"))
     wl = Window.partitionBy("_gk").orderBy("_lv").rowsBetween(Window.unboundedPreceding, -1)
     base = levels.select("_gk", "_lv", F.coalesce(F.sum("_n").over(wl), F.lit(0)).alias("_base"))
@@ -131,6 +131,15 @@ def add_row_number(df: DataFrame, group_cols: list[str], order_cols: list, bucke
     return j.withColumn(name, F.col("_off") + F.row_number().over(w2)).select(*df.columns, name)
 
 
+def sum_before(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column, amount: str, name: str,
+               split_rows: int | None = None) -> DataFrame:
+    """Sum of ``amount`` over the rows of the group that come before each row in ``order_cols`` (unique per group)."""
+    b = _bucketed(df, group_cols, order_cols, bucket, None, split_rows)
+    j = b.join(_offsets(b, F.col(amount)), ["_gk", "_bk"])
+    w = Window.partitionBy("_gk", "_bk").orderBy(*_asc(order_cols)).rowsBetween(Window.unboundedPreceding, -1)
+    return j.withColumn(name, F.col("_off") + F.coalesce(F.sum(amount).over(w), F.lit(0))).select(*df.columns, name)
+
+
 def _blocks_with_halo(df: DataFrame, rn: str, block_rows: int, halo: int) -> DataFrame:
     if halo >= block_rows:
         raise ValueError("block_rows must exceed the window length")
@@ -153,7 +162,7 @@ def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str
     w = Window.partitionBy("_gk", "_blk").orderBy(rn).rowsBetween(-(rows - 1), 0)
     outs = []
     for name, fn, src in specs:
-        c = F.col(src)
+        c = finite_or_null(src)
         if fn == "mean":
             # exact sum in micro-units (long arithmetic), one division
             e = (F.sum(micro_units(c)).over(w).cast("double") / F.lit(1e6)
@@ -192,7 +201,8 @@ def interpolate_limited(df: DataFrame, group_cols: list[str], rn: str, cols: lis
     in a gap only the first ``limit`` rows are filled (with the straight line
     towards the next valid value, however far it is).
     """
-    x = df.withColumns({"_gk": _gk(group_cols), "_blk": F.floor((F.col(rn) - 1) / F.lit(block_rows))})
+    x = df.withColumns({"_gk": _gk(group_cols), "_blk": F.floor((F.col(rn) - 1) / F.lit(block_rows)),
+                        **{c: finite_or_null(c) for c in cols}})
     keys = ["_gk", "_blk"]
 
     def sv(c):
@@ -238,7 +248,7 @@ def interpolate_bucketed(df: DataFrame, group_cols: list[str], order_cols: list,
     windows with that same partitioning (only a re-sort, no new shuffle), and
     across buckets from a small per-bucket carry table.
     """
-    b = _bucketed(df, group_cols, order_cols, bucket, level, split_rows)
+    b = _bucketed(df.withColumns({c: finite_or_null(c) for c in cols}), group_cols, order_cols, bucket, level, split_rows)
     keys = ["_gk", "_bk"]
     j = b.join(_offsets(b), keys, "left")
     order = _asc(order_cols)

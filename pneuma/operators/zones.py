@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alerts as A
-from ..functions.exprs import decimal_avg, rround
+from ..functions.exprs import decimal_avg, is_finite, rround
 from ..tables import CLUSTER_FEATURES, KMEANS_K, KMEANS_MAX_ITER, KMEANS_RESTARTS, SEED, ZONE_NAMES, require_columns
 from . import scoring as S
 
@@ -27,6 +27,7 @@ class ZoneModel:
     centroids: list[list[float]]  # scaled space, index = cluster id
     labels: dict[int, str] = field(default_factory=dict)
     meta: dict = field(default_factory=dict)
+    bounds: dict | None = None  # learned feature bounds the index was computed with
 
     def centroids_original(self) -> list[list[float]]:
         return [[c * s + m for c, s, m in zip(cen, self.scale, self.mean)] for cen in self.centroids]
@@ -34,16 +35,24 @@ class ZoneModel:
     def to_df(self, spark: SparkSession) -> DataFrame:
         """A10: one row per cluster (small table, Parquet-friendly)."""
         rows = [(i, self.labels.get(i, "A"), [float(v) for v in c], [float(v) for v in self.mean],
-                 [float(v) for v in self.scale], list(self.features)) for i, c in enumerate(self.centroids)]
-        return spark.createDataFrame(rows, "cluster_id int, zone string, centroid array<double>, "
-                                           "mean array<double>, scale array<double>, features array<string>")
+                 [float(v) for v in self.scale], list(self.features), self.meta.get("k"), self.meta.get("pathologie"),
+                 self.meta.get("inertia"), self.meta.get("davies_bouldin"), self.meta.get("silhouette"),
+                 None if self.bounds is None else {k: [float(x) for x in v] for k, v in self.bounds.items()})
+                for i, c in enumerate(self.centroids)]
+        return spark.createDataFrame(rows, "cluster_id int, zone string, centroid array<double>, mean array<double>, "
+                                           "scale array<double>, features array<string>, k int, pathologie string, "
+                                           "inertia double, davies_bouldin double, silhouette double, "
+                                           "bounds map<string,array<double>>")
 
     @staticmethod
     def from_df(df: DataFrame) -> "ZoneModel":
         rows = sorted(df.collect(), key=lambda r: r.cluster_id)  # K rows (bounded by the model size)
         r0 = rows[0]
+        meta = {k: r0[k] for k in ("k", "pathologie", "inertia", "davies_bouldin", "silhouette")
+                if k in r0.__fields__ and r0[k] is not None}
+        bounds = r0.bounds if "bounds" in r0.__fields__ else None
         return ZoneModel(list(r0.features), list(r0.mean), list(r0.scale), [list(r.centroid) for r in rows],
-                         {r.cluster_id: r.zone for r in rows})
+                         {r.cluster_id: r.zone for r in rows}, meta, bounds and {k: tuple(v) for k, v in bounds.items()})
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.to_df(spark).write.mode("overwrite").parquet(path)
@@ -106,15 +115,20 @@ def _sq_dists(model: ZoneModel, original_cols=True):
 def zone_assign(df: DataFrame, model: ZoneModel, distances: bool = False) -> DataFrame:
     """H5: nearest centroid -> cluster_id, zone (unknown -> A), label, color, recommendation.
 
-    Ties go to the lowest cluster id. With ``distances`` the rounded Euclidean
+    Ties go to the lowest cluster id. A reading with a NULL, NaN or infinite feature has no
+    cluster: cluster_id and zone are NULL. With ``distances`` the rounded Euclidean
     distances to every zone are added in ascending order (F5).
     """
     require_columns(df, model.features, "zone_assign")
     d2 = _sq_dists(model)
     best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("cid")) for i, d in enumerate(d2)]))
     lab = F.create_map(*[x for i, z in model.labels.items() for x in (F.lit(int(i)), F.lit(z))])
-    out = df.withColumn("cluster_id", best["cid"])
-    out = out.withColumn("zone", F.coalesce(F.element_at(lab, F.col("cluster_id")), F.lit("A")))
+    known = None
+    for f in model.features:
+        known = is_finite(f) if known is None else known & is_finite(f)
+    out = df.withColumn("cluster_id", F.when(known, best["cid"]))
+    out = out.withColumn("zone", F.when(F.col("cluster_id").isNotNull(),
+                                        F.coalesce(F.element_at(lab, F.col("cluster_id")), F.lit("A"))))
     out = out.withColumns({"zone_label": A.zone_label("zone"), "zone_color": A.zone_color("zone"),
                            "zone_recommendation": A.zone_recommendation("zone")})
     if distances:
@@ -146,14 +160,23 @@ def _sum_sq(pairs):
     return total
 
 
+def _sum_products(pairs):
+    total = None
+    for a, b in pairs:
+        t = a * b
+        total = t if total is None else total + t
+    return total
+
+
 def cluster_quality(df: DataFrame, model: ZoneModel, assigned: bool = False) -> DataFrame:
-    """H6: inertia and Davies-Bouldin index of the assignment (one row).
+    """H6: inertia, Davies-Bouldin index and silhouette of the assignment (one row).
 
     Inertia sums squared distances to the model centroids; Davies-Bouldin uses
     the means of the assigned points (K rows) as cluster centres. Sums are
     DECIMAL so the numbers do not depend on the plan.
     """
-    x = df if assigned else zone_assign(df, model)
+    x = (df if assigned else zone_assign(df, model)).where("cluster_id IS NOT NULL")
+    sil = silhouette(x, model, assigned=True)
     d2 = _sq_dists(model)
     own = F.element_at(F.array(*d2), F.col("cluster_id") + 1)
     zcols = {f"_z_{f}": (F.col(f) - F.lit(float(m))) / F.lit(float(s))
@@ -177,8 +200,8 @@ def cluster_quality(df: DataFrame, model: ZoneModel, assigned: bool = False) ->
     r = pairs.select(F.col("a.cluster_id").alias("i"),
                      F.when(mij == 0, F.lit(None)).otherwise((F.col("a.s") + F.col("b.s")) / mij).alias("r"))
     db = r.groupBy("i").agg(F.max("r").alias("ri")).agg(decimal_avg("ri", 9).alias("davies_bouldin"))
-    return inertia.crossJoin(db).select(rround("inertia", 2).alias("inertia"),
-                                        rround("davies_bouldin", 4).alias("davies_bouldin"), "n")
+    return inertia.crossJoin(db).crossJoin(sil).select(
+        rround("inertia", 2).alias("inertia"), rround("davies_bouldin", 4).alias("davies_bouldin"), "silhouette", "n")
 
 
 def fit_kmeans(scaled: DataFrame, k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS,
@@ -212,6 +235,16 @@ def train_zones(clean: DataFrame, pathologie: str = "general", bounds=None, k: i
     from ..session import checkpoint
     # daily means are small (stations x days): materialise once, every later pass reads them
     daily = checkpoint(cluster_features(clean, pathologie, bounds))
+    zm = train_zones_on(daily, pathologie, k, restarts, max_iter, seed, sweep)
+    zm.bounds = dict(bounds) if bounds else None
+    return zm
+
+
+def train_zones_on(daily: DataFrame, pathologie: str = "general", k: int = KMEANS_K, restarts: int = KMEANS_RESTARTS,
+                   max_iter: int = KMEANS_MAX_ITER, seed: int = SEED, sweep: list[int] | None = None) -> ZoneModel:
+    """The training steps of :func:`train_zones` on daily station features that are already stored."""
+    from ..session import checkpoint
+    spark = daily.sparkSession
     stats = standardize_stats(daily).collect()[0]  # one row
     mean = [float(stats[f"{f}_mean"]) for f in CLUSTER_FEATURES]
     scale = [float(stats[f"{f}_scale"]) for f in CLUSTER_FEATURES]
@@ -221,28 +254,27 @@ def train_zones(clean: DataFrame, pathologie: str = "general", bounds=None, k: i
         meta["sweep"] = evaluate_k(scaled, mean, scale, sweep, restarts, max_iter, seed)
     model, cost = fit_kmeans(scaled, k, restarts, max_iter, seed)
     zm = ZoneModel(list(CLUSTER_FEATURES), mean, scale, [list(map(float, c)) for c in model.clusterCenters()])
-    spark = clean.sparkSession
     orig = zm.centroids_original()
     cen = spark.createDataFrame([(i, *c) for i, c in enumerate(orig)],
                                 "cluster_id int, " + ", ".join(f"{f} double" for f in CLUSTER_FEATURES))
     zm.labels = {r.cluster_id: r.zone for r in rank_centroids(cen).collect()}  # K rows
     q = cluster_quality(daily, zm).collect()[0]
-    zm.meta = {"inertia": float(cost), "davies_bouldin": q.davies_bouldin, "k": k, "pathologie": pathologie, **meta}
+    zm.meta = {"inertia": float(cost), "davies_bouldin": q.davies_bouldin, "silhouette": q.silhouette, "k": k,
+               "pathologie": pathologie, **meta}
     return zm
 
 
 def evaluate_k(scaled: DataFrame, mean, scale, ks, restarts: int = KMEANS_RESTARTS,
                max_iter: int = KMEANS_MAX_ITER, seed: int = SEED) -> list[dict]:
-    """H4: for each K: inertia, Davies-Bouldin and silhouette (hash sample of at most 5,000 rows)."""
+    """H4: for each K: inertia, Davies-Bouldin and silhouette over all rows."""
     res = []
     for k in ks:
         m, cost = fit_kmeans(scaled, k, restarts, max_iter, seed)
         zm = ZoneModel(list(CLUSTER_FEATURES), mean, scale, [list(map(float, c)) for c in m.clusterCenters()],
                        {i: str(i) for i in range(k)})
         q = cluster_quality(scaled, zm).collect()[0]
-        sil = silhouette(scaled, zm)
         res.append({"k": k, "inertia": round(float(cost), 2), "davies_bouldin": round(q.davies_bouldin, 4),
-                    "silhouette": round(sil, 4)})
+                    "silhouette": q.silhouette})
     return res
 
 
@@ -251,47 +283,36 @@ def best_k(results: list[dict]) -> int:
     return max(results, key=lambda r: (r["silhouette"], -r["k"]))["k"]
 
 
-def silhouette(df: DataFrame, model: ZoneModel, sample: int = 5000, seed: int = SEED) -> float:
-    """Euclidean silhouette of the assignment on a hash sample of at most ``sample`` rows.
+def silhouette(df: DataFrame, model: ZoneModel, assigned: bool = False) -> DataFrame:
+    """Mean silhouette of all assigned rows with squared Euclidean distances on the scaled features (one row).
 
-    The sample (bounded by ``sample``, as in the reference metric) is broadcast;
-    each task scores its own sampled rows against it with numpy.
+    The mean squared distance of a point to a cluster follows from the cluster's count, sum and sum of
+    squares, so one small aggregate (K rows) and one pass over the rows give the exact value: no
+    sample, no pairs. A point alone in its cluster, or a single cluster, counts 0. The aggregate is broadcast: K rows.
     """
-    import numpy as np
-    import pandas as pd
-
-    from ..functions.exprs import hash_uniform
-    x = zone_assign(df, model).select(*model.features, "cluster_id")
-    x = x.withColumn("_h", hash_uniform(F.concat_ws(":", *[F.col(f).cast("string") for f in model.features])))
-    samp = x.orderBy("_h").limit(sample)
-    pts = samp.select(*model.features, "cluster_id").toPandas()  # at most ``sample`` rows
-    if len(pts) < 2:
-        return 0.0
-    z = ((pts[model.features].to_numpy(float) - np.array(model.mean)) / np.array(model.scale))
-    lab = pts["cluster_id"].to_numpy()
-    bz = df.sparkSession.sparkContext.broadcast((z, lab))
-
-    @F.pandas_udf("double")
-    def score(*cols):
-        zs, labs = bz.value
-        me = (np.column_stack([c.to_numpy(float) for c in cols[:-1]]) - np.array(model.mean)) / np.array(model.scale)
-        own = cols[-1].to_numpy()
-        out = np.empty(len(me))
-        for i in range(len(me)):
-            d = np.sqrt(((zs - me[i]) ** 2).sum(axis=1))
-            same = labs == own[i]
-            n_same = same.sum() - 1
-            if n_same <= 0:
-                out[i] = 0.0
-                continue
-            a = d[same].sum() / n_same
-            b = min(d[labs == c].mean() for c in np.unique(labs) if c != own[i]) if len(np.unique(labs)) > 1 else 0.0
-            out[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-        return pd.Series(out)
-
-    s = samp.select(score(*[F.col(f) for f in model.features], F.col("cluster_id")).alias("s"))
-    v = s.agg(F.avg("s")).collect()[0][0]
-    return float(v or 0.0)
+    x = (df if assigned else zone_assign(df, model)).where("cluster_id IS NOT NULL")
+    z = [f"_z{i}" for i in range(len(model.features))]
+    x = x.select("cluster_id", *[((F.col(f) - F.lit(float(m))) / F.lit(float(s))).alias(n)
+                                 for n, f, m, s in zip(z, model.features, model.mean, model.scale)])
+    norm = _sum_products([(F.col(c), F.col(c)) for c in z])
+    per = x.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), decimal_avg(norm, 9).alias("q"),
+                                      *[decimal_avg(c, 9).alias(f"m{c}") for c in z])
+    all_ = per.agg(F.collect_list(F.struct("cluster_id", "n", "q", *[f"m{c}" for c in z])).alias("_k"))
+    y = x.crossJoin(F.broadcast(all_)).withColumn("_q", norm)
+
+    def mean_sq(k):  # mean squared distance to the cluster's points
+        d = F.col("_q") + k["q"] - F.lit(2.0) * _sum_products([(F.col(c), k[f"m{c}"]) for c in z])
+        return F.greatest(d, F.lit(0.0))
+
+    own = F.filter("_k", lambda k: k["cluster_id"] == F.col("cluster_id"))[0]
+    near = F.array_min(F.transform(F.filter("_k", lambda k: k["cluster_id"] != F.col("cluster_id")), mean_sq))
+    y = y.select(own["n"].alias("n"), mean_sq(own).alias("own"), near.alias("b"))
+    a = F.col("own") * F.col("n") / (F.col("n") - 1)  # the point itself is at distance 0
+    top = F.greatest("a", "b")
+    s = (y.withColumn("a", F.when(F.col("n") > 1, a))
+         .select(F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= 0), 0.0)
+                 .otherwise((F.col("b") - F.col("a")) / top).alias("s")))
+    return s.agg(rround(decimal_avg("s", 9), 4).alias("silhouette"))
 
 
 def zone_statistics(df: DataFrame, model: ZoneModel | None = None, features=CLUSTER_FEATURES) -> DataFrame:

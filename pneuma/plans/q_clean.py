@@ -11,7 +11,6 @@ from .catalog import register
 
 # Block sizes used by the registered queries: small enough that series cross
 # block borders at test scale, so the halo and carry paths are always exercised.
-CHECK_BLOCK_ROWS = 512
 
 
 def rh_sql(t="temperature", td="dewpoint"):
@@ -106,7 +105,7 @@ INTERP_STATION_SQL = V.with_views("SELECT * FROM " + interp_sql(
 @register("interpolate_station", INTERP_STATION_SQL)
 def q_interp_station(spark, sf):
     x = C.relative_humidity(V.measurements_raw(spark, sf))
-    return C.interpolate_station(x, block_rows=CHECK_BLOCK_ROWS)
+    return C.interpolate_station(x)
 
 
 PREPROCESS_SQL = V.with_views(f"""
@@ -172,8 +171,7 @@ INTERP_GLOBAL_SQL = V.with_views("SELECT * FROM " + interp_sql(
 
 @register("interpolate_global", INTERP_GLOBAL_SQL)
 def q_interp_global(spark, sf):
-    return C.interpolate_global(V.health_raw(spark, sf), "event_id", 5, bucket_width=1000,
-                                block_rows=CHECK_BLOCK_ROWS)
+    return C.interpolate_global(V.health_raw(spark, sf), "event_id", 5)
 
 
 HEALTH_PIPE_SQL = V.with_views(f"""
@@ -187,5 +185,5 @@ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in HEALTH_DOUBLES)} AND {limits_sql
 @register("health_pipeline", HEALTH_PIPE_SQL)
 def q_health_pipeline(spark, sf):
     # default plan (numbering buckets as blocks); narrow buckets so that gaps cross bucket borders
-    return C.health_pipeline(V.health_source(spark, sf), bucket_width=1000)
+    return C.health_pipeline(V.health_source(spark, sf))
 

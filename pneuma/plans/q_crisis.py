@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import index as IX
@@ -9,7 +10,6 @@ from ..operators import crisis as CR
 from ..sources import views as V
 from . import sqlfrag as Q
 from .catalog import register
-from .q_clean import CHECK_BLOCK_ROWS
 
 
 @register("crisis_batch", V.with_views(f"""
@@ -23,7 +23,7 @@ def q_crisis_batch(spark, sf):
 
 
 def _training(spark, sf):
-    return CR.training_set(spark, "synthetic", stations=V.measurements(spark, sf), block_rows=CHECK_BLOCK_ROWS)
+    return CR.training_set(spark, "synthetic", stations=V.measurements(spark, sf))
 
 
 @register("training_set")
@@ -32,30 +32,14 @@ def q_training_set(spark, sf):
     return _training(spark, sf)
 
 
-@register("rf_train")
-def q_rf_train(spark, sf):
-    """Forest on the training set; meta row with test AUC/F1 and CV scores, top-8 features."""
-    m = CR.rf_train(_training(spark, sf))
-    top = CR.top_features(spark, m, 8).collect()  # 8 rows
-    meta = CR.meta_df(spark, m)
-    return meta.withColumn("top_features", F.lit(",".join(r.feature for r in top))) \
-               .withColumn("cv_auc_mean", F.lit(m.meta.get("cv_auc_mean")))
-
-
-@register("crisis_scores")
-def q_crisis_scores(spark, sf):
-    """H12 with a trained forest: probability (4 digits), level, notify for every reading."""
-    m = CR.rf_train(_training(spark, sf), cross_validate=False, num_trees=50)
-    return CR.crisis_batch(_training(spark, sf), m).select("event_id", "proba_crisis", "alert_level", "should_notify")
-
-
 from ..functions import alerts as A  # noqa: E402
 from ..operators import features as FT  # noqa: E402
-from ..tables import FEATURE_NAMES  # noqa: E402
+from ..tables import FEATURE_NAMES, RF_MAX_DEPTH, RF_TREES, SEED  # noqa: E402
+from ..operators.retrain import RETRAIN_REASONS  # noqa: E402
 from .q_features import ORDER, _finite_sql, cyc_sql, hist_sql, roll_sql  # noqa: E402
 from .q_labels import AGE_SQL, SMOKER_SQL, WEAK  # noqa: E402
 
-TRAINING_SQL = V.with_views(f"""
+TRAINING_BODY = f"""
 SELECT event_id, symptom_label, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURE_NAMES)} FROM (
   SELECT s.*, {Q.zone_risk('zone')} AS zone_risk_score, {cyc_sql('hour(datetime)', 'month(datetime)')},
          {roll_sql(ORDER)}
@@ -63,12 +47,51 @@ SELECT event_id, symptom_label, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f i
                CAST(COALESCE(lag(symptom_label) OVER (PARTITION BY station ORDER BY {ORDER}), 0) AS INTEGER)
                  AS symptom_yesterday
         FROM {WEAK} w) s) t
-WHERE {' AND '.join(_finite_sql(f) for f in FEATURE_NAMES)}""", "measurements")
+WHERE {' AND '.join(_finite_sql(f) for f in FEATURE_NAMES)}"""
+TRAINING_SQL = V.with_views(TRAINING_BODY, "measurements")
 from . import catalog as _cat  # noqa: E402
 
 _cat.ORACLE["training_set"] = TRAINING_SQL
 
 
+def _over_training(select: str) -> str:
+    """SQL over the training rows (CTE ``train``)."""
+    return V.with_views(f"WITH train AS ({TRAINING_BODY})\n{select}", "measurements", "labeled_entries")
+
+
+def _stored_training(spark, sf):
+    from ..session import checkpoint
+    return checkpoint(_training(spark, sf))
+
+
+@register("rf_train", _over_training(f"""
+SELECT 'rf_global' AS model_name, count(*) AS n_samples, round(avg(symptom_label), 4) AS positive_rate,
+       {len(FEATURE_NAMES)} AS n_features, 200 AS n_trees, true AS auc_ok, true AS f1_ok, true AS cv_ok FROM train"""))
+def q_rf_train(spark, sf):
+    """Forest on the training set; what it was trained on, and its test and cross-validation scores against floors."""
+    m = CR.rf_train(_stored_training(spark, sf))
+    x = m.meta
+    return spark.createDataFrame(
+        [(x["model_name"], x["n_samples"], x["positive_rate"], x["n_features"], int(m.model.getNumTrees),
+          (x["auc_roc"] or 0.0) > 0.6, 0.0 <= x["f1_score"] <= 1.0, 0.6 < x.get("cv_auc_mean", 1.0) <= 1.0)],
+        "model_name string, n_samples long, positive_rate double, n_features int, n_trees int, auc_ok boolean, "
+        "f1_ok boolean, cv_ok boolean")
+
+
+@register("crisis_scores", _over_training(
+    "SELECT event_id, true AS in_range, true AS level_ok, true AS notify_ok FROM train"))
+def q_crisis_scores(spark, sf):
+    """H12 with the trained forest (all its trees), every reading: probability in range, level and notify consistent with it."""
+    rows = _stored_training(spark, sf)
+    m = CR.rf_train(rows, cross_validate=False)
+    p = F.col("proba_crisis")
+    edge = F.least(*[F.abs(p - F.lit(t)) for t in (0.2, 0.4, 0.6, 0.8)]) < 1e-4  # rounded probability at a threshold
+    return CR.crisis_batch(rows, m).select(
+        "event_id", p.between(0.0, 1.0).alias("in_range"),
+        (edge | (F.col("alert_level") == A.crisis_alert_level("proba_crisis"))).alias("level_ok"),
+        (edge | (F.col("should_notify") == A.crisis_notify("proba_crisis"))).alias("notify_ok"))
+
+
 def _p_single_sql(s, z, sy):
     pz = f"(CASE WHEN ({z}) IN ('C', 'D') THEN least({Q.crisis_base(s)} + 0.15E0, 1.0E0) ELSE {Q.crisis_base(s)} END)"
     return Q.rround(f"CASE WHEN {sy} THEN least({pz} + 0.1E0, 1.0E0) ELSE {pz} END", 4)
@@ -98,7 +121,7 @@ def q_crisis_realtime(spark, sf):
     m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score("asthme"))
     m = m.withColumns({"zone": A.zone_from_ier(F.col("ier_score") * 1.3),
                        "symptom_yesterday": F.col("event_id") % 4 == 1})
-    h = FT.with_history(m, block_rows=CHECK_BLOCK_ROWS)
+    h = FT.with_history(m)
     out = CR.crisis_realtime(h)
     return out.select("event_id", *FEATURE_NAMES, F.size("invalid_features").alias("n_invalid"), "is_valid",
                       "proba_crisis", "alert_level", "alert_color", "should_notify", "message", "model_used")
@@ -163,36 +186,57 @@ def q_crisis_heuristic_single(spark, sf):
                     A.crisis_message("p", lvl, F.lit("general")).alias("message"))
 
 
-@register("top_features")
+@register("top_features", _over_training("""
+SELECT r::INTEGER AS rank, (SELECT count(*) FROM train) AS n_samples, true AS known, true AS falls, true AS sum_ok
+FROM range(1, 9) t(r)"""))
 def q_top_features(spark, sf):
-    """the 8 most important features of the forest trained on the training set."""
-    m = CR.rf_train(_training(spark, sf), cross_validate=False)
-    return CR.top_features(spark, m, 8)
-
-
-@register("rf_cross_validate")
+    """the 8 most important features of the forest: known names, falling importances, all importances sum to 1."""
+    rows = _stored_training(spark, sf)
+    m = CR.rf_train(rows, cross_validate=False)
+    w = Window.orderBy(F.desc("importance"))  # 8 rows
+    total = sum(v for _, v in m.importances())
+    return CR.top_features(spark, m, 8).select(
+        F.row_number().over(w).alias("rank"), F.lit(m.meta["n_samples"]).alias("n_samples"),
+        F.col("feature").isin(FEATURE_NAMES).alias("known"),
+        F.coalesce(F.col("importance") <= F.lag("importance").over(w), F.lit(True)).alias("falls"),
+        F.lit(abs(total - 1.0) < 1e-6).alias("sum_ok"))
+
+
+@register("rf_cross_validate", _over_training("""
+SELECT count(*) AS n_samples, 5 AS n_folds, true AS auc_ok, true AS f1_ok, true AS std_ok FROM train"""))
 def q_rf_cross_validate(spark, sf):
-    """5-fold stratified cross-validation (AUC and F1 mean and std) on the training part."""
-    from ..operators import labels as L
+    """5-fold stratified cross-validation over all training rows: AUC above a floor, F1 and deviations in range."""
     from ..operators import metrics as MT
     from ..session import checkpoint
-    ts = _training(spark, sf)
-    split = checkpoint(CR._assemble(MT.with_class_weight(L.stratified_split(ts), "symptom_label")))
-    cv = CR.cross_validate_forest(split.filter(~F.col("is_test")), 200, 12, 42)
-    return spark.createDataFrame([tuple(float(cv[k]) for k in ("cv_auc_mean", "cv_auc_std", "cv_f1_mean", "cv_f1_std"))],
-                                 "cv_auc_mean double, cv_auc_std double, cv_f1_mean double, cv_f1_std double")
-
-
-@register("retrain_user")
+    rows = checkpoint(CR._assemble(MT.with_class_weight(_training(spark, sf), "symptom_label")))
+    cv = CR.cross_validate_forest(rows, RF_TREES, RF_MAX_DEPTH, SEED)
+    return rows.agg(F.count(F.lit(1)).alias("n_samples")).select(
+        "n_samples", F.lit(cv["n_folds"]).alias("n_folds"), F.lit(0.6 < cv["cv_auc_mean"] <= 1.0).alias("auc_ok"),
+        F.lit(0.0 <= cv["cv_f1_mean"] <= 1.0).alias("f1_ok"),
+        F.lit(0.0 <= cv["cv_auc_std"] < 0.5 and 0.0 <= cv["cv_f1_std"] < 0.5).alias("std_ok"))
+
+
+@register("retrain_user", _over_training("""
+SELECT CASE WHEN n >= 30 THEN 'rf_user_' || user_id END AS model_name, user_id::VARCHAR AS user_id, n AS n_user_samples,
+       n >= 30 AS retrained, CASE WHEN n >= 30 THEN '{first}' ELSE '{few}' END AS reason,
+       CASE WHEN n >= 30 THEN n + least(greatest(50, floor(0.3E0 * n)::BIGINT), (SELECT count(*) FROM train)) END AS n_samples
+FROM (SELECT l.user_id, count(*) AS n FROM labeled_entries l JOIN train t USING (event_id) GROUP BY l.user_id
+      QUALIFY row_number() OVER (ORDER BY count(*) DESC, l.user_id) = 1) o""").replace(
+    "'{first}'", "'" + RETRAIN_REASONS["first"].replace("{n}", "' || n || '") + "'").replace(
+    "'{few}'", "'" + RETRAIN_REASONS["too_few"].replace("{n}", "' || n || '").replace("{left}", "' || (30 - n) || '") + "'"))
 def q_retrain_user(spark, sf):
-    """Retrain the user with the most survey rows: own rows + global sample with weak labels -> forest."""
+    """Decide for and retrain the user with the most survey rows: own rows + global sample with weak labels -> forest."""
     from ..operators import labels as L
+    from ..session import checkpoint
     le = V.labeled_entries(spark, sf)
-    feats = _training(spark, sf).drop("symptom_label")
-    own = le.select("user_id", "event_id", "symptom_label").join(feats, "event_id")
+    feats = _stored_training(spark, sf).drop("symptom_label")
+    own = checkpoint(le.select("user_id", "event_id", "symptom_label").join(feats, "event_id"))
     uid = own.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first().user_id  # one row
     glob = L.weak_labels(V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
                          .withColumn("zone", A.zone_from_ier("ier_score"))).select("event_id", "symptom_label")
     glob = glob.join(feats, "event_id")
-    m = CR.retrain_user(own.filter(F.col("user_id") == uid).drop("user_id"), glob, uid)
-    return CR.meta_df(spark, m)
+    r = CR.retrain_user(own.filter(F.col("user_id") == uid).drop("user_id"), glob, uid)
+    x = r.model.meta if r.model else {}
+    return spark.createDataFrame([(x.get("model_name"), str(uid), r.n_user_samples, r.retrained, r.reason, x.get("n_samples"))],
+                                 "model_name string, user_id string, n_user_samples long, retrained boolean, "
+                                 "reason string, n_samples long")

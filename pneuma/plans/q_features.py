@@ -14,7 +14,7 @@ from ..sources import views as V
 from ..tables import FEATURE_NAMES
 from . import sqlfrag as Q
 from .catalog import register
-from .q_clean import CHECK_BLOCK_ROWS, RH_VIEW
+from .q_clean import RH_VIEW
 
 TWO_PI = "6.283185307179586E0"
 
@@ -112,7 +112,7 @@ ORDER = "datetime NULLS LAST, event_id"
 def q_rolling(spark, sf):
     m = V.measurements(spark, sf)
     x = m.select("event_id", "station", "datetime", "pm25", "co", "humidity", IX.ier_score().alias("ier_score"))
-    out = FT.rolling_24(x, block_rows=CHECK_BLOCK_ROWS)
+    out = FT.rolling_24(x)
     return out.select("event_id", "station", "datetime", *[n for n, _, _ in FX.HISTORY_SPECS])
 
 
@@ -121,7 +121,7 @@ def q_rolling(spark, sf):
 def q_history(spark, sf):
     m = V.measurements(spark, sf)
     x = m.select("event_id", "station", "datetime", "pm25", "co", "humidity", IX.ier_score().alias("ier_score"))
-    h = FT.with_history(x, block_rows=CHECK_BLOCK_ROWS)
+    h = FT.with_history(x)
     return FT.history_features(h).select("event_id", *[n for n, _, _ in FX.HISTORY_SPECS])
 
 
@@ -132,7 +132,7 @@ SELECT user_id, event_id, symptom_label,
 FROM labeled_entries""", "labeled_entries"))
 def q_symptom_lag(spark, sf):
     le = V.labeled_entries(spark, sf).withColumnRenamed("timestamp", "datetime")
-    out = FT.symptom_lag(le, group="user_id", block_rows=CHECK_BLOCK_ROWS // 8)
+    out = FT.symptom_lag(le, group="user_id")
     return out.select("user_id", "event_id", "symptom_label", "symptom_yesterday")
 
 
@@ -157,7 +157,7 @@ FROM (SELECT s.*, {Q.zone_risk(Q.zone_from_ier('s.ier_score'))} AS zone_risk_sco
 def features_spark(x, profiles):
     x = S.add_fallback_zone(x, record=False)
     x = FT.profile_join(x, profiles)
-    return FT.features_batch(x, block_rows=CHECK_BLOCK_ROWS)
+    return FT.features_batch(x)
 
 
 @register("features_batch", V.with_views(features_sql(SCORED), "measurements", "profiles"))
@@ -209,5 +209,5 @@ FROM {SCORED} t""", "measurements"))
 def q_features_realtime(spark, sf):
     m = V.measurements(spark, sf).withColumn("ier_score", IX.ier_score())
     m = m.withColumn("zone", A.zone_from_ier("ier_score"))
-    h = FT.with_history(m, block_rows=CHECK_BLOCK_ROWS)
+    h = FT.with_history(m)
     return FT.features_realtime(h)

@@ -15,7 +15,6 @@ from ..sources import views as V
 from ..tables import FEATURE_NAMES
 from . import sqlfrag as Q
 from .catalog import register
-from .q_clean import CHECK_BLOCK_ROWS
 
 SCORED_Z = f"""(SELECT *, {Q.zone_from_ier('ier_score')} AS zone FROM
   (SELECT *, {Q.score()} AS ier_score FROM measurements) s0)"""
@@ -55,7 +54,7 @@ SELECT event_id, station, {AGE_SQL} AS age, 'general' AS pathologie, {SMOKER_SQL
 FROM {WEAK} t""", "measurements"))
 def q_symptom_profile_fill(spark, sf):
     w = _weak_spark(spark, sf).select("event_id", "station", "datetime", "symptom_label")
-    out = L.synthetic_profile(w, block_rows=CHECK_BLOCK_ROWS)
+    out = L.synthetic_profile(w)
     return out.select("event_id", "station", "age", "pathologie", "is_smoker", "symptom_label", "symptom_yesterday")
 
 
@@ -63,7 +62,7 @@ HEALTH_LABELED = f"""(SELECT event_id, pm25, co, temperature, humidity, aqi,
        CAST(COALESCE(month(TRY_CAST(date AS TIMESTAMP)), 6) AS INTEGER) AS month,
        CAST(COALESCE(respiratory_admissions >= (SELECT quantile_cont(respiratory_admissions, 0.75) FROM health_raw),
                      false) AS INTEGER) AS symptom_label
-FROM health_raw WHERE pm25 IS NOT NULL)"""
+FROM health_raw)"""
 
 
 @register("health_align", V.with_views(f"""
@@ -74,9 +73,9 @@ SELECT event_id, 'kaggle_global' AS station, ier_score, {Q.zone_from_ier('ier_sc
 FROM (SELECT *, {Q.score('asthme')} AS ier_score FROM {HEALTH_LABELED} h) t""", "health_raw"))
 def q_health_align(spark, sf):
     h = C.health_label(C.health_calendar(V.health_raw(spark, sf)))
-    h = h.filter(F.col("pm25").isNotNull()).select("event_id", "pm25", "co", "temperature", "humidity", "aqi",
+    h = h.select("event_id", "pm25", "co", "temperature", "humidity", "aqi",
                                                    "month", "symptom_label")
-    out = L.health_align(h, "asthme", block_rows=CHECK_BLOCK_ROWS)
+    out = L.health_align(h, "asthme")
     return out.select("event_id", "station", "ier_score", "zone", "datetime", "age", "pathologie", "is_smoker",
                       "symptom_label", "symptom_yesterday")
 
@@ -112,7 +111,7 @@ FROM runs r JOIN g ON ((g.p0 - r.s + r.big_n) % r.big_n) < r.k"""
 def q_augment_global(spark, sf):
     users = V.labeled_entries(spark, sf).select("user_id", "event_id", "pm25", "symptom_label")
     glob = _weak_spark(spark, sf).select("event_id", "pm25", "symptom_label")
-    return L.augment_global(users, glob, bucket_rows=256)
+    return L.augment_global(users, glob)
 
 
 def _strat_sql(extra: str) -> str:
@@ -304,29 +303,29 @@ SELECT user_id, pm25, {', '.join(f'0.0E0 AS {f}' for f in FEATURE_NAMES if f !=
 FROM labeled_entries""", "labeled_entries")
 
 
-@register("load_labeled", APPEND_SQL)
-def q_load_labeled(spark, sf):
-    """A8 (+A13): append the survey rows to a user-partitioned table in the checkpoint folder, load all users."""
+def _shared(spark, what: str) -> str:
     import uuid
 
     from ..session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/labeled_{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}_{uuid.uuid4().hex}"
+
+
+@register("load_labeled", APPEND_SQL)
+def q_load_labeled(spark, sf):
+    """A8 (+A13): append the survey rows to a labeled table in the shared folder, load all users."""
+    path = _shared(spark, "labeled")
     R.append_labeled(V.labeled_entries(spark, sf), path)
-    # the partition column is re-typed on read: keep the source type
-    return R.load_labeled(spark, path).withColumn("user_id", F.col("user_id").cast("bigint"))
+    return R.load_labeled(spark, path)
 
 
 @register("stream_labels", APPEND_SQL)
 def q_stream_labels(spark, sf):
-    """Survey rows streamed into the labeled table (deduplicated within the watermark), then read back."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    """Survey rows streamed into the labeled table, every answer kept, then read back."""
     from ..streaming import streams as ST
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_labels_{uuid.uuid4().hex}"
+    base = _shared(spark, "stream_labels")
     src = V.events_stream(spark, sf).select(
         "user_id", "event_id", F.col("ts").alias("timestamp"), F.col("value").alias("pm25"),
         F.when(F.col("value") + (F.col("event_id") * 7919) % 40 > 70, 1).otherwise(0).cast("int").alias("symptom_label"))
-    q = ST.stream_labels(spark, src, f"{base}/table", checkpoint=f"{base}/ck")
+    q = ST.stream_labels(spark, src, f"{base}/table")
     q.awaitTermination()
-    return R.load_labeled(spark, f"{base}/table").withColumn("user_id", F.col("user_id").cast("bigint"))
+    return R.load_labeled(spark, f"{base}/table")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import index as IX
@@ -161,10 +162,20 @@ means AS (SELECT cluster_id, {', '.join(f'{Q.decimal_avg(f"z{i}", 6)} AS m{i}' f
 intra AS (SELECT x.cluster_id, {Q.decimal_avg(f'sqrt({sq})', 6)} AS s FROM x JOIN means USING (cluster_id)
           GROUP BY x.cluster_id),
 cm AS (SELECT * FROM means JOIN intra USING (cluster_id)),
+sq AS (SELECT cluster_id, count(*) AS n, {Q.decimal_avg(' + '.join(f'z{i} * z{i}' for i in range(nf)), 9)} AS q,
+              {', '.join(f'{Q.decimal_avg(f"z{i}", 9)} AS m{i}' for i in range(nf))} FROM x GROUP BY cluster_id),
+xn AS (SELECT *, row_number() OVER () AS rid FROM x),
+sd AS (SELECT xn.rid, xn.cluster_id, k.cluster_id AS other, k.n,
+              greatest({' + '.join(f'xn.z{i} * xn.z{i}' for i in range(nf))} + k.q - 2.0E0 * ({' + '.join(f'xn.z{i} * k.m{i}' for i in range(nf))}), 0E0) AS d
+       FROM xn CROSS JOIN sq k),
+sp AS (SELECT rid, max(CASE WHEN other = cluster_id AND n > 1 THEN d * n / (n - 1) END) AS a, min(CASE WHEN other <> cluster_id THEN d END) AS b
+       FROM sd GROUP BY rid),
+sl AS (SELECT CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0E0 ELSE (b - a) / greatest(a, b) END AS s FROM sp),
 r AS (SELECT a.cluster_id AS i, max(CASE WHEN sqrt({sqab}) = 0 THEN NULL ELSE (a.s + b.s) / sqrt({sqab}) END) AS ri
       FROM cm a JOIN cm b ON a.cluster_id <> b.cluster_id GROUP BY a.cluster_id)
 SELECT {Q.rround('CAST(sum(CAST(d2 AS DECIMAL(38,6))) AS DOUBLE)', 2)} AS inertia,
-       (SELECT {Q.rround(Q.decimal_avg('ri', 9), 4)} FROM r) AS davies_bouldin, count(*) AS n FROM x"""
+       (SELECT {Q.rround(Q.decimal_avg('ri', 9), 4)} FROM r) AS davies_bouldin,
+       (SELECT {Q.rround(Q.decimal_avg('s', 9), 4)} FROM sl) AS silhouette, count(*) AS n FROM x"""
 
 
 @register("cluster_quality", V.with_views(_quality_sql(FIX), "measurements"))
@@ -185,16 +196,28 @@ def q_zone_statistics(spark, sf):
     return Z.zone_statistics(m, FIX)
 
 
-@register("kmeans_train")
+@register("kmeans_train", V.with_views(f"""
+SELECT z.zone, true AS has_rows, true AS rises, (SELECT count(*) FROM {DAILY_NN} d) AS n_rows, true AS quality_ok
+FROM (VALUES ('A'), ('B'), ('C'), ('D')) z(zone)""", "measurements"))
 def q_kmeans_train(spark, sf):
-    """Zone model trained on the daily station features (rows-only check)."""
-    zm = Z.train_zones(V.measurements(spark, sf))
-    return zm.to_df(spark).withColumn("inertia", F.lit(zm.meta["inertia"]))
-
-
-@register("evaluate_k")
+    """Zone model trained on the daily station features: clusters that hold rows, zones in index order, quality."""
+    from ..session import checkpoint
+    daily = checkpoint(Z.cluster_features(V.measurements(spark, sf)))
+    zm = Z.train_zones_on(daily)
+    per = Z.zone_assign(daily, zm).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), decimal_avg("ier_score", 6).alias("m"))
+    order = Window.orderBy("zone")  # K rows
+    per = per.withColumns({"rises": F.coalesce(F.col("m") >= F.lag("m").over(order), F.lit(True)),
+                           "total": F.sum("n").over(Window.partitionBy(F.lit(0)))})
+    good = -1.0 <= zm.meta["silhouette"] <= 1.0 and zm.meta["inertia"] >= 0.0
+    return per.select("zone", (F.col("n") > 0).alias("has_rows"), "rises", F.col("total").alias("n_rows"),
+                      F.lit(good).alias("quality_ok"))
+
+
+@register("evaluate_k", V.with_views(f"""
+SELECT k::INTEGER AS k, (SELECT count(*) FROM {DAILY_NN} d) AS n_rows, true AS silhouette_ok, true AS inertia_falls,
+       1::BIGINT AS n_best, true AS best_is_highest FROM range(2, 9) r(k)""", "measurements"))
 def q_evaluate_k(spark, sf):
-    """K sweep 2..8 with inertia, Davies-Bouldin, silhouette; best K flagged."""
+    """K sweep 2..8: silhouettes in range, inertia falling with K, one best K and it has the highest silhouette."""
     from ..session import checkpoint
     from ..tables import KMEANS_SWEEP
     daily = Z.cluster_features(V.measurements(spark, sf))
@@ -204,6 +227,11 @@ def q_evaluate_k(spark, sf):
     scaled = checkpoint(Z.standardize(daily))
     res = Z.evaluate_k(scaled, mean, scale, KMEANS_SWEEP)
     bk = Z.best_k(res)
-    return spark.createDataFrame([(r["k"], r["inertia"], r["davies_bouldin"], r["silhouette"], r["k"] == bk)
-                                  for r in res],
-                                 "k int, inertia double, davies_bouldin double, silhouette double, best boolean")
+    df = spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"], r["k"] == bk) for r in res],
+                               "k int, inertia double, silhouette double, best boolean")
+    every = Window.partitionBy(F.lit(0))  # seven rows
+    return df.crossJoin(scaled.agg(F.count(F.lit(1)).alias("n_rows"))).select(
+        "k", "n_rows", F.col("silhouette").between(-1.0, 1.0).alias("silhouette_ok"),
+        F.coalesce(F.col("inertia") <= F.lag("inertia").over(Window.orderBy("k")), F.lit(True)).alias("inertia_falls"),
+        F.count_if("best").over(every).alias("n_best"),
+        (F.max(F.when(F.col("best"), F.col("silhouette"))).over(every) >= F.max("silhouette").over(every)).alias("best_is_highest"))

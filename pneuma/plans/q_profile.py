@@ -138,6 +138,5 @@ FROM (SELECT count(*) AS n, {', '.join(f'CAST(count_if({c} IS NULL) AS BIGINT) A
 UNPIVOT (n_null FOR feature IN ({', '.join(STATION_FEATURES)}))""", "measurements_raw"))
 def q_null_profile_filled(spark, sf):
     """D4 after the limited interpolation (the 'after fill' profile)."""
-    from .q_clean import CHECK_BLOCK_ROWS
-    x = C.interpolate_station(C.relative_humidity(V.measurements_raw(spark, sf)), block_rows=CHECK_BLOCK_ROWS)
+    x = C.interpolate_station(C.relative_humidity(V.measurements_raw(spark, sf)))
     return PR.null_profile(x)

@@ -32,16 +32,15 @@ def q_stream_score(spark, sf):
 def q_stream_history(spark, sf):
     """Last-24 state per station; equals the batch history features (E2) on in-order input."""
     m = V.measurements_from(V.events_stream(spark, sf)).withColumn("ier_score", IX.ier_score())
-    return ST.run_to_table(spark, ST.stream_history(m), _name("stream_history"))
+    return ST.run_to_table(spark, ST.stream_history(m), _name("stream_history"), ["event_id"])
 
 
 @register("stream_daily_mean", V.with_views(f"""
-SELECT station, CAST(date AS VARCHAR) AS date, {', '.join(CLUSTER_FEATURES)} FROM {DAILY_SQL} d
-WHERE CAST(date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(datetime) FROM measurements) - INTERVAL 1 DAY""",
+SELECT station, CAST(date AS VARCHAR) AS date, {', '.join(CLUSTER_FEATURES)} FROM {DAILY_SQL} d""",
                                             "measurements"))
 def q_stream_daily(spark, sf):
-    """Watermarked daily means; the closed days equal the batch daily means."""
+    """Daily means in update mode; all days equal the batch daily means."""
     m = V.measurements_from(V.events_stream(spark, sf)).withColumn("ier_score", IX.ier_score())
-    out = ST.run_to_table(spark, ST.stream_daily_mean(m), _name("stream_daily"))
+    out = ST.run_to_table(spark, ST.stream_daily_mean(m), _name("stream_daily"), ["station", "date"])
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 

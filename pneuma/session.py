@@ -30,11 +30,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    spark = SparkSession.getActiveSession()
+    given = dict(spark.sparkContext.getConf().getAll()) if spark else {}
     for k, v in DEFAULTS.items():
-        builder = builder.config(k, v)
+        if k not in given:
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("PNEUMA_DRIVER_MEMORY", "16g"))
+    if os.environ.get("PNEUMA_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", os.environ["PNEUMA_DRIVER_MEMORY"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -44,13 +48,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it to shared storage; only when it is unset (tests, local
-    runs) a scratch folder is created and registered.
+    A cluster sets it to shared storage. Only a local session, whose tasks share the
+    driver's disk, gets a scratch folder when it is unset; any other master must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a shared folder")
         path = tempfile.mkdtemp(prefix="pneuma-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import finite_columns
 from ..tables import HEALTH_REQUIRED, STATION_KEEP, require_columns
 
 # FIXED VALUES: tokens read as missing in the CSV sources.
@@ -88,10 +89,10 @@ def save_processed(df: DataFrame, path: str, partition_by: str | None = "station
 
 
 def load_processed(spark: SparkSession, path: str) -> DataFrame:
-    """A4: read the cleaned table; a clear error when it does not exist."""
+    """A4: read the cleaned table, NaN and infinities as NULL; a clear error when it does not exist."""
     if not _list_files(spark, path):
         raise FileNotFoundError(f"processed table not found: {path}")
-    return spark.read.parquet(path)
+    return finite_columns(spark.read.parquet(path))
 
 
 def load_health_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +102,7 @@ def load_health_csv(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("header", True).csv(path)
     require_columns(df, HEALTH_REQUIRED, "health csv")
     typed = [_clean_cast(c, "string" if c == "date" else "double") for c in df.columns]
-    return df.select(*typed)
+    return finite_columns(df.select(*typed))
 
 
 def discover_health_csv(spark: SparkSession, raw_dir: str) -> list[str]:

@@ -4,11 +4,11 @@ The reference scores one reading per synchronous call with the caller
 passing the history; here a stream carries the readings:
 
 * J1 ``stream_score``: the batch Column functions on ``readStream`` (stateless).
-* J2 ``stream_history``: the last 24 readings per station kept as state
+* J2 ``stream_history``: the recent readings per station kept as state
   (``applyInPandasWithState``), giving the realtime history features.
 * J3 ``stream_daily_mean``: watermarked tumbling 1-day means per station.
 * J4 ``stream_labels``: survey rows appended to the labeled table from
-  ``foreachBatch``, deduplicated within the watermark.
+  ``foreachBatch``, one folder per epoch.
 
 Checkpoints go under the session's ``spark.checkpoint.dir`` (shared storage
 on a cluster), so a restarted query resumes where it stopped.
@@ -46,7 +46,7 @@ def stream_score(readings: DataFrame, pathologie: str = "general", bounds: Mappi
 
 def stream_daily_mean(readings: DataFrame, lateness: str = "1 day",
                       features=CLUSTER_FEATURES) -> DataFrame:
-    """Per (station, day) means; a day is emitted once the watermark passes its end."""
+    """Per (station, day) means; in update mode a day is given out with every batch that changes it."""
     # Watermarks need an instant type: the wall-clock TIMESTAMP_NTZ is read as UTC explicitly,
     # so day windows follow the readings' calendar days whatever the session time zone.
     d = F.col("datetime")
@@ -58,91 +58,113 @@ def stream_daily_mean(readings: DataFrame, lateness: str = "1 day",
             .select("station", "date", *features)
 
 
-HISTORY_STATE = T.StructType([T.StructField("pm25", T.ArrayType(T.DoubleType())),
-                              T.StructField("co", T.ArrayType(T.DoubleType())),
-                              T.StructField("humidity", T.ArrayType(T.DoubleType())),
-                              T.StructField("ier_score", T.ArrayType(T.DoubleType()))])
+_FIELDS = ["pm25", "co", "humidity", "ier_score"]
+
+HISTORY_STATE = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("id", T.ArrayType(T.LongType()))]
+                             + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in _FIELDS])
 
 HISTORY_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("station", T.StringType())]
                            + [T.StructField(n, T.DoubleType()) for n, _, _ in FX.HISTORY_SPECS])
 
+_NO_TIME = 2 ** 62
 
-def _history_fn(n: int = 24):
-    """State function: vectorised over each batch of a station (no per-row Python).
 
-    The previous ``n`` values (state) are prepended to the batch; window sums
-    come from cumulative sums of values in exact micro-units (as the DECIMAL
-    sums of the batch operator), maxima from sliding-window views.
-    """
-    import numpy as np
-    import pandas as pd
-    fields = ["pm25", "co", "humidity", "ier_score"]
+def _history_fn(n: int, late_us: int):
+    """State function, vectorised over a station's rows of one micro-batch.
 
-    def windows(vals: np.ndarray, n_prev: int):
-        m = len(vals) - n_prev
-        idx = np.arange(n_prev, n_prev + m)
-        lo = np.maximum(0, idx - n)
-        cnt = idx - lo
-        micro = np.rint(vals * 1e6).astype(np.int64)
-        cs = np.concatenate([[0], np.cumsum(micro)])
-        mean = np.where(cnt > 0, np.rint((cs[idx] - cs[lo]) / 1e6 / np.maximum(cnt, 1) * 1000.0) / 1000.0, 0.0)
-        padded = np.concatenate([np.full(n, -np.inf), vals])
-        mx = np.lib.stride_tricks.sliding_window_view(padded, n)[idx].max(axis=1)
-        mx = np.where(cnt > 0, np.rint(mx * 1000.0) / 1000.0, 0.0)
-        return mean, mx
+    State: the station's rows no older than ``late_us`` before its newest, and the ``n`` rows before those. A batch's
+    rows, in whatever order and however many Arrow chunks they come, are merged with the state by
+    (time, id); every row whose previous rows changed is given out again. Means are sums of exact micro-units.
+    """
+    specs = [(name, kind, src) for name, kind, src in FX.HISTORY_SPECS]
+    fields, no_time = list(_FIELDS), _NO_TIME
 
     def fn(key, pdfs, state):
-        prev = {f: np.array(state.get[i], dtype=float) if state.exists else np.empty(0)
-                for i, f in enumerate(fields)}
-        for pdf in pdfs:
-            pdf = pdf.sort_values(["datetime", "event_id"], kind="mergesort")
-            res = {}
-            cur = {}
-            for f in fields:
-                vals = np.concatenate([prev[f], pdf[f].astype(float).fillna(0.0).to_numpy()])
-                cur[f] = vals
-                res[f] = windows(vals, len(prev[f]))
-            out = {"event_id": pdf["event_id"].astype("int64").to_numpy(), "station": key[0]}
-            for name, fn_, src in FX.HISTORY_SPECS:
-                out[name] = res[src][0] if fn_ == "mean" else res[src][1]
-            prev = {f: cur[f][-n:] for f in fields}
-            yield pd.DataFrame(out)
-        state.update(tuple(prev[f].tolist() for f in fields))
+        import numpy as np
+        import pandas as pd
+        new = pd.concat(list(pdfs), ignore_index=True)
+        at = new["datetime"].astype("datetime64[us]")
+        new_at = np.where(at.isna(), no_time, at.astype("int64"))
+        old = state.get if state.exists else tuple([] for _ in range(2 + len(fields)))
+        at = np.concatenate([np.array(old[0], dtype=np.int64), new_at])
+        ids = np.concatenate([np.array(old[1], dtype=np.int64), new["event_id"].astype("int64").to_numpy()])
+        fresh = np.arange(len(at)) >= len(old[0])
+        vals = []
+        for i, f in enumerate(fields):
+            v = new[f].astype(float).to_numpy()
+            vals.append(np.concatenate([np.array(old[2 + i], dtype=float), np.where(np.isfinite(v), v, 0.0)]))
+        by = np.lexsort((ids, at))
+        at, ids, fresh, vals = at[by], ids[by], fresh[by], [v[by] for v in vals]
+        first = int(np.argmax(fresh))
+        idx = np.arange(first, len(at))
+        lo = np.maximum(0, idx - n)
+        count = idx - lo
+        out = {"event_id": ids[idx], "station": key[0]}
+        for name, kind, src in specs:
+            v = vals[fields.index(src)]
+            if kind == "mean":
+                total = np.concatenate([[0], np.cumsum(np.rint(v * 1e6).astype(np.int64))])
+                r = (total[idx] - total[lo]) / 1e6 / np.maximum(count, 1)
+            else:
+                padded = np.concatenate([np.full(n, -np.inf), v])
+                r = np.lib.stride_tricks.sliding_window_view(padded, n)[idx].max(axis=1)
+            out[name] = np.where(count > 0, np.rint(np.where(count > 0, r, 0.0) * 1000.0) / 1000.0, 0.0)
+        dated = at[at < no_time]
+        newest = int(dated.max()) if len(dated) else 0
+        keep = max(0, int(np.searchsorted(at, newest - late_us)) - n)
+        state.update((at[keep:].tolist(), ids[keep:].tolist(), *(v[keep:].tolist() for v in vals)))
+        # a row given out again is out of date before the first fresh one only if it stands after it
+        yield pd.DataFrame(out)
     return fn
 
 
-def stream_history(readings: DataFrame, n: int = 24) -> DataFrame:
+def stream_history(readings: DataFrame, n: int = 24, lateness_days: int = 2) -> DataFrame:
     """The six history features of each reading from the previous ``n`` readings of its station.
 
-    State per station: the last ``n`` values of pm25, co, humidity, ier_score
-    (bounded). Each micro-batch's rows of a station are ordered by
-    (datetime, event_id) before use; rows must arrive in event-time order
-    across batches.
+    Update semantics: rows may come in any order within ``lateness_days`` of the station's newest reading; when
+    a late row changes the history of later ones, those are given out again, and the last one given out counts
+    (``run_to_table`` with keys). A reading later than that has a history of what is still held.
+    State is bounded by the lateness; rows without a time come last.
     """
     x = readings.select("event_id", "station", "datetime", "pm25", "co", "humidity", "ier_score")
     return x.groupBy("station").applyInPandasWithState(
-        _history_fn(n), HISTORY_OUT, HISTORY_STATE, "append", "NoTimeout")
+        _history_fn(n, lateness_days * 86_400_000_000), HISTORY_OUT, HISTORY_STATE, "update", "NoTimeout")
 
 
-def stream_labels(spark: SparkSession, entries: DataFrame, table_path: str, lateness: str = "2 days",
-                  checkpoint: str | None = None, user_col: str = "user_id"):
-    """Append survey rows to the labeled table (partitioned by user), deduplicated on (user, timestamp)."""
-    d = (entries.withColumn("_et", F.col("timestamp").cast("timestamp")).withWatermark("_et", lateness)
-         .dropDuplicatesWithinWatermark([user_col, "_et"]).drop("_et"))
+def stream_labels(spark: SparkSession, entries: DataFrame, table_path: str, checkpoint: str | None = None,
+                  user_col: str = "user_id"):
+    """Append survey rows to the labeled table: every answer is kept, however late it comes.
 
+    Each micro-batch is one batch folder named by its epoch, so a retried epoch replaces itself. The default
+    checkpoint belongs to the table.
+    """
     def write(batch: DataFrame, epoch_id: int) -> None:
-        R.append_labeled(batch, table_path, user_col)
+        R.append_labeled(batch, table_path, user_col, batch=f"epoch-{epoch_id:012d}")
 
-    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_labels"
-    return d.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    ck = checkpoint or f"{table_path.rstrip('/')}-checkpoint"
+    return entries.writeStream.foreachBatch(write).option("checkpointLocation", ck).trigger(availableNow=True).start()
 
 
-def run_to_table(spark: SparkSession, stream_df: DataFrame, name: str, output_mode: str = "append",
+def run_to_table(spark: SparkSession, stream_df: DataFrame, name: str, keys: list[str] | None = None,
                  checkpoint: str | None = None) -> DataFrame:
-    """Run a streaming query over everything available (availableNow) into a memory table; return it."""
+    """Run a streaming query over everything available (availableNow) into Parquet in the shared folder; return it.
+
+    Each epoch is written to a folder of its own, which a retry replaces. With ``keys`` the query runs in
+    update mode and each key's row of the last epoch counts; nothing stays behind a watermark then.
+    """
     import uuid
-    ck = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_{name}_{uuid.uuid4().hex}"
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_{name}_{uuid.uuid4().hex}"
+    schema = stream_df.schema
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table/_epoch={epoch_id}")
+
+    q = (stream_df.writeStream.foreachBatch(write).outputMode("update" if keys else "append")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(schema.add("_epoch", "long") if "_epoch" not in schema.names else schema).parquet(f"{base}/table")
+    if not keys:
+        return rows.drop("_epoch")
+    others = [c for c in schema.names if c not in keys and c != "_epoch"]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("_epoch", *others)).alias("_r"))
+    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*[c for c in schema.names if c != "_epoch"])
