@@ -91,14 +91,20 @@ def score_realtime(df: DataFrame, pathologie: str = "general", bounds: Mapping |
     return add_alerts(out, recommendation_col="zone_recommendation")
 
 
-def weights_check(spark) -> DataFrame:
-    """Per pathologie, weight sum (9 digits), validity (|sum - 1| < 1e-9), feature count."""
-    from ..tables import weights_table
-    w = weights_table(spark)
-    return (w.groupBy("pathologie")
-             .agg(F.sum("weight").alias("s"), F.count("*").alias("n_features"))
-             .select("pathologie", rround("s", 9).alias("weight_sum"),
-                     (F.abs(F.col("s") - 1.0) < 1e-9).alias("valid"), "n_features"))
+def weights_check(profiles: DataFrame, col: str = "pathologie") -> DataFrame:
+    """Per pathologie that occurs in ``profiles``: profiles, weight sum (9 digits), validity (|sum - 1| < 1e-9), feature count.
+
+    Names without weights have a NULL sum and are not valid.
+    """
+    key = F.lower(F.trim(F.col(col)))
+    seen = profiles.groupBy(key.alias("pathologie")).agg(F.count(F.lit(1)).alias("n_profiles"))
+    weights = F.create_map(*[x for p, ws in IER_WEIGHTS.items()
+                             for x in (F.lit(p), F.array(*[F.lit(float(ws[f])) for f in IER_FEATURES]))])
+    w = F.element_at(weights, F.col("pathologie"))
+    total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+    return seen.select("pathologie", "n_profiles", rround(total, 9).alias("weight_sum"),
+                       F.coalesce(F.abs(total - 1.0) < 1e-9, F.lit(False)).alias("valid"),
+                       F.coalesce(F.size(w), F.lit(0)).cast("long").alias("n_features"))
 
 
 def validate_readings(df: DataFrame, required=IER_FEATURES) -> DataFrame:

@@ -48,14 +48,16 @@ def q_normalize(spark, sf):
                     IX.normalize_minmax("pm25", "pm25", {"pm25": (0.0, 100.0)}).alias("pm25_norm_custom"))
 
 
-@register("weights_check", """
-SELECT pathologie, round_even(sum(weight), 9) AS weight_sum, abs(sum(weight) - 1.0E0) < 1e-9 AS valid,
-       CAST(count(*) AS BIGINT) AS n_features
-FROM (VALUES """ + ", ".join(f"('{p}', '{f}', {Q.lit(w[f])})" for p, w in IER_WEIGHTS.items() for f in IER_FEATURES)
-    + """) AS w(pathologie, feature, weight) GROUP BY pathologie""")
+@register("weights_check", V.with_views("""
+SELECT p.pathologie, p.n_profiles, round_even(w.weight_sum, 9) AS weight_sum, coalesce(abs(w.weight_sum - 1.0E0) < 1e-9, false) AS valid,
+       coalesce(w.n_features, 0) AS n_features
+FROM (SELECT lower(trim(pathologie)) AS pathologie, count(*) AS n_profiles FROM profiles GROUP BY 1) p
+LEFT JOIN (SELECT pathologie, sum(weight) AS weight_sum, count(*) AS n_features
+           FROM (VALUES """ + ", ".join(f"('{p}', '{f}', {Q.lit(w[f])})" for p, w in IER_WEIGHTS.items() for f in IER_FEATURES)
+    + """) AS w(pathologie, feature, weight) GROUP BY pathologie) w USING (pathologie)""", "profiles"))
 def q_weights_check(spark, sf):
     from ..operators.scoring import weights_check
-    return weights_check(spark)
+    return weights_check(V.profiles(spark, sf))
 
 
 @register("risk_level", V.with_views(f"""

@@ -44,12 +44,12 @@ def _sql_argmin(ds: list[str]) -> str:
     for i in range(n - 1):
         conds = " AND ".join(f"d{i} <= d{j}" for j in range(i + 1, n))
         whens.append(f"WHEN {conds} THEN {i}")
-    return f"(CASE {' '.join(whens)} ELSE {n - 1} END)"
+    return f"(CASE WHEN d0 IS NULL THEN NULL {' '.join(whens)} ELSE {n - 1} END)"
 
 
 def _zone_of(model, cid="cluster_id"):
     parts = " ".join(f"WHEN {i} THEN '{z}'" for i, z in model.labels.items())
-    return f"COALESCE(CASE {cid} {parts} END, 'A')"
+    return f"CASE WHEN {cid} IS NOT NULL THEN COALESCE(CASE {cid} {parts} END, 'A') END"
 
 
 DAILY_SQL = f"""(SELECT station, CAST(datetime AS DATE) AS date,

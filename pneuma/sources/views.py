@@ -8,9 +8,13 @@ define the same rows and types.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import finite_columns
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -24,9 +28,34 @@ def _eid_mod(mult: int, mod: int) -> Column:
     return (F.col("event_id") * mult) % mod
 
 
+#: What a reading's missing value may look like in a file: see ``odd_values``.
+_ODD = False
+
+
+@contextmanager
+def odd_values():
+    """Inside, the readings hold NaN and infinities as files may, and are read through the sources' normalisation."""
+    global _ODD
+    _ODD = True
+    try:
+        yield
+    finally:
+        _ODD = False
+
+
+def _as_read(df: DataFrame) -> DataFrame:
+    if not _ODD:
+        return df
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    return finite_columns(df.withColumns({
+        "pm25": F.when(F.col("pm25").isNull() | (F.col("event_id") % 50 == 0), nan)
+                 .when(F.col("event_id") % 50 == 1, inf).when(F.col("event_id") % 50 == 2, -inf).otherwise(F.col("pm25")),
+        "co": F.when(F.col("co").isNull() | (F.col("event_id") % 40 == 3), nan).otherwise(F.col("co"))}))
+
+
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean hourly-ish readings, no nulls (skips the cleaning stage)."""
-    return measurements_from(read_table(spark, sf_dir, "events"))
+    return _as_read(measurements_from(read_table(spark, sf_dir, "events")))
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -55,7 +84,7 @@ def measurements_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
     eid = F.col("event_id")
     uid = F.col("user_id")
-    return ev.select(
+    return _as_read(ev.select(
         "event_id", "user_id", F.col("ts").alias("datetime"),
         _station(uid).alias("station"),
         F.when(eid % 7 == 0, None)
@@ -66,7 +95,7 @@ def measurements_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 13 == 0, None).when(eid % 101 == 1, 75.0)
          .otherwise(_eid_mod(31, 700) / 10.0 - 25.0).alias("temperature"),
         (_eid_mod(31, 700) / 10.0 - 25.0 - _eid_mod(17, 250) / 10.0).alias("dewpoint"),
-    )
+    ))
 
 
 def stations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +242,18 @@ SELECT * FROM (VALUES
 ) AS t(cluster_id, zone, pm25, co, humidity, temperature, ier_score)""",
 }
 
+#: Values that ``odd_values`` makes odd, as the NULLs that reading turns them into.
+ODD_COLUMNS = ("CASE WHEN event_id % 50 IN (0, 1, 2) THEN NULL ELSE pm25 END AS pm25, "
+               "CASE WHEN event_id % 40 = 3 THEN NULL ELSE co END AS co")
+
+
+def with_odd_values(sql: str) -> str:
+    """Oracle text over readings with the odd values missing."""
+    for name in ("measurements", "measurements_raw"):
+        sql = sql.replace(SQL_VIEWS[name], f"\nSELECT * REPLACE ({ODD_COLUMNS}) FROM ({SQL_VIEWS[name]}) odd")
+    return sql
+
+
 # Dependency order for WITH clauses.
 _VIEW_DEPS = {"stations_raw": ["measurements_raw"], "health_source": ["health_raw"]}
 

@@ -1,23 +1,28 @@
-"""Exact percentiles (both plans) and AUC against pandas / brute force."""
+"""Exact percentiles and AUC against pandas / brute force."""
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from pneuma.operators import metrics as MT
+from pneuma.operators import series
 
 
-@pytest.mark.parametrize("max_buffer", [10, 1_000_000])
-def test_percentiles_both_plans(spark, max_buffer):
+@pytest.mark.parametrize("split", [2, 1 << 18])
+@pytest.mark.parametrize("outlier", [None, 1e12])
+def test_percentiles(spark, monkeypatch, split, outlier):
+    monkeypatch.setattr(series, "SPLIT_ROWS", split)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 900), "x": rng.normal(20, 7, 900).round(2)})
     pdf.loc[::17, "x"] = np.nan
+    if outlier:
+        pdf.loc[3, "x"] = outlier
     df = spark.createDataFrame(pdf)
-    got = MT.percentiles(df, "x", [0.1, 0.5, 0.75], group="g", max_buffer_distinct=max_buffer).toPandas()
+    got = MT.percentiles(df, "x", [0.1, 0.5, 0.75], group="g").toPandas()
     for _, r in got.iterrows():
         exp = pdf.loc[pdf.g == r.g, "x"].dropna().quantile([0.1, 0.5, 0.75]).to_numpy()
         assert np.allclose([r.p0, r.p1, r.p2], exp, atol=1e-9)
-    one = MT.percentiles(df, "x", [0.25], max_buffer_distinct=max_buffer).collect()[0][0]
+    one = MT.percentiles(df, "x", [0.25]).collect()[0][0]
     assert abs(one - pdf.x.dropna().quantile(0.25)) < 1e-9
 
 

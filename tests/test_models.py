@@ -21,12 +21,39 @@ def test_kmeans_zones(spark):
     assert assigned.filter(F.col("zone").isNull()).count() == 0
 
 
-def test_silhouette_range(spark):
+def test_silhouette_over_all_rows(spark):
+    import numpy as np
+
+    from pneuma.plans.q_models import FIX
+    from pneuma.tables import CLUSTER_FEATURES
+    d = Z.cluster_features(V.measurements(spark, SF)).select(*CLUSTER_FEATURES)
+    x = Z.zone_assign(d, FIX).toPandas()
+    z = (x[FIX.features].to_numpy(float) - np.array(FIX.mean)) / np.array(FIX.scale)
+    lab = x["cluster_id"].to_numpy()
+    d2 = ((z[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)
+    scores = []
+    for i in range(len(z)):
+        same = lab == lab[i]
+        others = [d2[i][lab == c].mean() for c in set(lab) if c != lab[i]]
+        if same.sum() < 2 or not others:
+            scores.append(0.0)
+            continue
+        a, b = d2[i][same].sum() / (same.sum() - 1), min(others)
+        scores.append((b - a) / max(a, b))
+    got = Z.silhouette(d, FIX).first().silhouette
+    assert abs(got - np.mean(scores)) < 2e-4
+    one = Z.silhouette(d.limit(1), FIX).first().silhouette
+    assert one == 0.0
+
+
+def test_readings_without_all_features_have_no_zone(spark):
     from pneuma.plans.q_models import FIX
     from pneuma.tables import CLUSTER_FEATURES
-    d = Z.cluster_features(V.measurements(spark, SF))
-    s = Z.silhouette(d.select(*CLUSTER_FEATURES), FIX, sample=300)
-    assert -1.0 <= s <= 1.0
+    good = [20.0, 4.0, 33.0, 9.0, 28.0]
+    rows = [tuple(good)] + [tuple(v if i != k else bad for i, v in enumerate(good))
+                            for k in range(5) for bad in (None, float("nan"), float("inf"))]
+    out = Z.zone_assign(spark.createDataFrame(rows, ", ".join(f"{f} double" for f in CLUSTER_FEATURES)), FIX).collect()
+    assert out[0].cluster_id is not None and all(r.cluster_id is None and r.zone is None for r in out[1:])
 
 
 def test_forest_and_scoring(spark):
@@ -57,8 +84,28 @@ def test_retrain_user(spark):
     uid = lab.groupBy("user_id").count().orderBy(F.desc("count")).first().user_id
     one = lab.filter(F.col("user_id") == uid).drop("user_id")
     glob = feats.withColumn("symptom_label", (F.col("pm25") > 40).cast("int"))
-    m = CR.retrain_user(one, glob, uid, num_trees=10)
-    assert m is None or m.name == f"rf_user_{uid}"
+    few = CR.retrain_user(one.limit(20), glob, uid, num_trees=3)
+    assert not few.retrained and "20/30" in few.reason and few.model is None
+    n = one.count()
+    forced = CR.retrain_user(one, glob, uid, last_count=n, has_model=True, force=True, num_trees=3)
+    assert forced.retrained and forced.model.name == f"rf_user_{uid}" and forced.model.meta["n_user_samples"] == n
+    kept = CR.retrain_user(one, glob, uid, last_count=n, has_model=True, num_trees=3)
+    assert not kept.retrained and kept.reason.endswith("+0/10")
+
+
+@pytest.mark.slow
+def test_retrain_all_saves_models_of_due_users(spark, tmp_dir):
+    import os
+
+    from pneuma.operators import retrain as R
+    rows = [(u, i, float(i % 17 + u), i % 2) for u, n in ((1, 40), (2, 45), (3, 12)) for i in range(n)]
+    lab = spark.createDataFrame(rows, "user_id long, event_id long, pm25 double, symptom_label int")
+    path, out = os.path.join(tmp_dir, "labeled"), os.path.join(tmp_dir, "models")
+    assert {r.user_id: r.n_samples for r in R.append_labeled(lab, path).collect()} == {1: 40, 2: 45, 3: 12}
+    known = spark.createDataFrame([(2, 44, True, None)], "user_id long, n_user_samples long, has_meta boolean, trained_at timestamp_ntz")
+    meta = CR.retrain_all(spark, path, known, out, num_trees=3).collect()
+    assert [(m.model_name, m.n_user_samples, m.n_features) for m in meta] == [("rf_user_1", 40, 20)]
+    assert CR.CrisisModel.load(spark, f"{out}/model=rf_user_1").name == "rf_user_1"
 
 
 def test_model_persistence(spark, tmp_dir):
@@ -68,7 +115,13 @@ def test_model_persistence(spark, tmp_dir):
     from pneuma.plans.q_models import FIX
     FIX.save(spark, os.path.join(tmp_dir, "zones"))
     back = Z.ZoneModel.load(spark, os.path.join(tmp_dir, "zones"))
-    assert back.labels == FIX.labels and back.centroids == FIX.centroids
+    assert back.labels == FIX.labels and back.centroids == FIX.centroids and back.meta == {} and back.bounds is None
+    from dataclasses import replace
+    full = replace(FIX, meta={"k": 4, "pathologie": "asthme", "inertia": 3.5, "davies_bouldin": 0.5, "silhouette": 0.25},
+                   bounds={"pm25": (0.0, 90.0)})
+    full.save(spark, os.path.join(tmp_dir, "zones2"))
+    again = Z.ZoneModel.load(spark, os.path.join(tmp_dir, "zones2"))
+    assert again.meta == full.meta and again.bounds == full.bounds
     ts = CR.training_set(spark, "synthetic", stations=V.measurements(spark, "/root/testdata/sf0.001"), block_rows=512)
     m = CR.rf_train(ts, cross_validate=False, num_trees=5, max_depth=4)
     m.save(os.path.join(tmp_dir, "rf"), spark)

@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from pneuma.oracle import compare, duckdb_conn
+from pneuma.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(E.oracle_sql())
+catalog.load_all()
+KEYS = sorted(catalog.ORACLE)
 
 
 @pytest.fixture(scope="module")

@@ -63,15 +63,40 @@ def test_stream_score_equals_batch(spark):
     assert s.exceptAll(b.select(*s.columns)).count() == 0
 
 
-def test_stream_labels_dedup(spark, tmp_dir):
+def test_stream_labels_keeps_every_answer_once(spark, tmp_dir):
     le = V.labeled_entries(spark, SF)
-    src = os.path.join(tmp_dir, "src")
-    le.unionByName(le).write.parquet(src)  # every survey row twice
-    stream = spark.readStream.schema(le.schema).parquet(src)
-    q = ST.stream_labels(spark, stream, os.path.join(tmp_dir, "labeled"), checkpoint=os.path.join(tmp_dir, "ck"))
-    q.awaitTermination()
-    got = spark.read.parquet(os.path.join(tmp_dir, "labeled"))
-    assert got.count() == le.count()
+    src, table = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "labeled")
+    twice = le.unionByName(le.withColumn("symptom_label", 1 - F.col("symptom_label")))  # two answers at one instant
+    twice.orderBy(F.rand(3)).repartition(4).write.parquet(src)
+    stream = spark.readStream.schema(le.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.stream_labels(spark, stream, table).awaitTermination()
+    assert R.load_labeled(spark, table).count() == 2 * le.count()
+    # a retried epoch replaces its own rows; a later, late answer is added
+    R.append_labeled(spark.read.parquet(src).limit(0), table, batch="epoch-000000000000")
+    kept = R.load_labeled(spark, table).count()
+    R.append_labeled(spark.read.parquet(src).limit(5), table, batch="epoch-000000000000")
+    R.append_labeled(spark.read.parquet(src).limit(5), table, batch="epoch-000000000000")
+    assert R.load_labeled(spark, table).count() == kept + 5
+
+
+def test_stream_history_of_shuffled_files(spark, tmp_dir):
+    from pneuma.functions import features as FX
+    from pneuma.functions import index as IX
+    from pneuma.operators import features as FT
+    ev = V.read_table(spark, SF, "events")
+    src = os.path.join(tmp_dir, "shuffled")
+    ev.orderBy(F.rand(5)).repartition(5).write.parquet(src)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        m = V.measurements_from(stream).withColumn("ier_score", IX.ier_score())
+        got = ST.run_to_table(spark, ST.stream_history(m, lateness_days=60), "t_hist_shuffled", ["event_id"])
+        exp = FT.history_features(FT.with_history(V.measurements(spark, SF).withColumn("ier_score", IX.ier_score()))) \
+                .select("event_id", "station", *[n for n, _, _ in FX.HISTORY_SPECS])
+        assert got.count() == exp.count() and got.select(*exp.columns).exceptAll(exp).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_stream_history_state_across_batches(spark, tmp_dir):
@@ -86,7 +111,7 @@ def test_stream_history_state_across_batches(spark, tmp_dir):
         part.coalesce(1).write.parquet(os.path.join(src, f"week={i}"))
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
     m = V.measurements_from(stream).withColumn("ier_score", IX.ier_score())
-    got = ST.run_to_table(spark, ST.stream_history(m), "t_hist_weeks")
+    got = ST.run_to_table(spark, ST.stream_history(m), "t_hist_weeks", ["event_id"])
     batch = V.measurements(spark, "/root/testdata/sf0.01").withColumn("ier_score", IX.ier_score())
     exp = FT.history_features(FT.with_history(batch, block_rows=512)) \
             .select("event_id", "station", *[n for n, _, _ in FX.HISTORY_SPECS])
