@@ -9,7 +9,7 @@ from ..functions import index as IX
 from ..functions.exprs import decimal_avg, rround
 from ..operators import zones as Z
 from ..sources import views as V
-from ..tables import CLUSTER_FEATURES
+from ..tables import CLUSTER_FEATURES, IER_FEATURES, IER_WEIGHTS
 from . import sqlfrag as Q
 from .catalog import register
 
@@ -235,3 +235,31 @@ def q_evaluate_k(spark, sf):
         F.coalesce(F.col("inertia") <= F.lag("inertia").over(Window.orderBy("k")), F.lit(True)).alias("inertia_falls"),
         F.count_if("best").over(every).alias("n_best"),
         (F.max(F.when(F.col("best"), F.col("silhouette"))).over(every) >= F.max("silhouette").over(every)).alias("best_is_highest"))
+
+
+@register("run_batch_model", V.with_views(f"""
+SELECT event_id, ier_score, cluster_id, zone FROM {_assign_sql(SCORED, 'event_id, ier_score', FIX)} t""", "measurements"))
+def q_run_batch_model(spark, sf):
+    """P3 with a zone model: index details, then nearest centroid."""
+    from .pipelines import run_batch
+    m = V.measurements(spark, sf).select("event_id", *[f for f in CLUSTER_FEATURES if f != "ier_score"])
+    return run_batch(m, "general", zone_model=FIX).select("event_id", "ier_score", "cluster_id", "zone")
+
+
+def _learned_sql() -> str:
+    terms = " + ".join(f"{Q.lit(IER_WEIGHTS['asthme'][f])} * (CASE WHEN hi_{f} = lo_{f} THEN 0E0 ELSE "
+                       f"least(greatest(({f} - lo_{f}) / (hi_{f} - lo_{f}) * 100.0E0, 0E0), 100.0E0) END)" for f in IER_FEATURES)
+    return f"""
+WITH b AS (SELECT {', '.join(f'min({f}) AS lo_{f}, max({f}) AS hi_{f}' for f in IER_FEATURES)} FROM measurements)
+SELECT event_id, ier_score, {Q.zone_from_ier('ier_score')} AS zone FROM (
+  SELECT event_id, {Q.rround(f'least(greatest({terms}, 0E0), 100.0E0)', 2)} AS ier_score FROM measurements CROSS JOIN b) t"""
+
+
+@register("run_batch_learned_bounds", V.with_views(_learned_sql(), "measurements"))
+def q_run_batch_learned(spark, sf):
+    """Bounds learned from the table (A9, one small row per feature) carried into the index and the batch."""
+    from ..operators import profile as PR
+    from .pipelines import run_batch
+    m = V.measurements(spark, sf)
+    bounds = {r.feature: (r.min, r.max) for r in PR.feature_bounds(m).collect()}  # four rows
+    return run_batch(m, "asthme", bounds=bounds).select("event_id", "ier_score", "zone")
