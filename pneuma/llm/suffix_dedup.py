@@ -35,9 +35,10 @@ from .common import batches_by_bytes, materialize, ship
 
 LENGTH = 50
 Q = 16
-#: Text bytes per map chunk, and text bytes per bucket of stretches.
-CHUNK = 8 << 20
-BUCKET_BYTES = 16 << 20
+#: Text bytes per map chunk, text bytes per bucket of stretches, and cut-out bytes per bucket of the refinement.
+CHUNK = 2 << 20
+BUCKET_BYTES = 32 << 20
+REFINE_BYTES = 3 << 20
 #: One document in SAMPLE is looked at for frequent anchors; so many stretches there make one frequent.
 SAMPLE = 32
 FREQUENT = 400
@@ -101,7 +102,7 @@ def stretches(texts: list[bytes]):
     empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 2
     parts, group, held = [], [], 0
     for p in _pieces(texts):
-        if group and held + len(p[2]) > 2 * CHUNK:
+        if group and held + len(p[2]) > CHUNK + (CHUNK >> 1):
             parts.append(_stretch_group(group))
             group, held = [], 0
         group.append(p)
@@ -216,6 +217,26 @@ def _texts(batch):
     return [(t or "").encode() for t in batch.column(2).to_pylist()]
 
 
+def _packed(source: DataFrame) -> DataFrame:
+    """doc_id, tag and the text as zstandard bytes, for shuffles that carry whole texts."""
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches_by_bytes(it, "text", CHUNK):
+            yield pa.record_batch([batch.column(0), batch.column(1),
+                                   pa.array([squeeze(t) for t in _texts(batch)], pa.binary())], names=["doc_id", "tag", "z"])
+
+    return source.mapInArrow(run, "doc_id long, tag long, z binary")
+
+
+def _unpacked(batch):
+    """The texts of packed rows, one at a time."""
+    import zstandard
+    stretch = zstandard.ZstdDecompressor().decompress
+    return (stretch(z.as_py()) for z in batch.column(2))
+
+
 def _source(docs: DataFrame) -> DataFrame:
     """doc_id, tag (tells apart rows of one doc_id) and text."""
     text = F.coalesce(docs["text"], F.lit(""))
@@ -300,10 +321,13 @@ def _pack(doc, tag, start, count, anchor, content):
     ids = doc[first]
     docs = (len(first).to_bytes(4, "little") + np.diff(ids, prepend=0).astype("<i8").tobytes()
             + tag[first].astype("<u4").tobytes() + per.astype("<u4").tobytes())
-    body = start.astype("<u8").tobytes() if len(start) and start.max() >= 1 << 32 else start.astype("<u4").tobytes()
-    wide = b"\x01" if len(body) == 8 * len(start) else b"\x00"
+    # Starts as differences, byte plane by byte plane: the high planes are zeros and vanish in the shuffle's compression.
+    step = np.diff(start, prepend=0)
+    size = 8 if len(step) and (step.max() >= 1 << 31 or step.min() < -(1 << 31)) else 4
+    body = step.astype(f"<i{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+    wide = bytes([size])
     if anchor is None:
-        return docs, wide + body + count.astype("<u8").tobytes()
+        return docs, wide + body + count.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
     five = np.ascontiguousarray(content.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
     return docs, wide + body + count.astype(np.uint8).tobytes() + _six(anchor) + five
 
@@ -316,11 +340,16 @@ def _unpack(docs: bytes, rows: bytes, named: bool):
     per = np.frombuffer(docs, "<u4", n, 4 + 12 * n).astype(np.int64)
     total = int(per.sum())
     doc, tag = np.repeat(ids, per), np.repeat(tags, per)
-    size = 8 if rows[0] else 4
-    start = np.frombuffer(rows, f"<u{size}", total, 1).astype(np.int64)
+    size = rows[0]
+
+    def planes(at: int, size: int):
+        raw = np.frombuffer(rows, np.uint8, size * total, at).reshape(size, total).T
+        return np.ascontiguousarray(raw).reshape(-1).view(f"<i{size}").astype(np.int64)
+
+    start = np.cumsum(planes(1, size))
     at = 1 + size * total
     if not named:
-        return doc, tag, start, np.frombuffer(rows, "<u8", total, at).astype(np.int64)
+        return doc, tag, start, planes(at, 8)
     count = np.frombuffer(rows, np.uint8, total, at).astype(np.int64)
     anchor = _unsix(rows[at + total:at + 7 * total])
     five = np.zeros((total, 8), dtype=np.uint8)
@@ -344,17 +373,19 @@ def _settle(dealt: DataFrame, buckets: int) -> DataFrame:
                                     pa.array(np.full(len(doc), kind, np.int32))],
                                    names=["doc_id", "tag", "start", "n", "anchor", "kind"])
 
-        parts = []
+        parts: dict[int, list] = {}
         for batch in it:
-            for kind, docs, rows in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            for b, kind, docs, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind != OPEN:
                     yield table(kind, *_unpack(docs, rows, False))
                 else:
-                    parts.append(_unpack(docs, rows, True))
-        if not parts:
-            return
-        doc, tag, start, count, anchor, content = (np.concatenate(x) for x in zip(*parts))
-        parts.clear()
+                    parts.setdefault(b, []).append((docs, rows))
+        for b in sorted(parts):
+            one = [_unpack(docs, rows, True) for docs, rows in parts.pop(b)]
+            yield from settle(table, *(np.concatenate(x) for x in zip(*one)))
+
+    def settle(table, doc, tag, start, count, anchor, content):
+        import numpy as np
         by = np.lexsort((doc, content, anchor))
         doc, tag, start, count, anchor, content = (x[by] for x in (doc, tag, start, count, anchor, content))
         new_anchor = np.ones(len(doc), dtype=bool)
@@ -362,8 +393,7 @@ def _settle(dealt: DataFrame, buckets: int) -> DataFrame:
         new = new_anchor.copy()
         new[1:] |= content[1:] != content[:-1]
         group = np.cumsum(new) - 1
-        least = doc[np.nonzero(new)[0]][group]
-        gone = doc > least
+        gone = doc > doc[np.nonzero(new)[0]][group]
         of_anchor = np.cumsum(new_anchor) - 1
         firsts = np.nonzero(new_anchor)[0]
         contents = np.add.reduceat(new, firsts)
@@ -372,136 +402,138 @@ def _settle(dealt: DataFrame, buckets: int) -> DataFrame:
         # Several equal stretches of the smallest document are all kept open: each has its own place.
         for some, kind in ((gone, GONE), (open_, OPEN)):
             i = np.nonzero(some)[0]
-            for k in range(0, len(i), 200_000):
-                j = i[k:k + 200_000]
+            for k in range(0, len(i), 100_000):
+                j = i[k:k + 100_000]
                 yield table(kind, doc[j], tag[j], start[j], count[j], anchor[j] if kind == OPEN else None)
 
     return dealt.repartition(buckets, "bucket").mapInArrow(run, f"{_SPAN}, anchor long, kind int")
 
 
-def _cut_contents(source: DataFrame, open_: DataFrame, buckets: int) -> DataFrame:
-    """The bytes of open stretches, packed per (chunk, bucket) of their anchors."""
+def _cut_contents(packed: DataFrame, spans: DataFrame, buckets: int) -> DataFrame:
+    """The bytes of open and of frequent stretches, packed per (chunk, bucket, kind); written once."""
     def run(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        for batch in batches_by_bytes(it, "text", CHUNK):
-            doc, tag, start, count, anchor, bytes_ = [], [], [], [], [], []
-            for d, t, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch),
-                                         batch.column(3).to_pylist()):
-                for s in spans:
+        for batch in batches_by_bytes(it, "z", CHUNK >> 1):
+            doc, tag, start, count, anchor, kind, bytes_ = [], [], [], [], [], [], []
+            for d, t, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _unpacked(batch),
+                                       batch.column(3).to_pylist()):
+                for x in own:
                     doc.append(d)
                     tag.append(t)
-                    start.append(s["start"])
-                    count.append(s["n"])
-                    anchor.append(s["anchor"])
-                    bytes_.append(text[s["start"]:s["start"] + s["n"] + LENGTH - 1])
+                    start.append(x["start"])
+                    count.append(x["n"])
+                    anchor.append(x["anchor"] or 0)
+                    kind.append(x["kind"])
+                    bytes_.append(text[x["start"]:x["start"] + x["n"] + LENGTH - 1])
             if not doc:
                 continue
+            doc, tag, start, count, kind = (np.array(x, dtype=np.int64) for x in (doc, tag, start, count, kind))
             bucket = (_mix(np.array(anchor, dtype=np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
-            doc, tag, start, count = (np.array(x, dtype=np.int64) for x in (doc, tag, start, count))
+            bucket[kind == FREQUENT_KIND] = doc[0] % buckets
+            order = np.lexsort((start, tag, doc, kind, bucket))
+            group = bucket[order] * 4 + kind[order]
+            edges = np.nonzero(np.diff(group, prepend=-1))[0]
             out = []
             for i, e in enumerate(edges):
-                rows = order[e:edges[i + 1] if i + 1 < len(edges) else None]
-                by = rows[np.lexsort((start[rows], tag[rows], doc[rows]))]
-                out.append((int(bucket[e]), OPEN, *_pack(doc[by], tag[by], start[by], count[by], None, None),
+                by = order[e:edges[i + 1] if i + 1 < len(edges) else None]
+                out.append((int(bucket[by[0]]), int(kind[by[0]]), *_pack(doc[by], tag[by], start[by], count[by], None, None),
                             b"".join(bytes_[j] for j in by)))
             cols = list(zip(*out))
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()),
                                    *(pa.array(c, pa.binary()) for c in cols[2:])],
                                   names=["bucket", "kind", "docs", "rows", "bytes"])
 
-    lists = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("spans"))
-    return (source.join(lists.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "spans")
-            .mapInArrow(run, f"{_ROW}, bytes binary"))
+    lists = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "anchor", "kind")).alias("spans"))
+    return materialize(packed.join(lists.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "z", "spans")
+                       .mapInArrow(run, f"{_ROW}, bytes binary"), "stretches")
 
 
 def _refine_buckets(cut: DataFrame, buckets: int) -> DataFrame:
     """Removed position ranges of the open stretches, by refinement inside each bucket."""
     def run(it: Iterator) -> Iterator:
+        parts: dict[int, list] = {}
+        for batch in it:
+            for b, docs, rows, raw in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                parts.setdefault(b, []).append((docs, rows, raw))
+        for b in sorted(parts):
+            yield from one_bucket(parts.pop(b))
+
+    def one_bucket(parts: list) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        parts, data = [], []
-        for batch in it:
-            for docs, rows, raw in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                parts.append(_unpack(docs, rows, False))
-                data.append(raw)
-        if not parts:
-            return
-        doc, tag, start, count = (np.concatenate(x) for x in zip(*parts))
-        flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+        doc, tag, start, count = (np.concatenate(x) for x in zip(*(_unpack(d, r, False) for d, r, _ in parts)))
+        flat = np.frombuffer(b"".join(raw for _, _, raw in parts), dtype=np.uint8)
         size = count + LENGTH - 1
         begin = np.cumsum(size) - size
-        total = int(count.sum())
-        inside = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(begin, count) + inside
+        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         row = np.repeat(np.arange(len(count)), count)
-        bucket = refine(flat, LENGTH)[at]
+        bucket = refine(flat, LENGTH)[begin[row] + inside]
         least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, bucket, doc[row])
         gone = np.nonzero(doc[row] > least[bucket])[0]
-        if not len(gone):
-            return
-        d, t, s = doc[row][gone], tag[row][gone], start[row][gone] + inside[gone]
-        by = np.lexsort((s, t, d))
-        out = _runs(d[by], t[by], s[by], np.ones(len(by), np.int64))
-        yield pa.record_batch([pa.array(x) for x in out], names=["doc_id", "tag", "start", "n"])
+        if len(gone):
+            d, t, s = doc[row][gone], tag[row][gone], start[row][gone] + inside[gone]
+            by = np.lexsort((s, t, d))
+            out = _runs(d[by], t[by], s[by], np.ones(len(by), np.int64))
+            yield pa.record_batch([pa.array(x) for x in out], names=["doc_id", "tag", "start", "n"])
 
-    return cut.repartition(buckets, "bucket").mapInArrow(run, _SPAN)
+    return cut.where(F.col("kind") == OPEN).repartition(buckets, "bucket").mapInArrow(run, _SPAN)
 
 
-def _frequent_positions(source: DataFrame, open_: DataFrame) -> DataFrame:
+def _frequent_positions(cut: DataFrame) -> DataFrame:
     """Removed ranges of the frequent anchors' stretches: grouped minima over hashed positions, map-side first."""
     def run(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        for batch in batches_by_bytes(it, "text", CHUNK):
-            for d, t, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch),
-                                         batch.column(3).to_pylist()):
-                for s in spans:
-                    a, b = position_hashes(text[s["start"]:s["start"] + s["n"] + LENGTH - 1])
-                    n = len(a)
-                    yield pa.record_batch([
-                        pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(n, d, np.int64)),
-                        pa.array(np.full(n, t, np.int64)), pa.array(s["start"] + np.arange(n))],
-                        names=["a", "b", "doc_id", "tag", "start"])
-
-    lists = open_.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    named = materialize(source.join(lists.hint("shuffle_hash"), ["doc_id", "tag"])
-                        .select("doc_id", "tag", "text", "spans")
-                        .mapInArrow(run, "a long, b long, doc_id long, tag long, start long"), "frequent-positions")
+        for batch in it:
+            for docs, rows, raw in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                doc, tag, start, count = _unpack(docs, rows, False)
+                size = count + LENGTH - 1
+                row = np.repeat(np.arange(len(count)), count)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = (np.cumsum(size) - size)[row] + inside
+                a, b = position_hashes(raw)
+                yield pa.record_batch([pa.array(x) for x in (a[at].view(np.int64), b[at].view(np.int64), doc[row], tag[row],
+                                                             start[row] + inside)], names=["a", "b", "doc_id", "tag", "start"])
+
+    named = cut.where(F.col("kind") == FREQUENT_KIND).mapInArrow(run, "a long, b long, doc_id long, tag long, start long")
     least = named.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     return (named.join(least, ["a", "b"]).where("doc_id > least")
             .select("doc_id", "tag", "start", F.lit(1).cast("long").alias("n")))
 
 
-def removed_positions(source: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def removed_positions(source: DataFrame, packed: DataFrame, bucket_bytes: int = BUCKET_BYTES,
+                      refine_bytes: int = REFINE_BYTES, sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """Ranges of positions (doc_id, tag, start, n) whose LENGTH bytes also start in a smaller document."""
     spark = source.sparkSession
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
-    hot = frequent_anchors(source)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-total // bucket_bytes))
+    hot = frequent_anchors(source, sample, frequent)
     settled = materialize(_settle(_deal(source, buckets, hot), buckets), "settled")
-    removed = settled.where(F.col("kind") == GONE).select("doc_id", "tag", "start", "n")
-    open_ = settled.where(F.col("kind") == OPEN)
-    found = removed.union(_refine_buckets(_cut_contents(source, open_, buckets), buckets))
-    if hot:
-        found = found.union(_frequent_positions(source, settled.where(F.col("kind") == FREQUENT_KIND)))
-    return found
+    open_bytes = settled.where(F.col("kind") == OPEN).agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
+    fine = max(least, -(-open_bytes // refine_bytes))
+    cut = _cut_contents(packed, settled.where(F.col("kind") != GONE), fine)
+    found = settled.where(F.col("kind") == GONE).select("doc_id", "tag", "start", "n").union(_refine_buckets(cut, fine))
+    return found.union(_frequent_positions(cut)) if hot else found
+
 
+def dedup(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges, one row per row of ``docs``.
 
-def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte ranges, one row per row of ``docs``."""
+    ``options`` are those of ``removed_positions``; they change the way, never the result.
+    """
     ship(docs.sparkSession)
     source = _source(docs)
+    packed = _packed(source)
 
     def run(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        for batch in batches_by_bytes(it, "text", CHUNK):
+        for batch in batches_by_bytes(it, "z", CHUNK):
             out = []
-            for d, text, starts, counts in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(3), batch.column(4)):
+            for d, text, starts, counts in zip(batch.column(0).to_pylist(), _unpacked(batch), batch.column(3), batch.column(4)):
                 if starts.values is None or not len(starts.values):
                     out.append((d, len(text), 0, 0, hashlib.sha256(text).hexdigest(), []))
                     continue
@@ -525,9 +557,9 @@ def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)],
                                   names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    spans = removed_positions(source, bucket_bytes).groupBy("doc_id", "tag").agg(
+    spans = removed_positions(source, packed, **options).groupBy("doc_id", "tag").agg(
         F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
-    return (source.join(spans.hint("shuffle_hash"), ["doc_id", "tag"], "left")
-            .select("doc_id", "tag", "text", "starts", "counts")
+    return (packed.join(spans.hint("shuffle_hash"), ["doc_id", "tag"], "left")
+            .select("doc_id", "tag", "z", "starts", "counts")
             .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                              "removed array<struct<start:long,end:long>>"))
