@@ -93,7 +93,7 @@ class Codec:
         self.lens = lens
         self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if width else lens
         self.bytes = np.frombuffer(b"".join(self.token_of.get(r, b"") for r in range(width)), dtype=np.uint8)
-        self.texts = TextEncoder(pattern, self._encode_words)
+        self.texts = TextEncoder(pattern, self._encode_word)
 
     @classmethod
     def get(cls, path: str, pattern: str) -> "Codec":
@@ -102,12 +102,12 @@ class Codec:
             cls._built[key] = cls(load_ranks(path), pattern)
         return cls._built[key]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        mapped = [w.encode().decode("latin-1").translate(self.chars) for w in words]
-        ids = self.sp.encode(mapped, num_threads=1)
-        if not self.identity:
-            ids = [[self.rank_of_piece[i] for i in x] for x in ids]
-        return [array("I", x).tobytes() for x in ids]
+    def _merge(self, word: bytes) -> list[int]:
+        ids = self.sp.encode(word.decode("latin-1").translate(self.chars), num_threads=1)
+        return ids if self.identity else [self.rank_of_piece[i] for i in ids]
+
+    def _encode_word(self, word: str) -> bytes:
+        return array("I", self._merge(word.encode())).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

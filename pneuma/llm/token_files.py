@@ -157,20 +157,28 @@ _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
 def text_encoder(path: str, pattern: str) -> TextEncoder:
-    """The tokenizers library behind the piece caches; special tokens' strings in a text are ordinary text."""
+    """The tokenizers library's BPE model behind the piece caches.
+
+    ``pattern`` cuts pre-tokens as the file's byte-level pre-tokeniser does, the model merges them. Special
+    tokens' strings in a text are ordinary text.
+    """
     if (path, pattern) not in _ENCODERS:
-        import os
+        import json
         from array import array
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
         from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
 
-        def words(ws: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for i in range(0, len(ws), 50_000)
-                    for e in t.encode_batch_fast(ws[i:i + 50_000], add_special_tokens=False)]
+        from .bpe import byte_chars
+        tokenizer = Tokenizer.from_file(path)
+        step = json.loads(tokenizer.to_str())
+        if (step["pre_tokenizer"] or {}).get("type") != "ByteLevel" or step["normalizer"]:
+            raise ValueError("a byte-level vocabulary without normaliser is expected")
+        merge, chars = tokenizer.model.tokenize, dict(enumerate(byte_chars()))
+
+        def word(w: str) -> bytes:
+            return array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(chars))]).tobytes()
 
-        _ENCODERS[path, pattern] = TextEncoder(pattern, words)
+        _ENCODERS[path, pattern] = TextEncoder(pattern, word)
     return _ENCODERS[path, pattern]
 
 

@@ -8,6 +8,7 @@ equal pieces are encoded once. White-space runs stay whole inside their piece.
 
 from __future__ import annotations
 
+import gc
 import re
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -25,81 +26,64 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text)
 
 
-class RecentCache:
-    """Values of keys seen lately: at most about twice ``limit`` entries, in two generations.
+class RecentCache(dict):
+    """Values of keys seen lately, made on first use: at most about twice ``limit`` entries, in two generations.
 
     A full young generation becomes the old one; what is still used moves over. Losing an
-    entry costs time but changes no result.
+    entry costs time but changes no result. Very long keys are not kept.
     """
 
-    def __init__(self, limit: int):
+    def __init__(self, make, limit: int, old: dict | None = None):
+        super().__init__()
+        self.make = make
         self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def turn(self) -> None:
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-
-    def fill(self, wanted: set, make) -> list[str]:
-        """Make all wanted keys present in ``young``; returns the new long ones, to be forgotten after use."""
-        missing = wanted.difference(self.young)
-        if not missing:
-            return []
-        if self.old:
-            found = missing.intersection(self.old)
-            self.young.update((k, self.old[k]) for k in found)
-            missing -= found
-        new = list(missing)
-        if new:
-            self.young.update(zip(new, make(new)))
-        return [k for k in new if len(k) > CACHED_CHARS]
-
-    def forget(self, keys: list[str]) -> None:
-        for k in keys:
-            self.young.pop(k, None)
+        self.old = {} if old is None else old
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_CHARS:
+            self[key] = value
+        return value
+
+    def turned(self) -> "RecentCache":
+        if len(self) <= self.limit:
+            return self
+        self.old = {}
+        return RecentCache(self.make, self.limit, self)
 
 
 class TextEncoder:
-    """Ids of whole texts from ``encode_words(list of pre-tokens) -> list of uint32 bytes``."""
+    """Ids of whole texts from ``encode_word(pre-token) -> uint32 ids as bytes``."""
 
-    def __init__(self, pattern: str, encode_words, max_pieces: int = 200_000, max_words: int = 500_000):
+    def __init__(self, pattern: str, encode_word, max_pieces: int = 300_000, max_words: int = 400_000):
         import regex
         self.pattern = regex.compile(pattern)
-        self.encode_words = encode_words
-        self.head = RecentCache(max_pieces // 10)
-        self.tail = RecentCache(max_pieces)
-        self.words = RecentCache(max_words)
+        self.words = RecentCache(encode_word, max_words)
+        self.head = RecentCache(lambda p: self._piece(p, p), max_pieces // 10)
+        self.tail = RecentCache(lambda p: self._piece(p, " " + p), max_pieces)
 
-    def _words_of(self, piece: str, led: bool) -> list[str]:
-        """The pattern's matches in a piece; plain words, with or without one end mark, need no regex."""
+    def _piece(self, piece: str, led: str) -> bytes:
+        """Plain words, with or without one end mark, need no regex."""
         if piece.isalpha():
-            return [" " + piece if led else piece]
+            return self.words[led]
         if piece[-1:] in _SIMPLE_END and piece[:-1].isalpha():
-            return [" " + piece[:-1] if led else piece[:-1], piece[-1]]
-        return self.pattern.findall(" " + piece if led else piece)
-
-    def _encode_pieces(self, pieces: list[str], led: bool) -> list[bytes]:
-        split = [self._words_of(p, led) for p in pieces]
-        long = self.words.fill({w for ws in split for w in ws}, self.encode_words)
-        get = self.words.young.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        self.words.forget(long)
-        return out
+            return self.words[led[:-1]] + self.words[piece[-1]]
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(led)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for c in (self.head, self.tail, self.words):
-            c.turn()
-        parts = [cut(t) for t in texts]
-        heads, tails = set(), set()
-        for p in parts:
-            heads.add(p[0])
-            tails.update(p[1:])
-        long_heads = self.head.fill(heads, lambda ps: self._encode_pieces(ps, False))
-        long_tails = self.tail.fill(tails, lambda ps: self._encode_pieces(ps, True))
-        head, tail = self.head.young, self.tail.young.__getitem__
-        out = [head[p[0]] + b"".join(map(tail, p[1:])) for p in parts]
-        self.head.forget(long_heads)
-        self.tail.forget(long_tails)
-        return out
+        collecting = gc.isenabled()
+        gc.disable()  # the caches hold no cycles, and walking them is dear
+        try:
+            self.head, self.tail, self.words = self.head.turned(), self.tail.turned(), self.words.turned()
+            head, tail = self.head, self.tail.__getitem__
+            out = []
+            for t in texts:
+                first, *rest = cut(t)
+                out.append(head[first] + b"".join(map(tail, rest)))
+            return out
+        finally:
+            if collecting:
+                gc.enable()
