@@ -23,6 +23,7 @@ from . import labels as L
 from . import metrics as MT
 from . import scoring as S
 from . import series
+from . import user_forest as UF
 
 
 @dataclass
@@ -277,34 +278,40 @@ def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id
     return RetrainResult(user_id, True, row.reason, int(row.n_samples), m)
 
 
-def retrain_all(spark, labeled_path: str, models_meta: DataFrame, out_path: str, global_rows: DataFrame | None = None,
-                force: bool = False, num_trees: int = RF_TREES, max_parallel: int = 4) -> DataFrame:
-    """Decide for every user in one job (I1), fit the eligible users' forests, save each under ``out_path``.
+def retrain_all(labeled: DataFrame, models: DataFrame, global_rows: DataFrame | None = None, force: bool = False,
+                num_trees: int = RF_TREES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Decide for every user (I1), then train all due users' forests in one job.
 
-    Decisions are a stored table; due users stream from it one at a time, and no more than ``max_parallel`` fits are under way.
-    A fit reads only its user's bucket of the labeled table, its model is saved and let go, so the driver
-    holds neither users nor models. Returns the meta rows of the models written.
+    ``labeled``: stored survey features (user_id, event_id, features, symptom_label). Returns the decisions and the
+    model rows (see ``user_forest.train_users``): two tables, nothing on the driver. Users too large for a group
+    are in ``user_forest.large_users`` of the due rows and go through ``retrain_user``.
     """
-    from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+    from .retrain import should_retrain
+    decisions = should_retrain(labeled, models)
+    due = decisions.filter(F.lit(force) | F.col("retrain")).select("user_id")
+    rows = labeled.join(due, "user_id", "left_semi").withColumn("own", F.lit(True))
+    if global_rows is not None:
+        both = L.augment_global(rows.drop("own"), global_rows)
+        rows = both.withColumn("own", F.col("source") == "user").drop("source")
+    feats = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in rows.columns else F.lit(0.0).alias(f)
+             for f in FEATURE_NAMES]
+    return decisions, UF.train_users(rows.select("user_id", "event_id", *feats, "symptom_label", "own"), num_trees, seed=seed)
 
-    from ..session import checkpoint
-    from .retrain import load_labeled, should_retrain
-    due = checkpoint(should_retrain(load_labeled(spark, labeled_path), models_meta)
-                     .filter(F.lit(force) | F.col("retrain")).select("user_id"))
-
-    def one(u) -> None:
-        r = retrain_user(load_labeled(spark, labeled_path, u).drop("user_id"), global_rows, u, force=True, num_trees=num_trees)
-        if r.model is not None:
-            r.model.save(f"{out_path.rstrip('/')}/model=rf_user_{u}", spark)
-
-    with ThreadPoolExecutor(max_workers=max_parallel) as ex:
-        running = set()
-        for row in due.toLocalIterator():
-            if len(running) >= max_parallel:
-                done, running = wait(running, return_when=FIRST_COMPLETED)
-                for f in done:
-                    f.result()
-            running.add(ex.submit(one, row.user_id))
-        for f in running:
-            f.result()
-    return spark.read.option("recursiveFileLookup", True).schema(META_SCHEMA).parquet(f"{out_path.rstrip('/')}/*/meta")
+
+def crisis_batch_routed(readings: DataFrame, user_models: DataFrame, global_model: CrisisModel | None = None) -> DataFrame:
+    """H12 with the lookup chain: the reading's user model, else the global forest, else the index heuristic.
+
+    Adds proba_crisis, alert_level, should_notify and model_used to every reading (event_id, user_id, the 20 features).
+    """
+    mine = UF.score_users(readings, user_models)
+    x = readings.join(mine, "event_id", "left")
+    if global_model is not None:
+        rest = probability_col(global_model.model.transform(_assemble(x)), "_g").drop("features", "rawPrediction", "probability", "prediction")
+        other, name = F.col("_g"), global_model.name
+    else:
+        rest, other, name = x, A.crisis_heuristic_base("ier_score"), "heuristic_fallback"
+    p = F.coalesce(F.col("_p"), other)
+    used = F.when(F.col("_p").isNotNull(), F.concat(F.lit("rf_user_"), F.col("user_id").cast("string"))).otherwise(F.lit(name))
+    return rest.withColumn("_q", p).withColumns({
+        "proba_crisis": rround("_q", 4), "alert_level": A.crisis_alert_level("_q"), "should_notify": A.crisis_notify("_q"),
+        "model_used": used}).drop("_p", "_q", "_g")

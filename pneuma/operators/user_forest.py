@@ -1,0 +1,154 @@
+"""Many small per-user forests in one Spark job (I4, P7) and scoring with them.
+
+A user has tens to hundreds of survey rows, so one distributed Spark ML fit per user would be all
+overhead. Here users are groups: each group's rows meet in one task, which grows that user's
+trees with numpy and returns one model row. Users with more than ``MAX_GROUP_ROWS`` rows are left out of the groups
+and named by ``large_users``; they go through the distributed forest, one by one.
+Scoring meets readings and model rows in co-groups of (user, salt), so a busy user's readings are many groups.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..tables import FEATURE_NAMES, MIN_SAMPLES_USER, RF_MAX_DEPTH, RF_MIN_LEAF, RF_TREES, SEED
+
+MAX_GROUP_ROWS = 50_000
+NODES = "array<struct<feature:int,threshold:double,left:int,right:int,p:double>>"
+
+
+def grow_tree(x, y, w, rng, max_depth: int, min_leaf: int) -> list[tuple]:
+    """Nodes (feature or -1, threshold, left, right, weighted share of class 1) of one tree on a bootstrap sample."""
+    import numpy as np
+    rows = rng.integers(0, len(y), len(y))
+    x, y, w = x[rows], y[rows], w[rows]
+    n_try = max(1, int(math.sqrt(x.shape[1])))
+    nodes: list[list] = []
+
+    def best_split(at):
+        found = None
+        for f in rng.permutation(x.shape[1])[:n_try]:
+            by = at[np.argsort(x[at, f], kind="stable")]
+            v, total, ones = x[by, f], np.cumsum(w[by]), np.cumsum(w[by] * y[by])
+            cut = np.nonzero(v[1:] > v[:-1])[0]
+            cut = cut[(cut + 1 >= min_leaf) & (len(at) - cut - 1 >= min_leaf)]
+            if not len(cut):
+                continue
+            a, b, c, d = total[cut], ones[cut], total[-1] - total[cut], ones[-1] - ones[cut]
+            impurity = 2 * (b * (a - b) / a + d * (c - d) / c)
+            k = int(np.argmin(impurity))
+            if found is None or impurity[k] < found[0]:
+                found = (impurity[k], int(f), float((v[cut[k]] + v[cut[k] + 1]) / 2))
+        return found
+
+    def build(at, depth: int) -> int:
+        me, p = len(nodes), float((w[at] * y[at]).sum() / w[at].sum())
+        nodes.append([-1, 0.0, -1, -1, p])
+        split = best_split(at) if depth < max_depth and 0.0 < p < 1.0 else None
+        if split:
+            _, f, t = split
+            left = x[at, f] <= t
+            nodes[me][:2] = [f, t]
+            nodes[me][2] = build(at[left], depth + 1)
+            nodes[me][3] = build(at[~left], depth + 1)
+        return me
+
+    build(np.arange(len(y)), 0)
+    return [tuple(n) for n in nodes]
+
+
+def forest_scores(nodes, roots, x):
+    """Mean of the trees' class-1 shares for each row of ``x``."""
+    import numpy as np
+    feature, threshold, left, right, p = (np.array([n[i] for n in nodes]) for i in range(5))
+    at = np.tile(np.array(roots), (len(x), 1))
+    while True:
+        f = feature[at]
+        inner = f >= 0
+        if not inner.any():
+            return p[at].mean(axis=1)
+        low = np.take_along_axis(x, np.maximum(f, 0), axis=1) <= threshold[at]
+        at = np.where(inner, np.where(low, left[at], right[at]), at)
+
+
+def _fit(x, y, rng, n_trees: int, max_depth: int, min_leaf: int):
+    import numpy as np
+    share = y.mean()
+    w = np.where(y == 1, 0.5 / max(share, 1e-12), 0.5 / max(1 - share, 1e-12))  # balanced classes
+    nodes, roots = [], []
+    for _ in range(n_trees):
+        base = len(nodes)
+        roots.append(base)
+        nodes += [(f, t, a + base if a >= 0 else a, b + base if b >= 0 else b, p)
+                  for f, t, a, b, p in grow_tree(x, y, w, rng, max_depth, min_leaf)]
+    return nodes, roots
+
+
+def large_users(rows: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Users whose rows do not fit one group (at most one per ``max_rows`` rows of the table)."""
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_rows).select("user_id")
+
+
+def train_users(rows: DataFrame, n_trees: int = RF_TREES, max_depth: int = RF_MAX_DEPTH, min_leaf: int = RF_MIN_LEAF,
+                seed: int = SEED, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """One model row per user of ``rows`` (user_id, event_id, 20 features, symptom_label, own).
+
+    user_id, model_name, n_samples, n_user_samples (rows with own = true), positive_rate, auc_roc (null if the test part
+    has one class), nodes, roots. A stratified fifth of the rows, in hash order, is the test part. Users with fewer than 30 rows or more
+    than ``max_rows`` have no row.
+    """
+    names, least = list(FEATURE_NAMES), MIN_SAMPLES_USER
+    kind = dict(rows.dtypes)["user_id"]
+
+    def fit(key, pdf):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+        if len(pdf) < least:
+            return pd.DataFrame(columns=["user_id", "model_name", "n_samples", "n_user_samples", "positive_rate", "auc_roc", "nodes", "roots"])
+        pdf = pdf.sort_values(["_h", "event_id", "own"], kind="stable")
+        y = pdf["symptom_label"].to_numpy(dtype=int)
+        x = pdf[names].to_numpy(dtype=float)
+        rank = pd.Series(y).groupby(y).cumcount().to_numpy()
+        test = rank % 5 == 4
+        rng = np.random.default_rng(zlib.crc32(f"{seed}:{key[0]}".encode()))
+        nodes, roots = _fit(x[~test], y[~test], rng, n_trees, max_depth, min_leaf)
+        p, t = forest_scores(nodes, roots, x[test]), y[test]
+        ones, zeros = p[t == 1], p[t == 0]
+        auc = None
+        if len(ones) and len(zeros):
+            auc = float(((ones[:, None] > zeros).sum() + 0.5 * (ones[:, None] == zeros).sum()) / (len(ones) * len(zeros)))
+        return pd.DataFrame([{"user_id": key[0], "model_name": f"rf_user_{key[0]}", "n_samples": len(y), "n_user_samples": int(pdf["own"].sum()),
+                              "positive_rate": round(float(y.mean()), 4), "auc_roc": auc,
+                              "nodes": [dict(zip(("feature", "threshold", "left", "right", "p"), n)) for n in nodes], "roots": roots}])
+
+    small = rows.join(large_users(rows, max_rows), "user_id", "left_anti").select(
+        "user_id", "event_id", "own", "symptom_label", *names, F.xxhash64(F.col("event_id").cast("string"), F.lit(seed)).alias("_h"))
+    return small.groupBy("user_id").applyInPandas(
+        fit, f"user_id {kind}, model_name string, n_samples long, n_user_samples long, positive_rate double, auc_roc double, "
+             f"nodes {NODES}, roots array<int>")
+
+
+def score_users(readings: DataFrame, models: DataFrame, key: str = "event_id", salts: int = 16) -> DataFrame:
+    """(key, _p): class-1 probability of each reading of a user with a model row.
+
+    A reading without a key gets no row; readings are dealt over ``salts`` groups per user.
+    """
+    names = list(FEATURE_NAMES)
+    kinds = dict(readings.dtypes)
+    r = readings.where(F.col(key).isNotNull()).select("user_id", F.pmod(F.xxhash64(key), F.lit(salts)).alias("_s"), key, *[
+        F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in names])
+    m = models.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_s"), "nodes", "roots")
+
+    def score(group, mine):
+        import pandas as pd
+        if not len(group) or not len(mine):
+            return pd.DataFrame({key: [], "_p": []})
+        nodes = [(n["feature"], n["threshold"], n["left"], n["right"], n["p"]) for n in mine["nodes"].iloc[0]]
+        return pd.DataFrame({key: group[key], "_p": forest_scores(nodes, list(mine["roots"].iloc[0]), group[names].to_numpy(dtype=float))})
+
+    return r.groupBy("user_id", "_s").cogroup(m.groupBy("user_id", "_s")).applyInPandas(score, f"{key} {kinds[key]}, _p double")

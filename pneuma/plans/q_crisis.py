@@ -240,3 +240,54 @@ def q_retrain_user(spark, sf):
     return spark.createDataFrame([(x.get("model_name"), str(uid), r.n_user_samples, r.retrained, r.reason, x.get("n_samples"))],
                                  "model_name string, user_id string, n_user_samples long, retrained boolean, "
                                  "reason string, n_samples long")
+
+
+def _own_rows(spark, sf):
+    """Survey rows with the features of their reading."""
+    from ..session import checkpoint
+    feats = _stored_training(spark, sf)
+    le = V.labeled_entries(spark, sf).select("user_id", "event_id", "symptom_label")
+    return checkpoint(le.join(feats.drop("symptom_label"), "event_id")), feats
+
+
+_MODELS_SQL = """SELECT user_id, count(*) AS n_last, user_id % 7 <> 0 AS has_meta FROM labeled_entries
+WHERE user_id % 3 <> 2 AND timestamp < TIMESTAMP '2024-01-25' GROUP BY user_id"""
+_DUE_SQL = f"""
+, n AS (SELECT l.user_id, count(*) AS n FROM labeled_entries l JOIN train t USING (event_id) GROUP BY l.user_id),
+due AS (SELECT n.user_id, n FROM n LEFT JOIN ({_MODELS_SQL}) m USING (user_id)
+        WHERE n >= 30 AND (m.user_id IS NULL OR NOT has_meta OR n - n_last >= 10))"""
+
+
+def _with_due(select: str) -> str:
+    return V.with_views(f"WITH train AS ({TRAINING_BODY}){_DUE_SQL}\n{select}", "measurements", "labeled_entries")
+
+
+@register("retrain_all", _with_due("""
+SELECT user_id, 'rf_user_' || user_id AS model_name, n AS n_user_samples,
+       n + least(greatest(50, floor(0.3E0 * n)::BIGINT), (SELECT count(*) FROM train)) AS n_samples, true AS scores_ok FROM due"""))
+def q_retrain_all(spark, sf):
+    """Decisions for all users, then the due users' forests in one grouped job."""
+    from .q_labels import models_table
+    own, feats = _own_rows(spark, sf)
+    _, models = CR.retrain_all(own, models_table(spark, sf), feats)
+    ok = F.coalesce(F.col("auc_roc").between(0.0, 1.0), F.lit(True)) & (F.size("roots") == RF_TREES) & F.forall(
+        "nodes", lambda n: n["p"].between(0.0, 1.0))
+    return models.select("user_id", "model_name", "n_user_samples", "n_samples", ok.alias("scores_ok"))
+
+
+@register("crisis_batch_routed", _with_due("""
+SELECT m.event_id, CASE WHEN due.user_id IS NULL THEN 'heuristic_fallback' ELSE 'rf_user_' || due.user_id END AS model_used,
+       true AS in_range, true AS level_ok
+FROM train t JOIN measurements m USING (event_id) LEFT JOIN due ON due.user_id = m.user_id"""))
+def q_crisis_batch_routed(spark, sf):
+    """H12 with the lookup chain user model -> heuristic, models trained by ``retrain_all``."""
+    from ..session import checkpoint
+    from .q_labels import models_table
+    own, feats = _own_rows(spark, sf)
+    _, models = CR.retrain_all(own, models_table(spark, sf), feats, num_trees=RF_TREES)
+    rows = feats.drop("symptom_label").join(V.measurements(spark, sf).select("event_id", "user_id"), "event_id")
+    out = CR.crisis_batch_routed(rows, checkpoint(models))
+    p = F.col("proba_crisis")
+    edge = F.least(*[F.abs(p - F.lit(t)) for t in (0.2, 0.4, 0.6, 0.8)]) < 1e-4
+    return out.select("event_id", "model_used", p.between(0.0, 1.0).alias("in_range"),
+                      (edge | (F.col("alert_level") == A.crisis_alert_level("proba_crisis"))).alias("level_ok"))

@@ -93,19 +93,29 @@ def test_retrain_user(spark):
     assert not kept.retrained and kept.reason.endswith("+0/10")
 
 
-@pytest.mark.slow
-def test_retrain_all_saves_models_of_due_users(spark, tmp_dir):
-    import os
+def test_user_forest_learns_and_routes(spark):
+    import numpy as np
 
-    from pneuma.operators import retrain as R
-    rows = [(u, i, float(i % 17 + u), i % 2) for u, n in ((1, 40), (2, 45), (3, 12)) for i in range(n)]
+    from pneuma.operators import user_forest as UF
+    from pneuma.tables import FEATURE_NAMES
+    rng = np.random.default_rng(0)
+    x = rng.random((400, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
+    nodes, roots = UF._fit(x[:300], y[:300], rng, 60, 8, 2)
+    assert ((UF.forest_scores(nodes, roots, x[300:]) > 0.5) == y[300:]).mean() > 0.85
+    rows = [(u, i, float(rng.random() * 50), i % 2) for u, n in ((1, 40), (2, 45), (3, 12)) for i in range(n)]
     lab = spark.createDataFrame(rows, "user_id long, event_id long, pm25 double, symptom_label int")
-    path, out = os.path.join(tmp_dir, "labeled"), os.path.join(tmp_dir, "models")
-    assert {r.user_id: r.n_samples for r in R.append_labeled(lab, path).collect()} == {1: 40, 2: 45, 3: 12}
-    known = spark.createDataFrame([(2, 44, True, None)], "user_id long, n_user_samples long, has_meta boolean, trained_at timestamp_ntz")
-    meta = CR.retrain_all(spark, path, known, out, num_trees=3).collect()
-    assert [(m.model_name, m.n_user_samples, m.n_features) for m in meta] == [("rf_user_1", 40, 20)]
-    assert CR.CrisisModel.load(spark, f"{out}/model=rf_user_1").name == "rf_user_1"
+    known = spark.createDataFrame([(2, 44, True)], "user_id long, n_user_samples long, has_meta boolean")
+    decisions, models = CR.retrain_all(lab, known, num_trees=5)
+    assert {r.user_id: r.retrain for r in decisions.collect()} == {1: True, 2: False, 3: False}
+    assert [(m.model_name, m.n_user_samples, m.n_samples, len(m.roots)) for m in models.collect()] == [("rf_user_1", 40, 40, 5)]
+    assert UF.large_users(lab, 41).collect()[0].user_id == 2
+    feats = lab.selectExpr("user_id", "user_id * 1000 + event_id AS event_id", "50.0 AS ier_score",
+                           *[f if f == "pm25" else f"0.0 AS {f}" for f in FEATURE_NAMES if f != "ier_score"])
+    out = CR.crisis_batch_routed(feats, models).collect()
+    assert len(out) == 97 and {(r.user_id, r.model_used) for r in out} == {
+        (1, "rf_user_1"), (2, "heuristic_fallback"), (3, "heuristic_fallback")}
+    assert all(0.0 <= r.proba_crisis <= 1.0 for r in out)
 
 
 def test_model_persistence(spark, tmp_dir):
