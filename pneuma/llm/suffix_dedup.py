@@ -39,9 +39,10 @@ Q = 16
 CHUNK = 2 << 20
 BUCKET_BYTES = 32 << 20
 REFINE_BYTES = 3 << 20
-#: One document in SAMPLE is looked at for frequent anchors; so many stretches there make one frequent.
+#: One document in SAMPLE is looked at for frequent anchors; so many stretches there make one frequent. What a task of
+#: the refinement may have to hold of one anchor is thus about SAMPLE * FREQUENT stretches of 84 bytes at most, 5 MB.
 SAMPLE = 32
-FREQUENT = 400
+FREQUENT = 2_000
 _ROW = "bucket int, kind int, docs binary, rows binary"
 #: Kinds of dealt rows and of settled ranges: to be settled or open, removed, of a frequent anchor.
 OPEN, GONE, FREQUENT_KIND = 0, 1, 2
@@ -174,16 +175,28 @@ def refine(data, size):
     """
     import numpy as np
     n = len(data)
-    pad = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+
+    def ranks(key):
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(n, dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        del key
+        out = np.empty(n, dtype=np.uint32)
+        out[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        return out
+
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
-        key = key << np.uint64(8) | pad[k:k + n]
-    bucket, depth = np.unique(key, return_inverse=True)[1].astype(np.uint64), 8
+        key <<= np.uint64(8)
+        key |= pad[k:k + n]
+    bucket, depth = ranks(key), 8
     while depth < size:
         step = min(depth, size - depth)
-        later = np.zeros_like(bucket)
-        later[:max(0, n - step)] = bucket[step:]
-        bucket = np.unique(bucket << np.uint64(32) | later, return_inverse=True)[1].astype(np.uint64)
+        key = bucket.astype(np.uint64) << np.uint64(32)
+        key[:max(0, n - step)] |= bucket[step:]
+        bucket = ranks(key)
         depth += step
     return bucket.astype(np.int64)
 
@@ -469,6 +482,7 @@ def _refine_buckets(cut: DataFrame, buckets: int) -> DataFrame:
         inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         row = np.repeat(np.arange(len(count)), count)
         bucket = refine(flat, LENGTH)[begin[row] + inside]
+        del flat
         least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, bucket, doc[row])
         gone = np.nonzero(doc[row] > least[bucket])[0]
