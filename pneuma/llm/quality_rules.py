@@ -40,7 +40,7 @@ FEATURES = {
 }
 
 #: Bound on the labelled rows that the learner gathers on the driver (numbers only).
-MAX_LABELLED = 50_000
+MAX_LABELLED = 20_000
 
 
 def _repeat_words(codes, window: int) -> int:
@@ -165,17 +165,22 @@ class Rule:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tuple:
-    """(feature matrix, low-quality flags, grow flags) of at most ``max_rows`` labelled documents.
+    """(feature matrix, low-quality flags, grow flags) of about ``max_rows`` labelled documents, or of all if there are fewer.
 
-    The sample is the documents with the smallest hashes of their id; only numbers reach the driver.
+    The sample is the documents whose id's hash is below a bound set from their number; only the sample's numbers
+    reach the driver.
     """
     import numpy as np
     lab = (labels.where("doc_id is not null and quality is not null")
            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")))
     one = stats.where(~base_failed()).dropDuplicates(["doc_id"])
-    rows = (one.join(lab, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("quality") < 1).alias("low"),
-                                           *(F.expr(e).alias(n) for n, e in FEATURES.items()))
-            .orderBy("h", "doc_id").limit(max_rows).toPandas())
+    both = checkpoint(one.join(lab, "doc_id").select(
+        F.xxhash64("doc_id").alias("h"), "doc_id", (F.col("quality") < 1).alias("low"),
+        *(F.expr(e).alias(n) for n, e in FEATURES.items())))
+    n = both.count()
+    if n > max_rows:
+        both = both.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    rows = both.toPandas().sort_values(["h", "doc_id"])
     x = rows[list(FEATURES)].to_numpy(dtype=float).reshape(len(rows), len(FEATURES))
     return x, rows["low"].to_numpy(dtype=bool), (rows["h"].to_numpy() % 3 != 0 if len(rows) else np.zeros(0, bool))
 
