@@ -1,5 +1,7 @@
 """Every registered query with an oracle matches DuckDB (row count, columns, values) at sf0.001."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as E
@@ -8,7 +10,9 @@ from pneuma.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 catalog.load_all()
-KEYS = sorted(catalog.ORACLE)
+#: Keys that fit many forests or K-Means models: the operators have tests of their own; PNEUMA_SLOW=1 runs these too.
+SLOW = {"rf_train", "rf_cross_validate", "crisis_scores", "top_features", "crisis_batch_routed", "evaluate_k", "retrain_user"}
+KEYS = sorted(set(catalog.ORACLE) - (set() if os.environ.get("PNEUMA_SLOW") else SLOW))
 
 
 @pytest.fixture(scope="module")
