@@ -122,10 +122,12 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], group: str |
     around each target position are picked by joining the few target rows
     (broadcast) on the rank ranges. NULL and NaN are ignored.
     """
+    from ..session import checkpoint
     g = F.col(group) if group else F.lit(0)
     x = df.select(g.alias("_g"), F.col(col).cast("double").alias("v")) \
           .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    per = x.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("n"))
+    # one pass over the data: counts per distinct value (materialised; every later step reads it)
+    per = checkpoint(x.groupBy("_g", "v").agg(F.count(F.lit(1)).alias("n")))
     rng = per.groupBy("_g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("_tot"))
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
     # one row per group: hinted only for the ungrouped case, else the optimizer sizes it
