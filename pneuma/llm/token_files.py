@@ -159,8 +159,8 @@ _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     """The tokenizers library's BPE model behind the piece caches.
 
-    ``pattern`` cuts pre-tokens as the file's byte-level pre-tokeniser does, the model merges them. Special
-    tokens' strings in a text are ordinary text.
+    ``pattern`` cuts pre-tokens as the file's byte-level pre-tokeniser does, the model merges them. Added
+    tokens' strings are ordinary text here; ``file_encoder`` matches them.
     """
     if (path, pattern) not in _ENCODERS:
         import json
@@ -182,9 +182,51 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
     return _ENCODERS[path, pattern]
 
 
+_FILE_ENCODERS: dict[tuple[str, str], object] = {}
+
+
+def file_encoder(path: str, pattern: str):
+    """Ids of whole texts as the tokenizers library gives them with add_special_tokens=False.
+
+    Texts are cut at the file's added tokens, each of which is one id; what lies between goes through
+    ``text_encoder``. Added tokens that take more than their own characters are left to the library.
+    """
+    if (path, pattern) not in _FILE_ENCODERS:
+        import re
+        from array import array
+
+        from tokenizers import Tokenizer
+        tokenizer, plain = Tokenizer.from_file(path), text_encoder(path, pattern)
+        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        bare = not any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values())
+        cut = re.compile("|".join(re.escape(a) for a in sorted(added, key=len, reverse=True))) if added else None
+        one = {a: array("I", [i]).tobytes() for a, i in added.items()}
+
+        def split(text: str) -> bytes:
+            if not bare:
+                return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            parts, at = [], 0
+            for m in cut.finditer(text):
+                parts += (text[at:m.start()], m.group())
+                at = m.end()
+            parts.append(text[at:])
+            ids = plain(parts[::2])
+            return b"".join(x for i, p in enumerate(ids) for x in (p, one[parts[2 * i + 1]] if 2 * i + 1 < len(parts) else b""))
+
+        def encode(texts: list[str]) -> list[bytes]:
+            if cut is None:
+                return plain(texts)
+            holds = [any(a in t for a in added) for t in texts]
+            ids = iter(plain([t for t, h in zip(texts, holds) if not h]))
+            return [split(t) if h else next(ids) for t, h in zip(texts, holds)]
+
+        _FILE_ENCODERS[path, pattern] = encode
+    return _FILE_ENCODERS[path, pattern]
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, pattern: str, path: str | None = None, end_id: int = END_ID,
                       shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
-    """Encode ``documents`` into shard files below ``path`` in ascending doc_id order.
+    """Encode ``documents`` into shard files below ``path`` in ascending doc_id order; added tokens in a text are matched.
 
     Returns the folder and the manifest (file, part, seq, n_docs, n_ids, start, first_doc).
     Rows with a null doc_id come first, repeated doc_ids in the order of their texts; a null
@@ -205,7 +247,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, pattern: str, path: str
         fs, base = pfs.FileSystem.from_uri(path)
         part = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex[:12]
-        encode = text_encoder(vocabulary, pattern)
+        encode = file_encoder(vocabulary, pattern)
         end = struct.pack("<I", end_id)
         names, rows = ["file", "part", "seq", "n_docs", "n_ids"], []
         doc_ids, counts, chunks, held = [], [], [], 0

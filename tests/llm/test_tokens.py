@@ -50,6 +50,40 @@ def test_file_encoder_as_tokenizers(hf, text):
         e.ids for e in hf.encode_batch([text + "<|endoftext|>", text], add_special_tokens=False)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(WORDY | st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<|", " "]), max_size=6).map("".join))
+def test_file_encoder_matches_added_tokens(text):
+    from tokenizers import Tokenizer
+    default = Tokenizer.from_file(VOCABULARY)
+    texts = [text, "a<|endoftext|>b", "plain", "x <|endoftext|><|endoftext|> y\n"]
+    got = token_files.file_encoder(VOCABULARY, P.PATTERN)(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+        e.ids for e in default.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("kind", [{"lstrip": True}, {"rstrip": True}, {"single_word": True}, {}])
+def test_added_tokens_of_other_kinds(tmp_path, kind):
+    from tokenizers import AddedToken, Tokenizer
+    t = Tokenizer.from_file(VOCABULARY)
+    t.add_tokens([AddedToken("<|x|>", normalized=False, **kind), AddedToken("<|x|>y", normalized=False)])
+    path = str(tmp_path / "v.json")
+    t.save(path)
+    texts = ["a <|x|> b", "a<|x|>yz <|x|>", "<|endoftext|><|x|>", "none"]
+    got = token_files.file_encoder(path, P.PATTERN)(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [
+        e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_files_hold_added_tokens(spark, make_docs):
+    from tokenizers import Tokenizer
+    default = Tokenizer.from_file(VOCABULARY)
+    items = [(1, "a<|endoftext|>b"), (2, "after"), (3, "<|endoftext|>")]
+    path, manifest = token_files.write_token_files(make_docs(items), VOCABULARY, P.PATTERN)
+    got = token_files.read_token_files(manifest, path, with_ids=True).toPandas().sort_values("start")
+    ids = [default.encode(t, add_special_tokens=False).ids + [2] for _, t in items]
+    assert [list(x) for x in got.ids] == ids and got.start.tolist() == [0, 4, 4 + len(ids[1])]
+
+
 def test_ranks_with_gaps():
     ranks = {bytes([i]): 3 * i for i in range(256)} | {b"ab": 1000, b"abc": 1001}
     codec = bpe.Codec(ranks, P.PATTERN)
