@@ -279,12 +279,12 @@ def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id
 
 
 def retrain_all(labeled: DataFrame, models: DataFrame, global_rows: DataFrame | None = None, force: bool = False,
-                num_trees: int = RF_TREES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Decide for every user (I1), then train all due users' forests in one job.
+                num_trees: int = RF_TREES, seed: int = SEED, max_rows: int = UF.MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Decide for every user (I1), then train all due users' forests together.
 
     ``labeled``: stored survey features (user_id, event_id, features, symptom_label). Returns the decisions and the
-    model rows (see ``user_forest.train_users``): two tables, nothing on the driver. Users too large for a group
-    are in ``user_forest.large_users`` of the due rows and go through ``retrain_user``.
+    model rows (see ``user_forest.train_users``): two tables, nothing on the driver. Users with more than ``max_rows``
+    rows are trained too, level by level over all their rows.
     """
     from .retrain import should_retrain
     decisions = should_retrain(labeled, models)
@@ -295,7 +295,8 @@ def retrain_all(labeled: DataFrame, models: DataFrame, global_rows: DataFrame |
         rows = both.withColumn("own", F.col("source") == "user").drop("source")
     feats = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in rows.columns else F.lit(0.0).alias(f)
              for f in FEATURE_NAMES]
-    return decisions, UF.train_users(rows.select("user_id", "event_id", *feats, "symptom_label", "own"), num_trees, seed=seed)
+    return decisions, UF.train_users(rows.select("user_id", "event_id", *feats, "symptom_label", "own"), num_trees, seed=seed,
+                                     max_rows=max_rows)
 
 
 def crisis_batch_routed(readings: DataFrame, user_models: DataFrame, global_model: CrisisModel | None = None) -> DataFrame:

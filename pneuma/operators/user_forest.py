@@ -2,8 +2,9 @@
 
 A user has tens to hundreds of survey rows, so one distributed Spark ML fit per user would be all
 overhead. Here users are groups: each group's rows meet in one task, which grows that user's
-trees with numpy and returns one model row. Users with more than ``MAX_GROUP_ROWS`` rows are left out of the groups
-and named by ``large_users``; they go through the distributed forest, one by one.
+trees with numpy and returns one model row. Users with more than ``MAX_GROUP_ROWS`` rows (``large_users``) do not
+meet in one task: all their trees grow together, level by level, from counts per (user, tree, node, feature, bin)
+that Spark sums over chunks of rows.
 Scoring meets readings and model rows in co-groups of (user, salt), so a busy user's readings are many groups.
 """
 
@@ -11,12 +12,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import FEATURE_NAMES, MIN_SAMPLES_USER, RF_MAX_DEPTH, RF_MIN_LEAF, RF_TREES, SEED
 
 MAX_GROUP_ROWS = 50_000
+#: Bins per feature of a large user's forest, as in the distributed forest.
+BINS = 128
+#: Trees of a large user whose nodes one task counts over one chunk of rows.
+TREE_BLOCK = 10
 NODES = "array<struct<feature:int,threshold:double,left:int,right:int,p:double>>"
 
 
@@ -97,9 +102,10 @@ def train_users(rows: DataFrame, n_trees: int = RF_TREES, max_depth: int = RF_MA
     """One model row per user of ``rows`` (user_id, event_id, 20 features, symptom_label, own).
 
     user_id, model_name, n_samples, n_user_samples (rows with own = true), positive_rate, auc_roc (null if the test part
-    has one class), nodes, roots. A stratified fifth of the rows, in hash order, is the test part. Users with fewer than 30 rows or more
-    than ``max_rows`` have no row.
+    has one class), nodes, roots. A stratified fifth of the rows, in hash order, is the test part. Users with fewer than 30 rows
+    have no row; those with more than ``max_rows`` are grown by ``train_large``.
     """
+    from ..session import checkpoint
     names, least = list(FEATURE_NAMES), MIN_SAMPLES_USER
     kind = dict(rows.dtypes)["user_id"]
 
@@ -126,11 +132,196 @@ def train_users(rows: DataFrame, n_trees: int = RF_TREES, max_depth: int = RF_MA
                               "positive_rate": round(float(y.mean()), 4), "auc_roc": auc,
                               "nodes": [dict(zip(("feature", "threshold", "left", "right", "p"), n)) for n in nodes], "roots": roots}])
 
-    small = rows.join(large_users(rows, max_rows), "user_id", "left_anti").select(
-        "user_id", "event_id", "own", "symptom_label", *names, F.xxhash64(F.col("event_id").cast("string"), F.lit(seed)).alias("_h"))
-    return small.groupBy("user_id").applyInPandas(
+    keyed = rows.select("user_id", "event_id", "own", "symptom_label", *names,
+                        F.xxhash64(F.col("event_id").cast("string"), F.lit(seed)).alias("_h"))
+    large = checkpoint(large_users(rows, max_rows))
+    small = keyed.join(large, "user_id", "left_anti").groupBy("user_id").applyInPandas(
         fit, f"user_id {kind}, model_name string, n_samples long, n_user_samples long, positive_rate double, auc_roc double, "
              f"nodes {NODES}, roots array<int>")
+    if large.isEmpty():
+        return small
+    return small.unionByName(train_large(keyed.join(large, "user_id", "left_semi"), n_trees, max_depth, min_leaf, seed, max_rows))
+
+
+def _mix(h):
+    """splitmix64 of unsigned 64-bit integers."""
+    import numpy as np
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def _count_nodes(x, y, key, edges, grown: dict, trees, level: int, salt: int, last: bool):
+    """Arrays (tree, node, feature, bin, n, ones) of the rows' bootstrap counts at the nodes of one level.
+
+    Nodes are numbered as in a heap from 1; ``grown`` has per tree the (node, feature, bin) splits above the level.
+    Feature -1 holds a node's totals, and on the ``last`` level there is nothing else. A row's number of draws for a
+    tree is Poisson(1) and a node's tried features are random, both by hash.
+    """
+    import numpy as np
+    n_try = max(1, int(math.sqrt(x.shape[1])))
+    bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
+    poisson = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+    out = []
+    for tree in trees:
+        own = _mix(np.array([salt], dtype=np.uint64) ^ _mix(np.array([tree + 1], dtype=np.uint64)))[0]
+        draws = np.searchsorted(poisson, (_mix(key ^ own) >> np.uint64(11)) / float(1 << 53), side="right")
+        at = np.nonzero(draws)[0]
+        feature, cut = np.full(1 << level, -1), np.zeros(1 << level, dtype=int)
+        for node, f, b in grown.get(tree, ()):
+            feature[node], cut[node] = f, b
+        node = np.ones(len(at), dtype=np.int64)
+        for _ in range(level):
+            f = feature[node]
+            at, node, f = at[f >= 0], node[f >= 0], f[f >= 0]
+            node = 2 * node + (bins[at, f] > cut[node])
+        if not len(at):
+            continue
+        names, code = np.unique(node, return_inverse=True)
+        k, k1 = draws[at], draws[at] * y[at]
+
+        def emit(group, f, b, width):
+            n, ones = np.bincount(group, k, width), np.bincount(group, k1, width)
+            some = np.nonzero(n)[0]
+            out.append((np.full(len(some), tree), names[some // (width // len(names))], f(some), b(some), n[some], ones[some]))
+
+        emit(code, lambda s: np.full(len(s), -1), lambda s: np.zeros(len(s), dtype=int), len(names))
+        if not last:
+            order = _mix(_mix(names.astype(np.uint64) ^ own)[:, None] ^ np.arange(1, x.shape[1] + 1, dtype=np.uint64))
+            tried = np.argsort(order, axis=1)[:, :n_try]
+            for j in range(n_try):
+                emit(code * BINS + bins[at, tried[code, j]], lambda s: tried[s // BINS, j], lambda s: s % BINS, len(names) * BINS)
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0)] * 6
+
+
+def train_large(rows: DataFrame, n_trees: int, max_depth: int, min_leaf: int, seed: int, max_rows: int) -> DataFrame:
+    """Model rows as ``train_users`` gives them, for users whose rows do not fit one task (``rows`` with the hash ``_h``).
+
+    All rows are read. Each tree draws them with Poisson(1) weights, and splits are tried at up to ``BINS`` - 1
+    quantiles per user and feature. A level is one job: tasks count chunks of at most about ``max_rows`` rows for
+    ``TREE_BLOCK`` trees, the counts are summed, and the best split per node is taken.
+    """
+    from ..session import checkpoint
+    from . import series
+    names = list(FEATURE_NAMES)
+    kind = dict(rows.dtypes)["user_id"]
+    u = "user_id"
+    ranked = series.add_row_number(rows, [u, "symptom_label"], ["_h", "event_id", "own"],
+                                   F.floor(F.col("_h") / F.lit(float(1 << 44))), "_rk")
+    key = F.xxhash64(u, "symptom_label", "_rk", F.lit(seed))
+    n = rows.groupBy(u).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_SAMPLES_USER)
+    chunks = F.ceil(F.col("_n") / F.lit(max_rows)).cast("long")
+    base = checkpoint(ranked.join(n, u).select(
+        u, "own", F.col("symptom_label").cast("int").alias("symptom_label"), *names, key.alias("_key"),
+        ((F.col("_rk") - 1) % 5 == 4).alias("_test"), chunks.alias("_chunks"), F.pmod(F.xxhash64(key), chunks).alias("_chunk")))
+    train = base.where("not _test")
+    steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    facts = checkpoint(train.groupBy(u, "_chunks").agg(
+        F.avg(F.col("symptom_label").cast("double")).alias("_share"),
+        F.array(*[F.array_distinct(F.percentile_approx(f, steps, F.lit(10_000))) for f in names]).alias("_edges")))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_trees - 1) // TREE_BLOCK))).alias("_block")
+    dealt = train.select(u, "_chunk", blocks, "symptom_label", "_key", *names)
+
+    def counter(level: int):
+        def count(group, mine, state):
+            import numpy as np
+            import pandas as pd
+            cols = [u, "tree", "node", "feature", "bin", "n", "ones"]
+            if not len(mine) or not len(state):
+                return pd.DataFrame(columns=cols)
+            block = int(group[2])
+            grown = {}
+            one = state.iloc[0]
+            for s in one["_splits"] if one["_splits"] is not None else ():
+                grown.setdefault(s["tree"], []).append((s["node"], s["feature"], s["bin"]))
+            trees = range(block * TREE_BLOCK, min(n_trees, (block + 1) * TREE_BLOCK))
+            parts = _count_nodes(mine[names].to_numpy(dtype=float), mine["symptom_label"].to_numpy(dtype=int),
+                                 mine["_key"].to_numpy().astype(np.int64).view(np.uint64), [np.asarray(e) for e in one["_edges"]],
+                                 grown, trees, level, seed, level == max_depth)
+            out = pd.DataFrame(dict(zip(cols[1:], (p.astype(np.int64) for p in parts))))
+            out.insert(0, u, group[0])
+            return out
+        return count
+
+    nodes = None
+    for level in range(max_depth + 1):
+        state = facts.select(u, "_chunks", "_edges", blocks)
+        if nodes is None:
+            state = state.withColumn("_splits", F.lit(None).cast("array<struct<tree:int,node:long,feature:int,bin:int>>"))
+        else:
+            splits = nodes.where("feature >= 0").groupBy(u, F.floor(F.col("tree") / TREE_BLOCK).cast("int").alias("_block")).agg(
+                F.collect_list(F.struct("tree", "node", "feature", "bin")).alias("_splits"))
+            state = state.join(splits, [u, "_block"], "left")
+        state = state.select(F.col(u).alias("_u"), "_block", "_edges", "_splits", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_chunk"))
+        counts = (dealt.groupBy(u, "_chunk", "_block").cogroup(state.groupBy("_u", "_chunk", "_block"))
+                  .applyInPandas(counter(level), f"{u} {kind}, tree int, node long, feature int, bin int, n long, ones long")
+                  .groupBy(u, "tree", "node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")))
+        found = checkpoint(_best_splits(counts, facts, min_leaf))
+        nodes = found if nodes is None else nodes.unionByName(found)
+        if found.where("feature >= 0").isEmpty():
+            break
+    models = checkpoint(_model_rows(nodes))
+    about = base.groupBy(u).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("own").cast("long")).alias("n_user_samples"),
+                                F.round(F.avg(F.col("symptom_label").cast("double")), 4).alias("positive_rate"))
+    salts = max(16, 4 * base.agg(F.max("_chunks")).first()[0])
+    test = base.where("_test")
+    scored = score_users(test.select(u, "_key", *names), models, "_key", salts).join(test.select(u, "_key", "symptom_label"), "_key")
+    return (models.join(about, u).join(_auc_by_user(scored), u, "left")
+            .select(u, F.concat(F.lit("rf_user_"), F.col(u).cast("string")).alias("model_name"), "n_samples", "n_user_samples",
+                    "positive_rate", "auc_roc", "nodes", "roots"))
+
+
+def _best_splits(counts: DataFrame, facts: DataFrame, min_leaf: int) -> DataFrame:
+    """(user_id, tree, node, feature or -1, bin, threshold, p) per node from the counts of one level."""
+    node = ["user_id", "tree", "node"]
+    w1 = 0.5 / F.greatest(F.col("_share"), F.lit(1e-12))  # balanced classes
+    w0 = 0.5 / F.greatest(1 - F.col("_share"), F.lit(1e-12))
+    total = counts.where("feature < 0").select(*node, F.col("n").alias("_n"), F.col("ones").alias("_ones"))
+    x = counts.where("feature >= 0")
+    up = Window.partitionBy(*node, "feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_l": F.sum("n").over(up), "_l1": F.sum("ones").over(up)}).join(total, node)
+    x = x.where((F.col("_l") >= min_leaf) & (F.col("_n") - F.col("_l") >= min_leaf) & (F.col("_ones") > 0) & (F.col("_ones") < F.col("_n")))
+    x = x.join(F.broadcast(facts.select("user_id", "_share")), "user_id")
+    b, d = w1 * F.col("_l1"), w1 * (F.col("_ones") - F.col("_l1"))
+    a0, c0 = w0 * (F.col("_l") - F.col("_l1")), w0 * (F.col("_n") - F.col("_l") - F.col("_ones") + F.col("_l1"))
+    impurity = 2 * (b * a0 / (a0 + b) + d * c0 / (c0 + d))
+    best = x.groupBy(*node).agg(F.min(F.struct(impurity.alias("i"), "feature", "bin")).alias("_s"))
+    ones, zeros = w1 * F.col("_ones"), w0 * (F.col("_n") - F.col("_ones"))
+    return (total.join(best, node, "left").join(F.broadcast(facts.select("user_id", "_share", "_edges")), "user_id")
+            .select(*node, F.coalesce("_s.feature", F.lit(-1)).alias("feature"), F.coalesce("_s.bin", F.lit(0)).alias("bin"),
+                    F.coalesce(F.get(F.get("_edges", F.col("_s.feature")), F.col("_s.bin")), F.lit(0.0)).alias("threshold"),
+                    (ones / (ones + zeros)).alias("p")))
+
+
+def _model_rows(nodes: DataFrame) -> DataFrame:
+    """user_id, nodes, roots from heap-numbered nodes: in node order a tree's k-th split has its children at 1 + 2k and 2 + 2k."""
+    tree = ["user_id", "tree"]
+    before = Window.partitionBy(*tree).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    size = nodes.groupBy(*tree).agg(F.count(F.lit(1)).alias("_size"))
+    trees = Window.partitionBy("user_id").orderBy("tree").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.withColumn("_root", F.coalesce(F.sum("_size").over(trees), F.lit(0)).cast("int")).drop("_size")
+    inner = F.col("feature") >= 0
+    left = (F.col("_root") + 1 + 2 * F.coalesce(F.sum(inner.cast("int")).over(before), F.lit(0))).cast("int")
+    x = nodes.join(size, tree).withColumn("left", F.when(inner, left).otherwise(-1)).withColumn(
+        "right", F.when(inner, F.col("left") + 1).otherwise(-1))
+    kept = F.array_sort(F.collect_list(F.struct("tree", "node", "feature", "threshold", "left", "right", "p")))
+    return x.groupBy("user_id").agg(kept.alias("_nodes")).join(
+        size.groupBy("user_id").agg(F.array_sort(F.collect_list("_root")).alias("roots")), "user_id").select(
+        "user_id", F.transform("_nodes", lambda s: F.struct(*[s[c].alias(c) for c in ("feature", "threshold", "left", "right", "p")]))
+        .cast(NODES).alias("nodes"), "roots")
+
+
+def _auc_by_user(scored: DataFrame) -> DataFrame:
+    """user_id, auc_roc (null if one class) of (user_id, symptom_label, _p), by ranks of the distinct scores."""
+    from . import series
+    per = scored.groupBy("user_id", F.col("_p").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("symptom_label").alias("pos"))
+    ranked = series.sum_before(per, ["user_id"], ["s"], F.floor(F.col("s") * F.lit(float(1 << 16))), "n", "below")
+    p, q = F.col("P").cast("double"), F.col("Q").cast("double")
+    return (ranked.groupBy("user_id").agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("r"),
+                                          F.sum("pos").alias("P"), F.sum(F.col("n") - F.col("pos")).alias("Q"))
+            .select("user_id", F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auc_roc")))
 
 
 def score_users(readings: DataFrame, models: DataFrame, key: str = "event_id", salts: int = 16) -> DataFrame:

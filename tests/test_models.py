@@ -118,6 +118,31 @@ def test_user_forest_learns_and_routes(spark):
     assert all(0.0 <= r.proba_crisis <= 1.0 for r in out)
 
 
+def test_retrain_all_trains_users_beyond_one_group(spark):
+    import numpy as np
+
+    from pneuma.operators import user_forest as UF
+    from pneuma.tables import FEATURE_NAMES
+    rng = np.random.default_rng(1)
+    x = rng.random((640, 2))
+    rows = [(1 if i < 600 else 2, i, float(a), float(b), int(a + b > 1)) for i, (a, b) in enumerate(x)]
+    lab = spark.createDataFrame(rows, "user_id long, event_id long, pm25 double, co double, symptom_label int")
+    known = spark.createDataFrame([], "user_id long, n_user_samples long, has_meta boolean")
+    _, models = CR.retrain_all(lab, known, num_trees=30, max_rows=200)
+    got = {m.user_id: m for m in models.collect()}
+    assert {u: (m.model_name, m.n_user_samples, m.n_samples, len(m.roots)) for u, m in got.items()} == {
+        1: ("rf_user_1", 600, 600, 30), 2: ("rf_user_2", 40, 40, 30)}
+    big = got[1]
+    group = {m.user_id: m for m in CR.retrain_all(lab, known, num_trees=30)[1].collect()}[1]
+    assert big.auc_roc > 0.9 and abs(big.auc_roc - group.auc_roc) < 0.05
+    assert big.positive_rate == round(sum(r[4] for r in rows[:600]) / 600, 4)
+    new = np.zeros((500, len(FEATURE_NAMES)))
+    ab = rng.random((500, 2))
+    new[:, FEATURE_NAMES.index("pm25")], new[:, FEATURE_NAMES.index("co")] = ab[:, 0], ab[:, 1]
+    p = UF.forest_scores([tuple(n) for n in big.nodes], big.roots, new)
+    assert ((p > 0.5) == (ab.sum(axis=1) > 1)).mean() > 0.85
+
+
 def test_model_persistence(spark, tmp_dir):
     import os
 
