@@ -3,9 +3,9 @@
 A text is lower-cased, every run of other characters than letters becomes one boundary
 sign, and each character is predicted from the three before it. Counts of four-character
 grams are aggregated over all learning documents; lower orders use continuation counts. Per
-language and order the discounted probabilities and the back-off weights stand in two
-arrays sorted by a hash of the gram, cut to ``hash_bits`` bits: a model has at most
-2 * 4 * 2^hash_bits entries per language, whatever the corpus holds.
+order the discounted probabilities and the back-off weights stand in tables sorted by the full
+64-bit hash of the gram and partitioned by its range. They grow with the corpus; texts meet them
+in joins, and neither the driver nor a broadcast holds them.
 
 The language with the lowest cross-entropy per character wins. On calibration documents (not
 counted) a temperature for the score and, per language, the largest accepted cross-entropy
@@ -22,10 +22,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by_bytes, checkpoint, ship
+from .common import batches_by_bytes, checkpoint, materialize, ship
 
 ORDER = 4
-HASH_BITS = 20
+#: Text of one batch of documents whose distinct grams are looked up together.
+BATCH_BYTES = 8 << 20
+#: Grams (8 bytes each) that a task gathers before it names the distinct ones of each batch.
+ASKED_AT_ONCE = 16 << 20
 FOLDS = 5
 CALIBRATION_FOLD = 1
 #: Share of a language's calibration documents that its threshold accepts.
@@ -116,64 +119,63 @@ def count_grams(learn: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays per language and order, with the calibration."""
+    """The tables of ``build`` (null where nothing was learned), with the calibration."""
 
-    def __init__(self, langs: list[str], tables: dict, hash_bits: int):
-        self.langs, self.tables, self.hash_bits = langs, tables, hash_bits
+    def __init__(self, langs: list[str], tables: DataFrame | None):
+        self.langs, self.tables = langs, tables
         self.temperature = 1.0
         self.limit: dict[str, float] = {}
 
-    def _look(self, table, keys, missing: float):
-        import numpy as np
-        names, values = table
-        if not len(names):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, values[at], missing)
+    def vectors(self, wanted: DataFrame) -> DataFrame:
+        """gram and ``p``, the natural log probabilities of its last character per language, for distinct ``gram``.
+
+        Orders go upwards over the distinct grams of each order, so a table entry meets at most one row per letter.
+        """
+        def look(n: int, what: str, key: str) -> DataFrame:
+            return self.tables.where((F.col("o") == n) & (F.col("what") == what)).select(F.col("h").alias(key), F.col("v").alias(what))
+
+        below = None
+        for n in range(1, ORDER + 1):
+            x = wanted.select("gram") if n == ORDER else wanted.select(_masked("gram", n).alias("gram")).distinct()
+            x = x.select("gram", F.xxhash64("gram").alias("hg"), F.xxhash64(F.shiftrightunsigned("gram", 16)).alias("hc"),
+                         _masked("gram", n - 1).alias("low"))
+            contexts = look(n, "context", "hc")
+            x = x.join(look(n, "gram_v", "hg"), "hg", "left").join(F.broadcast(contexts) if n == 1 else contexts, "hc", "left")
+            if below is None:
+                x = x.withColumn("p", F.array_repeat(F.lit(1.0 / 65536), len(self.langs)))
+            else:
+                x = x.join(below, "low")
+            part = F.when(F.col("context").isNull(), F.col("p")).otherwise(
+                F.zip_with("context", "p", lambda c, q: F.coalesce(c, F.lit(1.0)) * q))
+            both = F.when(F.col("gram_v").isNull(), part).otherwise(
+                F.zip_with("gram_v", part, lambda v, q: F.coalesce(v, F.lit(0.0)) + q))
+            below = x.select(F.col("gram").alias("low"), both.alias("p"))
+        return below.select(F.col("low").alias("gram"), F.transform("p", lambda q: F.log(F.greatest(q, F.lit(1e-30)))).alias("p"))
 
     def log_probs(self, gram):
         """Natural log probability of each gram's last character, per language (rows)."""
         import numpy as np
-        shift = np.uint64(64 - self.hash_bits)
-        keys, contexts = {}, {}
-        for n in range(1, ORDER + 1):
-            g = gram if n == ORDER else gram & np.uint64((1 << 16 * n) - 1)
-            keys[n] = (hash64(g) >> shift).astype(np.uint32)
-            contexts[n] = (hash64(g >> np.uint64(16)) >> shift).astype(np.uint32)
-        out = np.empty((len(self.langs), len(gram)))
-        for i, lang in enumerate(self.langs):
-            p = np.full(len(gram), 1.0 / 65536)
-            for n in range(1, ORDER + 1):
-                p = (self._look(self.tables[lang, n, "gram"], keys[n], 0.0)
-                     + self._look(self.tables[lang, n, "context"], contexts[n], 1.0) * p)
-            out[i] = np.log(np.maximum(p, 1e-30))
-        return out
-
-    def cross_entropies(self, texts: list):
-        """Per text and language the mean negative log probability; NaN rows for texts without a letter."""
-        import numpy as np
-        import pandas as pd
-        parts = [grams(t) for t in texts]
-        size = np.array([len(p) for p in parts], dtype=np.int64)
-        out = np.full((len(texts), len(self.langs)), np.nan)
-        some = np.nonzero(size)[0]
-        if not len(some) or not self.langs:
-            return out
-        code, value = pd.factorize(np.concatenate([parts[i] for i in some]))
-        starts = np.cumsum(size[some]) - size[some]
-        for i, row in enumerate(self.log_probs(value)):
-            out[some, i] = -np.add.reduceat(row[code], starts) / size[some]
-        return out
+        keys = np.asarray(gram, dtype=np.uint64).view(np.int64).tolist()
+        asked = self.tables.sparkSession.createDataFrame([(k,) for k in set(keys)], "gram long")
+        found = {r["gram"]: r["p"] for r in self.vectors(asked).collect()}
+        return np.array([found[k] for k in keys]).T
 
 
-def _bucket(gram: Column, hash_bits: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(gram), 64 - hash_bits)
+def _masked(gram: str, n: int) -> Column:
+    """The last ``n`` characters of a gram."""
+    return F.col(gram) if n == ORDER else F.col(gram).bitwiseAND(F.lit((1 << 16 * n) - 1))
 
 
-def build(counts: DataFrame, hash_bits: int = HASH_BITS) -> Model:
-    """Kneser-Ney tables from (lang, gram, n): sums in Spark, then at most 2^hash_bits entries per table collected."""
-    import numpy as np
+def build(counts: DataFrame) -> Model:
+    """Kneser-Ney tables from (lang, gram, n): one row (o, what, h, v) per order and distinct gram or context.
+
+    ``h`` is the full 64-bit hash of the name, which no two names of one order share; ``v`` has a value per language,
+    null where that language lacks the name. Rows are range-partitioned and sorted by hash.
+    """
     now = checkpoint(counts)
+    langs = sorted(r["lang"] for r in now.select("lang").distinct().collect())
+    if not langs:
+        return Model([], None)
     parts = []
     for n in range(ORDER, 0, -1):
         if n < ORDER:
@@ -190,41 +192,69 @@ def build(counts: DataFrame, hash_bits: int = HASH_BITS) -> Model:
     discount = seen.select("lang", "o", F.when(F.col("n1") + F.col("n2") == 0, 0.5).otherwise(F.greatest(
         F.lit(0.1), F.least(F.lit(0.9), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))))).alias("d"))
     context = grams_.groupBy("lang", "o", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-    context = context.join(discount, ["lang", "o"])
+    context = context.join(F.broadcast(discount), ["lang", "o"])  # one row per language and order
     prob = (grams_.join(context, ["lang", "o", "ctx"])
-            .select("lang", "o", F.lit("gram").alias("what"), _bucket(F.col("gram"), hash_bits).alias("k"),
-                    (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("v"))
-            .groupBy("lang", "o", "what", "k").agg(F.max("v").alias("v")))
-    back = (context.select("lang", "o", F.lit("context").alias("what"), _bucket(F.col("ctx"), hash_bits).alias("k"),
-                           (F.col("d") * F.col("types") / F.col("total")).alias("v"))
-            .groupBy("lang", "o", "what", "k").agg(F.max("v").alias("v")))
-    rows = prob.union(back).toPandas()
-    langs = sorted(rows["lang"].unique())
-    tables = {(lang, n, what): (np.empty(0, np.uint32), np.empty(0, np.float32))
-              for lang in langs for n in range(1, ORDER + 1) for what in ("gram", "context")}
-    for (lang, n, what), part in rows.groupby(["lang", "o", "what"]):
-        part = part.sort_values("k")
-        tables[lang, int(n), what] = (part["k"].to_numpy().astype(np.uint32), part["v"].to_numpy().astype(np.float32))
-    return Model(langs, tables, hash_bits)
+            .select("lang", "o", F.lit("gram_v").alias("what"), F.xxhash64("gram").alias("h"),
+                    (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("v")))
+    back = context.select("lang", "o", F.lit("context").alias("what"), F.xxhash64("ctx").alias("h"),
+                          (F.col("d") * F.col("types") / F.col("total")).alias("v"))
+    tables = prob.union(back).groupBy("o", "what", "h").agg(
+        F.array(*[F.max(F.when(F.col("lang") == x, F.col("v"))) for x in langs]).alias("v"))
+    return Model(langs, materialize(tables.repartitionByRange("h").sortWithinPartitions("h"), "language-model"))
 
 
 def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns and ``ce``, the cross-entropies in the order of the model's languages (null: no letter)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    """The kept columns and ``ce``, the cross-entropies in the order of the model's languages (null: no letter).
 
-    def run(it: Iterator) -> Iterator:
+    Rows are dealt to batches of about ``BATCH_BYTES`` of text. A batch's distinct grams meet the model in a join, and
+    what they get comes back to the batch.
+    """
+    kinds = dict(rows.dtypes)
+    if not model.langs:
+        return rows.select(*keep, F.lit(None).cast("array<double>").alias("ce"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    batches = 1 + size // BATCH_BYTES
+    dealt = rows.select(F.pmod(F.xxhash64(*keep, "text"), F.lit(batches)).alias("_batch"), "text", *keep)
+
+    def ask(it: Iterator) -> Iterator:
         import numpy as np
+        import pandas as pd
         import pyarrow as pa
-        m = sent.value
-        for batch in batches_by_bytes(it, "text", 4 << 20):
-            ce = m.cross_entropies(batch.column(0).to_pylist())
-            value = [None if not len(r) or np.isnan(r[0]) else r for r in ce]
-            yield pa.record_batch([*(batch.column(i + 1) for i in range(len(keep))),
-                                   pa.array(value, pa.list_(pa.float64()))], names=[*keep, "ce"])
+        held, n = {}, 0
 
-    kinds = dict(rows.dtypes)
+        def flush():
+            for b, parts in held.items():
+                every = pd.unique(np.concatenate(parts))
+                yield pa.record_batch([pa.array(np.full(len(every), b)), pa.array(every.view(np.int64))], names=["_b", "gram"])
+
+        for batch in batches_by_bytes(it, "text", 4 << 20):
+            for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                g = grams(t)
+                if len(g):
+                    held.setdefault(b, []).append(g)
+                    n += len(g)
+            if n > ASKED_AT_ONCE:
+                yield from flush()
+                held, n = {}, 0
+        yield from flush()
+
+    def score(mine, known):
+        import numpy as np
+        import pyarrow as pa
+        names = known.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        names = names[order]
+        p = known.column("p").combine_chunks().flatten().to_numpy().reshape(len(names), -1)[order] if len(names) else None
+        ce = []
+        for t in mine.column("text").to_pylist():
+            g = grams(t)
+            ce.append(-p[np.searchsorted(names, g)].mean(axis=0) if len(g) else None)
+        return pa.table({**{k: mine.column(k) for k in keep}, "ce": pa.array(ce, pa.list_(pa.float64()))})
+
+    asked = checkpoint(dealt.select("_batch", "text").mapInArrow(ask, "_b long, gram long").distinct())
+    known = asked.join(model.vectors(asked.select("gram").distinct()), "gram")
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "ce array<double>"])
-    return rows.select("text", *keep).mapInArrow(run, schema)
+    return dealt.groupBy("_batch").cogroup(known.groupBy("_b")).applyInArrow(score, schema)
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
@@ -248,12 +278,12 @@ def calibrate(model: Model, rows: DataFrame) -> None:
         model.limit[r["lang"]] = r["limit"]
 
 
-def learn(docs: DataFrame, hash_bits: int = HASH_BITS) -> Model:
+def learn(docs: DataFrame) -> Model:
     """A calibrated model from the rows whose fold is not 0 and whose lang is not null; all of them are read."""
     ship(docs.sparkSession)
     usable = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (fold(docs["doc_id"]) != 0)).select(
         docs["text"], docs["lang"].cast("string").alias("lang"), fold(docs["doc_id"]).alias("f"))
-    model = build(count_grams(usable.where(F.col("f") != CALIBRATION_FOLD)), hash_bits)
+    model = build(count_grams(usable.where(F.col("f") != CALIBRATION_FOLD)))
     calibrate(model, usable.where(F.col("f") == CALIBRATION_FOLD))
     return model
 

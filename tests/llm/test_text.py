@@ -142,6 +142,20 @@ def test_language_id(spark, make_docs):
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_model_keeps_grams_apart(spark):
+    """Unseen grams whose hashes share their first 20 bits with a seen one's get the back-off probability."""
+    rng = np.random.default_rng(3)
+    docs = [(i, "".join(chr(97 + c) for c in rng.integers(0, 26, 400)), "en") for i in range(60)]
+    model = language_id.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    seen = np.unique(np.concatenate([language_id.grams(t) for _, t, _ in docs]))
+    short = np.unique(language_id.hash64(seen) >> np.uint64(44))
+    other = rng.integers(0x4E00, 0x9FA0, (40_000, 4)).astype(np.uint64)
+    other = other[:, 0] | other[:, 1] << np.uint64(16) | other[:, 2] << np.uint64(32) | other[:, 3] << np.uint64(48)
+    clash = other[np.isin(language_id.hash64(other) >> np.uint64(44), short)]
+    assert len(clash) > 20
+    assert np.ptp(model.log_probs(np.append(clash, other[:50]))) < 1e-9
+
+
 def plain_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
