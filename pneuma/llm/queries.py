@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontaminate, language_id, preference, quality_rules, secret_scan, simhash, suffix_dedup, token_files,
-               url_lists)
+from . import (bpe, collocations, decontaminate, language_id, preference, quality_rules, secret_scan, simhash, suffix_dedup,
+               token_files, url_lists)
 from .common import checkpoint, table
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_preference", preference.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_rows(*preference.pairs_of(table(spark, sf_dir, "conversations")))
+
+
+@register("op11_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.ranked(collocations.collocations(table(spark, sf_dir, "documents")))
