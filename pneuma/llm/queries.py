@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, collocations, decontaminate, language_id, preference, quality_rules, secret_scan, simhash, suffix_dedup,
+from . import (bpe, collocations, decontaminate, language_id, license_scan, preference, quality_rules, secret_scan, simhash, suffix_dedup,
                token_files, url_lists)
 from .common import checkpoint, table
 
@@ -83,3 +83,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_collocations", collocations.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.ranked(collocations.collocations(table(spark, sf_dir, "documents")))
+
+
+@register("op13_license_scan", license_scan.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
