@@ -6,8 +6,8 @@ reached the threshold, whatever shard that happens in, and is counted for one fu
 shards from there. Lengths are thus counted side by side, and the scans end when no phrase is
 within its cycle.
 
-The phrases that have reached the threshold are known to the tasks as a Bloom filter of fixed
-size (``filter_bits``, whatever the corpus). Filters only gain bits, so a phrase that passes does so in all
+The phrases that have reached the threshold are known to the tasks as a Bloom filter of bounded
+size (``filter_bits`` at most, whatever the corpus). Filters only gain bits, so a phrase that passes does so in all
 later scans, and it is counted in a scan if it passes now and did not pass a cycle ago: each phrase
 that is counted at all is counted in every shard exactly once. A false positive costs the counting
 of one more phrase and changes no count. Counts themselves are exact, by the phrases' words.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, ship
@@ -30,8 +30,8 @@ MAX_WORDS = 5
 THRESHOLD = 100
 TOP = 2000
 SHARDS = 4
-#: Bits of the filter of phrases that reached the threshold; the broadcast has this size at any input.
-FILTER_BITS = 1 << 26
+#: Largest and smallest filter of phrases that reached the threshold, in bits; between them it has one bit per 64 bytes of text.
+FILTER_BITS, SMALLEST_FILTER = 1 << 27, 1 << 18
 _PROBES = 4
 #: Text of one language that a task takes up at once, and phrases that it sums before it hands them on.
 CHUNK_BYTES = 2 << 20
@@ -221,10 +221,12 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
     import numpy as np
     spark = docs.sparkSession
     ship(spark)
-    path = shared_path(spark, "collocation-shards")
+    path, seen = shared_path(spark, "collocation-shards"), Observation()
     (docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"]).where("text is not null and text != ''")
+     .observe(seen, F.sum(F.octet_length("text")).alias("bytes"))
      .withColumn("shard", F.monotonically_increasing_id() % shards).write.partitionBy("shard").parquet(path))
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
+    filter_bits = min(filter_bits, max(SMALLEST_FILTER, 1 << ((seen.get["bytes"] or 0) // 64).bit_length()))
     filters: list = [None]  # after no scan, after scan 0, ...; the same object where nothing was added
     bits = np.zeros(filter_bits // 64, np.uint64)
     state, step = None, 0
@@ -246,6 +248,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         else:
             filters.append(filters[-1])
         step += 1
+        if step > shards and filters[step - shards - 1] and filters[step - shards - 1] is not filters[step - shards]:
+            filters[step - shards - 1].destroy()  # no later scan looks that far back, and the counts are written
     return state.where((F.col("n") >= threshold) | (F.col("phrase") == "")).select("lang", "phrase", "n")
 
 
