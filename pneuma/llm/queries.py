@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, collocations, decontaminate, language_id, license_scan, preference, quality_rules, secret_scan, simhash, suffix_dedup,
-               token_files, url_lists)
+from . import (bpe, collocations, decontaminate, language_id, lexical_search, license_scan, preference, quality_rules, secret_scan,
+               simhash, suffix_dedup, token_files, url_lists)
 from .common import checkpoint, table
 
 QUERIES: dict = {}
@@ -85,6 +85,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.ranked(collocations.collocations(table(spark, sf_dir, "documents")))
 
 
+@register("op12_lexical_search", lexical_search.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 @register("op13_license_scan", license_scan.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
