@@ -33,18 +33,24 @@ SHARDS = 4
 #: Largest and smallest filter of phrases that reached the threshold, in bits; between them it has one bit per 64 bytes of text.
 FILTER_BITS, SMALLEST_FILTER = 1 << 27, 1 << 18
 _PROBES = 4
-#: Text of one language that a task takes up at once, and phrases that it sums before it hands them on.
-CHUNK_BYTES = 2 << 20
-HELD_PHRASES = 200_000
+#: Text of one language that a task takes up at once, and all the text that it holds.
+CHUNK_BYTES, HELD_BYTES = 3 << 20, 12 << 20
+#: A join's side is broadcast up to so many phrases, counted before; beyond that both sides are shuffled.
+BROADCAST_PHRASES = 500_000
 #: Separators of pieces, as one byte that UTF-8 never has; A-Z in lower case.
 _BREAK = b"\xff"
 _TRANSLATE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 _GAP = re.compile(rb"[ \t\xff]")
 
 
-def tokens(data: bytes) -> list[bytes]:
-    """The words of a translated text in order, with a ``_BREAK`` for every separator."""
-    return data.replace(_BREAK, b" " + _BREAK + b" ").split()
+def tokens(data: bytes):
+    """The words of a translated text in order as an Arrow array of bytes, with a ``_BREAK`` for every separator."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    spaced = data.replace(_BREAK, b" " + _BREAK + b" ").strip(b" \t")
+    if not spaced:
+        return pa.array([], pa.binary())
+    return pc.ascii_split_whitespace(pa.array([spaced], pa.binary()).view(pa.string())).values.view(pa.binary())
 
 
 def cut(data: bytes, limit: int) -> Iterator[bytes]:
@@ -92,27 +98,27 @@ def passes(filter_, h):
     return ok
 
 
-def count_chunk(words: list[bytes], carry: int, lang: str, now, old, count_words: bool, sums: dict) -> None:
-    """Add a chunk's counts to ``sums``: words if asked for, and phrases that pass ``now`` and not ``old``.
+def count_chunk(words, carry: int, lang: str, now, old, count_words: bool) -> Iterator[tuple]:
+    """A chunk's counts as (phrases, numbers): words if asked for, and phrases that pass ``now`` and not ``old``.
 
     The first ``carry`` words were counted before; only phrases that reach beyond them count.
     """
     import numpy as np
     import pandas as pd
-    code, names = pd.factorize(np.array(words, dtype=object))
-    code = code.astype(np.int64)
-    breaks = np.array([w == _BREAK for w in names])
-    h = word_hashes(list(names), lang)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    named = words.dictionary_encode()
+    names, code = named.dictionary, named.indices.to_numpy().astype(np.int64)
+    breaks = pc.equal(names, _BREAK).to_numpy(zero_copy_only=False)
     if count_words:
         n = np.bincount(code[carry:], minlength=len(names))
-        total = 0
-        for w, x, b in zip(names, n.tolist(), breaks.tolist()):
-            if x and not b:
-                sums[w] = sums.get(w, 0) + x
-                total += x
-        sums[b""] = sums.get(b"", 0) + total
+        n[breaks] = 0
+        some = np.flatnonzero(n)
+        yield names.take(pa.array(some)), n[some]
+        yield pa.array([b""], pa.binary()), n.sum(keepdims=True)
     if now is None:
         return
+    h = word_hashes(names.to_pylist(), lang)
     is_now = passes(now, h) & ~breaks
     is_old = passes(old, h) & ~breaks
     # phrases of the length before, by their start: hash, exact number within the chunk, and where they pass
@@ -120,7 +126,7 @@ def count_chunk(words: list[bytes], carry: int, lang: str, now, old, count_words
     hashes, ids, on, was = h[code], code, is_now[code], is_old[code]
     for k in range(2, MAX_WORDS + 1):
         # the next phrase starts where this one and its neighbour both pass
-        follows = np.flatnonzero((start[1:] == start[:-1] + 1) & on[1:] & on[:-1]) if len(start) > 1 else start[:0]
+        follows = np.flatnonzero((start[1:] == start[:-1] + 1) & on[1:] & on[:-1])
         if not len(follows):
             return
         start, done = start[follows], was[follows] & was[follows + 1]
@@ -133,10 +139,9 @@ def count_chunk(words: list[bytes], carry: int, lang: str, now, old, count_words
             n = np.bincount(some)
             first = np.zeros(len(n), np.int64)
             first[some[::-1]] = where[::-1]
-            for i in np.flatnonzero(n).tolist():
-                at = first[i]
-                phrase = b" ".join(words[at:at + k])
-                sums[phrase] = sums.get(phrase, 0) + int(n[i])
+            seen = np.flatnonzero(n)
+            parts = [names.take(pa.array(code[first[seen] + j])) for j in range(k)]
+            yield pc.binary_join_element_wise(*parts, b" "), n[seen]
         on, was = passes(now, hashes), passes(old, hashes) & done
 
 
@@ -147,37 +152,29 @@ def _scan(shard: DataFrame, now, old, count_words: bool) -> DataFrame:
         new, past = now.value if now else None, old.value if old else None
         texts: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
-        sums: dict[str, dict[bytes, int]] = {}
 
         def take(lang: str):
-            data = _BREAK.join(texts.pop(lang)).translate(_TRANSLATE)
             size.pop(lang)
-            mine, before = sums.setdefault(lang, {}), []
+            data, before = _BREAK.join(texts.pop(lang)).translate(_TRANSLATE), []
             for part in cut(data, CHUNK_BYTES):
-                words = before + tokens(part)
-                if words:
-                    count_chunk(words, len(before), lang, new, past, count_words, mine)
-                before = words[-(MAX_WORDS - 1):]
-                if len(mine) > HELD_PHRASES:
-                    yield flush(lang)
-                    mine = sums.setdefault(lang, {})
-
-        def flush(lang: str):
-            mine = sums.pop(lang)
-            return pa.record_batch([pa.array([lang] * len(mine), pa.string()), pa.array(list(mine), pa.binary()).cast(pa.string()),
-                                    pa.array(list(mine.values()), pa.int64())], names=["lang", "phrase", "n"])
+                words = tokens(b" ".join([*before, part]))
+                if len(words):
+                    for phrases, n in count_chunk(words, len(before), lang, new, past, count_words):
+                        yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrases.view(pa.string()),
+                                               pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                before = words[max(0, len(words) - MAX_WORDS + 1):].to_pylist()
 
         for batch in it:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                lang, data = lang.as_py(), text.as_buffer().to_pybytes()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_buffer().to_pybytes()
                 texts.setdefault(lang, []).append(data)
                 size[lang] = size.get(lang, 0) + len(data)
                 if size[lang] > CHUNK_BYTES:
                     yield from take(lang)
+                elif sum(size.values()) > HELD_BYTES:
+                    yield from take(max(size, key=size.get))
         for lang in list(texts):
             yield from take(lang)
-        for lang in list(sums):
-            yield flush(lang)
 
     return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
 
@@ -215,31 +212,28 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
                      filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, phrase, n: phrases of 1 to 5 words found ``threshold`` times or more, with their exact counts.
 
-    The row whose phrase is empty has the count of all words. Each scan reads one shard; its counts and those of the phrases
-    within their cycle are summed in one shuffle, and phrases that ended their cycle below the threshold go.
+    The row whose phrase is empty has the count of all words. Each scan reads one shard; its counts are summed in one shuffle
+    and stored, and the totals of those that can reach the threshold are brought up to date.
     """
     import numpy as np
     spark = docs.sparkSession
     ship(spark)
-    path, seen = shared_path(spark, "collocation-shards"), Observation()
+    path, volume = shared_path(spark, "collocation-shards"), Observation()
     (docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"]).where("text is not null and text != ''")
-     .observe(seen, F.sum(F.octet_length("text")).alias("bytes"))
+     .observe(volume, F.sum(F.octet_length("text")).alias("bytes"))
      .withColumn("shard", F.monotonically_increasing_id() % shards).write.partitionBy("shard").parquet(path))
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
-    filter_bits = min(filter_bits, max(SMALLEST_FILTER, 1 << ((seen.get["bytes"] or 0) // 64).bit_length()))
+    filter_bits = min(filter_bits, max(SMALLEST_FILTER, 1 << ((volume.get["bytes"] or 0) // 64).bit_length()))
     filters: list = [None]  # after no scan, after scan 0, ...; the same object where nothing was added
     bits = np.zeros(filter_bits // 64, np.uint64)
-    state, step = None, 0
+    counts: list[DataFrame] = []
+    totals, step = spark.createDataFrame([], _COUNTS), 0
     while step < shards or filters[step] is not filters[max(step - shards, 0)]:
         now, old = filters[step], filters[max(step - shards, 0)]
-        seen = _scan(texts.where(F.col("shard") == step % shards), now, old, step < shards).withColumn("first", F.lit(step))
-        if state is not None:
-            seen = seen.unionByName(state)
-        total = seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        # a phrase is first seen in its cycle or not at all, so a cycle from there its count is whole
-        total = total.where((F.col("n") >= threshold) | (F.col("first") > step - shards + 1) | (F.col("phrase") == ""))
-        state = materialize(total, "collocation-counts")
-        added = _bits(state.where((F.col("n") >= threshold) & (F.col("phrase") != "") & (_length("phrase") < MAX_WORDS)), filter_bits)
+        seen = _scan(texts.where(F.col("shard") == step % shards), now, old, step < shards)
+        counts.append(materialize(seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "collocation-counts"))
+        totals = materialize(_add(totals, counts[-shards:], -(-threshold // shards)), "collocation-totals")
+        added = _bits(totals.where((F.col("n") >= threshold) & (F.col("phrase") != "") & (_length("phrase") < MAX_WORDS)), filter_bits)
         got = added.toPandas()  # at most filter_bits / 64 rows
         at, value = got["word"].to_numpy(np.int64), got["value"].to_numpy(np.int64).view(np.uint64)
         if ((bits[at] | value) != bits[at]).any():
@@ -250,7 +244,39 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         step += 1
         if step > shards and filters[step - shards - 1] and filters[step - shards - 1] is not filters[step - shards]:
             filters[step - shards - 1].destroy()  # no later scan looks that far back, and the counts are written
-    return state.where((F.col("n") >= threshold) | (F.col("phrase") == "")).select("lang", "phrase", "n")
+    return totals.where((F.col("n") >= threshold) | (F.col("phrase") == "")).select("lang", "phrase", "n")
+
+
+_COUNTS = "lang string, phrase string, n long"
+
+
+def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose phrase is in ``keys``, a stored table; it is broadcast if it is small."""
+    small = keys.count() <= BROADCAST_PHRASES
+    return rows.join(F.broadcast(keys) if small else keys, ["lang", "phrase"], "left_semi")
+
+
+def _add(totals: DataFrame, counts: list[DataFrame], least: int) -> DataFrame:
+    """``totals`` with the counts of the last scan, which may bring phrases that it lacks.
+
+    A phrase is counted in as many scans as there are shards, so one that reaches the threshold has ``least`` in one of them;
+    only phrases that have done so are totalled. When one comes in, what it had in the scans before, at most a cycle ago,
+    is looked up.
+    """
+    last, before = counts[-1], counts[:-1]
+    known = totals.select("lang", "phrase")
+    new = materialize(last.where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase")
+                      .join(known, ["lang", "phrase"], "left_anti"), "collocation-new")
+    parts = [totals, _among(last, materialize(known.union(new), "collocation-known"))]
+    if before and not new.isEmpty():
+        older = before[0]
+        for c in before[1:]:
+            older = older.union(c)
+        parts.append(_among(older, new))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:

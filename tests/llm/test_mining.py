@@ -66,16 +66,17 @@ def test_saturated_filter_changes_nothing(spark):
     assert _mined(docs, 15, filter_bits=64) == brute_collocations(rows, 15)
 
 
-def test_collocation_chunks_keep_phrases_whole(spark, monkeypatch):
+def test_collocation_chunks_keep_phrases_whole():
     data = " ".join(f"w{i % 7} x{i % 3}" for i in range(500)).encode()
     for size in (1, 10, 100):
         assert b"".join(collocations.cut(data, size)) == data
-        sums: dict = {}
+        sums: collections.Counter = collections.Counter()
         before: list = []
         for part in collocations.cut(data, size):
-            words = before + collocations.tokens(part)
-            collocations.count_chunk(words, len(before), "en", _Everything(), None, True, sums)
-            before = words[-4:]
+            words = collocations.tokens(b" ".join([*before, part]))
+            for phrases, n in collocations.count_chunk(words, len(before), "en", _Everything(), None, True) if len(words) else ():
+                sums.update(dict(zip(phrases.to_pylist(), n.tolist())))
+            before = words.to_pylist()[-4:]
         w = data.split()
         want = collections.Counter(b" ".join(w[i:i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
         assert {k: v for k, v in sums.items() if k} == want and sums[b""] == len(w)
