@@ -29,14 +29,14 @@ from .common import materialize, shared_path, ship
 MAX_WORDS = 5
 THRESHOLD = 100
 TOP = 2000
-SHARDS = 4
+SHARDS = 3
 #: Largest and smallest filter of phrases that reached the threshold, in bits; between them it has one bit per 64 bytes of text.
 FILTER_BITS, SMALLEST_FILTER = 1 << 27, 1 << 18
 _PROBES = 4
 #: Text of one language that a task takes up at once, and all the text that it holds.
 CHUNK_BYTES, HELD_BYTES = 3 << 20, 12 << 20
 #: A join's side is broadcast up to so many phrases, counted before; beyond that both sides are shuffled.
-BROADCAST_PHRASES = 500_000
+BROADCAST_PHRASES = 100_000
 #: Separators of pieces, as one byte that UTF-8 never has; A-Z in lower case.
 _BREAK = b"\xff"
 _TRANSLATE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -234,8 +234,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         counts.append(materialize(seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "collocation-counts"))
         totals = materialize(_add(totals, counts[-shards:], -(-threshold // shards)), "collocation-totals")
         added = _bits(totals.where((F.col("n") >= threshold) & (F.col("phrase") != "") & (_length("phrase") < MAX_WORDS)), filter_bits)
-        got = added.toPandas()  # at most filter_bits / 64 rows
-        at, value = got["word"].to_numpy(np.int64), got["value"].to_numpy(np.int64).view(np.uint64)
+        got = added.toArrow()  # at most filter_bits / 64 rows
+        at, value = got["word"].to_numpy(), got["value"].to_numpy().view(np.uint64)
         if ((bits[at] | value) != bits[at]).any():
             bits[at] |= value
             filters.append(spark.sparkContext.broadcast(bits.copy()))
@@ -250,10 +250,10 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
 _COUNTS = "lang string, phrase string, n long"
 
 
-def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose phrase is in ``keys``, a stored table; it is broadcast if it is small."""
-    small = keys.count() <= BROADCAST_PHRASES
-    return rows.join(F.broadcast(keys) if small else keys, ["lang", "phrase"], "left_semi")
+def _keys(rows: DataFrame, size: int) -> DataFrame:
+    """The phrases of ``rows``, ``size`` of them, as a join's side; broadcast if they are few."""
+    keys = rows.select("lang", "phrase")
+    return F.broadcast(keys) if size <= BROADCAST_PHRASES else keys
 
 
 def _add(totals: DataFrame, counts: list[DataFrame], least: int) -> DataFrame:
@@ -264,18 +264,16 @@ def _add(totals: DataFrame, counts: list[DataFrame], least: int) -> DataFrame:
     is looked up.
     """
     last, before = counts[-1], counts[:-1]
-    known = totals.select("lang", "phrase")
-    new = materialize(last.where((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase")
-                      .join(known, ["lang", "phrase"], "left_anti"), "collocation-new")
-    parts = [totals, _among(last, materialize(known.union(new), "collocation-known"))]
-    if before and not new.isEmpty():
+    known = _keys(totals, totals.count()).withColumn("known", F.lit(True))
+    mine = materialize(last.join(known, ["lang", "phrase"], "left").where(
+        F.col("known") | (F.col("n") >= least) | (F.col("phrase") == "")), "collocation-found")
+    new = mine.where("known is null")
+    every, size = totals.unionByName(mine.drop("known")), new.count()
+    if before and size:
         older = before[0]
         for c in before[1:]:
             older = older.union(c)
-        parts.append(_among(older, new))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        every = every.unionByName(older.join(_keys(new, size), ["lang", "phrase"], "left_semi"))
     return every.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
