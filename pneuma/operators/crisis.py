@@ -23,7 +23,11 @@ from . import labels as L
 from . import metrics as MT
 from . import scoring as S
 from . import series
-from . import user_forest as UF
+from .forest_table import NODES, NodeForest, feature_array, packed, probability, stored_nodes
+
+
+#: Node statistics that one task of a fit may hold; a level with more nodes takes more passes over the rows.
+FIT_MB = 32
 
 
 @dataclass
@@ -90,7 +94,7 @@ def _forest(num_trees: int = RF_TREES, max_depth: int = RF_MAX_DEPTH, seed: int
     from pyspark.ml.classification import RandomForestClassifier
     return RandomForestClassifier(featuresCol="features", labelCol="symptom_label", weightCol="weight",
                                   numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=RF_MIN_LEAF,
-                                  featureSubsetStrategy="sqrt", maxBins=128, seed=seed)
+                                  featureSubsetStrategy="sqrt", maxBins=128, seed=seed, maxMemoryInMB=FIT_MB)
 
 
 def probability_col(df: DataFrame, name: str = "proba_crisis") -> DataFrame:
@@ -129,15 +133,10 @@ def rf_train(train_set: DataFrame, user_id: str | None = None, cross_validate: b
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
     meta = {}
-    n_train = train.count()
-    # The CV forests and the final forest are independent Spark ML jobs: they run
-    # concurrently on the one session (their scheduling overheads overlap).
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=RF_FOLDS + 1) as ex:
-        final = ex.submit(lambda: _forest(num_trees, max_depth, seed).fit(train))
-        if cross_validate and n_train >= RF_CV_MIN_ROWS:
-            meta.update(cross_validate_forest(train, num_trees, max_depth, seed, ex))
-        model = final.result()
+    # one fit at a time: each uses all cores, and its node statistics and bagged rows have the memory for themselves
+    model = _forest(num_trees, max_depth, seed).fit(train)
+    if cross_validate and train.count() >= RF_CV_MIN_ROWS:
+        meta.update(cross_validate_forest(train, num_trees, max_depth, seed))
     pred = probability_col(model.transform(test))
     meta.update(evaluate(pred))
     pos = base.agg(F.avg(F.col("symptom_label").cast("double"))).collect()[0][0]
@@ -148,12 +147,11 @@ def rf_train(train_set: DataFrame, user_id: str | None = None, cross_validate: b
     return CrisisModel(model, name, meta)
 
 
-def cross_validate_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int, executor=None) -> dict:
-    """5 stratified folds (G4) -> mean and std of AUC and F1 (fold fits run concurrently)."""
+def cross_validate_forest(train: DataFrame, num_trees: int, max_depth: int, seed: int) -> dict:
+    """5 stratified folds (G4) -> mean and std of AUC and F1, one fold after the other."""
     import statistics
-    from concurrent.futures import ThreadPoolExecutor
-    folds = L.stratified_folds(train.drop("features"), "symptom_label", "event_id", RF_FOLDS)
-    folds = _assemble(folds).cache()
+    from ..session import checkpoint
+    folds = checkpoint(_assemble(L.stratified_folds(train.drop("features"), "symptom_label", "event_id", RF_FOLDS)))
 
     def one(k):
         tr = folds.filter(F.col("fold") != k)
@@ -161,12 +159,7 @@ def cross_validate_forest(train: DataFrame, num_trees: int, max_depth: int, seed
         m = _forest(num_trees, max_depth, seed).fit(tr)
         return evaluate(probability_col(m.transform(te)))
 
-    if executor is None:
-        with ThreadPoolExecutor(max_workers=RF_FOLDS) as ex:
-            res = list(ex.map(one, range(RF_FOLDS)))
-    else:
-        res = [f.result() for f in [executor.submit(one, k) for k in range(RF_FOLDS)]]
-    folds.unpersist()
+    res = [one(k) for k in range(RF_FOLDS)]
     aucs = [r["auc_roc"] or 0.0 for r in res]
     f1s = [r["f1_score"] for r in res]
     return {"n_folds": len(res), "cv_auc_mean": statistics.fmean(aucs), "cv_auc_std": statistics.pstdev(aucs),
@@ -195,7 +188,7 @@ def top_features(spark, model: CrisisModel, n: int = 8) -> DataFrame:
     return df.orderBy(F.desc("importance"), "idx").limit(n).select("feature", rround("importance", 4).alias("importance"))
 
 
-def crisis_batch(df: DataFrame, model: CrisisModel | None = None) -> DataFrame:
+def crisis_batch(df: DataFrame, model: CrisisModel | NodeForest | None = None) -> DataFrame:
     """proba_crisis (4 digits), alert_level (on the unrounded probability), should_notify.
 
     Without a model: the index heuristic (C17) on ``ier_score``.
@@ -204,13 +197,18 @@ def crisis_batch(df: DataFrame, model: CrisisModel | None = None) -> DataFrame:
         p = A.crisis_heuristic_base("ier_score")
         return df.withColumns({"proba_crisis": p, "alert_level": A.crisis_alert_level(p),
                                "should_notify": A.crisis_notify(p)})
-    x = probability_col(model.model.transform(_assemble(df)), "_p")
-    return x.withColumns({"proba_crisis": rround("_p", 4), "alert_level": A.crisis_alert_level("_p"),
-                          "should_notify": A.crisis_notify("_p")}) \
-            .drop("_p", "features", "rawPrediction", "probability", "prediction")
+    return _scored(df, model).withColumns({"proba_crisis": rround("_p", 4), "alert_level": A.crisis_alert_level("_p"),
+                                           "should_notify": A.crisis_notify("_p")}).drop("_p")
+
+
+def _scored(df: DataFrame, model: CrisisModel | NodeForest) -> DataFrame:
+    """``df`` with the unrounded probability ``_p`` of a Spark ML forest or of a node table."""
+    if isinstance(model, NodeForest):
+        return model.score(df, "_p")
+    return probability_col(model.model.transform(_assemble(df)), "_p").drop("features", "rawPrediction", "probability", "prediction")
 
 
-def crisis_realtime(df: DataFrame, model: CrisisModel | None = None, top_n: int = 5,
+def crisis_realtime(df: DataFrame, model: CrisisModel | NodeForest | None = None, top_n: int = 5,
                     pathologie_col: str | None = "pathologie") -> DataFrame:
     """Per reading: features (H8), validity (B10), probability, level, colour, notify, message, top contributors.
 
@@ -228,7 +226,7 @@ def crisis_realtime(df: DataFrame, model: CrisisModel | None = None, top_n: int
         return x.withColumns({"alert_level": lvl, "alert_color": A.crisis_alert_color(lvl),
                               "should_notify": A.crisis_notify("proba_crisis"),
                               "message": A.crisis_message("proba_crisis", lvl, F.lit("general"))})
-    x = probability_col(model.model.transform(_assemble(x.withColumn("_path", path))), "_p")
+    x = _scored(x.withColumn("_path", path), model)
     lvl = A.crisis_alert_level("_p")
     imp = sorted([(v, -i, f) for i, (f, v) in enumerate(model.importances())], reverse=True)[:top_n]
     top = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(round(v, 4)).alias("importance"),
@@ -236,7 +234,7 @@ def crisis_realtime(df: DataFrame, model: CrisisModel | None = None, top_n: int
     out = x.withColumns({"proba_crisis": rround("_p", 4), "alert_level": lvl, "alert_color": A.crisis_alert_color(lvl),
                          "should_notify": A.crisis_notify("_p"), "message": A.crisis_message("_p", lvl, "_path"),
                          "model_used": F.lit(model.name), "top_contributors": top})
-    return FT.feature_map(out).drop("_p", "_path", "features", "rawPrediction", "probability", "prediction")
+    return FT.feature_map(out).drop("_p", "_path")
 
 
 @dataclass
@@ -278,41 +276,63 @@ def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id
     return RetrainResult(user_id, True, row.reason, int(row.n_samples), m)
 
 
+#: Users whose forests are fitted at the same time.
+FITS_AT_ONCE = 4
+
+
 def retrain_all(labeled: DataFrame, models: DataFrame, global_rows: DataFrame | None = None, force: bool = False,
-                num_trees: int = RF_TREES, seed: int = SEED, max_rows: int = UF.MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Decide for every user (I1), then train all due users' forests together.
+                num_trees: int = RF_TREES, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decide for every user (I1), then fit each due user's Spark ML forest, a bounded number at a time.
 
-    ``labeled``: stored survey features (user_id, event_id, features, symptom_label). Returns the decisions and the
-    model rows (see ``user_forest.train_users``): two tables, nothing on the driver. Users with more than ``max_rows``
-    rows are trained too, level by level over all their rows.
+    ``labeled``: stored survey features (user_id, event_id, features, symptom_label). Returns the decisions, one meta row per
+    fitted model and the nodes of all fitted forests, three tables; the driver holds the ids of the due users
+    and one fit's trees per place in the pool.
     """
-    from .retrain import should_retrain
-    decisions = should_retrain(labeled, models)
+    from concurrent.futures import ThreadPoolExecutor
+
+    from ..session import checkpoint, scratch_path
+    from .retrain import should_retrain, user_bucket
+    spark = labeled.sparkSession
+    decisions = checkpoint(should_retrain(labeled, models))
     due = decisions.filter(F.lit(force) | F.col("retrain")).select("user_id")
-    rows = labeled.join(due, "user_id", "left_semi").withColumn("own", F.lit(True))
+    rows = labeled.join(due, "user_id", "left_semi")
+    counts = {r["user_id"]: int(r["n_samples"]) for r in decisions.join(due, "user_id", "left_semi").select("user_id", "n_samples").toLocalIterator()}
     if global_rows is not None:
-        both = L.augment_global(rows.drop("own"), global_rows)
-        rows = both.withColumn("own", F.col("source") == "user").drop("source")
-    feats = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in rows.columns else F.lit(0.0).alias(f)
-             for f in FEATURE_NAMES]
-    return decisions, UF.train_users(rows.select("user_id", "event_id", *feats, "symptom_label", "own"), num_trees, seed=seed,
-                                     max_rows=max_rows)
-
-
-def crisis_batch_routed(readings: DataFrame, user_models: DataFrame, global_model: CrisisModel | None = None) -> DataFrame:
+        rows = L.augment_global(rows, global_rows).drop("source")
+    base = scratch_path(spark, "retrain")
+    rows.withColumn("_bucket", user_bucket(F.col("user_id"))).write.partitionBy("_bucket").parquet(f"{base}/rows")
+
+    def one(user) -> str:
+        mine = spark.read.parquet(f"{base}/rows").where((F.col("_bucket") == user_bucket(F.lit(user))) & (F.col("user_id") == F.lit(user)))
+        x = training_set(spark, "labeled", labeled=mine.drop("_bucket")).drop("user_id")
+        m = rf_train(x, user_id=user, cross_validate=False, num_trees=num_trees, seed=seed)
+        m.meta["n_user_samples"] = counts[user]
+        m.save(f"{base}/models/{m.name}", spark)
+        stored_nodes(spark, f"{base}/models/{m.name}/model", m.name).write.parquet(f"{base}/nodes/_model={m.name}")
+        return m.name
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        names = list(pool.map(one, sorted(counts)))
+    if not names:
+        return decisions, spark.createDataFrame([], META_SCHEMA), spark.createDataFrame([], NODES)
+    meta = spark.read.schema(META_SCHEMA).parquet(*[f"{base}/models/{n}/meta" for n in names])
+    return decisions, meta, spark.read.parquet(f"{base}/nodes").drop("_model")
+
+
+def crisis_batch_routed(readings: DataFrame, user_nodes: DataFrame, global_model: NodeForest | None = None) -> DataFrame:
     """H12 with the lookup chain: the reading's user model, else the global forest, else the index heuristic.
 
-    Adds proba_crisis, alert_level, should_notify and model_used to every reading (event_id, user_id, the 20 features).
+    ``user_nodes``: nodes of the models named ``rf_user_<id>``. Adds proba_crisis, alert_level, should_notify and model_used
+    to every reading (user_id, the 20 features); every row stays one row, whatever its ids. The models are joined
+    by the user, so a reading meets its own forest and no other.
     """
-    mine = UF.score_users(readings, user_models)
-    x = readings.join(mine, "event_id", "left")
+    own = packed(user_nodes).select(F.col("model_name").alias("_own"), F.col("trees").alias("_trees"))
+    x = readings.withColumn("_own", F.concat(F.lit("rf_user_"), F.col("user_id").cast("string"))).join(own, "_own", "left")
+    p = probability(F.col("_trees"), feature_array(readings))
+    x = x.withColumns({"_q": p, "_used": F.when(F.col("_trees").isNotNull(), F.col("_own"))}).drop("_own", "_trees")
     if global_model is not None:
-        rest = probability_col(global_model.model.transform(_assemble(x)), "_g").drop("features", "rawPrediction", "probability", "prediction")
-        other, name = F.col("_g"), global_model.name
-    else:
-        rest, other, name = x, A.crisis_heuristic_base("ier_score"), "heuristic_fallback"
-    p = F.coalesce(F.col("_p"), other)
-    used = F.when(F.col("_p").isNotNull(), F.concat(F.lit("rf_user_"), F.col("user_id").cast("string"))).otherwise(F.lit(name))
-    return rest.withColumn("_q", p).withColumns({
-        "proba_crisis": rround("_q", 4), "alert_level": A.crisis_alert_level("_q"), "should_notify": A.crisis_notify("_q"),
-        "model_used": used}).drop("_p", "_q", "_g")
+        x = global_model.score(x, "_g").withColumns({"_q": F.coalesce("_q", "_g"), "_used": F.coalesce("_used", F.lit(global_model.name))})
+    x = x.withColumns({"_q": F.coalesce(F.col("_q"), A.crisis_heuristic_base("ier_score")),
+                       "model_used": F.coalesce(F.col("_used"), F.lit("heuristic_fallback"))})
+    return x.withColumns({"proba_crisis": rround("_q", 4), "alert_level": A.crisis_alert_level("_q"),
+                          "should_notify": A.crisis_notify("_q")}).drop("_q", "_g", "_used")

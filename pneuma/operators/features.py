@@ -103,6 +103,12 @@ def profile_join(df: DataFrame, profiles: DataFrame, key: str = "user_id") -> Da
     return j.withColumns(dict(enc)).drop(*[c for c in j.columns if c.startswith("_p_")])
 
 
+def with_profile(df: DataFrame, profiles: DataFrame, key: str = "user_id") -> DataFrame:
+    """The user's profile as it stands (age, pathologie, is_smoker, symptom_yesterday), for ``features_realtime`` to encode."""
+    own = [c for c in ("age", "pathologie", "is_smoker", "symptom_yesterday") if c in profiles.columns]
+    return df.drop(*own).join(profiles.select(key, *own), key, "left")
+
+
 def features_batch(df: DataFrame, keep=("event_id",), group: str = "station", tiebreak: str | None = "event_id",
                    block_rows: int = series.DEFAULT_BLOCK_ROWS) -> DataFrame:
     """H7: the 20 model features per row; id and label columns stay on the row.

@@ -96,7 +96,7 @@ def labeled_projection(df: DataFrame, label: str = "symptom_label", ts: str = "t
 LABEL_BUCKETS = 64
 
 
-def _user_bucket(user: F.Column) -> F.Column:
+def user_bucket(user: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(user.cast("string")), F.lit(LABEL_BUCKETS)).cast("int")
 
 
@@ -110,7 +110,7 @@ def append_labeled(df: DataFrame, path: str, user_col: str = "user_id", batch: s
     rows = labeled_projection(df, user_col=user_col)
     name = batch or uuid.uuid4().hex
     # One file per bucket and task at most; the rows are not shuffled for it.
-    rows.withColumn("_bucket", _user_bucket(F.col(user_col))).write.mode("overwrite").partitionBy("_bucket").parquet(
+    rows.withColumn("_bucket", user_bucket(F.col(user_col))).write.mode("overwrite").partitionBy("_bucket").parquet(
         f"{path.rstrip('/')}/_batch={name}")
     spark = df.sparkSession
     users = rows.select(user_col).distinct()
@@ -132,6 +132,6 @@ def load_labeled(spark, path: str, user_id=None, schema=None) -> DataFrame:
         raise
     if user_id is not None:
         if "_bucket" in df.columns:
-            df = df.filter(F.col("_bucket") == _user_bucket(F.lit(user_id)))
+            df = df.filter(F.col("_bucket") == user_bucket(F.lit(user_id)))
         df = df.filter(F.col("user_id") == F.lit(user_id))
     return finite_columns(df.drop("_bucket", "_batch"))

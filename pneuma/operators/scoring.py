@@ -125,6 +125,28 @@ def validate_readings(df: DataFrame, required=IER_FEATURES) -> DataFrame:
     return out.withColumn("is_valid", F.col("reject_reason").isNull())
 
 
+#: Fields of a reading's message.
+MESSAGE_FIELDS = ["event_id", "user_id", "station", "datetime", *IER_FEATURES]
+
+
+def validate_messages(messages: DataFrame, required=IER_FEATURES, column: str = "value") -> DataFrame:
+    """B12 on raw JSON messages: the typed reading, ``raw`` (the message), ``reject_reason`` and ``is_valid``.
+
+    A null message or one that is no JSON object is 'unparsable'; else required fields are missing or not_numeric as in
+    ``validate_readings``. Other fields that do not fit their type are NULL.
+    """
+    fields = ", ".join(f"{f} string" for f in MESSAGE_FIELDS)
+    m = messages.select(F.col(column).alias("raw"), F.from_json(
+        F.col(column), f"{fields}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("m"))
+    broken = F.col("raw").isNull() | F.col("m").isNull() | F.col("_broken").isNotNull()
+    checked = validate_readings(m.select("raw", "m", "m.*"), required)
+    reason = F.when(broken, F.lit("unparsable")).otherwise(F.col("reject_reason"))
+    return checked.select(
+        F.col("event_id").try_cast("bigint").alias("event_id"), F.col("user_id").try_cast("bigint").alias("user_id"), "station",
+        F.col("datetime").try_cast("timestamp_ntz").alias("datetime"), *[f for f in IER_FEATURES], "raw",
+        reason.alias("reject_reason"), reason.isNull().alias("is_valid"))
+
+
 def pathologie_check(df: DataFrame, col: str = "pathologie") -> DataFrame:
     """C1 for a column: rows per normalised pathologie (lower + strip) and whether it has index weights.
 

@@ -157,6 +157,64 @@ def labeled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Files of ``arrivals`` come in so many parts, each after the one before.
+ARRIVAL_PARTS = 5
+
+
+def arrival_part(ts: Column, event_id: Column) -> Column:
+    """The part in which a reading arrives: six days each; some readings come one or three days late."""
+    day = F.dayofmonth(ts) + F.when(event_id % 17 == 0, 3).when(event_id % 29 == 0, 1).otherwise(0)
+    return F.least(F.floor((day - 1) / 6), F.lit(ARRIVAL_PARTS - 1)).cast("int")
+
+
+ARRIVAL_SQL = (f"least(((day(datetime) + CASE WHEN event_id % 17 = 0 THEN 3 WHEN event_id % 29 = 0 THEN 1 ELSE 0 END - 1) // 6)"
+               f"::INTEGER, {ARRIVAL_PARTS - 1})")
+
+
+def write_arrivals(spark: SparkSession, sf_dir: str, folder: str, part: int, files: int = 4) -> None:
+    """Write one part of the events as files of a stream's source folder."""
+    ev = read_table(spark, sf_dir, "events")
+    ev.where(arrival_part(F.col("ts"), F.col("event_id")) == part).repartition(files).write.mode("append").parquet(folder)
+
+
+def arrivals_stream(spark: SparkSession, sf_dir: str, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Readings (``measurements``) from the files of ``folder``, as they come."""
+    r = spark.readStream.schema(read_table(spark, sf_dir, "events").schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return measurements_from(r.parquet(folder))
+
+
+def messages_from(ev: DataFrame) -> DataFrame:
+    """``value``: the readings as raw JSON messages, some broken, some with a field missing, null or not numeric."""
+    eid = F.col("event_id")
+
+    def number(c: Column) -> Column:
+        return c.cast("decimal(18,2)").cast("string")
+
+    m = measurements_from(ev)
+    pm25 = F.when(eid % 23 == 0, F.lit('"n/a"')).when(eid % 31 == 0, F.lit("null")).otherwise(number(F.col("pm25")))
+    co = F.when(eid % 19 == 0, F.lit("")).otherwise(F.concat(F.lit(', "co": '), number(F.col("co"))))
+    whole = F.concat(
+        F.lit('{"event_id": '), eid.cast("string"), F.lit(', "user_id": '), F.col("user_id").cast("string"),
+        F.lit(', "station": "'), F.col("station"), F.lit('", "datetime": "'), F.date_format("datetime", "yyyy-MM-dd HH:mm:ss"),
+        F.lit('", "pm25": '), pm25, co, F.lit(', "humidity": "'), number(F.col("humidity")), F.lit('", "temperature": '),
+        number(F.col("temperature")), F.lit("}"))
+    broken = F.concat(F.lit('{"event_id": '), eid.cast("string"), F.lit(', "pm25": '))
+    return m.select(F.when(eid % 101 == 0, broken).otherwise(whole).alias("value"))
+
+
+MESSAGES_SQL = """
+SELECT event_id, CASE WHEN event_id % 101 = 0 THEN '{"event_id": ' || event_id || ', "pm25": '
+  ELSE '{"event_id": ' || event_id || ', "user_id": ' || user_id || ', "station": "' || station || '", "datetime": "'
+    || strftime(datetime, '%Y-%m-%d %H:%M:%S') || '", "pm25": '
+    || CASE WHEN event_id % 23 = 0 THEN '"n/a"' WHEN event_id % 31 = 0 THEN 'null' ELSE CAST(CAST(pm25 AS DECIMAL(18,2)) AS VARCHAR) END
+    || CASE WHEN event_id % 19 = 0 THEN '' ELSE ', "co": ' || CAST(CAST(co AS DECIMAL(18,2)) AS VARCHAR) END
+    || ', "humidity": "' || CAST(CAST(humidity AS DECIMAL(18,2)) AS VARCHAR) || '", "temperature": '
+    || CAST(CAST(temperature AS DECIMAL(18,2)) AS VARCHAR) || '}' END AS value
+FROM measurements"""
+
+
 ZONE_CENTROIDS = [
     (0, "B", 40.0, 20.0, 50.0, 10.0, 30.0),
     (1, "D", 300.0, 40.0, 80.0, 30.0, 65.0),

@@ -1,15 +1,15 @@
-"""Structured Streaming forms of the per-reading operators.
+"""Structured Streaming forms of the per-reading operators.
 
 The reference scores one reading per synchronous call with the caller
 passing the history; here a stream carries the readings:
 
 * J1 ``stream_score``: the batch Column functions on ``readStream`` (stateless).
-* J2 ``stream_history``: the recent readings per station kept as state
-  (``applyInPandasWithState``), giving the realtime history features.
-* J3 ``stream_daily_mean``: watermarked tumbling 1-day means per station.
+* J3 ``stream_daily_mean``: watermarked tumbling 1-day means per station (update mode).
 * J4 ``stream_labels``: survey rows appended to the labeled table from
   ``foreachBatch``, one folder per epoch.
 
+Streams that keep tables as their state (J2, H13, closed days, rejects) are in ``epochs``.
+
 Checkpoints go under the session's ``spark.checkpoint.dir`` (shared storage
 on a cluster), so a restarted query resumes where it stopped.
 """
@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import features as FX
 from ..functions.exprs import decimal_avg
 from ..operators import retrain as R
 from ..operators import scoring as S
-from ..session import ensure_checkpoint_dir
 from ..tables import CLUSTER_FEATURES
+from .epochs import Epochs
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
@@ -58,79 +57,6 @@ def stream_daily_mean(readings: DataFrame, lateness: str = "1 day",
             .select("station", "date", *features)
 
 
-_FIELDS = ["pm25", "co", "humidity", "ier_score"]
-
-HISTORY_STATE = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("id", T.ArrayType(T.LongType()))]
-                             + [T.StructField(f, T.ArrayType(T.DoubleType())) for f in _FIELDS])
-
-HISTORY_OUT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("station", T.StringType())]
-                           + [T.StructField(n, T.DoubleType()) for n, _, _ in FX.HISTORY_SPECS])
-
-_NO_TIME = 2 ** 62
-
-
-def _history_fn(n: int, late_us: int):
-    """State function, vectorised over a station's rows of one micro-batch.
-
-    State: the station's rows no older than ``late_us`` before its newest, and the ``n`` rows before those. A batch's
-    rows, in whatever order and however many Arrow chunks they come, are merged with the state by
-    (time, id); every row whose previous rows changed is given out again. Means are sums of exact micro-units.
-    """
-    specs = [(name, kind, src) for name, kind, src in FX.HISTORY_SPECS]
-    fields, no_time = list(_FIELDS), _NO_TIME
-
-    def fn(key, pdfs, state):
-        import numpy as np
-        import pandas as pd
-        new = pd.concat(list(pdfs), ignore_index=True)
-        at = new["datetime"].astype("datetime64[us]")
-        new_at = np.where(at.isna(), no_time, at.astype("int64"))
-        old = state.get if state.exists else tuple([] for _ in range(2 + len(fields)))
-        at = np.concatenate([np.array(old[0], dtype=np.int64), new_at])
-        ids = np.concatenate([np.array(old[1], dtype=np.int64), new["event_id"].astype("int64").to_numpy()])
-        fresh = np.arange(len(at)) >= len(old[0])
-        vals = []
-        for i, f in enumerate(fields):
-            v = new[f].astype(float).to_numpy()
-            vals.append(np.concatenate([np.array(old[2 + i], dtype=float), np.where(np.isfinite(v), v, 0.0)]))
-        by = np.lexsort((ids, at))
-        at, ids, fresh, vals = at[by], ids[by], fresh[by], [v[by] for v in vals]
-        first = int(np.argmax(fresh))
-        idx = np.arange(first, len(at))
-        lo = np.maximum(0, idx - n)
-        count = idx - lo
-        out = {"event_id": ids[idx], "station": key[0]}
-        for name, kind, src in specs:
-            v = vals[fields.index(src)]
-            if kind == "mean":
-                total = np.concatenate([[0], np.cumsum(np.rint(v * 1e6).astype(np.int64))])
-                r = (total[idx] - total[lo]) / 1e6 / np.maximum(count, 1)
-            else:
-                padded = np.concatenate([np.full(n, -np.inf), v])
-                r = np.lib.stride_tricks.sliding_window_view(padded, n)[idx].max(axis=1)
-            out[name] = np.where(count > 0, np.rint(np.where(count > 0, r, 0.0) * 1000.0) / 1000.0, 0.0)
-        dated = at[at < no_time]
-        newest = int(dated.max()) if len(dated) else 0
-        keep = max(0, int(np.searchsorted(at, newest - late_us)) - n)
-        state.update((at[keep:].tolist(), ids[keep:].tolist(), *(v[keep:].tolist() for v in vals)))
-        # a row given out again is out of date before the first fresh one only if it stands after it
-        yield pd.DataFrame(out)
-    return fn
-
-
-def stream_history(readings: DataFrame, n: int = 24, lateness_days: int = 2) -> DataFrame:
-    """The six history features of each reading from the previous ``n`` readings of its station.
-
-    Update semantics: rows may come in any order within ``lateness_days`` of the station's newest reading; when
-    a late row changes the history of later ones, those are given out again, and the last one given out counts
-    (``run_to_table`` with keys). A reading later than that has a history of what is still held.
-    State is bounded by the lateness; rows without a time come last.
-    """
-    x = readings.select("event_id", "station", "datetime", "pm25", "co", "humidity", "ier_score")
-    return x.groupBy("station").applyInPandasWithState(
-        _history_fn(n, lateness_days * 86_400_000_000), HISTORY_OUT, HISTORY_STATE, "update", "NoTimeout")
-
-
 def stream_labels(spark: SparkSession, entries: DataFrame, table_path: str, checkpoint: str | None = None,
                   user_col: str = "user_id"):
     """Append survey rows to the labeled table: every answer is kept, however late it comes.
@@ -150,21 +76,16 @@ def run_to_table(spark: SparkSession, stream_df: DataFrame, name: str, keys: lis
     """Run a streaming query over everything available (availableNow) into Parquet in the shared folder; return it.
 
     Each epoch is written to a folder of its own, which a retry replaces. With ``keys`` the query runs in
-    update mode and each key's row of the last epoch counts; nothing stays behind a watermark then.
+    update mode and each key's row of the last epoch counts; nothing stays behind a watermark then. A source
+    without a file gives an empty table.
     """
-    import uuid
-    base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_{name}_{uuid.uuid4().hex}"
-    schema = stream_df.schema
+    epochs, schema = Epochs(spark, name, checkpoint), stream_df.schema
+    base = epochs.base
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/table/_epoch={epoch_id}")
+        epochs.write("table", epoch_id, batch)
 
     q = (stream_df.writeStream.foreachBatch(write).outputMode("update" if keys else "append")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    rows = spark.read.schema(schema.add("_epoch", "long") if "_epoch" not in schema.names else schema).parquet(f"{base}/table")
-    if not keys:
-        return rows.drop("_epoch")
-    others = [c for c in schema.names if c not in keys and c != "_epoch"]
-    last = rows.groupBy(*keys).agg(F.max(F.struct("_epoch", *others)).alias("_r"))
-    return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*[c for c in schema.names if c != "_epoch"])
+    return epochs.all("table", schema, keys)

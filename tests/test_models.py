@@ -93,54 +93,65 @@ def test_retrain_user(spark):
     assert not kept.retrained and kept.reason.endswith("+0/10")
 
 
-def test_user_forest_learns_and_routes(spark):
+def _users(spark):
     import numpy as np
-
-    from pneuma.operators import user_forest as UF
-    from pneuma.tables import FEATURE_NAMES
-    rng = np.random.default_rng(0)
-    x = rng.random((400, 4))
-    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(int)
-    nodes, roots = UF._fit(x[:300], y[:300], rng, 60, 8, 2)
-    assert ((UF.forest_scores(nodes, roots, x[300:]) > 0.5) == y[300:]).mean() > 0.85
-    rows = [(u, i, float(rng.random() * 50), i % 2) for u, n in ((1, 40), (2, 45), (3, 12)) for i in range(n)]
-    lab = spark.createDataFrame(rows, "user_id long, event_id long, pm25 double, symptom_label int")
-    known = spark.createDataFrame([(2, 44, True)], "user_id long, n_user_samples long, has_meta boolean")
-    decisions, models = CR.retrain_all(lab, known, num_trees=5)
-    assert {r.user_id: r.retrain for r in decisions.collect()} == {1: True, 2: False, 3: False}
-    assert [(m.model_name, m.n_user_samples, m.n_samples, len(m.roots)) for m in models.collect()] == [("rf_user_1", 40, 40, 5)]
-    assert UF.large_users(lab, 41).collect()[0].user_id == 2
-    feats = lab.selectExpr("user_id", "user_id * 1000 + event_id AS event_id", "50.0 AS ier_score",
-                           *[f if f == "pm25" else f"0.0 AS {f}" for f in FEATURE_NAMES if f != "ier_score"])
-    out = CR.crisis_batch_routed(feats, models).collect()
-    assert len(out) == 97 and {(r.user_id, r.model_used) for r in out} == {
-        (1, "rf_user_1"), (2, "heuristic_fallback"), (3, "heuristic_fallback")}
-    assert all(0.0 <= r.proba_crisis <= 1.0 for r in out)
+    rng = np.random.default_rng(1)
+    rows = [(u, 1000 * u + i, float(a), float(b), int(a + b > 1)) for u, n in ((1, 300), (2, 45), (3, 12))
+            for i, (a, b) in enumerate(rng.random((n, 2)))]
+    return spark.createDataFrame(rows, "user_id long, event_id long, pm25 double, co double, symptom_label int")
 
 
-def test_retrain_all_trains_users_beyond_one_group(spark):
+def test_retrain_all_fits_the_due_users(spark):
     import numpy as np
 
-    from pneuma.operators import user_forest as UF
+    from pneuma.operators import forest_table as NF
     from pneuma.tables import FEATURE_NAMES
-    rng = np.random.default_rng(1)
-    x = rng.random((640, 2))
-    rows = [(1 if i < 600 else 2, i, float(a), float(b), int(a + b > 1)) for i, (a, b) in enumerate(x)]
-    lab = spark.createDataFrame(rows, "user_id long, event_id long, pm25 double, co double, symptom_label int")
-    known = spark.createDataFrame([], "user_id long, n_user_samples long, has_meta boolean")
-    _, models = CR.retrain_all(lab, known, num_trees=30, max_rows=200)
-    got = {m.user_id: m for m in models.collect()}
-    assert {u: (m.model_name, m.n_user_samples, m.n_samples, len(m.roots)) for u, m in got.items()} == {
-        1: ("rf_user_1", 600, 600, 30), 2: ("rf_user_2", 40, 40, 30)}
-    big = got[1]
-    group = {m.user_id: m for m in CR.retrain_all(lab, known, num_trees=30)[1].collect()}[1]
-    assert big.auc_roc > 0.9 and abs(big.auc_roc - group.auc_roc) < 0.05
-    assert big.positive_rate == round(sum(r[4] for r in rows[:600]) / 600, 4)
-    new = np.zeros((500, len(FEATURE_NAMES)))
-    ab = rng.random((500, 2))
-    new[:, FEATURE_NAMES.index("pm25")], new[:, FEATURE_NAMES.index("co")] = ab[:, 0], ab[:, 1]
-    p = UF.forest_scores([tuple(n) for n in big.nodes], big.roots, new)
-    assert ((p > 0.5) == (ab.sum(axis=1) > 1)).mean() > 0.85
+    known = spark.createDataFrame([(2, 44, True)], "user_id long, n_user_samples long, has_meta boolean")
+    decisions, meta, nodes = CR.retrain_all(_users(spark), known, num_trees=15)
+    assert {r.user_id: r.retrain for r in decisions.collect()} == {1: True, 2: False, 3: False}
+    (m,) = meta.collect()
+    assert (m.model_name, m.user_id, m.n_user_samples, m.n_samples, m.n_trees) == ("rf_user_1", "1", 300, 300, 15) and m.auc_roc > 0.8
+    ab = np.random.default_rng(7).random((400, 2))
+    new = spark.createDataFrame([(1, float(a), float(b), int(a + b > 1)) for a, b in ab], "user_id long, pm25 double, co double, y int")
+    new = new.withColumns({f: F.lit(0.0) for f in FEATURE_NAMES if f not in ("pm25", "co", "ier_score")}).withColumn("ier_score", F.lit(10.0))
+    right = CR.crisis_batch_routed(new, nodes).where((F.col("proba_crisis") > 0.5).cast("int") == F.col("y")).count()
+    assert right > 330
+    _, none, empty = CR.retrain_all(_users(spark).where("user_id = 3"), known)
+    assert none.count() == empty.count() == 0 and NF.packed(empty).count() == 0
+
+
+def test_routing_keeps_every_row(spark):
+    """Repeated and null ids, null users; user forest, then global forest, then heuristic."""
+    from pneuma.operators import forest_table as NF
+    from pneuma.plans.q_forest import NAME, TREES, fixture
+    from pneuma.tables import FEATURE_NAMES
+    rows = [(5, 1), (5, 1), (5, 2), (None, 1), (None, None), (6, None)]
+    x = spark.createDataFrame(rows, "event_id long, user_id long").withColumns({f: F.lit(30.0) for f in FEATURE_NAMES})
+    mine = NF.literal_nodes(spark, [[(None, None, -1, -1, 0.97)]], "rf_user_1")
+    out = CR.crisis_batch_routed(x, mine, fixture(spark)).collect()
+    assert sorted(map(str, ((r.event_id, r.user_id) for r in out))) == sorted(map(str, rows))
+    assert {(r.user_id, r.model_used) for r in out} == {(1, "rf_user_1"), (2, NAME), (None, NAME)}
+    assert {r.proba_crisis for r in out if r.user_id == 1} == {0.97} and len({r.proba_crisis for r in out}) == 2
+    alone = CR.crisis_batch_routed(x, mine).collect()
+    assert {(r.user_id, r.model_used, r.proba_crisis) for r in alone} == {
+        (1, "rf_user_1", 0.97), (2, "heuristic_fallback", 0.22), (None, "heuristic_fallback", 0.22)}
+    assert len(TREES) == 4
+
+
+def test_node_table_equals_the_fitted_model(spark, tmp_dir):
+    from pneuma.operators import forest_table as NF
+    ts = CR.training_set(spark, "synthetic", stations=V.measurements(spark, "/root/testdata/sf0.001"), block_rows=512)
+    m = CR.rf_train(ts, cross_validate=False, num_trees=12, max_depth=5)
+    m.save(f"{tmp_dir}/rf", spark)
+    forest = NF.NodeForest("rf_global", NF.stored_nodes(spark, f"{tmp_dir}/rf/model", "rf_global"), 5)
+    both = forest.score(CR._scored(ts, m).withColumnRenamed("_p", "_ml"), "_p")
+    assert both.where(F.abs(F.col("_p") - F.col("_ml")) > 1e-9).count() == 0
+    assert all(a == b and abs(v - w) < 1e-9 for (a, v), (b, w) in zip(forest.importances(), m.importances()))
+    a, b = (CR.crisis_batch(ts, x).select("event_id", "proba_crisis", "alert_level", "should_notify") for x in (m, forest))
+    assert a.exceptAll(b).count() == 0
+    h = V.measurements(spark, "/root/testdata/sf0.001").withColumn("ier_score", F.lit(65.0))
+    a, b = (CR.crisis_realtime(h, x).drop("feature_values") for x in (m, forest))
+    assert a.exceptAll(b).count() == 0 and a.first().model_used == "rf_global" and len(a.first().top_contributors) == 5
 
 
 def test_model_persistence(spark, tmp_dir):

@@ -9,6 +9,7 @@ from pneuma.operators import scoring as S
 from pneuma.operators import profile as PR
 from pneuma.sources import files as FS
 from pneuma.sources import views as V
+from pneuma.streaming import epochs as EP
 from pneuma.streaming import streams as ST
 
 SF = "/root/testdata/sf0.001"
@@ -91,7 +92,7 @@ def test_stream_history_of_shuffled_files(spark, tmp_dir):
     try:
         stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
         m = V.measurements_from(stream).withColumn("ier_score", IX.ier_score())
-        got = ST.run_to_table(spark, ST.stream_history(m, lateness_days=60), "t_hist_shuffled", ["event_id"])
+        got = EP.stream_history(m, lateness_days=60)
         exp = FT.history_features(FT.with_history(V.measurements(spark, SF).withColumn("ier_score", IX.ier_score()))) \
                 .select("event_id", "station", *[n for n, _, _ in FX.HISTORY_SPECS])
         assert got.count() == exp.count() and got.select(*exp.columns).exceptAll(exp).count() == 0
@@ -111,9 +112,127 @@ def test_stream_history_state_across_batches(spark, tmp_dir):
         part.coalesce(1).write.parquet(os.path.join(src, f"week={i}"))
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "*"))
     m = V.measurements_from(stream).withColumn("ier_score", IX.ier_score())
-    got = ST.run_to_table(spark, ST.stream_history(m), "t_hist_weeks", ["event_id"])
+    got = EP.stream_history(m)
     batch = V.measurements(spark, "/root/testdata/sf0.01").withColumn("ier_score", IX.ier_score())
     exp = FT.history_features(FT.with_history(batch, block_rows=512)) \
             .select("event_id", "station", *[n for n, _, _ in FX.HISTORY_SPECS])
     assert got.count() == exp.count()
     assert got.select(*exp.columns).exceptAll(exp).count() == 0
+
+
+def _readings(spark, rows):
+    return spark.createDataFrame(rows, "event_id long, station string, datetime timestamp_ntz, pm25 double, co double, humidity double, "
+                                       "temperature double, ier_score double")
+
+
+def _dated(i, day, station="s", pm25=1.0):
+    import datetime as dt
+    at = None if day is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    return (i, station, at, pm25, 2.0, 3.0, 4.0, float(i))
+
+
+def test_stream_history_in_blocks_over_restarts(spark, tmp_dir):
+    """One station, blocks of 30 rows, every run a restart; a late row changes only the 24 rows after it."""
+    import random
+
+    from pneuma.functions import features as FX
+    from pneuma.operators import features as FT
+    rng = random.Random(2)
+    rows = [_dated(i, i / 24, rng.choice(["hot", "hot", None]), rng.random() * 100) for i in range(240)]
+    rows += [_dated(900 + i, None, "hot", float(i)) for i in range(3)]
+    late = [r for r in rows if r[0] % 13 == 0 and r[0] < 900]
+    parts = [[r for r in rows[:100] if r not in late], [r for r in rows[100:] if r not in late], late]
+    src, base = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "base")
+    for part in parts:
+        _readings(spark, part).repartition(2).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(_readings(spark, []).schema).option("maxFilesPerTrigger", 1).parquet(src)
+        got = EP.stream_history(stream, lateness_days=30, base=base, block_rows=30)
+    exp = FT.history_features(FT.with_history(_readings(spark, rows))).select("event_id", "station", *[n for n, _, _ in FX.HISTORY_SPECS])
+    assert got.count() == len(rows) and got.select(*exp.columns).exceptAll(exp).count() == 0
+    epochs = EP.Epochs(spark, "x", base)
+    assert len(epochs.epochs("state")) == 2 and len(epochs.epochs("table")) == 6
+    given = spark.read.parquet(f"{base}/table").count()
+    assert given < 3 * len(rows)  # only readings with a changed history are given out again
+
+
+def test_stream_history_retried_epoch_and_bounded_state(spark, tmp_dir):
+    epochs = EP.Epochs(spark, "x", os.path.join(tmp_dir, "base"))
+    step = EP.history_step(epochs, EP._history_rows, n=3, lateness_days=2)
+    for e in range(4):
+        batch = _readings(spark, [_dated(100 * e + i, 2 * e + i / 10) for i in range(10)])
+        step(batch, e)
+        first = sorted(map(tuple, epochs.all("table", spark.read.parquet(f"{epochs.base}/table/_epoch={e}").schema).collect()))
+        step(batch, e)  # the epoch is tried again
+        again = sorted(map(tuple, epochs.all("table", spark.read.parquet(f"{epochs.base}/table/_epoch={e}").schema).collect()))
+        assert first == again
+    assert spark.read.parquet(f"{epochs.base}/state/_epoch=3").count() <= 2 * 10 + 3
+
+
+def test_streams_without_a_file(spark, tmp_dir):
+    from pneuma.operators import scoring
+    src = os.path.join(tmp_dir, "none")
+    os.makedirs(src)
+    r = spark.readStream.schema(_readings(spark, []).schema).parquet(src)
+    assert ST.run_to_table(spark, ST.stream_score(r.drop("ier_score")), "t_none").count() == 0
+    assert ST.run_to_table(spark, ST.stream_daily_mean(r), "t_none2", ["station", "date"]).count() == 0
+    assert EP.stream_history(r).count() == 0
+    days = EP.stream_closed_days(r)
+    assert (days.closed.count(), days.late.count(), days.open.count()) == (0, 0, 0)
+    good, bad = EP.stream_validated(spark.readStream.schema("value string").parquet(src), scoring.score_realtime)
+    assert good.count() == bad.count() == 0
+
+
+def test_closed_days_late_rows_and_open_days_are_all_rows(spark, tmp_dir):
+    epochs = EP.Epochs(spark, "x", os.path.join(tmp_dir, "base"))
+    step = EP.closed_days_step(epochs, "1 DAY")
+    batches = [[_dated(i, i / 8) for i in range(30)], [_dated(100 + i, 3 + i / 8, "t") for i in range(30)] + [_dated(200, 0.5), _dated(201, None)],
+               [_dated(300 + i, 1.1 + i) for i in range(12)], []]
+    for e, rows in enumerate(batches):
+        step(_readings(spark, rows), e)
+        if e == 1:
+            step(_readings(spark, rows), e)
+    closed = spark.read.parquet(f"{epochs.base}/table").collect()
+    late = spark.read.parquet(f"{epochs.base}/late").collect()
+    still = epochs.before("open", 9)
+    assert len({(r.station, r.date) for r in closed}) == len(closed)  # each day once
+    # after the second batch the mark stands on January 6, 15:00, so the days up to January 5 are closed
+    assert {r.event_id: r.reason for r in late} == {200: "day_closed", 201: "no_time", 300: "day_closed", 301: "day_closed",
+                                                    302: "day_closed", 303: "day_closed"}
+    assert sum(r.n_rows for r in closed) + len(late) + still.agg(F.sum("_n")).first()[0] == sum(map(len, batches))
+
+
+def test_each_message_is_scored_or_rejected_once(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "src")
+    good = '{"event_id": %d, "station": "s", "datetime": "2024-01-01 00:00:00", "pm25": 5, "co": "1.5", "humidity": 40, "temperature": 1e1}'
+    odd = [None, "", "no json", "[1]", '{"event_id": 7}', '{"event_id": "x", "pm25": true, "co": {}, "humidity": "a", "temperature": null}']
+    values = [good % i for i in range(20)] + odd + [good % 3]
+    spark.createDataFrame([(v,) for v in values], "value string").repartition(4).write.parquet(src)
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(src)
+    base = os.path.join(tmp_dir, "base")
+    scored, rejects = EP.stream_validated(stream, base=base)
+    epochs = EP.Epochs(spark, "x", base)
+    for e in (1, 2):  # the folders of a retried epoch are replaced
+        part = spark.read.parquet(src).limit(0) if e == 1 else spark.createDataFrame([(good % 50,)], "value string")
+        for _ in range(2):
+            EP.rejects_step(epochs, S.score_realtime, S.IER_FEATURES)(part, e + 100)
+    assert scored.count() == 21 and epochs.all("table", scored.schema).count() == 22 and rejects.count() == len(odd)
+    reasons = {r.raw: r.reject_reason for r in rejects.collect()}
+    assert [reasons[v] for v in odd] == ["unparsable"] * 4 + ["missing:pm25,co,humidity,temperature",
+                                                              "missing:temperature;not_numeric:pm25,co,humidity"]
+
+
+def test_stream_crisis_rescores_with_profiles(spark, tmp_dir):
+    from pneuma.operators import crisis as CR
+    from pneuma.operators import features as FT
+    from pneuma.plans.q_forest import crisis_columns, fixture
+    rows = [_dated(i, i / 24, pm25=float(i % 90)) for i in range(60)]
+    df = _readings(spark, rows).withColumns({"user_id": F.col("event_id") % 5, "zone": F.lit("C")})
+    src = os.path.join(tmp_dir, "src")
+    df.orderBy(F.rand(1)).repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    prof = V.profiles(spark, SF)
+    for p, model in ((prof, fixture(spark)), (None, fixture(spark))):
+        got = crisis_columns(EP.stream_crisis(stream, p, model))
+        x = FT.with_history(df)
+        exp = crisis_columns(CR.crisis_realtime(x if p is None else FT.with_profile(x, p), model))
+        assert got.count() == 60 and got.exceptAll(exp).count() == 0
