@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, materialize
+
 #: Turns whose turn numbers fall into one block are numbered by one window.
 BLOCK_TURNS = 256
 
@@ -48,55 +50,67 @@ def positions(turns: DataFrame) -> DataFrame:
     return out.select("pair_id", "pos", "role", "text")
 
 
+def _facts(turns: DataFrame, side: int) -> DataFrame:
+    """What decides about a turn, without its text: pair_id, pos, side, role, digest and length of what is rendered."""
+    shown = render(F.col("role"), F.col("text"))
+    return turns.select("pair_id", "pos", F.lit(side).alias("side"), "role", F.unhex(F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)).alias("digest"),
+                        F.length(shown).cast("long").alias("length"))
+
+
+def _block(pos: str = "pos") -> Column:
+    return F.floor(F.col(pos) / BLOCK_TURNS)
+
+
 def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rendered turns of every pair: pair_id, part, pos, role, rendered, start, end, mask.
 
-    ``chosen`` and ``rejected`` are (pair_id, pos, role, text) as ``positions`` returns them. part is
+    ``chosen`` and ``rejected`` are (pair_id, pos, role, text) as ``positions`` returns them, best as stored tables. part is
     prompt, chosen or rejected; start and end count code points in the part's whole text; mask is 1
-    where the loss counts.
+    where the loss counts. Parts and places are found on digests and lengths; each shown text is shuffled
+    once, to its place, so a conversation of any number of turns is spread over all tasks.
     """
-    both = (chosen.select("pair_id", "pos", F.lit(0).alias("side"), "role", "text")
-            .union(rejected.select("pair_id", "pos", F.lit(1).alias("side"), "role", "text")))
+    facts = checkpoint(_facts(chosen, 0).union(_facts(rejected, 1)))
     # A position differs if it does not have two equal turns; the first such position ends the prompt.
-    same = both.groupBy("pair_id", "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("role", "text")).alias("lo"), F.max(F.struct("role", "text")).alias("hi"))
+    same = facts.groupBy("pair_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     cut = same.groupBy("pair_id").agg(F.coalesce(
         F.min(F.when((F.col("n") < 2) | (F.col("lo") != F.col("hi")), F.col("pos"))), F.max("pos") + 1).alias("cut"))
-    parts = (both.join(cut, "pair_id").where("side = 0 or pos >= cut")
-             .withColumn("part", F.when(F.col("pos") < F.col("cut"), "prompt").when(F.col("side") == 0, "chosen")
-                         .otherwise("rejected")))
-    shown = parts.select("pair_id", "part", "pos", "role", render(F.col("role"), F.col("text")).alias("rendered"),
-                         ((F.col("role") == "assistant") & (F.col("part") != "prompt")).cast("int").alias("mask"))
-    out = _running(shown, ["pair_id", "part"], F.floor(F.col("pos") / BLOCK_TURNS), ["pos"],
-                   F.length("rendered").cast("long"), "start")
-    return out.select("pair_id", "part", "pos", "role", "rendered", "start",
-                      (F.col("start") + F.length("rendered")).alias("end"), "mask")
+    blocks = facts.select("pair_id", _block().alias("_b")).distinct().join(cut, "pair_id")
+    parts = (facts.withColumn("_b", _block()).join(blocks, ["pair_id", "_b"]).where("side = 0 or pos >= cut")
+             .select("pair_id", F.when(F.col("pos") < F.col("cut"), "prompt").when(F.col("side") == 0, "chosen")
+                     .otherwise("rejected").alias("part"), "pos", "side", "length"))
+    placed = _running(parts, ["pair_id", "part"], _block(), ["pos"], F.col("length"), "start")
+    texts = (chosen.select("pair_id", "pos", F.lit(0).alias("side"), "role", "text")
+             .union(rejected.select("pair_id", "pos", F.lit(1).alias("side"), "role", "text")))
+    out = texts.join(placed, ["pair_id", "pos", "side"])
+    return out.select("pair_id", "part", "pos", "role", render(F.col("role"), F.col("text")).alias("rendered"), "start",
+                      (F.col("start") + F.col("length")).alias("end"),
+                      ((F.col("role") == "assistant") & (F.col("part") != "prompt")).cast("int").alias("mask"))
 
 
 def pairs_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected conversations from a table without preferences, as ``positions`` returns them.
 
-    A conversation up to its last assistant turn is chosen; the rejected one has in that place the last
-    assistant turn of the conversation with the next number, or ends before it where there is none.
+    The whole conversation is chosen. The rejected one is the same, but in the place of its last assistant turn it has that of
+    the conversation with the next number, or no turn where there is none. A conversation without an assistant turn
+    is rejected as it stands, so it is all prompt. Both tables are stored.
     """
-    turns = positions(conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text"))
+    turns = materialize(positions(conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")), "turns")
     last = turns.where("role = 'assistant'").groupBy("pair_id").agg(
-        F.max(F.struct("pos", "text")).alias("l")).select("pair_id", F.col("l.pos").alias("last"), F.col("l.text").alias("reply"))
-    t = turns.join(last.select("pair_id", "last"), "pair_id", "left").where("last is null or pos <= last")
-    chosen = t.select("pair_id", "pos", "role", "text")
+        F.max(F.struct("pos", "text")).alias("l")).select("pair_id", F.col("l.pos").alias("pos"), F.col("l.text").alias("reply"))
+    last = checkpoint(last)
     other = last.select((F.col("pair_id") - 1).alias("pair_id"), "reply")
-    swapped = (last.select("pair_id", "last").join(other, "pair_id")
-               .select("pair_id", F.col("last").alias("pos"), F.lit("assistant").alias("role"), F.col("reply").alias("text")))
-    rejected = t.where("last is null or pos < last").select("pair_id", "pos", "role", "text").union(swapped)
-    return chosen, rejected
+    swapped = (last.select("pair_id", "pos").join(other, "pair_id")
+               .select("pair_id", "pos", F.lit("assistant").alias("role"), F.col("reply").alias("text")))
+    kept = turns.join(last.select("pair_id", "pos"), ["pair_id", "pos"], "left_anti").select("pair_id", "pos", "role", "text")
+    return turns, materialize(kept.union(swapped), "rejected")
 
 
 ORACLE = """
 WITH t AS (SELECT conv_id AS pair_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos,
     coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 l AS (SELECT pair_id, max(pos) AS last, arg_max(text, pos) AS reply FROM t WHERE role = 'assistant' GROUP BY pair_id),
-c AS (SELECT t.* FROM t LEFT JOIN l USING (pair_id) WHERE last IS NULL OR pos <= last),
-r AS (SELECT t.* FROM t LEFT JOIN l USING (pair_id) WHERE last IS NULL OR pos < last
+c AS (SELECT * FROM t),
+r AS (SELECT t.* FROM t LEFT JOIN l USING (pair_id) WHERE last IS NULL OR pos <> last
       UNION ALL SELECT l.pair_id, l.last, 'assistant', o.reply FROM l JOIN l o ON o.pair_id = l.pair_id + 1),
 d AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.pos, r.pos) AS pos,
       c.pair_id IS NOT NULL AND r.pair_id IS NOT NULL AND c.role = r.role AND c.text = r.text AS same

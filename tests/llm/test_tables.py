@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
 import pytest
 
 from pneuma.llm import preference, url_lists
@@ -100,6 +101,25 @@ def test_pairs_of_conversations(spark):
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = sorted((r.pair_id, r.part, r.rendered.split("\n")[1].removesuffix("<|end|>"), r.mask)
                  for r in preference.preference_rows(*preference.pairs_of(conv)).collect())
-    assert out == [(1, "chosen", "a1", 1), (1, "prompt", "q", 0), (1, "rejected", "a2", 1), (2, "chosen", "a2", 1),
-                   (2, "prompt", "q2", 0), (4, "prompt", "only", 0)]
+    assert out == [(1, "chosen", "a1", 1), (1, "chosen", "more", 0), (1, "prompt", "q", 0), (1, "rejected", "a2", 1),
+                   (1, "rejected", "more", 0), (2, "chosen", "a2", 1), (2, "prompt", "q2", 0), (4, "prompt", "only", 0)]
     assert preference.preference_rows(*preference.pairs_of(conv.limit(0))).count() == 0
+
+
+def test_every_turn_is_in_the_chosen_conversation(spark):
+    """Repeated turns, null text and roles, a very long text, many turns after the last reply."""
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, None, None), (1, 2, "assistant", "x" * 200_000), (1, 2, "assistant", "x" * 200_000),
+            (2, 0, "assistant", "a"), *[(2, i, "user", f"t{i}") for i in range(1, 700)], (None, 0, "user", "no pair"),
+            (3, 0, "assistant", "a"), (4, None, "assistant", None)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"pos": F.lit(1), "part": F.lit("x")})
+    out = preference.preference_rows(*preference.pairs_of(conv)).collect()
+    for c in (1, 2, 3, 4):
+        own = sorted((r for r in out if r.pair_id == c and r.part != "rejected"), key=lambda r: r.pos)
+        assert [r.pos for r in own] == list(range(sum(x[0] == c for x in rows)))
+        for part in ("prompt", "chosen", "rejected"):
+            at = 0
+            for r in sorted((r for r in out if (r.pair_id, r.part) == (c, part)), key=lambda r: r.pos):
+                assert (r.start, r.end) == (at, at + len(r.rendered))
+                at = r.end
+    assert [r.part for r in out if r.pair_id == 2] == ["prompt"] * 700  # the next conversation's reply is the same
+    assert sum(r.part == "rejected" for r in out if r.pair_id == 1) == 1 and sum(r.part == "rejected" for r in out if r.pair_id == 4) == 0
