@@ -3,14 +3,15 @@
 The texts are dealt to a few shards, which are scanned in a cycle. Words are counted from the first
 scan on; a longer phrase is activated as soon as both phrases that lack its last or its first word have
 reached the threshold, whatever shard that happens in, and is counted for one full cycle of
-shards from there. Lengths are thus counted side by side, and the scans end when no phrase is
-within its cycle.
+shards from there. Lengths are thus counted side by side, and the cycles end when no phrase is
+within its cycle. Phrases of the greatest length activate none; they are counted in the last scan.
 
-The phrases that have reached the threshold are known to the tasks as a Bloom filter of bounded
-size (``filter_bits`` at most, whatever the corpus). Filters only gain bits, so a phrase that passes does so in all
+In the cycles, counts stand in a table of hashed counters of bounded size (``counters`` at most, whatever the
+corpus): a counter is at least the count of each of its phrases. Tasks know the counters that
+reached the threshold as a bitmap. It only gains bits, so a phrase that passes does so in all
 later scans, and it is counted in a scan if it passes now and did not pass a cycle ago: each phrase
-that is counted at all is counted in every shard exactly once. A false positive costs the counting
-of one more phrase and changes no count. Counts themselves are exact, by the phrases' words.
+that is counted at all is counted in every shard exactly once. The last scan counts the phrases whose counter reached the
+threshold by their words; these counts are exact. Phrases that share a counter cost that scan a few more rows and change no count.
 
 Null text is empty, null language is ``und``; phrases never cross a row or a separator. Repeated rows
 count each time. An empty table gives an empty result. A word or a text of any length is taken whole.
@@ -30,13 +31,12 @@ MAX_WORDS = 5
 THRESHOLD = 100
 TOP = 2000
 SHARDS = 3
-#: Largest and smallest filter of phrases that reached the threshold, in bits; between them it has one bit per 64 bytes of text.
-FILTER_BITS, SMALLEST_FILTER = 1 << 27, 1 << 18
-_PROBES = 4
+#: Largest and smallest table of counters; between them it has one counter per 64 bytes of text.
+COUNTERS, LEAST_COUNTERS = 1 << 27, 1 << 16
+#: Counters that travel in one row, and into how many groups the rows of one slice are dealt before they are summed.
+SLICE, FAN = 1 << 14, 64
 #: Text of one language that a task takes up at once, and all the text that it holds.
 CHUNK_BYTES, HELD_BYTES = 3 << 20, 12 << 20
-#: A join's side is broadcast up to so many phrases, counted before; beyond that both sides are shuffled.
-BROADCAST_PHRASES = 100_000
 #: Separators of pieces, as one byte that UTF-8 never has; A-Z in lower case.
 _BREAK = b"\xff"
 _TRANSLATE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -80,126 +80,182 @@ def longer(before, word):
     return h ^ (h >> np.uint64(32))
 
 
-def probes(h, bits: int) -> list:
+def places(h, counters: int):
+    """The counter of every hash."""
     import numpy as np
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return [(h + np.uint64(j) * step) & np.uint64(bits - 1) for j in range(_PROBES)]
+    return (h >> np.uint64(64 - (counters.bit_length() - 1))).astype(np.int64)
 
 
-def passes(filter_, h):
-    """For every hash whether the filter (64-bit words, or None: empty) has it."""
+def passes(bitmap, at):
+    """For every counter whether it has reached the threshold (bytes of the bitmap, or None: none has)."""
     import numpy as np
-    ok = np.zeros(len(h), bool)
-    if filter_ is None or not len(h):
-        return ok
-    ok[:] = True
-    for at in probes(h, len(filter_) * 64):
-        ok &= (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-    return ok
+    if bitmap is None:
+        return np.zeros(len(at), bool)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def count_chunk(words, carry: int, lang: str, now, old, count_words: bool) -> Iterator[tuple]:
-    """A chunk's counts as (phrases, numbers): words if asked for, and phrases that pass ``now`` and not ``old``.
+class Chunk:
+    """Words of a chunk in order with their numbers, and for each length the starts of the phrases that pass ``now``.
 
     The first ``carry`` words were counted before; only phrases that reach beyond them count.
     """
-    import numpy as np
-    import pandas as pd
-    import pyarrow as pa
-    import pyarrow.compute as pc
-    named = words.dictionary_encode()
-    names, code = named.dictionary, named.indices.to_numpy().astype(np.int64)
-    breaks = pc.equal(names, _BREAK).to_numpy(zero_copy_only=False)
-    if count_words:
-        n = np.bincount(code[carry:], minlength=len(names))
-        n[breaks] = 0
-        some = np.flatnonzero(n)
-        yield names.take(pa.array(some)), n[some]
-        yield pa.array([b""], pa.binary()), n.sum(keepdims=True)
-    if now is None:
-        return
-    h = word_hashes(names.to_pylist(), lang)
-    is_now = passes(now, h) & ~breaks
-    is_old = passes(old, h) & ~breaks
-    # phrases of the length before, by their start: hash, exact number within the chunk, and where they pass
-    start = np.arange(len(code))
-    hashes, ids, on, was = h[code], code, is_now[code], is_old[code]
-    for k in range(2, MAX_WORDS + 1):
-        # the next phrase starts where this one and its neighbour both pass
-        follows = np.flatnonzero((start[1:] == start[:-1] + 1) & on[1:] & on[:-1])
-        if not len(follows):
+
+    def __init__(self, words, carry: int, lang: str, counters: int, now, old=None):
+        import numpy as np
+        import pyarrow.compute as pc
+        named = words.dictionary_encode()
+        self.names, self.code = named.dictionary, named.indices.to_numpy().astype(np.int64)
+        self.carry, self.counters, self.now, self.old = carry, counters, now, old
+        self.breaks = pc.equal(self.names, _BREAK).to_numpy(zero_copy_only=False)
+        self.hashes = word_hashes(self.names.to_pylist(), lang)
+        self.at = places(self.hashes, counters)
+
+    def word_counts(self):
+        """Per distinct word how often it occurs, 0 for breaks."""
+        import numpy as np
+        n = np.bincount(self.code[self.carry:], minlength=len(self.names))
+        n[self.breaks] = 0
+        return n
+
+    def phrases(self, longest: int) -> Iterator[tuple]:
+        """(length, starts, counters) of the phrases to count, for lengths from 2: both shorter phrases pass now, and did not a cycle ago."""
+        import numpy as np
+        if self.now is None:
             return
-        start, done = start[follows], was[follows] & was[follows + 1]
-        last = code[start + k - 1]
-        ids, _ = pd.factorize(ids[follows] * len(names) + last)
-        hashes = longer(hashes[follows], h[last])
-        wanted = ~done & (start + k > carry)
-        some, where = ids[wanted], start[wanted]
-        if len(some):
-            n = np.bincount(some)
-            first = np.zeros(len(n), np.int64)
-            first[some[::-1]] = where[::-1]
-            seen = np.flatnonzero(n)
-            parts = [names.take(pa.array(code[first[seen] + j])) for j in range(k)]
-            yield pc.binary_join_element_wise(*parts, b" "), n[seen]
-        on, was = passes(now, hashes), passes(old, hashes) & done
-
-
-def _scan(shard: DataFrame, now, old, count_words: bool) -> DataFrame:
-    """(lang, phrase, n) of one shard, summed in part; the phrase without a word stands for all words."""
+        start, h, at = np.arange(len(self.code)), self.hashes[self.code], self.at[self.code]
+        on, was = (passes(self.now, self.at) & ~self.breaks)[self.code], (passes(self.old, self.at) & ~self.breaks)[self.code]
+        for k in range(2, longest + 1):
+            # the next phrase starts where this one and its neighbour both pass
+            follows = np.flatnonzero((start[1:] == start[:-1] + 1) & on[1:] & on[:-1])
+            if not len(follows):
+                return
+            start, done = start[follows], was[follows] & was[follows + 1]
+            h = longer(h[follows], self.hashes[self.code[start + k - 1]])
+            at = places(h, self.counters)
+            wanted = ~done & (start + k > self.carry)
+            yield k, start[wanted], at[wanted]
+            on, was = passes(self.now, at), passes(self.old, at) & done
+
+    def named(self, k: int, start) -> tuple:
+        """The distinct phrases of ``k`` words at ``start``, told apart by their words, and how often each occurs."""
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        ids = self.code[start]
+        for j in range(1, k):
+            ids, _ = pd.factorize(ids * len(self.names) + self.code[start + j])
+        n = np.bincount(ids)
+        first = np.zeros(len(n), np.int64)
+        first[ids[::-1]] = start[::-1]
+        return pc.binary_join_element_wise(*(self.names.take(pa.array(self.code[first + j])) for j in range(k)), b" "), n
+
+
+def _chunks(it: Iterator) -> Iterator[tuple]:
+    """(lang, words, carry) over the batches of (lang, text): chunks of one language, each led by the last words of the one before."""
+    texts: dict[str, list[bytes]] = {}
+    size: dict[str, int] = {}
+
+    def take(lang: str):
+        size.pop(lang)
+        data, before = _BREAK.join(texts.pop(lang)).translate(_TRANSLATE), []
+        for part in cut(data, CHUNK_BYTES):
+            words = tokens(b" ".join([*before, part]))
+            if len(words):
+                yield lang, words, len(before)
+            before = words[max(0, len(words) - MAX_WORDS + 1):].to_pylist()
+
+    for batch in it:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = text.as_buffer().to_pybytes()
+            texts.setdefault(lang, []).append(data)
+            size[lang] = size.get(lang, 0) + len(data)
+            if size[lang] > CHUNK_BYTES:
+                yield from take(lang)
+            elif sum(size.values()) > HELD_BYTES:
+                yield from take(max(size, key=size.get))
+    for lang in list(texts):
+        yield from take(lang)
+
+
+def _kind(threshold: int) -> str:
+    """Type of a counter; it stops at the threshold."""
+    return "uint8" if threshold < 1 << 8 else "uint16" if threshold < 1 << 16 else "uint32"
+
+
+def _scan(shard: DataFrame, now, old, count_words: bool, counters: int, threshold: int) -> DataFrame:
+    """(slice, part, counts): the counters that one shard's tasks have raised, those of a task in rows of ``SLICE`` counters."""
+    kind = _kind(threshold)
+
     def run(it: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
         new, past = now.value if now else None, old.value if old else None
-        texts: dict[str, list[bytes]] = {}
-        size: dict[str, int] = {}
-
-        def take(lang: str):
-            size.pop(lang)
-            data, before = _BREAK.join(texts.pop(lang)).translate(_TRANSLATE), []
-            for part in cut(data, CHUNK_BYTES):
-                words = tokens(b" ".join([*before, part]))
-                if len(words):
-                    for phrases, n in count_chunk(words, len(before), lang, new, past, count_words):
-                        yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrases.view(pa.string()),
-                                               pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
-                before = words[max(0, len(words) - MAX_WORDS + 1):].to_pylist()
-
-        for batch in it:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = text.as_buffer().to_pybytes()
-                texts.setdefault(lang, []).append(data)
-                size[lang] = size.get(lang, 0) + len(data)
-                if size[lang] > CHUNK_BYTES:
-                    yield from take(lang)
-                elif sum(size.values()) > HELD_BYTES:
-                    yield from take(max(size, key=size.get))
-        for lang in list(texts):
-            yield from take(lang)
-
-    return shard.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
-
-
-def _bits(frequent: DataFrame, bits: int) -> DataFrame:
-    """(word, value): the filter's 64-bit words that have a bit of a phrase, at most ``bits / 64`` rows."""
+        table, part = np.zeros(counters, kind), TaskContext.get().partitionId() % FAN
+
+        def add(at, n=None):
+            at, where = np.unique(at, return_inverse=True)
+            n = np.bincount(where, n)
+            table[at] = np.minimum(table[at] + n, threshold).astype(kind)
+
+        for lang, words, carry in _chunks(it):
+            chunk = Chunk(words, carry, lang, counters, new, past)
+            if count_words:
+                add(chunk.at, chunk.word_counts())
+            for _, start, at in chunk.phrases(MAX_WORDS - 1):
+                if len(start):
+                    add(at)
+        width = min(SLICE, counters)
+        for i in np.flatnonzero(table.reshape(-1, width).any(axis=1)).tolist():
+            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part], pa.int32()),
+                                   pa.array([table[i * width:(i + 1) * width].tobytes()], pa.binary())], names=["slice", "part", "counts"])
+
+    return shard.select("lang", "text").mapInArrow(run, "slice int, part int, counts binary")
+
+
+def _sum(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """The slices of each key summed; ``reached`` has a bit per counter."""
+    kind = _kind(threshold)
+
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+        total = None
+        for x in group.column("counts"):
+            one = np.frombuffer(x.as_buffer(), kind).astype(np.uint64)
+            total = one if total is None else np.minimum(total + one, np.uint64(threshold))
+        reached = np.packbits(total >= threshold, bitorder="little")
+        return pa.table({"slice": group.column("slice")[:1], "part": group.column("part")[:1],
+                         "counts": pa.array([total.astype(kind).tobytes()], pa.binary()), "reached": pa.array([reached.tobytes()], pa.binary())})
+
+    return rows.groupBy(*keys).applyInArrow(run, "slice int, part int, counts binary, reached binary")
+
+
+def _suspects(texts: DataFrame, bitmap, counters: int) -> DataFrame:
+    """(lang, phrase, n): partial counts of the words and phrases whose counter reached the threshold, and, with an empty phrase, of all words."""
     def run(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        for batch in it:
-            by: dict[tuple, list] = {}
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = phrase.encode().split(b" ")
-                by.setdefault((lang, len(ws)), []).append(ws)
-            for (lang, k), phrases in by.items():
-                h = word_hashes([p[0] for p in phrases], lang)
-                for j in range(1, k):
-                    h = longer(h, word_hashes([p[j] for p in phrases], lang))
-                at = np.unique(np.concatenate(probes(h, bits)))
-                word, first = np.unique(at >> np.uint64(6), return_index=True)
-                value = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
-                yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], names=["word", "value"])
-
-    return (frequent.select("lang", "phrase").mapInArrow(run, "word long, value long")
-            .groupBy("word").agg(F.expr("bit_or(value)").alias("value")))
+        now = bitmap.value if bitmap else None
+
+        def rows(lang, phrases, n):
+            return pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrases.view(pa.string()), pa.array(n, pa.int64())],
+                                   names=["lang", "phrase", "n"])
+
+        for lang, words, carry in _chunks(it):
+            chunk = Chunk(words, carry, lang, counters, now)
+            n = chunk.word_counts()
+            yield rows(lang, pa.array([b""], pa.binary()), n.sum(keepdims=True))
+            some = np.flatnonzero((n > 0) & passes(now, chunk.at))
+            yield rows(lang, chunk.names.take(pa.array(some)), n[some])
+            for k, start, at in chunk.phrases(MAX_WORDS):
+                if k < MAX_WORDS:
+                    start = start[passes(now, at)]
+                if len(start):
+                    yield rows(lang, *chunk.named(k, start))
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
 
 
 def _length(phrase: str) -> Column:
@@ -208,12 +264,11 @@ def _length(phrase: str) -> Column:
     return F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
 
 
-def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS,
-                     filter_bits: int = FILTER_BITS) -> DataFrame:
+def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, counters: int = COUNTERS) -> DataFrame:
     """lang, phrase, n: phrases of 1 to 5 words found ``threshold`` times or more, with their exact counts.
 
-    The row whose phrase is empty has the count of all words. Each scan reads one shard; its counts are summed in one shuffle
-    and stored, and the totals of those that can reach the threshold are brought up to date.
+    The row whose phrase is empty has the count of all words. Each scan of the cycles reads one shard and shuffles the slices of its
+    tasks' counters, summed in two steps.
     """
     import numpy as np
     spark = docs.sparkSession
@@ -223,67 +278,37 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
      .observe(volume, F.sum(F.octet_length("text")).alias("bytes"))
      .withColumn("shard", F.monotonically_increasing_id() % shards).write.partitionBy("shard").parquet(path))
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
-    filter_bits = min(filter_bits, max(SMALLEST_FILTER, 1 << ((volume.get["bytes"] or 0) // 64).bit_length()))
-    filters: list = [None]  # after no scan, after scan 0, ...; the same object where nothing was added
-    bits = np.zeros(filter_bits // 64, np.uint64)
-    counts: list[DataFrame] = []
-    totals, step = spark.createDataFrame([], _COUNTS), 0
-    while step < shards or filters[step] is not filters[max(step - shards, 0)]:
-        now, old = filters[step], filters[max(step - shards, 0)]
-        seen = _scan(texts.where(F.col("shard") == step % shards), now, old, step < shards)
-        counts.append(materialize(seen.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "collocation-counts"))
-        totals = materialize(_add(totals, counts[-shards:], -(-threshold // shards)), "collocation-totals")
-        added = _bits(totals.where((F.col("n") >= threshold) & (F.col("phrase") != "") & (_length("phrase") < MAX_WORDS)), filter_bits)
-        got = added.toArrow()  # at most filter_bits / 64 rows
-        at, value = got["word"].to_numpy(), got["value"].to_numpy().view(np.uint64)
-        if ((bits[at] | value) != bits[at]).any():
-            bits[at] |= value
-            filters.append(spark.sparkContext.broadcast(bits.copy()))
+    counters = min(counters, max(LEAST_COUNTERS, 1 << ((volume.get["bytes"] or 0) // 64).bit_length()))
+    maps: list = [None]  # after no scan, after scan 0, ...; the same object where no counter came in
+    bits, table, step = np.zeros(counters // 8, np.uint8), None, 0
+    while step < shards or maps[step] is not maps[max(step - shards, 0)]:
+        now, old = maps[step], maps[max(step - shards, 0)]
+        seen = _sum(_scan(texts.where(F.col("shard") == step % shards), now, old, step < shards, counters, threshold), ["slice", "part"], threshold)
+        if table is not None:
+            seen = seen.unionByName(table)
+        table = materialize(_sum(seen, ["slice"], threshold), "collocation-counters")
+        fresh, width = np.zeros_like(bits), min(SLICE, counters) // 8
+        for r in table.select("slice", "reached").toLocalIterator():  # counters / 8 bytes at most
+            fresh[r["slice"] * width:(r["slice"] + 1) * width] = np.frombuffer(r["reached"], np.uint8)
+        if (fresh != bits).any():
+            bits = fresh
+            maps.append(spark.sparkContext.broadcast(bits))
         else:
-            filters.append(filters[-1])
+            maps.append(maps[-1])
         step += 1
-        if step > shards and filters[step - shards - 1] and filters[step - shards - 1] is not filters[step - shards]:
-            filters[step - shards - 1].destroy()  # no later scan looks that far back, and the counts are written
-    return totals.where((F.col("n") >= threshold) | (F.col("phrase") == "")).select("lang", "phrase", "n")
-
-
-_COUNTS = "lang string, phrase string, n long"
+        if step > shards and maps[step - shards - 1] and maps[step - shards - 1] is not maps[step - shards]:
+            maps[step - shards - 1].destroy()  # no later scan looks that far back, and the counters are stored
+    found = _suspects(texts, maps[-1], counters).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(found.where((F.col("n") >= threshold) | (F.col("phrase") == "")), "collocation-counts")
 
 
-def _keys(rows: DataFrame, size: int) -> DataFrame:
-    """The phrases of ``rows``, ``size`` of them, as a join's side; broadcast if they are few."""
-    keys = rows.select("lang", "phrase")
-    return F.broadcast(keys) if size <= BROADCAST_PHRASES else keys
-
-
-def _add(totals: DataFrame, counts: list[DataFrame], least: int) -> DataFrame:
-    """``totals`` with the counts of the last scan, which may bring phrases that it lacks.
-
-    A phrase is counted in as many scans as there are shards, so one that reaches the threshold has ``least`` in one of them;
-    only phrases that have done so are totalled. When one comes in, what it had in the scans before, at most a cycle ago,
-    is looked up.
-    """
-    last, before = counts[-1], counts[:-1]
-    known = _keys(totals, totals.count()).withColumn("known", F.lit(True))
-    mine = materialize(last.join(known, ["lang", "phrase"], "left").where(
-        F.col("known") | (F.col("n") >= least) | (F.col("phrase") == "")), "collocation-found")
-    new = mine.where("known is null")
-    every, size = totals.unionByName(mine.drop("known")), new.count()
-    if before and size:
-        older = before[0]
-        for c in before[1:]:
-            older = older.union(c)
-        every = every.unionByName(older.join(_keys(new, size), ["lang", "phrase"], "left_semi"))
-    return every.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
-def collocations(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, counters: int = COUNTERS) -> DataFrame:
     """All kept candidates: lang, phrase, a, l, r, n, score.
 
     A candidate's score is that of its lowest-scoring cut (the first such cut). It is dropped if a longer candidate that
     holds it is as frequent; then one with a single word more is, too, so only those are looked at.
     """
-    found = frequent_phrases(docs, threshold, shards, filter_bits).withColumn("k", _length("phrase"))
+    found = frequent_phrases(docs, threshold, shards, counters).withColumn("k", _length("phrase"))
     words = found.where("phrase = ''").select("lang", F.col("n").alias("words"))
     parts = found.where("phrase != ''").select("lang", "phrase", F.col("n").alias("f"))
     cands = found.where("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"))

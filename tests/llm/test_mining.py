@@ -59,38 +59,44 @@ def test_late_phrases_get_their_whole_cycle(spark):
     assert _mined(docs, 10) == brute_collocations(rows, 10)
 
 
-def test_saturated_filter_changes_nothing(spark):
+def test_few_counters_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST_COUNTERS", 8)
     rng = random.Random(5)
     rows = [("en", " ".join(rng.choices("abcdefgh", k=30))) for _ in range(60)]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    assert _mined(docs, 15, filter_bits=64) == brute_collocations(rows, 15)
+    assert _mined(docs, 15, counters=8) == brute_collocations(rows, 15)
 
 
 def test_collocation_chunks_keep_phrases_whole():
+    import numpy as np
     data = " ".join(f"w{i % 7} x{i % 3}" for i in range(500)).encode()
     for size in (1, 10, 100):
         assert b"".join(collocations.cut(data, size)) == data
         sums: collections.Counter = collections.Counter()
-        before: list = []
+        total, before = 0, []
         for part in collocations.cut(data, size):
             words = collocations.tokens(b" ".join([*before, part]))
-            for phrases, n in collocations.count_chunk(words, len(before), "en", _Everything(), None, True) if len(words) else ():
-                sums.update(dict(zip(phrases.to_pylist(), n.tolist())))
+            if len(words):
+                chunk = collocations.Chunk(words, len(before), "en", 64, np.full(8, 255, np.uint8))
+                total += chunk.word_counts().sum()
+                for k, start, _ in chunk.phrases(5):
+                    if len(start):
+                        phrases, n = chunk.named(k, start)
+                        sums.update(dict(zip(phrases.to_pylist(), n.tolist())))
             before = words.to_pylist()[-4:]
         w = data.split()
-        want = collections.Counter(b" ".join(w[i:i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
-        assert {k: v for k, v in sums.items() if k} == want and sums[b""] == len(w)
-
+        assert sums == collections.Counter(b" ".join(w[i:i + k]) for k in range(2, 6) for i in range(len(w) - k + 1)) and total == len(w)
 
-class _Everything:
-    """A filter that every phrase passes."""
 
-    def __len__(self):
-        return 1
-
-    def __getitem__(self, at):
-        import numpy as np
-        return np.full(len(at), 2**64 - 1, np.uint64)
+@pytest.mark.parametrize("threshold", [3, 300, 70_000])
+def test_counters_stop_at_the_threshold(spark, threshold):
+    import numpy as np
+    kind = collocations._kind(threshold)
+    one = np.array([threshold, 1, 0, threshold - 1] * 4, kind)
+    rows = spark.createDataFrame([(0, p, bytearray(one.tobytes())) for p in range(2)], "slice int, part int, counts binary")
+    r = collocations._sum(rows, ["slice"], threshold).first()
+    assert np.frombuffer(r.counts, kind).tolist() == [threshold, 2, 0, threshold] * 4
+    assert np.unpackbits(np.frombuffer(r.reached, np.uint8), bitorder="little").tolist() == [1, int(2 >= threshold), 0, 1] * 4
 
 
 def test_collocations_of_odd_rows(spark, make_docs):
