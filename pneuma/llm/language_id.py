@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from .common import batches_by_bytes, checkpoint, materialize, ship
 
 ORDER = 4
-#: Text of one batch of documents whose distinct grams are looked up together.
-BATCH_BYTES = 8 << 20
-#: Grams (8 bytes each) that a task gathers before it names the distinct ones of each batch.
-ASKED_AT_ONCE = 16 << 20
+#: Text of one batch of documents whose distinct grams are looked up together, shared out over the languages beyond four.
+BATCH_BYTES = 32 << 20
+#: Text that a task takes up at once, and grams (8 bytes each) that it gathers before it names the distinct ones of each batch.
+PIECE_BYTES, ASKED_AT_ONCE = 2 << 20, 1 << 20
+#: Characters of a text whose grams are made at once.
+SLICE_CHARS = 1 << 19
 FOLDS = 5
 CALIBRATION_FOLD = 1
 #: Share of a language's calibration documents that its threshold accepts.
@@ -53,45 +55,34 @@ def _letters():
     return _LETTER
 
 
-def grams(text: str | None):
-    """The 64-bit four-character grams of a whole text, one per character or boundary; empty without a letter."""
-    import numpy as np
-    t = (text or "").lower()
-    if not t:
-        return np.empty(0, dtype=np.uint64)
-    sign = _letters()[np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)]
-    if not sign.any():
-        return np.empty(0, dtype=np.uint64)
-    keep = sign != 0
-    keep[1:] |= sign[:-1] != 0
-    keep[0] = sign[0] != 0
-    body = sign[keep].astype(np.uint64)
-    if sign[-1]:
-        body = np.append(body, np.uint64(0))
-    s = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint64), body])
-    out = s[ORDER - 1:].copy()
-    for k in range(1, ORDER):
-        out |= s[ORDER - 1 - k:len(s) - k] << np.uint64(16 * k)
-    return out
-
-
-def hash64(values, seed: int = 42):
-    """XXH64 of 8-byte integers, as Spark's xxhash64 of a long gives it."""
+def gram_parts(text: str | None) -> Iterator:
+    """The 64-bit four-character grams of a whole text, one per character or boundary, slice by slice; none without a letter."""
     import numpy as np
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (
-        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    before, after_letter = np.zeros(ORDER - 1, dtype=np.uint64), False
+    for begin in range(0, len(text or ""), SLICE_CHARS):
+        t = text[begin:begin + SLICE_CHARS].lower()
+        sign = _letters()[np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32)]
+        keep = sign != 0
+        keep[1:] |= sign[:-1] != 0
+        keep[0] |= after_letter
+        after_letter = bool(sign[-1])
+        body = sign[keep].astype(np.uint64)
+        if after_letter and begin + SLICE_CHARS >= len(text):
+            body = np.append(body, np.uint64(0))
+        s = np.concatenate([before, body])
+        before = s[len(s) - ORDER + 1:]
+        out = s[ORDER - 1:].copy()
+        for k in range(1, ORDER):
+            out |= s[ORDER - 1 - k:len(s) - k] << np.uint64(16 * k)
+        if len(out):
+            yield out
 
-    def rot(x, r):
-        return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
 
-    with np.errstate(over="ignore"):
-        v = np.asarray(values, dtype=np.uint64)
-        h = np.uint64(seed) + p5 + np.uint64(8)
-        h = h ^ (rot(v * p2, 31) * p1)
-        h = rot(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
+def grams(text: str | None):
+    """All grams of a text in one array."""
+    import numpy as np
+    parts = list(gram_parts(text))
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
 
 
 def fold(doc_id: Column) -> Column:
@@ -102,17 +93,24 @@ def count_grams(learn: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of ``learn`` (text, lang); summed inside a task before the shuffle."""
     def run(it: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
         import pyarrow as pa
-        for batch in batches_by_bytes(it, "text", 16 << 20):
-            by: dict[str, list] = {}
+
+        def counted(lang, parts):
+            value, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.record_batch([pa.array([lang] * len(value)), pa.array(value.view(np.int64)), pa.array(n, pa.int64())],
+                                   names=["lang", "gram", "n"])
+
+        held: dict[str, list] = {}
+        size = 0
+        for batch in batches_by_bytes(it, "text", PIECE_BYTES):
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(lang, []).append(grams(t))
-            for lang, parts in by.items():
-                code, value = pd.factorize(np.concatenate(parts))
-                if len(value):
-                    yield pa.record_batch([pa.array([lang] * len(value)), pa.array(value.view(np.int64)),
-                                           pa.array(np.bincount(code), pa.int64())], names=["lang", "gram", "n"])
+                for g in gram_parts(t):
+                    held.setdefault(lang, []).append(g)
+                    size += len(g)
+                    if size > 2 * ASKED_AT_ONCE:
+                        yield from (counted(x, parts) for x, parts in held.items())
+                        held, size = {}, 0
+        yield from (counted(x, parts) for x, parts in held.items())
 
     return (learn.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -203,39 +201,59 @@ def build(counts: DataFrame) -> Model:
     return Model(langs, materialize(tables.repartitionByRange("h").sortWithinPartitions("h"), "language-model"))
 
 
+def _packed(dealt: DataFrame) -> DataFrame:
+    """(_batch, rows): the rows of each batch as compressed Arrow tables, which are what is shuffled."""
+    def run(it: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for batch in batches_by_bytes(it, "text", 4 * PIECE_BYTES):
+            number = batch.column(0).to_numpy()
+            order = np.argsort(number, kind="stable")
+            table = pa.Table.from_batches([batch]).drop_columns(["_batch"]).take(pa.array(order))
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(number[order]) != 0]), len(order)]
+            for a, b in zip(edges, edges[1:]):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, table.schema, options=options) as w:
+                    w.write_table(table.slice(a, b - a).combine_chunks())
+                yield pa.record_batch([pa.array([number[order[a]]], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
+                                      names=["_batch", "rows"])
+
+    return dealt.mapInArrow(run, "_batch long, rows binary")
+
+
 def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The kept columns and ``ce``, the cross-entropies in the order of the model's languages (null: no letter).
 
-    Rows are dealt to batches of about ``BATCH_BYTES`` of text. A batch's distinct grams meet the model in a join, and
-    what they get comes back to the batch.
+    Rows are dealt to batches of about ``BATCH_BYTES`` of text by a hash of their columns. A batch's distinct grams meet the
+    model in a join, and what they get comes back to the batch.
     """
     kinds = dict(rows.dtypes)
     if not model.langs:
         return rows.select(*keep, F.lit(None).cast("array<double>").alias("ce"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    batches = 1 + size // BATCH_BYTES
+    batches = 1 + size // (4 * BATCH_BYTES // max(4, len(model.langs)))
     dealt = rows.select(F.pmod(F.xxhash64(*keep, "text"), F.lit(batches)).alias("_batch"), "text", *keep)
 
     def ask(it: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
         import pyarrow as pa
-        held, n = {}, 0
+        held: dict[int, list] = {}
+        n = 0
 
         def flush():
             for b, parts in held.items():
-                every = pd.unique(np.concatenate(parts))
+                every = np.unique(np.concatenate(parts))
                 yield pa.record_batch([pa.array(np.full(len(every), b)), pa.array(every.view(np.int64))], names=["_b", "gram"])
 
-        for batch in batches_by_bytes(it, "text", 4 << 20):
+        for batch in batches_by_bytes(it, "text", PIECE_BYTES):
             for b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = grams(t)
-                if len(g):
-                    held.setdefault(b, []).append(g)
-                    n += len(g)
-            if n > ASKED_AT_ONCE:
-                yield from flush()
-                held, n = {}, 0
+                for g in gram_parts(t):
+                    held.setdefault(b, []).append(np.unique(g))
+                    n += len(held[b][-1])
+                    if n > ASKED_AT_ONCE:
+                        yield from flush()
+                        held, n = {}, 0
         yield from flush()
 
     def score(mine, known):
@@ -245,16 +263,22 @@ def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         order = np.argsort(names)
         names = names[order]
         p = known.column("p").combine_chunks().flatten().to_numpy().reshape(len(names), -1)[order] if len(names) else None
-        ce = []
-        for t in mine.column("text").to_pylist():
-            g = grams(t)
-            ce.append(-p[np.searchsorted(names, g)].mean(axis=0) if len(g) else None)
-        return pa.table({**{k: mine.column(k) for k in keep}, "ce": pa.array(ce, pa.list_(pa.float64()))})
+        out = []
+        for packed in mine.column("rows"):
+            table = pa.ipc.open_stream(packed.as_buffer()).read_all()
+            ce = []
+            for t in table.column("text"):
+                total, n = 0.0, 0
+                for g in gram_parts(t.as_py()):
+                    total, n = total - p[np.searchsorted(names, g)].sum(axis=0), n + len(g)
+                ce.append(total / n if n else None)
+            out.append(pa.table({**{k: table.column(k) for k in keep}, "ce": pa.array(ce, pa.list_(pa.float64()))}))
+        return pa.concat_tables(out) if out else pa.table({**{k: pa.array([], pa.null()) for k in keep}, "ce": pa.array([], pa.list_(pa.float64()))})
 
     asked = checkpoint(dealt.select("_batch", "text").mapInArrow(ask, "_b long, gram long").distinct())
     known = asked.join(model.vectors(asked.select("gram").distinct()), "gram")
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "ce array<double>"])
-    return dealt.groupBy("_batch").cogroup(known.groupBy("_b")).applyInArrow(score, schema)
+    return _packed(dealt).groupBy("_batch").cogroup(known.groupBy("_b")).applyInArrow(score, schema)
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
@@ -262,7 +286,7 @@ def calibrate(model: Model, rows: DataFrame) -> None:
     if not model.langs:
         return
     names = F.array(*(F.lit(x) for x in model.langs))
-    s = (_scored(rows, model, ["lang"]).where("ce is not null")
+    s = (_scored(rows, model, ["doc_id", "lang"]).where("ce is not null")
          .withColumn("own", F.get("ce", F.array_position(names, F.col("lang")).cast("int") - 1)).where("own is not null"))
     best = F.array_min("ce")
 
@@ -282,7 +306,7 @@ def learn(docs: DataFrame) -> Model:
     """A calibrated model from the rows whose fold is not 0 and whose lang is not null; all of them are read."""
     ship(docs.sparkSession)
     usable = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & (fold(docs["doc_id"]) != 0)).select(
-        docs["text"], docs["lang"].cast("string").alias("lang"), fold(docs["doc_id"]).alias("f"))
+        docs["text"], docs["lang"].cast("string").alias("lang"), docs["doc_id"].cast("long").alias("doc_id"), fold(docs["doc_id"]).alias("f"))
     model = build(count_grams(usable.where(F.col("f") != CALIBRATION_FOLD)))
     calibrate(model, usable.where(F.col("f") == CALIBRATION_FOLD))
     return model

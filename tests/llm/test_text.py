@@ -109,12 +109,82 @@ def test_redact_overlaps_and_odd_rows(spark, make_docs):
     assert Counter(r.text for r in out.collect()) == Counter([t for _, t in ODD] + ["é [SECRET] tail"] * 2 + ["[SECRET]"])
 
 
-def test_grams_and_hash():
+def hash64(values):
+    import xxhash
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in np.asarray(values, np.uint64)], np.uint64)
+
+
+def test_grams(spark, monkeypatch):
     assert len(language_id.grams(None)) == len(language_id.grams("12 !")) == 0
     assert len(language_id.grams("Ab, c9")) == 5  # a, b, boundary, c, boundary
-    import xxhash
-    v = np.array([0, 1, 2 ** 63, 123456789], dtype=np.uint64)
-    assert language_id.hash64(v).tolist() == [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in v]
+    v = [0, 1, -2 ** 63, 123456789]  # the model's names are Spark's hashes of the grams
+    got = spark.createDataFrame([(x,) for x in v], "g long").selectExpr("xxhash64(g)").collect()
+    assert [r[0] for r in got] == hash64(np.array(v).view(np.uint64)).view(np.int64).tolist()
+    texts = ["", "a", "  ab..c ", "é 12 x", "ab" * 50 + " 9 " + "ü😀日", "9" * 20 + "z" + " " * 20]
+    whole = [language_id.grams(t).tolist() for t in texts]
+    for size in (1, 2, 3, 7):  # slices of a text give the grams of the text
+        monkeypatch.setattr(language_id, "SLICE_CHARS", size)
+        assert [language_id.grams(t).tolist() for t in texts] == whole
+
+
+def brute_kneser_ney(texts):
+    """Natural log probability of the last of four signs, from the definition, by dictionaries."""
+    import collections
+    import math
+    counts = [collections.Counter() for _ in range(5)]
+    for t in texts:
+        s = "   " + "".join(" " if not c.isalpha() else c for c in t.lower()) + " "
+        signs = [" ", " ", " "]
+        for before, c in zip(s[2:], s[3:]):
+            if c != " " or before != " ":
+                signs.append(c)
+        for i in range(3, len(signs)):
+            counts[4][tuple(signs[i - 3:i + 1])] += 1
+    for n in (3, 2, 1):
+        for g in counts[n + 1]:
+            counts[n][g[1:]] += 1
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / 65536
+        ones, twos = (sum(v == k for v in counts[n].values()) for k in (1, 2))
+        d = 0.5 if ones + twos == 0 else max(0.1, min(0.9, ones / (ones + 2 * twos)))
+        same = {x: v for x, v in counts[n].items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total = sum(same.values())
+        return max(same.get(g, 0) - d, 0) / total + d * len(same) / total * p(g[1:])
+
+    return lambda g: math.log(max(p(tuple(g)), 1e-30))
+
+
+def test_kneser_ney_against_the_definition(spark, make_docs):
+    """The tables and cross-entropies of two small languages, with repeated rows, a tie between languages and a very long text."""
+    rng = random.Random(9)
+    own = {"en": "abc ab", "xx": "bcd ac"}
+    rows = [(i, "".join(rng.choices(own[x] + " .", k=rng.randint(0, 40))), x) for i in range(60) for x in [["en", "xx"][i % 2]]]
+    rows += [(60, "abc abc", "en"), (60, "abc abc", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.build(language_id.count_grams(docs))
+    asked = ["abc ", "zabc", "  ab", "cccc", "qqqq", "bcd "] + ["".join(rng.choices("abcd ", k=4)) for _ in range(30)]
+    sign = lambda c: 0 if c == " " else ord(c)
+    names = [sum(sign(c) << 16 * k for k, c in enumerate(reversed(g))) for g in asked]
+    got = model.log_probs(names)
+    for j, lang in enumerate(model.langs):
+        expected = brute_kneser_ney([t for _, t, x in rows if x == lang])
+        assert np.allclose(got[j], [expected(g) for g in asked], atol=1e-9)
+    long = "ab. c" * 150_000
+    scored = {r.doc_id: r for r in language_id.predict(spark.createDataFrame([(1, "abc cb"), (1, "abc cb"), (2, long)], "doc_id long, text string"), model).collect()}
+    p = brute_kneser_ney([t for _, t, x in rows if x == "en"])
+    ce = -sum(p(g) for g in ("   a", "  ab", " abc", "abc ", "bc c", "c cb", " cb ")) / 7
+    q = brute_kneser_ney([t for _, t, x in rows if x == "xx"])
+    ce2 = -sum(q(g) for g in ("   a", "  ab", " abc", "abc ", "bc c", "c cb", " cb ")) / 7
+    assert abs(scored[1].cross_entropy - min(ce, ce2)) < 1e-9 and scored[1].lang_pred == ("en" if ce <= ce2 else "xx")
+    assert scored[2].lang_pred == "en"
+    same = spark.createDataFrame([(i, "abc", x) for i in range(4) for x in ("bb", "aa")], "doc_id long, text string, lang string")
+    tie = language_id.predict(make_docs([(1, "abc")]), language_id.build(language_id.count_grams(same))).first()
+    assert tie.lang_pred == "aa" and abs(tie.score - 0.5) < 1e-9  # the first name wins
 
 
 def test_language_id(spark, make_docs):
@@ -148,10 +218,10 @@ def test_language_model_keeps_grams_apart(spark):
     docs = [(i, "".join(chr(97 + c) for c in rng.integers(0, 26, 400)), "en") for i in range(60)]
     model = language_id.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
     seen = np.unique(np.concatenate([language_id.grams(t) for _, t, _ in docs]))
-    short = np.unique(language_id.hash64(seen) >> np.uint64(44))
+    short = np.unique(hash64(seen) >> np.uint64(44))
     other = rng.integers(0x4E00, 0x9FA0, (40_000, 4)).astype(np.uint64)
     other = other[:, 0] | other[:, 1] << np.uint64(16) | other[:, 2] << np.uint64(32) | other[:, 3] << np.uint64(48)
-    clash = other[np.isin(language_id.hash64(other) >> np.uint64(44), short)]
+    clash = other[np.isin(hash64(other) >> np.uint64(44), short)]
     assert len(clash) > 20
     assert np.ptp(model.log_probs(np.append(clash, other[:50]))) < 1e-9
 
