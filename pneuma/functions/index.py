@@ -32,6 +32,8 @@ def resolve_bounds(bounds: Mapping | None) -> dict[str, tuple[float, float]]:
     for f, b in (bounds or {}).items():
         if isinstance(b, Mapping):
             out[f] = (float(b["min"]), float(b["max"]))
+        elif isinstance(b[0], Column):
+            out[f] = (b[0], b[1])
         else:
             out[f] = (float(b[0]), float(b[1]))
     return out
@@ -43,6 +45,8 @@ def normalize_minmax(c, feature: str, bounds: Mapping | None = None) -> Column:
     if feature not in b:
         raise ValueError(f"unknown feature '{feature}'")
     lo, hi = b[feature]
+    if isinstance(lo, Column):  # bounds that stand on the row
+        return F.when(hi == lo, F.lit(0.0)).otherwise(clip((col(c) - lo) / (hi - lo) * F.lit(100.0), 0.0, 100.0))
     if hi == lo:
         return F.lit(0.0)
     return clip((col(c) - F.lit(lo)) / F.lit(hi - lo) * F.lit(100.0), 0.0, 100.0)

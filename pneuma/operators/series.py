@@ -150,16 +150,8 @@ def _blocks_with_halo(df: DataFrame, rn: str, block_rows: int, halo: int) -> Dat
     return df.select("*", F.posexplode(blks).alias("_is_halo", "_blk"))
 
 
-def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str, str, str]],
-            rows: int = 24, block_rows: int = DEFAULT_BLOCK_ROWS, digits: int | None = 3) -> DataFrame:
-    """n-row trailing window (current row included, min_periods 1, NULLs skipped).
-
-    ``specs`` = [(output, function 'mean'|'max'|'min'|'sum', source column)].
-    Means sum exactly as DECIMAL before one division so the value does not
-    depend on summation order.
-    """
-    x = _blocks_with_halo(df.withColumn("_gk", _gk(group_cols)), rn, block_rows, rows - 1)
-    w = Window.partitionBy("_gk", "_blk").orderBy(rn).rowsBetween(-(rows - 1), 0)
+def window_exprs(specs: list[tuple[str, str, str]], w, digits: int | None = 3) -> list[tuple[str, Column]]:
+    """(name, expression) of each spec over the window ``w``; means sum exactly before one division."""
     outs = []
     for name, fn, src in specs:
         c = finite_or_null(src)
@@ -177,7 +169,21 @@ def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str
             raise ValueError(fn)
         if digits is not None:
             e = F.rint(e * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)
-        outs.append(e.alias(name))
+        outs.append((name, e))
+    return outs
+
+
+def rolling(df: DataFrame, group_cols: list[str], rn: str, specs: list[tuple[str, str, str]],
+            rows: int = 24, block_rows: int = DEFAULT_BLOCK_ROWS, digits: int | None = 3) -> DataFrame:
+    """n-row trailing window (current row included, min_periods 1, NULLs skipped).
+
+    ``specs`` = [(output, function 'mean'|'max'|'min'|'sum', source column)].
+    Means sum exactly as DECIMAL before one division so the value does not
+    depend on summation order.
+    """
+    x = _blocks_with_halo(df.withColumn("_gk", _gk(group_cols)), rn, block_rows, rows - 1)
+    w = Window.partitionBy("_gk", "_blk").orderBy(rn).rowsBetween(-(rows - 1), 0)
+    outs = [e.alias(name) for name, e in window_exprs(specs, w, digits)]
     return x.select(*df.columns, "_is_halo", *outs).filter(F.col("_is_halo") == 0).drop("_is_halo")
 
 

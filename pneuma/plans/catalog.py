@@ -27,4 +27,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_clean, q_crisis, q_features, q_forest, q_index, q_labels, q_models, q_odd, q_profile, q_stream  # noqa: F401
+    from . import q_clean, q_crisis, q_features, q_forest, q_index, q_labels, q_models, q_odd, q_profile, q_stream, q_whole  # noqa: F401

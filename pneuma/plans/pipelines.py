@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import profile as PR
 from ..operators import scoring as S
-from ..tables import STATION_FEATURES
+from ..operators import series, stored
+from ..tables import DEFAULT_BOUNDS, IER_FEATURES, RISK_LEVELS, STATION_FEATURES, ZONE_INFO
 
 
 def preprocess(raw: DataFrame, block_rows: int | None = None,
-               order_key: str = "No", time_bucket: str = "day") -> DataFrame:
+               order_key: str = "No", time_bucket: str = "day", keep_row: bool = False) -> DataFrame:
     """Raw station rows -> clean table (datetime, station, pm25, co, temperature, humidity).
 
     Humidity is computed before gaps are filled; interpolation runs per station
@@ -25,7 +29,36 @@ def preprocess(raw: DataFrame, block_rows: int | None = None,
     x = C.interpolate_station(x, block_rows=block_rows, order_tiebreak="_row", time_bucket=time_bucket)
     x = C.drop_missing(x)
     x = C.remove_outliers(x)
-    return x.select("datetime", "station", *STATION_FEATURES)
+    return x.select(*(["_row"] if keep_row else []), "datetime", "station", *STATION_FEATURES)
+
+
+@dataclass
+class Processed:
+    """What a whole preprocessing run leaves: the stored table (readings and halo rows), and its bounds, statistics and summary."""
+    table: DataFrame
+    bounds: DataFrame
+    describe: DataFrame
+    summary: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        return stored.rows(self.table)
+
+
+def preprocess_whole(raw: DataFrame, path: str, table: str, buckets: int = 64, block_rows: int = series.DEFAULT_BLOCK_ROWS,
+                     order_key: str = "No") -> Processed:
+    """P1 whole: clean, store for windows (A4), learn and store the bounds (A9), describe (D5) and summarise (D6) what is stored.
+
+    Everything after the write reads the stored table. Tables: ``path``/table, bounds, describe, summary.
+    """
+    spark = raw.sparkSession
+    clean = preprocess(raw, order_key=order_key, keep_row=True)
+    kept = stored.store(clean, f"{path}/table", table, buckets, block_rows, tiebreak="_row")
+    rows = stored.rows(kept)
+    out = {"bounds": PR.feature_bounds(rows), "describe": PR.describe_stats(rows), "summary": PR.station_summary(rows)}
+    for name, df in out.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return Processed(kept, **{name: spark.read.parquet(f"{path}/{name}") for name in out})
 
 
 def run_batch(df: DataFrame, pathologie: str = "general", bounds: Mapping | None = None,
@@ -39,6 +72,37 @@ def run_batch(df: DataFrame, pathologie: str = "general", bounds: Mapping | None
     return out.withColumn("zone", A.zone_from_ier("ier_score")).withColumn("zone_label", A.zone_label("zone"))
 
 
+def bounds_row(bounds: DataFrame) -> DataFrame:
+    """The bounds table (feature, min, max) as one row of columns ``_lo_<feature>`` and ``_hi_<feature>``."""
+    return bounds.agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{n}_{f}") for f in IER_FEATURES for n, c in (("lo", "min"), ("hi", "max"))])
+
+
+def run_batch_whole(df: DataFrame, path: str, pathologie: str = "general", bounds: DataFrame | None = None,
+                    zone_model=None) -> tuple[DataFrame, DataFrame]:
+    """P3 whole: score with the learned bounds (A9, attached as a one-row table), store (A12), summarise (D15) in the same pass.
+
+    Returns the stored rows of the pathologie and the summary. A feature without learned bounds has the default ones. The
+    summary's counts are observed while the rows are written, so the readings are read once.
+    """
+    spark = df.sparkSession
+    x, by = df, None
+    if bounds is not None:
+        x = df.crossJoin(F.broadcast(bounds_row(bounds)))  # one row
+        by = {f: (F.coalesce(F.col(f"_lo_{f}"), F.lit(DEFAULT_BOUNDS[f][0])), F.coalesce(F.col(f"_hi_{f}"), F.lit(DEFAULT_BOUNDS[f][1])))
+              for f in IER_FEATURES}
+    out = run_batch(x, pathologie, by, zone_model)
+    out = out.drop(*[c for c in out.columns if c.startswith(("_lo_", "_hi_"))]).withColumn("pathologie", F.lit(pathologie))
+    values = [("ier_level", r[2]) for r in RISK_LEVELS] + [("ier_level", None)] + [("zone", r[0]) for r in ZONE_INFO] + [("zone", None)]
+    seen = Observation()
+    counts = [F.count_if(F.col(d).isNull() if v is None else F.col(d) == v).alias(f"c{i}") for i, (d, v) in enumerate(values)]
+    write_batch(out.observe(seen, F.count(F.lit(1)).alias("n"), *counts), path)
+    got = seen.get
+    rows = [(d, v, got[f"c{i}"], got["n"]) for i, (d, v) in enumerate(values) if got[f"c{i}"]]
+    summary = spark.createDataFrame(rows, "dimension string, value string, count long, total_rows long")
+    stored_rows = spark.read.schema(out.schema).parquet(path).where(F.col("pathologie") == pathologie)
+    return stored_rows, summary
+
+
 def write_batch(df: DataFrame, path: str) -> None:
     """One output per pathologie (partition column), dynamic partition overwrite."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

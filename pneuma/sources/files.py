@@ -7,7 +7,7 @@ the job; Parquet is the storage format for everything the package writes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_columns
@@ -36,47 +36,51 @@ def _list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in (st or []))
 
 
-def _csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names from the first line of a CSV file (a small read, no Spark job; compressed files too)."""
-    import csv
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
-    if codec is not None:
-        stream = codec.createInputStream(stream)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        line = reader.readLine() or ""
-    finally:
-        reader.close()
-    return tuple(next(csv.reader([line.lstrip("\ufeff")]), []))
+def _fields(line: Column) -> Column:
+    """Fields of a CSV line; a quoted field may hold commas and doubled quotes."""
+    quoted = F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+                         lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), '""', '"'))
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ","), lambda x: F.trim(x)))
+
+
+def scan_station_csv(spark: SparkSession, raw_dir: str, pattern: str = "PRSA_Data_*.csv") -> tuple[DataFrame, DataFrame]:
+    """A1 over any number of files: the readings (10 columns and ``_file``) and the malformed lines (file, line, reason).
+
+    The header of every file is found by a Spark job over the lines: it is the line with at least three of the known column names.
+    Files meet their header in a join, and a field is looked up by its name's place in the header, so files may differ in their
+    columns and their order. A line with fewer or more fields than its header, or whose number cannot be read, is malformed
+    and kept as it stands; a file without a header gives its lines as malformed.
+    """
+    lines = spark.read.text(f"{raw_dir.rstrip('/')}/{pattern}").select(
+        _fields(F.regexp_replace("value", "^\ufeff", "")).alias("_f"), F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name")).where("line != ''")
+    known = F.size(F.array_intersect("_f", F.array(*[F.lit(c) for c in STATION_KEEP]))) >= 3
+    headers = lines.where(known).groupBy("file").agg(F.min("_f").alias("_h"))
+    rows = lines.join(headers, "file", "left").where("_h is null or _f != _h")
+    typed, bad = [], F.lit(False)
+    for c in STATION_KEEP:
+        v = F.get("_f", F.array_position("_h", F.lit(c)).cast("int") - 1)
+        v = F.when(v.isin(*NULL_TOKENS), F.lit(None)).otherwise(v)
+        if c == "station":
+            typed.append(F.coalesce(v, F.regexp_extract("file_name", r"PRSA_Data_([^_]+)_", 1)).alias(c))
+        else:
+            t = v.try_cast(STATION_TYPES[c])
+            bad = bad | (v.isNotNull() & t.isNull())
+            typed.append(t.alias(c))
+    reason = F.when(F.col("_h").isNull(), "no_header").when(F.size("_f") != F.size("_h"), "fields").when(bad, "not_numeric")
+    rows = rows.withColumn("_reason", reason)
+    return (rows.where("_reason is null").select(*typed, F.col("file").alias("_file")),
+            rows.where("_reason is not null").select("file", "line", F.col("_reason").alias("reason")))
 
 
 def load_stations(spark: SparkSession, raw_dir: str, pattern: str = "PRSA_Data_*.csv") -> DataFrame:
     """A1: all station CSVs, 10 columns, station taken from the file name when the column is absent.
 
-    Files are grouped by header so that one multi-file read never binds a file
-    to another file's header; the groups are unioned by name.
+    Malformed lines are left out here; ``scan_station_csv`` reports them.
     """
-    files = _list_files(spark, f"{raw_dir.rstrip('/')}/{pattern}")
-    if not files:
+    if not _list_files(spark, f"{raw_dir.rstrip('/')}/{pattern}"):
         raise FileNotFoundError(f"no station file matching {pattern} in {raw_dir}")
-    by_header: dict[tuple, list[str]] = {}
-    for f in files:
-        hdr = _csv_header(spark, f)
-        by_header.setdefault(hdr, []).append(f)
-    out = None
-    for hdr, group in by_header.items():
-        df = spark.read.option("header", True).option("inferSchema", False).csv(group)
-        keep = [c for c in STATION_KEEP if c in hdr]
-        sel = [_clean_cast(c, STATION_TYPES[c]) for c in keep]
-        if "station" not in hdr:
-            sel.append(F.regexp_extract(F.col("_metadata.file_name"), r"PRSA_Data_([^_]+)_", 1).alias("station"))
-        part = df.select(*sel)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return scan_station_csv(spark, raw_dir, pattern)[0].drop("_file")
 
 
 def save_processed(df: DataFrame, path: str, partition_by: str | None = "station") -> str:

@@ -176,3 +176,24 @@ def test_model_persistence(spark, tmp_dir):
     scored = run_batch(V.measurements(spark, "/root/testdata/sf0.001").drop("user_id"), "asthme")
     write_batch(scored.withColumn("pathologie", F.lit("asthme")), os.path.join(tmp_dir, "batch"))
     assert spark.read.parquet(os.path.join(tmp_dir, "batch")).filter("pathologie = 'asthme'").count() == scored.count()
+
+
+def test_registry_publishes_what_the_next_decision_reads(spark, tmp_dir):
+    from pneuma.operators.registry import ModelRegistry
+    from pneuma.tables import FEATURE_NAMES
+    reg, rows = ModelRegistry(spark, f"{tmp_dir}/registry"), _users(spark)
+    assert reg.users("long").count() == 0
+    first = {r.user_id: r for r in reg.retrain(rows, num_trees=4).collect()}
+    assert {u: r.retrain for u, r in first.items()} == {1: True, 2: True, 3: False}
+    second = {r.user_id: r for r in reg.retrain(rows, num_trees=4).collect()}
+    assert not any(r.retrain for r in second.values()) and second[1].reason.endswith("+0/10") and second[2].reason.endswith("+0/10")
+    assert reg.versions.latest() == 1
+    more = rows.unionByName(rows.where("user_id = 2").limit(12).withColumn("event_id", F.col("event_id") + 500))
+    third = {r.user_id: r for r in reg.retrain(more, num_trees=4).collect()}
+    assert third[2].retrain and "+12" in third[2].reason and not third[1].retrain
+    assert {(r.model_name, r.n_user_samples) for r in reg.meta().collect()} == {("rf_user_1", 300), ("rf_user_2", 57)}
+    assert {(r.model_name, r.n_user_samples) for r in reg.meta(1).collect()} == {("rf_user_1", 300), ("rf_user_2", 45)}
+    assert reg.nodes().where("model_name = 'rf_user_2'").select("tree").distinct().count() == 4
+    x = rows.drop("symptom_label").withColumns({f: F.lit(0.0) for f in FEATURE_NAMES if f not in ("pm25", "co", "ier_score")})
+    out = reg.score(x.withColumn("ier_score", F.lit(10.0)))
+    assert {(r.user_id, r.model_used) for r in out.collect()} == {(1, "rf_user_1"), (2, "rf_user_2"), (3, "heuristic_fallback")}

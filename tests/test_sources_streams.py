@@ -236,3 +236,112 @@ def test_stream_crisis_rescores_with_profiles(spark, tmp_dir):
         x = FT.with_history(df)
         exp = crisis_columns(CR.crisis_realtime(x if p is None else FT.with_profile(x, p), model))
         assert got.count() == 60 and got.exceptAll(exp).count() == 0
+
+
+def _csv(folder, name, header, rows):
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("\n".join([",".join(header), *(",".join(map(str, r)) for r in rows)]) + "\n")
+
+
+def test_many_station_files_and_malformed_lines(spark, tmp_dir):
+    """Files with different headers load without a loop over them; bad lines are reported as they stand."""
+    full = ["No", "year", "month", "day", "hour", "PM2.5", "CO", "TEMP", "DEWP", "station"]
+    for i in range(1500):
+        _csv(tmp_dir, f"PRSA_Data_S{i}_x.csv", full, [(j, 2024, 1, 1, j, 10.5 + j, "NA", -1, -5, f"S{i}") for j in range(3)])
+    other = ["No", "station2", "CO", "PM2.5", "day", "month", "year", "hour"]  # another order, no station column
+    _csv(tmp_dir, "PRSA_Data_Named_x.csv", other, [(1, "z", 3, 7.5, 2, 1, 2024, 5)])
+    _csv(tmp_dir, "PRSA_Data_Bad_x.csv", full, [(1, 2024, 1, 1, 0, 5, 5, 5, 5, "Bad"), (2, 2024, 1), (3, 2024, 1, 1, 0, "abc", 5, 5, 5, "Bad"),
+                                                  (4, 2024, 1, 1, 0, 5, 5, 5, 5, "Bad", "more")])
+    with open(os.path.join(tmp_dir, "PRSA_Data_None_x.csv"), "w") as f:
+        f.write("1,2,3\n")
+    rows, bad = FS.scan_station_csv(spark, tmp_dir)
+    assert rows.count() == 4500 + 1 + 1
+    named = rows.where("station = 'Named'").first()
+    assert (named.No, named["PM2.5"], named.CO, named.TEMP, named.day, named.hour) == (1, 7.5, 3.0, None, 2, 5)
+    got = {(r.file.rsplit("_", 2)[-2], r.line): r.reason for r in bad.collect()}
+    assert got == {("Bad", "2,2024,1"): "fields", ("Bad", "3,2024,1,1,0,abc,5,5,5,Bad"): "not_numeric",
+                   ("Bad", "4,2024,1,1,0,5,5,5,5,Bad,more"): "fields", ("None", "1,2,3"): "no_header"}
+    assert FS.load_stations(spark, tmp_dir).where("CO is null and station = 'S7'").count() == 3
+
+
+def test_labeled_table_snapshots(spark, tmp_dir):
+    from pneuma.operators.labeled import LabeledTable
+    le = V.labeled_entries(spark, SF)
+    t = LabeledTable(spark, os.path.join(tmp_dir, "labeled"))
+    assert t.load().count() == 0 and t.user_sample_count().count() == 0
+    parts = [le.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i) for i in range(5)]
+    for i, p in enumerate(parts):
+        t.append(p, batch=f"epoch-{i}")
+    before = t.load()  # a reader of the snapshot
+    version = t.manifest.latest()
+    n = before.count()
+    t.append(parts[4], batch="epoch-4")  # the last epoch is tried again
+    t.append(le.limit(0), batch="empty")
+    assert t.load().count() == n == le.count()
+    t.compact()
+    assert before.count() == n and t.load(version=version).count() == n  # the snapshot stays whole
+    t.append(parts[0], batch="epoch-0")  # a batch that compaction took in stays as it is
+    assert t.load().count() == n and len(t.manifest.read()) == 2
+    user = le.groupBy("user_id").count().orderBy("user_id").first()
+    assert t.load(user_id=user.user_id).count() == user["count"]
+    want = {r.user_id: r["count"] for r in le.groupBy("user_id").count().collect()}
+    assert {r.user_id: r.n_samples for r in t.user_sample_count().collect()} == want
+    plan = t.user_sample_count()._jdf.queryExecution().executedPlan().toString()
+    assert "/rows/" not in plan and "/counts/" in plan
+    assert t.vacuum() > 0 and t.load().count() == n
+
+
+def test_a_version_is_published_once(spark, tmp_dir):
+    import pytest
+
+    from pneuma.sources.versions import Versions
+    v = Versions(spark, os.path.join(tmp_dir, "v"))
+    assert v.read() is None and v.publish(lambda old: ["a"]) == 1
+    assert v.publish(lambda old: [*old, "b"]) == 2 and v.read() == ["a", "b"] and v.read(1) == ["a"]
+    open(os.path.join(tmp_dir, "v", "v000000003.claim"), "w").close()  # another writer is at work
+    with pytest.raises(TimeoutError):
+        v.publish(lambda old: ["c"], tries=2, wait=0.01)
+    assert v.read() == ["a", "b"]
+
+
+def test_processed_table_is_read_without_exchange(spark, tmp_dir):
+    from pneuma.functions import features as FX
+    from pneuma.operators import features as FT
+    from pneuma.operators import stored
+    from pneuma.plans import pipelines as P
+    raw = V.stations_raw(spark, SF)
+    done = P.preprocess_whole(raw, tmp_dir, "t_processed", buckets=4, block_rows=50)
+    assert done.rows.count() == P.preprocess(raw).count() and done.bounds.count() == 4
+    labeled = stored.store(done.rows.withColumn("symptom_label", (F.col("pm25") > 80).cast("int")), os.path.join(tmp_dir, "l"), "t_labeled", 4, 50, "_row")
+    names = [n for n, _, _ in FX.HISTORY_SPECS]
+    for got, exp in ((stored.rolling_24(done.table), FT.rolling_24(done.rows, tiebreak="_row", block_rows=50)),
+                     (stored.history_features(done.table).drop("history"),
+                      FT.history_features(FT.with_history(done.rows, tiebreak="_row", block_rows=50)).drop("history"))):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" in plan, plan
+        cols = ["_row", "station", *names]
+        assert got.count() == done.rows.count() and got.select(*cols).exceptAll(exp.select(*cols)).count() == 0
+    lag = stored.symptom_lag(labeled)
+    assert "Exchange" not in lag._jdf.queryExecution().executedPlan().toString()
+    exp = FT.symptom_lag(stored.rows(labeled), tiebreak="_row")
+    assert lag.select("_row", "symptom_yesterday").exceptAll(exp.select("_row", "symptom_yesterday")).count() == 0
+    spark.sql("DROP TABLE t_processed")
+    again = stored.open_table(spark, os.path.join(tmp_dir, "table"), "t_processed", 4)
+    assert "Exchange" not in stored.rolling_24(again)._jdf.queryExecution().executedPlan().toString()
+    assert stored.rows(again).count() == done.rows.count()
+
+
+def test_whole_batch_reads_its_input_once(spark, tmp_dir):
+    from pneuma.operators import profile as PR
+    from pneuma.plans import pipelines as P
+    m = V.measurements(spark, SF)
+    PR.save_bounds(PR.feature_bounds(m), os.path.join(tmp_dir, "b"))
+    bounds = spark.read.parquet(os.path.join(tmp_dir, "b"))
+    rows, summary = P.run_batch_whole(m, os.path.join(tmp_dir, "t"), "asthme", bounds)
+    assert rows.count() == m.count()
+    again = PR.batch_summary(rows)
+    assert sorted(map(str, again.collect())) == sorted(map(str, summary.select(*again.columns).collect()))
+    _, empty = P.run_batch_whole(m.limit(0), os.path.join(tmp_dir, "e"), "asthme", bounds)
+    assert empty.count() == 0
+    few, _ = P.run_batch_whole(m, os.path.join(tmp_dir, "f"), "asthme", bounds.where("feature = 'pm25'"))  # the others have the defaults
+    assert few.where("ier_score is null").count() == 0
