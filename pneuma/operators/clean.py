@@ -114,7 +114,7 @@ def health_label(df: DataFrame, percentile: float = 75.0, source: str = "respira
                  label: str = "symptom_label") -> DataFrame:
     """label = 1 when source >= its percentile (linear interpolation); NULL -> 0.
 
-    The threshold is an exact percentile (a single row, plan chosen by size), attached
+    The threshold is an exact percentile (a single row), attached
     to every row by a broadcast cross join of that one row.
     """
     from .metrics import percentiles

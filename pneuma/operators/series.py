@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_null, micro_units
+from ..session import stored
 
 DEFAULT_BLOCK_ROWS = 1 << 20
 #: One order key in so many becomes a cut between buckets.
@@ -252,9 +253,10 @@ def interpolate_bucketed(df: DataFrame, group_cols: list[str], order_cols: list,
     The dense row number is computed by a window partitioned by (series,
     bucket); the previous / next valid values inside a bucket come from
     windows with that same partitioning (only a re-sort, no new shuffle), and
-    across buckets from a small per-bucket carry table.
+    across buckets from a small per-bucket carry table. The bucketed rows are stored, so ``df`` is read twice: for
+    the cuts and for the rows.
     """
-    b = _bucketed(df.withColumns({c: finite_or_null(c) for c in cols}), group_cols, order_cols, bucket, level, split_rows)
+    b = stored(_bucketed(df.withColumns({c: finite_or_null(c) for c in cols}), group_cols, order_cols, bucket, level, split_rows), "buckets")
     keys = ["_gk", "_bk"]
     j = b.join(_offsets(b), keys, "left")
     order = _asc(order_cols)

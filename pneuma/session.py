@@ -74,3 +74,10 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     import uuid
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(df, what: str):
+    """``df`` written once as a Parquet table in the shared folder and read back: later jobs do not repeat its work."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
