@@ -35,8 +35,8 @@ SHARDS = 3
 COUNTERS, LEAST_COUNTERS = 1 << 27, 1 << 16
 #: Counters that travel in one row, and into how many groups the rows of one slice are dealt before they are summed.
 SLICE, FAN = 1 << 14, 64
-#: Text of one language that a task takes up at once, and all the text that it holds.
-CHUNK_BYTES, HELD_BYTES = 3 << 20, 12 << 20
+#: Text of one language that a task takes up at once, all the text that it holds, and phrases that it sums before it hands them on.
+CHUNK_BYTES, HELD_BYTES, HELD_PHRASES = 3 << 20, 12 << 20, 600_000
 #: Separators of pieces, as one byte that UTF-8 never has; A-Z in lower case.
 _BREAK = b"\xff"
 _TRANSLATE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
@@ -137,7 +137,7 @@ class Chunk:
             on, was = passes(self.now, at), passes(self.old, at) & done
 
     def named(self, k: int, start) -> tuple:
-        """The distinct phrases of ``k`` words at ``start``, told apart by their words, and how often each occurs."""
+        """The distinct phrases of ``k`` words at ``start``, told apart by their words, how often each occurs, and where in ``start`` first."""
         import numpy as np
         import pandas as pd
         import pyarrow as pa
@@ -147,8 +147,9 @@ class Chunk:
             ids, _ = pd.factorize(ids * len(self.names) + self.code[start + j])
         n = np.bincount(ids)
         first = np.zeros(len(n), np.int64)
-        first[ids[::-1]] = start[::-1]
-        return pc.binary_join_element_wise(*(self.names.take(pa.array(self.code[first + j])) for j in range(k)), b" "), n
+        first[ids[::-1]] = np.arange(len(start))[::-1]
+        at = start[first]
+        return pc.binary_join_element_wise(*(self.names.take(pa.array(self.code[at + j])) for j in range(k)), b" "), n, first
 
 
 def _chunks(it: Iterator) -> Iterator[tuple]:
@@ -232,30 +233,72 @@ def _sum(rows: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, "slice int, part int, counts binary, reached binary")
 
 
-def _suspects(texts: DataFrame, bitmap, counters: int) -> DataFrame:
-    """(lang, phrase, n): partial counts of the words and phrases whose counter reached the threshold, and, with an empty phrase, of all words."""
+def _suspects(texts: DataFrame, bitmap, counters: int, threshold: int) -> DataFrame:
+    """(lang, phrase, n): words and phrases counted by their words, of those whose counter reached the threshold; an empty phrase has all words.
+
+    A task sums its counts and hands them on as one compressed table per slice of the phrases, of which there are a few for each
+    shuffle partition; the tables of a slice are summed where they meet.
+    """
+    slices = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        now = bitmap.value if bitmap else None
-
-        def rows(lang, phrases, n):
-            return pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrases.view(pa.string()), pa.array(n, pa.int64())],
-                                   names=["lang", "phrase", "n"])
+        now, held, size = bitmap.value if bitmap else None, [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))
+
+        def rows(lang, phrases, n, at):
+            return pa.table({"slice": pa.array(at % slices), "lang": pa.repeat(pa.scalar(lang, pa.string()), len(n)),
+                             "phrase": phrases.cast(pa.binary()), "n": pa.array(n, pa.int64())})
+
+        def flush():
+            whole = _summed(pa.concat_tables(held), ["slice", "lang", "phrase"]).sort_by([("slice", "ascending"), ("phrase", "ascending")])
+            number = whole.column("slice").to_numpy()
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(number) != 0]), len(number)]
+            for a, b in zip(edges, edges[1:]):
+                part = whole.slice(a, b - a).drop_columns(["slice"]).combine_chunks()
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema, options=options) as w:
+                    w.write_table(part)
+                yield pa.record_batch([pa.array([number[a]], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())],
+                                      names=["slice", "counts"])
 
         for lang, words, carry in _chunks(it):
             chunk = Chunk(words, carry, lang, counters, now)
             n = chunk.word_counts()
-            yield rows(lang, pa.array([b""], pa.binary()), n.sum(keepdims=True))
             some = np.flatnonzero((n > 0) & passes(now, chunk.at))
-            yield rows(lang, chunk.names.take(pa.array(some)), n[some])
+            new = [rows(lang, pa.array([b""], pa.binary()), n.sum(keepdims=True), np.zeros(1, np.int64)),
+                   rows(lang, chunk.names.take(pa.array(some)), n[some], chunk.at[some])]
             for k, start, at in chunk.phrases(MAX_WORDS):
                 if k < MAX_WORDS:
-                    start = start[passes(now, at)]
+                    own = passes(now, at)
+                    start, at = start[own], at[own]
                 if len(start):
-                    yield rows(lang, *chunk.named(k, start))
+                    phrases, n, first = chunk.named(k, start)
+                    new.append(rows(lang, phrases, n, at[first]))
+            held += new
+            size += sum(len(x) for x in new)
+            if size > HELD_PHRASES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def merge(group):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        whole = _summed(pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group.column("counts")]), ["lang", "phrase"])
+        whole = whole.filter(pc.or_(pc.greater_equal(whole.column("n"), threshold), pc.equal(whole.column("phrase"), b"")))
+        whole = whole.combine_chunks()
+        phrase = pa.chunked_array([c.view(pa.string()) for c in whole.column("phrase").chunks], pa.string())
+        return pa.table({"lang": whole.column("lang"), "phrase": phrase, "n": whole.column("n")})
+
+    packed = texts.select("lang", "text").mapInArrow(run, "slice long, counts binary")
+    return packed.groupBy("slice").applyInArrow(merge, "lang string, phrase string, n long")
+
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
+def _summed(table, keys: list[str]):
+    return table.group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
 
 
 def _length(phrase: str) -> Column:
@@ -298,8 +341,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
         step += 1
         if step > shards and maps[step - shards - 1] and maps[step - shards - 1] is not maps[step - shards]:
             maps[step - shards - 1].destroy()  # no later scan looks that far back, and the counters are stored
-    found = _suspects(texts, maps[-1], counters).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(found.where((F.col("n") >= threshold) | (F.col("phrase") == "")), "collocation-counts")
+    return materialize(_suspects(texts, maps[-1], counters, threshold), "collocation-counts")
 
 
 def collocations(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SHARDS, counters: int = COUNTERS) -> DataFrame:

@@ -81,7 +81,7 @@ def test_collocation_chunks_keep_phrases_whole():
                 total += chunk.word_counts().sum()
                 for k, start, _ in chunk.phrases(5):
                     if len(start):
-                        phrases, n = chunk.named(k, start)
+                        phrases, n, _ = chunk.named(k, start)
                         sums.update(dict(zip(phrases.to_pylist(), n.tolist())))
             before = words.to_pylist()[-4:]
         w = data.split()
