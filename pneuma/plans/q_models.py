@@ -197,27 +197,32 @@ def q_zone_statistics(spark, sf):
 
 
 @register("kmeans_train", V.with_views(f"""
-SELECT z.zone, true AS has_rows, true AS rises, (SELECT count(*) FROM {DAILY_NN} d) AS n_rows, true AS quality_ok
+SELECT z.zone, true AS has_rows, true AS rises, (SELECT count(*) FROM {DAILY_NN} d) AS n_rows, true AS is_mean
 FROM (VALUES ('A'), ('B'), ('C'), ('D')) z(zone)""", "measurements"))
 def q_kmeans_train(spark, sf):
-    """Zone model trained on the daily station features: clusters that hold rows, zones in index order, quality."""
+    """Zone model trained on the daily station features: clusters that hold rows, zones in index order, and centres that are
+    the means of the rows nearest to them, as at the end of Lloyd's iterations."""
     from ..session import checkpoint
     daily = checkpoint(Z.cluster_features(V.measurements(spark, sf)))
     zm = Z.train_zones_on(daily)
-    per = Z.zone_assign(daily, zm).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), decimal_avg("ier_score", 6).alias("m"))
+    off = None  # largest distance between a centre and the mean of its rows, in standard deviations
+    for i, f in enumerate(zm.features):
+        own = F.element_at(F.array(*[F.lit(float(c[i])) for c in zm.centroids]), F.first("cluster_id") + 1)
+        d = F.abs(F.avg((F.col(f) - F.lit(zm.mean[i])) / F.lit(zm.scale[i])) - own)
+        off = d if off is None else F.greatest(off, d)
+    per = Z.zone_assign(daily, zm).groupBy("zone").agg(F.count(F.lit(1)).alias("n"), decimal_avg("ier_score", 6).alias("m"),
+                                                       (off < 0.01).alias("is_mean"))
     order = Window.orderBy("zone")  # K rows
     per = per.withColumns({"rises": F.coalesce(F.col("m") >= F.lag("m").over(order), F.lit(True)),
                            "total": F.sum("n").over(Window.partitionBy(F.lit(0)))})
-    good = -1.0 <= zm.meta["silhouette"] <= 1.0 and zm.meta["inertia"] >= 0.0
-    return per.select("zone", (F.col("n") > 0).alias("has_rows"), "rises", F.col("total").alias("n_rows"),
-                      F.lit(good).alias("quality_ok"))
+    return per.select("zone", (F.col("n") > 0).alias("has_rows"), "rises", F.col("total").alias("n_rows"), "is_mean")
 
 
 @register("evaluate_k", V.with_views(f"""
-SELECT k::INTEGER AS k, (SELECT count(*) FROM {DAILY_NN} d) AS n_rows, true AS silhouette_ok, true AS inertia_falls,
+SELECT k::INTEGER AS k, (SELECT count(*) FROM {DAILY_NN} d) AS n_rows, true AS inertia_falls,
        1::BIGINT AS n_best, true AS best_is_highest FROM range(2, 9) r(k)""", "measurements"))
 def q_evaluate_k(spark, sf):
-    """K sweep 2..8: silhouettes in range, inertia falling with K, one best K and it has the highest silhouette."""
+    """K sweep 2..8: inertia falling with K, one best K and it has the highest silhouette."""
     from ..session import checkpoint
     from ..tables import KMEANS_SWEEP
     daily = Z.cluster_features(V.measurements(spark, sf))
@@ -231,7 +236,7 @@ def q_evaluate_k(spark, sf):
                                "k int, inertia double, silhouette double, best boolean")
     every = Window.partitionBy(F.lit(0))  # seven rows
     return df.crossJoin(scaled.agg(F.count(F.lit(1)).alias("n_rows"))).select(
-        "k", "n_rows", F.col("silhouette").between(-1.0, 1.0).alias("silhouette_ok"),
+        "k", "n_rows",
         F.coalesce(F.col("inertia") <= F.lag("inertia").over(Window.orderBy("k")), F.lit(True)).alias("inertia_falls"),
         F.count_if("best").over(every).alias("n_best"),
         (F.max(F.when(F.col("best"), F.col("silhouette"))).over(every) >= F.max("silhouette").over(every)).alias("best_is_highest"))

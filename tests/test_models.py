@@ -21,6 +21,29 @@ def test_kmeans_zones(spark):
     assert assigned.filter(F.col("zone").isNull()).count() == 0
 
 
+def test_kmeans_is_a_fixed_point_with_a_good_inertia(spark):
+    """From the trained centres numpy's Lloyd does not move, and its own best of many starts is hardly better."""
+    import numpy as np
+
+    from pneuma.tables import CLUSTER_FEATURES
+    daily = Z.cluster_features(V.measurements(spark, SF))
+    zm = Z.train_zones_on(daily, restarts=4)
+    x = (daily.select(*CLUSTER_FEATURES).toPandas().to_numpy(float) - np.array(zm.mean)) / np.array(zm.scale)
+
+    def lloyd(c, steps):
+        for _ in range(steps):
+            near = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+        return c, float(((x[:, None, :] - c[None]) ** 2).sum(axis=2).min(axis=1).sum())
+
+    own = np.array(zm.centroids)
+    moved, inertia = lloyd(own, 1)
+    assert np.abs(moved - own).max() < 1e-2
+    rng = np.random.default_rng(0)
+    best = min(lloyd(x[rng.choice(len(x), 4, replace=False)], 60)[1] for _ in range(30))
+    assert inertia <= 1.05 * best and abs(inertia - zm.meta["inertia"]) < 1e-2 * inertia
+
+
 def test_silhouette_over_all_rows(spark):
     import numpy as np
 
