@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -128,3 +129,34 @@ def test_encode_decode(spark, make_docs, tik):
     assert bpe.encode_decode(make_docs([]), RANKS, P.PATTERN).count() == 0
     ids = {tuple(r.ids) for r in bpe.encode_ids(make_docs(ODD), RANKS, P.PATTERN).collect()}
     assert ids == {tuple(tik.encode_ordinary(t or "")) for _, t in ODD}
+
+
+def test_piece_table_against_a_dictionary():
+    """Pieces of every kind, few places, and tables that fill up and begin anew."""
+    import regex
+
+    from pneuma.llm import units
+    rng = random.Random(11)
+    made = []
+
+    def word(w):
+        made.append(w)
+        return b"".join(ord(c).to_bytes(4, "little") for c in w)
+
+    words = ["a", "", "ab", "ba", "é", "日本", "x.", "don't", "a" * 60, "\tb", "9"] + ["".join(rng.choices("abc", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 400))) for _ in range(60)] + ["", " ", "a  b", "\n c", "z" * 5000]
+    pattern = P.PATTERN
+    want = [b"".join(ord(c).to_bytes(4, "little") for w in regex.findall(pattern, t) for c in w) for t in texts]
+    for limit in (1, 50, 1_000_000):
+        enc = units.TextEncoder(pattern, word, max_pieces=limit, max_words=20)
+        for together in (1, 300, 1 << 19):
+            units.TOGETHER_CHARS, kept = together, units.TOGETHER_CHARS
+            try:
+                assert enc(texts) == want and enc(texts[::-1]) == want[::-1]
+            finally:
+                units.TOGETHER_CHARS = kept
+        if limit == 1_000_000:
+            plain = [" ".join(t.split()) for t in texts]
+            first = enc(plain)
+            seen = len(made)
+            assert enc(plain) == first and len(made) == seen  # all pieces are held
