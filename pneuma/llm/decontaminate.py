@@ -1,13 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items become words (lower case, letters and digits only). An item is cut into
-units of at least ``unit_words`` words; a unit of m words may differ from a passage by
+units of at least ``unit_words`` words, and once more into windows of ``unit_words`` words with a start every half window, so that
+an excerpt of one and a half windows holds a whole one wherever it is taken; a unit of m words may differ from a passage by
 k = floor(error_rate * m) word edits. It is split into k + 1 pieces, one of which must
 stand in the passage unchanged, so an Aho-Corasick scan for all pieces finds every
 possible place, and Myers' bit-parallel distance, on words, decides there. A unit found within
 its budget marks the document.
 
-Items with fewer than ``min_words`` words cannot identify a passage and are never matched.
+Items with fewer than ``exact_words`` words are found only word by word, without an edit; items without a word never.
 Null texts, null items and null ids: a null text has no words; an item with a null id
 is matched and reported with a null item_id. Repeated rows give the same result each.
 """
@@ -24,9 +25,10 @@ from .common import batches_by_bytes, checkpoint, ship
 
 ERROR_RATE = 0.15
 UNIT_WORDS = 25
-MIN_WORDS = 8
-#: Test items that are matched in one pass over the documents, in characters; more items take more passes.
-BLOCK_CHARS = 16_000_000
+EXACT_WORDS = 8
+#: Test items that are matched in one pass over the documents, in characters; more items take more passes. The automaton of a block
+#: takes about 60 bytes a character in every worker.
+BLOCK_CHARS = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -36,13 +38,14 @@ def normal(text: str | None) -> str:
     return f" {_OTHER.sub(' ', (text or '').lower()).strip()} "
 
 
-def units(words: list[str], unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS) -> list[list[str]]:
-    """An item's words cut evenly into units of ``unit_words`` words at least (one unit if there are fewer)."""
-    if len(words) < min_words:
-        return []
+def units(words: list[str], unit_words: int = UNIT_WORDS) -> list[list[str]]:
+    """An item's words cut evenly into units of ``unit_words`` words at least (one unit if there are fewer), then the windows."""
     n = max(1, len(words) // unit_words)
     edges = [len(words) * i // n for i in range(n + 1)]
-    return [words[a:b] for a, b in zip(edges, edges[1:])]
+    even = [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+    last = len(words) - unit_words
+    starts = sorted({*range(0, last + 1, max(1, unit_words // 2)), last}) if last > 0 else []
+    return [words[a:b] for a, b in dict.fromkeys([*even, *((a, a + unit_words) for a in starts)])]
 
 
 def myers(pattern: list[str], text: list[str]) -> list[int]:
@@ -73,13 +76,14 @@ class Matcher:
 
     _built: dict[str, "Matcher"] = {}
 
-    def __init__(self, items: list[tuple], error_rate: float, unit_words: int, min_words: int):
+    def __init__(self, items: list[tuple], error_rate: float, unit_words: int, exact_words: int):
         import ahocorasick
         self.units: list[tuple] = []  # (item number, words, budget)
         pieces: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text) in enumerate(items):
-            for unit in units(normal(text).split(), unit_words, min_words):
-                k = int(error_rate * len(unit))
+            words = normal(text).split()
+            for unit in units(words, unit_words):
+                k = int(error_rate * len(unit)) if len(words) >= exact_words else 0
                 u = len(self.units)
                 self.units.append((number, unit, k))
                 edges = [len(unit) * i // (k + 1) for i in range(k + 2)]
@@ -128,6 +132,33 @@ class Matcher:
         return out
 
 
+def places(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of units of one item that overlap in the text, the one of least distance (the longest of those, then the first)."""
+    out: list[tuple[int, int, int, int]] = []
+    end = {}
+    for number, distance, a, b in sorted(found, key=lambda x: (x[0], x[2], x[3])):
+        if number in end and a < end[number]:
+            if (distance, a - b) < (out[-1][1], out[-1][2] - out[-1][3]):
+                out[-1] = (number, distance, a, b)
+            end[number] = max(end[number], b)
+        else:
+            out.append((number, distance, a, b))
+            end[number] = b
+    return out
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where each of a text's words stands in it, also where lower-casing makes characters longer."""
+    low = text.lower()
+    spans = [x.span() for x in _WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    import numpy as np
+    ends = np.cumsum([len(c.lower()) for c in text])
+    at = lambda i: int(np.searchsorted(ends, i, side="right"))
+    return [(at(a), at(b - 1) + 1) for a, b in spans]
+
+
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple]]:
     block, held = [], 0
     for r in benchmark.select("item_id", "text").dropDuplicates().toLocalIterator():
@@ -154,14 +185,14 @@ def _send(spark, block: list[tuple]):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, unit_words: int = UNIT_WORDS,
-            min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+            exact_words: int = EXACT_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end, n_places) for each document and item with a unit found.
 
-    distance is the least of the units', start and end its place in the text in code points.
+    distance is the least of the units', start and end its place in the text in code points; units that overlap are one place.
     The test items are a query set that is sent out in blocks of bounded size, each in one pass.
     """
     ship(docs.sparkSession)
-    spark, options = docs.sparkSession, (error_rate, unit_words, min_words)
+    spark, options = docs.sparkSession, (error_rate, unit_words, exact_words)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     kind = dict(benchmark.dtypes)["item_id"]
 
@@ -172,12 +203,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
             for batch in batches_by_bytes(it, "text", 4 << 20):
                 rows = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = m.find(t)
+                    found = places(m.find(t))
                     if found:
-                        place = [x.span() for x in _WORD.finditer(t)] if len(t.lower()) == len(t) else None
-                        for number, distance, a, b in found:
-                            ok = place is not None and b <= len(place)
-                            rows.append((d, number, distance, place[a][0] if ok else None, place[b - 1][1] if ok else None))
+                        spans = word_spans(t)
+                        rows.extend((d, number, distance, spans[a][0], spans[b - 1][1]) for number, distance, a, b in found)
                 if rows:
                     cols = list(zip(*rows))
                     ids = pa.array([m.ids[i] for i in cols[1]])
@@ -202,10 +231,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
-                    unit_words: int = UNIT_WORDS, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                    unit_words: int = UNIT_WORDS, exact_words: int = EXACT_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no test item is found; a filter without a shuffle."""
     ship(docs.sparkSession)
-    options = (error_rate, unit_words, min_words)
+    options = (error_rate, unit_words, exact_words)
     place = docs.columns.index("text")
 
     def keep(df: DataFrame, sent) -> DataFrame:

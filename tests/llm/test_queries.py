@@ -56,7 +56,7 @@ def test_pipeline_against_brute_force(spark):
     left = [(d, t) for d, t in zip(docs.doc_id, docs.text) if judged[d]]
     group = brute_groups([brute_print(t) for _, t in left], simhash.MAX_BITS)
     left = [x for i, x in enumerate(left) if group[i] == i]
-    found = decontaminate.Matcher(bench, decontaminate.ERROR_RATE, decontaminate.UNIT_WORDS, decontaminate.MIN_WORDS)
+    found = decontaminate.Matcher(bench, decontaminate.ERROR_RATE, decontaminate.UNIT_WORDS, decontaminate.EXACT_WORDS)
     assert all(not any(decontaminate.normal(b).strip() in decontaminate.normal(t) for _, b in bench) or found.find(t) for _, t in left)
     left = [x for x in left if not found.find(x[1])]
     import tiktoken

@@ -259,15 +259,19 @@ def test_decontaminate(spark, make_docs):
 
     texts = [(0, noise(50)), (1, noise(9) + " " + items[0][1].upper().replace(" ", ", ") + " " + noise(9)), (2, edit(items[0][1], 4)),
              (3, edit(items[0][1], 20)), (4, items[1][1]), (5, items[3][1]), (6, noise(5) + " " + " ".join(items[2][1].split()[30:])),
-             (7, items[4][1] + "\n" + items[4][1]), (8, " ".join(vocab[:20])), (8, " ".join(vocab[:20])), (None, items[5][1])]
+             (7, items[4][1] + "\n" + items[4][1]), (8, " ".join(vocab[:20])), (8, " ".join(vocab[:20])), (None, items[5][1]),
+             (9, noise(9) + " " + " ".join(items[2][1].split()[11:48]) + " " + noise(9)),  # over the border of two even units
+             (10, edit(items[3][1], 1)), (11, "İİ, é " + items[0][1] + " İ")]
     docs = make_docs(texts + [(99, t) for _, t in ODD], extra=True)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for d, t in texts:
         words = decontaminate.normal(t).split()
         for i, x in items:
-            for unit in decontaminate.units(decontaminate.normal(x).split()):
-                if min(plain_distance(unit, words), default=99) <= int(decontaminate.ERROR_RATE * len(unit)):
+            own = decontaminate.normal(x).split()
+            for unit in decontaminate.units(own):
+                budget = int(decontaminate.ERROR_RATE * len(unit)) if len(own) >= 8 else 0
+                if min(plain_distance(unit, words), default=99) <= budget:
                     want.add((d, i))
     for block in (16_000_000, 40):
         got = decontaminate.matches(docs, bench, block_chars=block).collect()
@@ -278,14 +282,21 @@ def test_decontaminate(spark, make_docs):
     place = {(r.doc_id, r.item_id): (r.start, r.end) for r in got}
     a, b = place[1, 0]
     assert decontaminate.normal(texts[1][1][a:b]) == decontaminate.normal(items[0][1])
+    assert {(5, 3), (9, 2)} <= want and (10, 3) not in want
+    a, b = place[11, 0]  # lower-casing made the text longer
+    assert decontaminate.normal(texts[-1][1][a:b]) == decontaminate.normal(items[0][1])
+    assert {r.n_places for r in got if r.doc_id == 7 and r.item_id == 4} == {2}
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.matches(make_docs([]), bench).count() == 0
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
-@pytest.mark.parametrize("n", [1, 7, 8, 24, 25, 49, 50, 99])
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 24, 25, 26, 49, 50, 99])
 def test_units_cover_the_item(n):
     words = [str(i) for i in range(n)]
     parts = decontaminate.units(words)
-    assert [w for p in parts for w in p] == (words if n >= 8 else [])
+    even = max(1, n // 25)
+    assert [w for p in parts[:even] for w in p] == words
     assert all(len(p) >= min(n, 25) for p in parts)
+    for a in range(max(0, n - 36)):  # any excerpt of 37 words holds a whole unit
+        assert any(len(p) == 25 and a <= int(p[0]) and int(p[-1]) < a + 37 for p in parts)
