@@ -112,7 +112,7 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     """One row of each group, with all columns: that of the smallest doc_id (null is the largest).
 
     Decisions are made on (doc_id, hash of the text) alone; texts are shuffled once, by those keys, so no group
-    meets in one task. Of rows that repeat doc_id and text any one stays.
+    meets in one task. Of rows that repeat doc_id and text the one with the least hash of all its columns stays.
     """
     found = checkpoint(near_duplicates(docs, shingle_words, max_bits).select("doc_id", "tag", "component"))
     kept = (found.groupBy("component")
@@ -123,7 +123,7 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     out = row.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_id"))
                    & (F.col("tag") == F.col("k_tag")), "left_semi")
     if found.groupBy("doc_id", "tag").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("doc_id", "tag").orderBy(F.lit(0))
+        first = Window.partitionBy("doc_id", "tag").orderBy(F.xxhash64(F.to_json("row")))
         out = out.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return out.select("row.*")
 

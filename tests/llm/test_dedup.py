@@ -153,3 +153,16 @@ def test_components(spark, edges):
         if a != b:
             parent[max(top(a), top(b))] = min(top(a), top(b))
     assert got == {x: top(x) for x in parent}
+
+
+def test_keep_one_of_rows_that_repeat_id_and_text(spark):
+    """Whatever the order of the rows, the same one of them stays."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", s, i) for i, s in enumerate("abcdefg")] + [(2, "other words here", "en", "z", 1), (2, "other words here", "en", "z", 1)]
+    kept = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = sorted(tuple(r) for r in simhash.keep_one(docs).collect())
+        assert [r[0] for r in got] == [1, 2]
+        kept.add(tuple(got))
+    assert len(kept) == 1
