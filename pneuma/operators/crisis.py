@@ -71,7 +71,8 @@ def training_set(spark, source: str, stations: DataFrame | None = None, health:
                                        *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) if f in x.columns
                                          else F.lit(0.0).alias(f) for f in FEATURE_NAMES], "symptom_label"))
     if source in ("health", "kaggle") and health is not None:
-        h = L.health_align(health, pathologie, block_rows=block_rows)
+        from ..session import stored  # the numbering of each series reads its input three times
+        h = stored(L.health_align(stored(health, "health"), pathologie, block_rows=block_rows), "aligned")
         feats = FT.features_batch(h, keep=("event_id",), group="station", block_rows=block_rows)
         return FT.finite_mask(feats)
     if stations is None:
@@ -85,6 +86,39 @@ def training_set(spark, source: str, stations: DataFrame | None = None, health:
     return FT.finite_mask(FT.features_batch(x, keep=("event_id",), block_rows=block_rows))
 
 
+def training_set_by_path(spark, source: str = "health", raw_dir: str | None = None, processed: str | None = None,
+                         labeled: str | None = None, pathologie: str = "general") -> tuple[DataFrame, str]:
+    """H9 with the fallback by what the paths hold: the training rows and the source that was used.
+
+    'labeled' falls back to 'health', and that to 'synthetic': the labeled table with a row, the first health file below
+    ``raw_dir`` (in the order of its lines), the processed station table. None of them is an error.
+    """
+    from ..session import stored
+    from ..sources import files as FS
+    from .clean import health_pipeline
+    from .labeled import LabeledTable
+    chain = ["labeled", "health", "synthetic"]
+    for s in chain[chain.index("health" if source == "kaggle" else source):]:
+        if s == "labeled" and labeled:
+            rows = LabeledTable(spark, labeled).load()
+            if not rows.isEmpty():
+                return training_set(spark, "labeled", labeled=rows), s
+        if s == "health" and raw_dir:
+            found = FS.discover_health_csv(spark, raw_dir)
+            if found:
+                h = stored(FS.load_health_csv(spark, found[0]).withColumn("event_id", F.monotonically_increasing_id()), "health")
+                return training_set(spark, "health", health=health_pipeline(h), pathologie=pathologie), s
+        if s == "synthetic" and processed:
+            try:
+                rows = FS.load_processed(spark, processed)
+            except FileNotFoundError:
+                continue
+            if "event_id" not in rows.columns:
+                rows = stored(rows.withColumn("event_id", F.monotonically_increasing_id()), "stations")
+            return training_set(spark, "synthetic", stations=rows, pathologie=pathologie), s
+    raise FileNotFoundError(f"no input for a training set: {source} (labeled: {labeled}, raw: {raw_dir}, processed: {processed})")
+
+
 def _assemble(df: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=FEATURE_NAMES, outputCol="features", handleInvalid="error").transform(df)

@@ -9,9 +9,6 @@ from . import pipelines as P
 from . import sqlfrag as Q
 from .catalog import register
 
-# Block sizes used by the registered queries: small enough that series cross
-# block borders at test scale, so the halo and carry paths are always exercised.
-
 
 def rh_sql(t="temperature", td="dewpoint"):
     a, b = "17.625E0", "243.04E0"
@@ -120,7 +117,7 @@ WHERE {' AND '.join(f'{c} IS NOT NULL' for c in STATION_FEATURES)} AND {limits_s
 
 @register("preprocess", PREPROCESS_SQL)
 def q_preprocess(spark, sf):
-    # default plan: the day buckets of the row numbering are the interpolation blocks
+    # the day buckets of the row numbering are the interpolation blocks
     return P.preprocess(V.stations_raw(spark, sf))
 
 
@@ -174,16 +171,15 @@ def q_interp_global(spark, sf):
     return C.interpolate_global(V.health_raw(spark, sf), "event_id", 5)
 
 
-HEALTH_PIPE_SQL = V.with_views(f"""
+HEALTH_PIPE_BODY = f"""
 SELECT * FROM {interp_sql(f'''(SELECT event_id, pm25, co, temperature, humidity, aqi, population_density,
                                       {CAL_SQL}, {LABEL_SQL} FROM health_raw)''',
                           ["event_id", "month", "day_of_week", "symptom_label"], HEALTH_DOUBLES, "", "event_id", 5)} t
-WHERE {' AND '.join(f'{c} IS NOT NULL' for c in HEALTH_DOUBLES)} AND {limits_sql(HEALTH_LIMITS)}""",
-                               "health_raw")
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in HEALTH_DOUBLES)} AND {limits_sql(HEALTH_LIMITS)}"""
+HEALTH_PIPE_SQL = V.with_views(HEALTH_PIPE_BODY, "health_raw")
 
 
 @register("health_pipeline", HEALTH_PIPE_SQL)
 def q_health_pipeline(spark, sf):
-    # default plan (numbering buckets as blocks); narrow buckets so that gaps cross bucket borders
     return C.health_pipeline(V.health_source(spark, sf))
 

@@ -53,6 +53,31 @@ from . import catalog as _cat  # noqa: E402
 _cat.ORACLE["training_set"] = TRAINING_SQL
 
 
+from .q_clean import HEALTH_PIPE_BODY  # noqa: E402
+
+
+@register("training_set_health", V.with_views(f"""
+SELECT event_id, symptom_label, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURE_NAMES)} FROM (
+  SELECT h.*, {Q.zone_risk('zone')} AS zone_risk_score, {cyc_sql('hour(datetime)', 'month(datetime)')}, {roll_sql(ORDER)},
+         {AGE_SQL} AS age, 4 AS pathologie_encoded, {SMOKER_SQL} AS is_smoker,
+         CAST(COALESCE(lag(symptom_label) OVER (ORDER BY event_id), 0) AS INTEGER) AS symptom_yesterday
+  FROM (SELECT *, {Q.zone_from_ier('ier_score')} AS zone, 'kaggle_global' AS station, make_timestamp(2020, month, 15, 0, 0, 0.0) AS datetime
+        FROM (SELECT *, {Q.score()} AS ier_score FROM ({HEALTH_PIPE_BODY}) p) a) h) t
+WHERE {' AND '.join(_finite_sql(f) for f in FEATURE_NAMES)}""", "health_raw"))
+def q_training_set_health(spark, sf):
+    """H9 from the health data: cleaned (P2), aligned (C20), 20 features and its label."""
+    from ..operators import clean as C
+    return CR.training_set(spark, "health", health=C.health_pipeline(V.health_source(spark, sf)))
+
+
+@register("training_set_labeled", V.with_views(f"""
+SELECT user_id, event_id, symptom_label, {', '.join("CAST(COALESCE(pm25, 0.0E0) AS DOUBLE) AS pm25" if f == "pm25" else f"0.0E0 AS {f}" for f in FEATURE_NAMES)}
+FROM labeled_entries WHERE pm25 IS NULL OR {_finite_sql('pm25')}""", "labeled_entries"))
+def q_training_set_labeled(spark, sf):
+    """H9 from stored survey rows: the features as stored, absent ones 0."""
+    return CR.training_set(spark, "labeled", labeled=V.labeled_entries(spark, sf))
+
+
 def _over_training(select: str) -> str:
     """SQL over the training rows (CTE ``train``)."""
     return V.with_views(f"WITH train AS ({TRAINING_BODY})\n{select}", "measurements", "labeled_entries")

@@ -220,3 +220,25 @@ def test_registry_publishes_what_the_next_decision_reads(spark, tmp_dir):
     x = rows.drop("symptom_label").withColumns({f: F.lit(0.0) for f in FEATURE_NAMES if f not in ("pm25", "co", "ier_score")})
     out = reg.score(x.withColumn("ier_score", F.lit(10.0)))
     assert {(r.user_id, r.model_used) for r in out.collect()} == {(1, "rf_user_1"), (2, "rf_user_2"), (3, "heuristic_fallback")}
+
+
+def test_training_set_falls_back_by_path(spark, tmp_dir):
+    import os
+
+    from pneuma.operators.labeled import LabeledTable
+    from pneuma.sources import files as FS
+    sf = "/root/testdata/sf0.001"
+    raw, done, lab = (os.path.join(tmp_dir, x) for x in ("raw", "processed", "labeled"))
+    os.makedirs(raw)
+    with pytest.raises(FileNotFoundError):
+        CR.training_set_by_path(spark, "labeled", raw, done, lab)
+    FS.save_processed(V.measurements(spark, sf).drop("user_id"), done)
+    rows, used = CR.training_set_by_path(spark, "labeled", raw, done, lab)
+    assert used == "synthetic" and rows.count() == 1000
+    V.health_source(spark, sf).drop("event_id").toPandas().to_csv(os.path.join(raw, "Air_Quality_x.csv"), index=False)
+    rows, used = CR.training_set_by_path(spark, "labeled", raw, done, lab)
+    assert used == "health" and 0 < rows.count() <= 1000
+    LabeledTable(spark, lab).append(V.labeled_entries(spark, sf))
+    rows, used = CR.training_set_by_path(spark, "labeled", raw, done, lab)
+    assert used == "labeled" and rows.count() == 1000
+    assert CR.training_set_by_path(spark, "kaggle", raw, done, lab)[1] == "health"
