@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, ship
+from .units import Hasher
 
 MAX_WORDS = 5
 THRESHOLD = 100
@@ -65,12 +66,21 @@ def cut(data: bytes, limit: int) -> Iterator[bytes]:
     yield data[begin:]
 
 
-def word_hashes(words: list[bytes], lang: str):
+_HASHER = Hasher(5)
+
+
+def word_hashes(words, lang: str):
+    """A 64-bit hash of every word of an Arrow array of bytes, different for each language."""
+    import zlib
+
     import numpy as np
-    import xxhash
-    seed = xxhash.xxh32_intdigest(lang.encode())
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w, seed) for w in words), np.uint64, len(words))
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    first = offsets[0] if len(offsets) else 0
+    data = np.frombuffer(data, np.uint8)[first:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    h = _HASHER(data, offsets[:-1] - first, offsets[1:] - first) + np.uint64(zlib.crc32(lang.encode()))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
 def longer(before, word):
@@ -107,7 +117,7 @@ class Chunk:
         self.names, self.code = named.dictionary, named.indices.to_numpy().astype(np.int64)
         self.carry, self.counters, self.now, self.old = carry, counters, now, old
         self.breaks = pc.equal(self.names, _BREAK).to_numpy(zero_copy_only=False)
-        self.hashes = word_hashes(self.names.to_pylist(), lang)
+        self.hashes = word_hashes(self.names, lang)
         self.at = places(self.hashes, counters)
 
     def word_counts(self):

@@ -126,18 +126,18 @@ def _room(a, size: int):
     return out
 
 
-class _Hasher:
-    """Two 64-bit hashes of every piece of a buffer at once: sums of random values per byte, weighted by its place in the piece."""
+class Hasher:
+    """A 64-bit hash of every piece of a buffer at once: sums of random values per byte, weighted by its place in the piece."""
 
     def __init__(self, seed: int):
-        import numpy as np
-        rng = np.random.default_rng(seed)
-        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        self.base = int(rng.integers(1 << 60, 1 << 62)) * 4 + 3
-        self.up = self.down = np.ones(1, np.uint64)
+        self.seed, self.up, self.down = seed, (), ()
 
     def __call__(self, data, begin, end):
         import numpy as np
+        if not len(self.up):
+            rng = np.random.default_rng(self.seed)
+            self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+            self.base = int(rng.integers(1 << 60, 1 << 62)) * 4 + 3
         if len(self.up) < len(data) + 1:
             n = len(data) + 1
             self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)])
@@ -158,7 +158,7 @@ class TextEncoder:
         self.encode_word = encode_word
         self.words = RecentCache(encode_word, max_words)
         self.pieces = PieceTable(max_pieces)
-        self.hashers = _Hasher(1), _Hasher(2)
+        self.hashers = Hasher(1), Hasher(2)
 
     def _piece(self, piece: str, led: str) -> bytes:
         """Plain words, with or without one end mark, need no regex."""
