@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, ship
@@ -326,12 +326,12 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD, shards: int =
     import numpy as np
     spark = docs.sparkSession
     ship(spark)
-    path, volume = shared_path(spark, "collocation-shards"), Observation()
+    path = shared_path(spark, "collocation-shards")
     (docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), docs["text"]).where("text is not null and text != ''")
-     .observe(volume, F.sum(F.octet_length("text")).alias("bytes"))
      .withColumn("shard", F.monotonically_increasing_id() % shards).write.partitionBy("shard").parquet(path))
     texts = spark.read.schema("lang string, text string, shard int").parquet(path)
-    counters = min(counters, max(LEAST_COUNTERS, 1 << ((volume.get["bytes"] or 0) // 64).bit_length()))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = min(counters, max(LEAST_COUNTERS, 1 << (size // 64).bit_length()))
     maps: list = [None]  # after no scan, after scan 0, ...; the same object where no counter came in
     bits, table, step = np.zeros(counters // 8, np.uint8), None, 0
     while step < shards or maps[step] is not maps[max(step - shards, 0)]:
