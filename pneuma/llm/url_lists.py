@@ -55,7 +55,10 @@ def _parents(host: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """Captures (page_id, url, day) with host, verdict, kind, pattern, entry_id, valid_from, valid_to."""
+    """Captures (page_id, url, day) with host, verdict, kind, pattern, entry_id, valid_from, valid_to.
+
+    A prefix entry is a host with its first path segment; one with more segments holds for no capture.
+    """
     cap = captures.select("page_id", "url", "day", host_of(F.col("url")).alias("host"),
                           segment_of(F.col("url")).alias("segment"))
     keys = cap.where("day is not null and host <> ''").select("host", "segment", "day").distinct()
