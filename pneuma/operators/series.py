@@ -30,6 +30,8 @@ from ..session import stored
 DEFAULT_BLOCK_ROWS = 1 << 20
 #: One order key in so many becomes a cut between buckets.
 SPLIT_ROWS = 1 << 18
+#: Rows of a coarse bucket meet its cuts in so many join keys.
+_SALTS = 16
 #: Buckets that one running sum of the first level covers, where buckets are numbers.
 _LEVEL = 1024
 
@@ -72,17 +74,18 @@ def _bucketed(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Co
     """``df`` with the series ``_gk``, the level ``_lv`` and the bucket ``_bk``: runs of the order.
 
     Cuts are the order keys whose hash falls into one of ``split_rows`` classes; equal keys share
-    their side, so only rows equal in the whole order cannot be told apart. The table of cuts has one row per
-    coarse bucket that has any.
+    their side, so only rows equal in the whole order cannot be told apart. The table of cuts has ``_SALTS`` rows per
+    coarse bucket that has any: rows meet it by a salt as well, so a dense bucket is not one join key.
     """
     b = df.withColumns({"_gk": _gk(group_cols), "_b0": F.struct(bucket.isNull().alias("n"), bucket.alias("v")),
                         "_lv": F.lit(0) if level is None else level, "_ok": _order_key(order_cols)})
     cuts = (b.where(F.pmod(F.xxhash64("_ok"), F.lit(split_rows or SPLIT_ROWS)) == 0).groupBy("_gk", "_b0")
-            .agg(F.sort_array(F.collect_set("_ok")).alias("_cuts")))
+            .agg(F.sort_array(F.collect_set("_ok")).alias("_cuts"))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))))
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_ok"))), F.lit(0))
-    j = b.join(cuts, ["_gk", "_b0"], "left")
+    j = b.withColumn("_salt", F.pmod(F.hash("_ok"), F.lit(_SALTS))).join(cuts, ["_gk", "_b0", "_salt"], "left")
     return j.withColumn("_bk", F.struct("_b0", F.when(F.col("_cuts").isNull(), 0).otherwise(part).alias("part"))).drop(
-        "_b0", "_ok", "_cuts")
+        "_b0", "_ok", "_cuts", "_salt")
 
 
 def _offsets(b: DataFrame, amount: Column | None = None) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import profile as PR
 from ..operators import scoring as S
 from ..operators import series, stored
-from ..tables import DEFAULT_BOUNDS, IER_FEATURES, RISK_LEVELS, STATION_FEATURES, ZONE_INFO
+from ..tables import DEFAULT_BOUNDS, IER_FEATURES, STATION_FEATURES
 
 
 def preprocess(raw: DataFrame, block_rows: int | None = None,
@@ -79,10 +79,12 @@ def bounds_row(bounds: DataFrame) -> DataFrame:
 
 def run_batch_whole(df: DataFrame, path: str, pathologie: str = "general", bounds: DataFrame | None = None,
                     zone_model=None) -> tuple[DataFrame, DataFrame]:
-    """P3 whole: score with the learned bounds (A9, attached as a one-row table), store (A12), summarise (D15) in the same pass.
+    """P3 whole: score with the learned bounds (A9, attached as a one-row table), store (A12), summarise (D15) what is stored.
 
-    Returns the stored rows of the pathologie and the summary. A feature without learned bounds has the default ones. The
-    summary's counts are observed while the rows are written, so the readings are read once.
+    Returns the stored rows of the pathologie and the stored summary. A feature without learned bounds has the default ones. The
+    readings are read once; the summary reads the two columns that it counts from the stored rows. (``DataFrame.observe`` would spare
+    that, but in Spark 4.1 a session in which something was observed can no longer fit or apply a forest: its observations
+    are taken along to tasks and cannot be sent.)
     """
     spark = df.sparkSession
     x, by = df, None
@@ -92,15 +94,10 @@ def run_batch_whole(df: DataFrame, path: str, pathologie: str = "general", bound
               for f in IER_FEATURES}
     out = run_batch(x, pathologie, by, zone_model)
     out = out.drop(*[c for c in out.columns if c.startswith(("_lo_", "_hi_"))]).withColumn("pathologie", F.lit(pathologie))
-    values = [("ier_level", r[2]) for r in RISK_LEVELS] + [("ier_level", None)] + [("zone", r[0]) for r in ZONE_INFO] + [("zone", None)]
-    seen = Observation()
-    counts = [F.count_if(F.col(d).isNull() if v is None else F.col(d) == v).alias(f"c{i}") for i, (d, v) in enumerate(values)]
-    write_batch(out.observe(seen, F.count(F.lit(1)).alias("n"), *counts), path)
-    got = seen.get
-    rows = [(d, v, got[f"c{i}"], got["n"]) for i, (d, v) in enumerate(values) if got[f"c{i}"]]
-    summary = spark.createDataFrame(rows, "dimension string, value string, count long, total_rows long")
-    stored_rows = spark.read.schema(out.schema).parquet(path).where(F.col("pathologie") == pathologie)
-    return stored_rows, summary
+    write_batch(out, path)
+    rows = spark.read.schema(out.schema).parquet(path).where(F.col("pathologie") == pathologie)
+    PR.batch_summary(rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}-summary/pathologie={pathologie}")
+    return rows, spark.read.parquet(f"{path.rstrip('/')}-summary/pathologie={pathologie}")
 
 
 def write_batch(df: DataFrame, path: str) -> None:

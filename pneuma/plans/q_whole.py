@@ -77,7 +77,7 @@ SELECT dimension, value, count(*) AS count, (SELECT count(*) FROM l) AS total_ro
 FROM (SELECT 'ier_level' AS dimension, ier_level AS value FROM l UNION ALL SELECT 'zone', zone FROM l) t GROUP BY dimension, value""",
                                             "measurements"))
 def q_batch_run_summary(spark, sf):
-    """P3 whole: the summary (D15) observed while the rows are stored."""
+    """P3 whole: the summary (D15) of what was stored."""
     return _batch(spark, sf)[1]
 
 
