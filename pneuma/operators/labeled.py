@@ -26,8 +26,8 @@ class LabeledTable:
     def _write(self, rows: DataFrame) -> tuple[str, int]:
         """A folder of rows and its counts; its name and the number of rows."""
         name = uuid.uuid4().hex
-        rows.withColumn("_bucket", user_bucket(F.col(self.user_col))).write.partitionBy("_bucket").parquet(f"{self.path}/rows/{name}")
-        stored = self.spark.read.parquet(f"{self.path}/rows/{name}") if rows.columns else rows
+        rows.withColumn("_bucket", user_bucket(F.col(self.user_col))).write.partitionBy("_bucket").parquet(f"{self.path}/rows/_folder={name}")
+        stored = self.spark.read.parquet(f"{self.path}/rows/_folder={name}")
         counts = stored.groupBy(self.user_col).agg(F.count(F.lit(1)).alias("n_samples"))
         counts.write.parquet(f"{self.path}/counts/{name}")
         n = self.spark.read.parquet(f"{self.path}/counts/{name}").agg(F.sum("n_samples")).first()[0] or 0
@@ -74,32 +74,23 @@ class LabeledTable:
         return self.manifest.publish(change)
 
     def _read(self, folders: list[dict]) -> DataFrame:
-        from pyspark.sql.types import StructType
         import json
+
+        from pyspark.sql.types import StructType
         if not folders:
             return self.spark.createDataFrame([], LABELED_SCHEMA)
         schema = StructType.fromJson(json.loads(folders[-1]["schema"]))
-        paths = [f"{self.path}/rows/{f['folder']}" for f in folders]
-        # each folder is the root of its buckets, so that one user's bucket is all that is read
-        out = self.spark.read.schema(schema).parquet(f"{paths[0]}")
-        for p in paths[1:]:
-            out = out.unionByName(self.spark.read.schema(schema).parquet(p))
-        return out
+        # one read of all folders; user bucket and folder are partitions, so a filter on them reads no other files
+        return (self.spark.read.schema(schema).option("basePath", f"{self.path}/rows")
+                .parquet(*[f"{self.path}/rows/_folder={f['folder']}" for f in folders]).drop("_folder"))
 
     def load(self, user_id=None, version: int | None = None) -> DataFrame:
         """Rows of a snapshot (the current one by default), of one user or all; NaN and infinities are NULL."""
         folders = self.manifest.read(version) or []
-        if user_id is not None:
-            bucket = self.spark.range(1).select(user_bucket(F.lit(user_id))).first()[0]
-            folders = [f for f in folders if self._has(f["folder"], bucket)]
         rows = self._read(folders)
-        rows = rows.drop("_bucket")
-        return finite_columns(rows if user_id is None else rows.where(F.col(self.user_col) == F.lit(user_id)))
-
-    def _has(self, folder: str, bucket: int) -> bool:
-        sc = self.spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows/{folder}/_bucket={bucket}")
-        return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+        if user_id is not None and "_bucket" in rows.columns:
+            rows = rows.where((F.col("_bucket") == user_bucket(F.lit(user_id))) & (F.col(self.user_col) == F.lit(user_id)))
+        return finite_columns(rows.drop("_bucket"))
 
     def user_sample_count(self, version: int | None = None) -> DataFrame:
         """D8 of a snapshot from the counts of its folders; the rows are not read."""
@@ -119,7 +110,7 @@ class LabeledTable:
             top = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
             fs = top.getFileSystem(sc._jsc.hadoopConfiguration())
             for s in (fs.listStatus(top) if fs.exists(top) else []):
-                if s.getPath().getName() not in named:
+                if s.getPath().getName().removeprefix("_folder=") not in named:
                     fs.delete(s.getPath(), True)
                     gone += what == "rows"
         return gone

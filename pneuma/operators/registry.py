@@ -30,10 +30,11 @@ class ModelRegistry:
 
     def _rows(self, what: str, schema: str, version: int | None) -> DataFrame:
         names = self.versions.read(version) or []
-        out = self.spark.createDataFrame([], f"{schema}, _seq int")
-        for i, n in enumerate(names):
-            out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{what}/{n}").withColumn("_seq", F.lit(i)))
-        return out
+        if not names:
+            return self.spark.createDataFrame([], f"{schema}, _seq int")
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.path}/{what}/{n}" for n in names])
+        name = F.regexp_extract("_metadata.file_path", f"/{what}/([0-9a-f]+)/", 1)
+        return rows.withColumn("_seq", F.array_position(F.array(*[F.lit(n) for n in names]), name).cast("int"))
 
     def _newest(self, version: int | None) -> DataFrame:
         """model_name and the publication that holds."""
