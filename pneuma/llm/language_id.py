@@ -26,7 +26,7 @@ from .common import batches_by_bytes, checkpoint, materialize, ship
 
 ORDER = 4
 #: Text of one batch of documents whose distinct grams are looked up together, shared out over the languages beyond four.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 16 << 20
 #: Text that a task takes up at once, and grams (8 bytes each) that it gathers before it names the distinct ones of each batch.
 PIECE_BYTES, ASKED_AT_ONCE = 2 << 20, 1 << 20
 #: Characters of a text whose grams are made at once.
@@ -107,7 +107,7 @@ def count_grams(learn: DataFrame) -> DataFrame:
                 for g in gram_parts(t):
                     held.setdefault(lang, []).append(g)
                     size += len(g)
-                    if size > 2 * ASKED_AT_ONCE:
+                    if size > ASKED_AT_ONCE:
                         yield from (counted(x, parts) for x, parts in held.items())
                         held, size = {}, 0
         yield from (counted(x, parts) for x, parts in held.items())
