@@ -72,8 +72,7 @@ def pack_blocks(ids, block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE)
             if w == 0:
                 continue
             which = np.nonzero(width == w)[0]
-            bits = ((kept[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            for r, row in zip(which, np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")):
+            for r, row in zip(which, _pack(kept[which], int(w))):
                 packed[r] = row.tobytes()
         for r in range(rows):
             pos = np.nonzero(over[r])[0]
@@ -86,6 +85,41 @@ def pack_blocks(ids, block_ids: int = BLOCK_IDS, percentile: float = PERCENTILE)
     return b"".join(body), starts
 
 
+def _pack(values, width: int):
+    """Rows of numbers packed at ``width`` bits each, lowest bit first: 64 numbers make ``width`` 64-bit words."""
+    import numpy as np
+    rows, n = values.shape
+    groups = -(-n // 64)
+    v = np.zeros((rows, groups * 64), np.uint64)
+    v[:, :n] = values
+    v = v.reshape(rows, groups, 64)
+    words = np.zeros((rows, groups, width + 1), np.uint64)
+    for j in range(64):
+        at, shift = divmod(j * width, 64)
+        words[:, :, at] |= v[:, :, j] << np.uint64(shift)
+        if shift + width > 64:
+            words[:, :, at + 1] |= v[:, :, j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words[:, :, :width]).reshape(rows, -1).astype("<u8").view(np.uint8)[:, :(n * width + 7) // 8]
+
+
+def _unpack(raw, width: int, n: int):
+    """The ``n`` numbers of every row of ``_pack``."""
+    import numpy as np
+    rows, groups = len(raw), -(-n // 64)
+    data = np.zeros((rows, groups * width * 8), np.uint8)
+    data[:, :raw.shape[1]] = raw
+    words = data.view("<u8").reshape(rows, groups, width)
+    out = np.empty((rows, groups, 64), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        at, shift = divmod(j * width, 64)
+        value = words[:, :, at] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[:, :, at + 1] << np.uint64(64 - shift)
+        out[:, :, j] = value & mask
+    return out.reshape(rows, -1)[:, :n]
+
+
 def unpack_blocks(body, starts, n: int, block_ids: int = BLOCK_IDS, first: int = 0, last: int | None = None):
     """Ids of the blocks from ``first`` up to ``last`` (all by default), cut at ``n`` ids."""
     import numpy as np
@@ -110,12 +144,7 @@ def unpack_blocks(body, starts, n: int, block_ids: int = BLOCK_IDS, first: int =
         for c0 in range(0, len(which), 256):
             some = which[c0:c0 + 256]
             raw = np.stack([np.frombuffer(body, np.uint8, size, int(starts[first + i]) + _BLOCK.size) for i in some])
-            bits = np.unpackbits(raw, axis=1, count=block_ids * int(w), bitorder="little").reshape(
-                len(some), block_ids, int(w))
-            value = np.zeros((len(some), block_ids), dtype=np.uint32)
-            for b in range(int(w)):
-                value |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-            out[some] = value
+            out[some] = _unpack(raw, int(w), block_ids)
     for i, at, count in wrong:
         pos = np.frombuffer(body, "<u2", count, at)
         out[i, pos] = np.frombuffer(body, "<u4", count, at + 2 * count)
