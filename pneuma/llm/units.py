@@ -18,7 +18,7 @@ _SIMPLE_END = frozenset(".,;:!?")
 #: Longest piece that stays in a cache, in characters.
 CACHED_CHARS = 48
 #: Text whose distinct pieces are looked up together.
-TOGETHER_CHARS = 1 << 19
+TOGETHER_CHARS = 1 << 18
 
 
 class RecentCache(dict):
@@ -61,13 +61,17 @@ class PieceTable:
         self.clear()
 
     def full(self, more: int) -> bool:
-        return self.count + more > self.limit or self.used > 16 * self.limit
+        return self.count + more > self.limit or self.used > 7 * self.limit
 
-    def clear(self, size: int = 1 << 16) -> None:
+    def clear(self) -> None:
+        """Start anew, in the same arrays: they are made once at their full size, so that a worker's memory does not creep."""
         import numpy as np
-        self.h, self.g = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-        self.entry = np.zeros(size, np.int32)
-        self.first, self.n, self.ids, self.count, self.used = np.zeros(size // 2, np.int64), np.zeros(size // 2, np.int64), np.zeros(size, np.uint32), 0, 0
+        size = 1 << max(10, (2 * self.limit - 1).bit_length())
+        if getattr(self, "h", None) is None or len(self.h) != size:
+            self.h, self.g, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self.first, self.n, self.ids = np.zeros(size // 2, np.int64), np.zeros(size // 2, np.int32), np.zeros(4 * size, np.uint32)
+        self.h[:] = 0
+        self.count, self.used = 0, 0
 
     def find(self, h, g):
         """Entry of every piece, -1 where it is not held."""
@@ -152,7 +156,7 @@ class Hasher:
 class TextEncoder:
     """Ids of whole texts from ``encode_word(pre-token) -> uint32 ids as bytes``."""
 
-    def __init__(self, pattern: str, encode_word, max_pieces: int = 2_000_000, max_words: int = 150_000):
+    def __init__(self, pattern: str, encode_word, max_pieces: int = 1_000_000, max_words: int = 60_000):
         import regex
         self.pattern = regex.compile(pattern)
         self.encode_word = encode_word
@@ -217,7 +221,7 @@ class TextEncoder:
             self.pieces.add(h[new], g[new], [self._piece(p, p if x else " " + p) for p, x in
                                              zip(pieces.take(pa.array(new)).to_pylist(), head[new].tolist())])
             entry[absent] = self.pieces.find(h[absent], g[absent])
-        n = self.pieces.n[entry]
+        n = self.pieces.n[entry].astype(np.int64)
         ends = np.cumsum(n)
         ids = self.pieces.ids[np.repeat(self.pieces.first[entry] - (ends - n), n) + np.arange(ends[-1])]
         ends = np.r_[0, ends][rows]
