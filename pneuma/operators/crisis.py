@@ -311,7 +311,7 @@ def retrain_user(labeled_user: DataFrame, global_rows: DataFrame | None, user_id
 
 
 #: Users whose forests are fitted at the same time.
-FITS_AT_ONCE = 2
+FITS_AT_ONCE = 4
 
 
 def retrain_all(labeled: DataFrame, models: DataFrame, global_rows: DataFrame | None = None, force: bool = False,

@@ -266,13 +266,17 @@ def _with_due(select: str) -> str:
     return V.with_views(f"WITH train AS ({TRAINING_BODY}){_DUE_SQL}\n{select}", "measurements", "labeled_entries")
 
 
+#: Trees of each user's forest in the query below, which fits one forest per due user.
+RETRAIN_TREES = 10
+
+
 @register("retrain_all", _with_due(f"""
 SELECT user_id::VARCHAR AS user_id, 'rf_user_' || user_id AS model_name, n AS n_user_samples,
-       n + least(greatest(50, floor(0.3E0 * n)::BIGINT), (SELECT count(*) FROM train)) AS n_samples, {RF_TREES} AS n_trees FROM due"""))
+       n + least(greatest(50, floor(0.3E0 * n)::BIGINT), (SELECT count(*) FROM train)) AS n_samples, {RETRAIN_TREES} AS n_trees FROM due"""))
 def q_retrain_all(spark, sf):
     """Decisions for all users, then the due users' forests: who was trained, on how many rows, with how many trees."""
     from .q_labels import models_table
     own, feats = _own_rows(spark, sf)
-    _, meta, nodes = CR.retrain_all(own, models_table(spark, sf), feats)
+    _, meta, nodes = CR.retrain_all(own, models_table(spark, sf), feats, num_trees=RETRAIN_TREES)
     grown = nodes.groupBy("model_name").agg(F.countDistinct("tree").cast("int").alias("n_trees"))
     return meta.drop("n_trees").join(grown, "model_name").select("user_id", "model_name", "n_user_samples", "n_samples", "n_trees")
