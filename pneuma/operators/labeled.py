@@ -18,6 +18,19 @@ from ..tables import LABELED_SCHEMA
 from .retrain import labeled_projection, user_bucket
 
 
+#: Rows that a task of a compaction sorts and writes.
+TASK_ROWS = 1 << 18
+
+
+def _tasks(rows: DataFrame, n: int, user_col: str, task_rows: int) -> DataFrame:
+    """``rows`` (``n`` of them) in tasks of about ``task_rows``: by the user's bucket and, where one task is not enough, by a
+    salt of the row, so neither many rows nor one user's many rows are one task; eight tasks share a salt."""
+    tasks = max(1, -(-n // task_rows))
+    salts = -(-tasks // 8)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts))
+    return rows.repartition(tasks, user_bucket(F.col(user_col)), *([salt] if salts > 1 else []))
+
+
 class LabeledTable:
     def __init__(self, spark: SparkSession, path: str, user_col: str = "user_id"):
         self.spark, self.path, self.user_col = spark, path.rstrip("/"), user_col
@@ -51,18 +64,17 @@ class LabeledTable:
             return [f for f in old if f["batches"] != [batch]] + [{"folder": name, "rows": n, "batches": [batch], "schema": rows.schema.json()}]
         return self.manifest.publish(change)
 
-    def compact(self, target_rows: int = 1 << 22, keep_last: int = 1) -> int | None:
+    def compact(self, target_rows: int = 1 << 22, keep_last: int = 1, task_rows: int = TASK_ROWS) -> int | None:
         """Join the small folders, but for the last ones that a stream may still retry, into one of at least fewer files.
 
-        Folders of ``target_rows`` or more stay. Returns the new snapshot's number, None if there is nothing to join.
+        Folders of ``target_rows`` or more stay. A task writes about ``task_rows`` rows. Returns the new snapshot's number, None if there is nothing to join.
         """
         now = self.manifest.read() or []
         small = [f for f in now[:len(now) - keep_last] if f["rows"] < target_rows]
         if len(small) < 2:
             return None
         rows = self._read(small)
-        parts = max(1, -(-sum(f["rows"] for f in small) // target_rows))
-        name, n = self._write(rows.repartition(parts, user_bucket(F.col(self.user_col))))
+        name, n = self._write(_tasks(rows, sum(f["rows"] for f in small), self.user_col, task_rows))
         gone = {f["folder"] for f in small}
         batches = sorted({b for f in small for b in f["batches"]})
 
