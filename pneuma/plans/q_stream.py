@@ -125,7 +125,7 @@ def q_stream_crisis(spark, sf):
     """J2 then H13: history from the state, the user's static profile, a stored forest; equals the batch ``crisis_realtime_forest``."""
     m = V.arrivals_stream(spark, sf, _source(spark, sf), 4).withColumn("ier_score", IX.ier_score("asthme"))
     m = m.withColumn("zone", A.zone_from_ier(F.col("ier_score") * 1.3))
-    return crisis_columns(EP.stream_crisis(m, V.profiles(spark, sf), fixture(spark), _name("crisis"), lateness_days=LATENESS_DAYS))
+    return EP.stream_crisis(m, V.profiles(spark, sf), fixture(spark), _name("crisis"), lateness_days=LATENESS_DAYS, columns=crisis_columns)
 
 
 @register("stream_daily_mean", V.with_views(f"""

@@ -159,13 +159,17 @@ def stream_history(readings: DataFrame, name: str = "history", n: int = 24, late
 
 
 def stream_crisis(readings: DataFrame, profiles: DataFrame | None = None, model=None, name: str = "crisis", n: int = 24,
-                  lateness_days: int = 2, base: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  lateness_days: int = 2, base: str | None = None, block_rows: int = BLOCK_ROWS,
+                  columns: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """J2 then H13: every reading with its history, the static profile of its user and the stored forest's probability.
 
-    Without a model the heuristic scores. A reading whose history changes is scored again.
+    Without a model the heuristic scores. A reading whose history changes is scored again. ``columns`` picks what is stored
+    of a scored reading (``event_id`` among it), so histories and feature maps that nobody asks for are neither written
+    nor shuffled.
     """
     def then(x: DataFrame) -> DataFrame:
-        return CR.crisis_realtime(x if profiles is None else FT.with_profile(x, profiles), model)
+        out = CR.crisis_realtime(x if profiles is None else FT.with_profile(x, profiles), model)
+        return out if columns is None else columns(out)
 
     return _stream_series(readings, then, name, n, lateness_days, base, block_rows)
 
