@@ -49,3 +49,17 @@ def test_training_windows_run_over_many_blocks(spark):
     x = Q._training(spark, "/root/testdata/sf0.001")
     plan = x._jdf.queryExecution().optimizedPlan().toString()
     assert CR.TRAINING_BLOCK_ROWS < 1 << 20 and f"/ {CR.TRAINING_BLOCK_ROWS}" in plan
+
+
+def test_weak_labels_of_training_rows_are_those_of_their_readings(spark):
+    from pneuma.functions import alerts as A
+    from pneuma.functions import index as IX
+    from pneuma.plans import q_crisis as Q
+    from pneuma.sources import views as V
+    sf = "/root/testdata/sf0.001"
+    feats = Q._stored_training(spark, sf)
+    zone = A.zone_from_ier("ier_score")
+    new = L.weak_labels(feats.drop("symptom_label").withColumn("zone", zone)).select("event_id", "symptom_label")
+    old = L.weak_labels(V.measurements(spark, sf).withColumn("ier_score", IX.ier_score()).withColumn("zone", zone))
+    both = old.select("event_id", F.col("symptom_label").alias("o")).join(new, "event_id")
+    assert both.count() == feats.count() and both.where("o <> symptom_label").isEmpty()
