@@ -74,6 +74,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs a < b (signed order) of distinct fingerprints of column fp that differ in at most ``max_bits`` bits.
 
     ``max_bits`` may be 0 to 3: with two segments one of them has at most one wrong bit.
+
+    Spark sizes the probes without the exploded rows (66 a fingerprint), so the join names its way: never a broadcast.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with balls of radius one cover at most three bits")
@@ -87,7 +89,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
               .select("fp", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key")))
     p, t = probes.alias("p"), tables.alias("t")
     near = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp"))) <= max_bits
-    return (p.join(t, (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key"))
+    return (p.join(t.hint("merge"), (F.col("p.seg") == F.col("t.seg")) & (F.col("p.key") == F.col("t.key"))
                    & (F.col("p.fp") < F.col("t.fp")) & near)
             .select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b")).distinct())
 

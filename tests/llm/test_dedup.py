@@ -127,6 +127,12 @@ def test_links_are_complete(spark, bits):
     assert got == want
 
 
+def test_links_never_broadcast_probes(spark):
+    """However small Spark takes the fingerprints to be: each is 66 probes."""
+    plan = simhash.links(spark.range(100).selectExpr("id * 7 AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_keep_one(spark, make_docs):
     rows = [(i, f"words that differ {i % 7} " * 9) for i in range(30)] + [(3, "again"), (3, "again"), (None, "again")]
     docs = make_docs(rows, extra=True)
