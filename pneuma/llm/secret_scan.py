@@ -170,7 +170,8 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         c = F.col(k).eqNullSafe(F.col(f"r_{k}"))
         same = c if same is None else same & c
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,verdict:string,hash:string>>")
-    return raw.select(*keys).join(r, same, "left").select(*keys, F.coalesce("spans", empty).alias("spans"))
+    # Either side may look small by its stored size and be many rows with long keys: the join names its way, never a broadcast.
+    return raw.select(*keys).join(r.hint("merge"), same, "left").select(*keys, F.coalesce("spans", empty).alias("spans"))
 
 
 def redact(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, mask: str = "[SECRET]") -> DataFrame:

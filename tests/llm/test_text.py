@@ -89,6 +89,13 @@ def test_base_spans(spark, make_docs):
     assert secret_scan.digest(secret_scan.find_secrets(make_docs([]))).count() == 0
 
 
+def test_spans_meet_their_rows_without_broadcast(make_docs):
+    """However small the candidates' file is: its rows may be many."""
+    found = secret_scan.find_secrets(make_docs([(i, f"api_key = 'k{i}abcdefghijklmnop'") for i in range(9)]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "rightHint=(strategy=merge)" in plan
+
+
 def test_ownership(spark):
     live, copied = "password=Zx81kQ09mmT4w", "password=ExampleKey1234"
     opaque, spread = "Aa0bB1cC2dD3eE4fF5gG6hH7iI8", "Zz0yY1xX2wW3vV4uU5tT6sS7rR8"
