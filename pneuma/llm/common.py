@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pneuma.session import checkpoint, ensure_checkpoint_dir
+from pneuma.session import checkpoint, ensure_checkpoint_dir, ship
 
 #: ASCII white space of the word contracts: [\x20\x09-\x0D].
 ASCII_SPACE = "\x20\t\n\x0b\x0c\r"
@@ -19,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers once per Spark context, so that they can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pneuma_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(sc._temp_dir, "pneuma_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._pneuma_shipped = True
-
-
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/pneuma-llm/{what}-{uuid.uuid4().hex}"
