@@ -462,6 +462,42 @@ def _cut_contents(packed: DataFrame, spans: DataFrame, buckets: int) -> DataFram
                        .mapInArrow(run, f"{_ROW}, bytes binary"), "stretches")
 
 
+def repeats(doc, tag, start, count, flat):
+    """(doc, tag, start) of the positions whose LENGTH bytes also start in a smaller document, by refinement of one bucket's stretches.
+
+    ``flat`` holds the bytes of the stretches one after the other. Equal strings have equal hashes, so a position whose hash
+    no other document shares is a bucket of its own at once; only the bytes around the others are refined.
+    """
+    import numpy as np
+    size = count + LENGTH - 1
+    row = np.repeat(np.arange(len(count)), count)
+    at = (np.cumsum(size) - size - np.cumsum(count) + count)[row] + np.arange(len(row))
+    own = doc[row]
+    name = position_hashes(flat)[0][at]
+    by = np.argsort(name)
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = name[by][1:] != name[by][:-1]
+    first = np.nonzero(new)[0]
+    several = np.minimum.reduceat(own[by], first) < np.maximum.reduceat(own[by], first)
+    some = np.sort(by[several[np.cumsum(new) - 1]])
+    if not len(some):
+        return own[some], tag[row[some]], at[some]
+    # Runs of bytes that hold the strings of these positions; a gap that the strings reach over stays inside.
+    at, own, row = at[some], own[some], row[some]
+    begins = np.nonzero(np.diff(at, prepend=-LENGTH) >= LENGTH)[0]
+    until = at[np.append(begins[1:], len(at)) - 1] + LENGTH
+    held = until - at[begins]
+    moved = np.cumsum(held) - held - at[begins]  # from a run's place in flat to its place in what is refined
+    bytes_ = flat[np.arange(int(held.sum())) - np.repeat(moved, held)]
+    run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))
+    bucket = refine(bytes_, LENGTH)[at + moved[run]]
+    least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, bucket, own)
+    gone = own > least[bucket]
+    inside = at - (np.cumsum(size) - size)[row]
+    return own[gone], tag[row[gone]], (start[row] + inside)[gone]
+
+
 def _refine_buckets(cut: DataFrame, buckets: int) -> DataFrame:
     """Removed position ranges of the open stretches, by refinement inside each bucket."""
     def run(it: Iterator) -> Iterator:
@@ -476,18 +512,8 @@ def _refine_buckets(cut: DataFrame, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         doc, tag, start, count = (np.concatenate(x) for x in zip(*(_unpack(d, r, False) for d, r, _ in parts)))
-        flat = np.frombuffer(b"".join(raw for _, _, raw in parts), dtype=np.uint8)
-        size = count + LENGTH - 1
-        begin = np.cumsum(size) - size
-        inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        row = np.repeat(np.arange(len(count)), count)
-        bucket = refine(flat, LENGTH)[begin[row] + inside]
-        del flat
-        least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, bucket, doc[row])
-        gone = np.nonzero(doc[row] > least[bucket])[0]
-        if len(gone):
-            d, t, s = doc[row][gone], tag[row][gone], start[row][gone] + inside[gone]
+        d, t, s = repeats(doc, tag, start, count, np.frombuffer(b"".join(raw for _, _, raw in parts), dtype=np.uint8))
+        if len(d):
             by = np.lexsort((s, t, d))
             out = _runs(d[by], t[by], s[by], np.ones(len(by), np.int64))
             yield pa.record_batch([pa.array(x) for x in out], names=["doc_id", "tag", "start", "n"])

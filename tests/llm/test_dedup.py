@@ -81,6 +81,31 @@ def test_refine_names_equal_strings(data):
     assert len(set(names.values())) == len(names)
 
 
+def test_only_bytes_of_shared_strings_are_refined(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes, seen = [], suffix_dedup.refine
+    monkeypatch.setattr(suffix_dedup, "refine", lambda data, size: sizes.append(len(data)) or seen(data, size))
+    passage = rng.integers(97, 123, 80).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 400).astype(np.uint8).tobytes() for _ in range(30)]
+    texts += [texts[0][:70] + passage + texts[1][:33], passage[:60] + texts[2][100:300], texts[3][:30] + passage + texts[3][:120]]
+
+    def stretches(texts):
+        doc = np.array([5 * i % 33 for i in range(len(texts))])
+        count = np.array([len(t) - 49 for t in texts])
+        return doc, doc + 100, np.full(len(texts), 7), count, np.frombuffer(b"".join(texts), dtype=np.uint8)
+
+    doc, _, _, count, _ = x = stretches(texts)
+    got = sorted(zip(*(v.tolist() for v in suffix_dedup.repeats(*x))))
+    least = {}
+    for d, t in zip(doc, texts):
+        for i in range(len(t) - 49):
+            least[t[i:i + 50]] = min(least.get(t[i:i + 50], 99), d)
+    want = sorted((d, d + 100, 7 + i) for d, t in zip(doc, texts) for i in range(len(t) - 49) if least[t[i:i + 50]] < d)
+    assert got == want and len(want) > 60
+    assert len(sizes) == 1 and sizes[0] < sum(map(len, texts)) / 5
+    assert not len(suffix_dedup.repeats(*stretches(texts[3:9]))[0]) and len(sizes) == 1
+
+
 def brute_print(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     import re
