@@ -88,8 +88,8 @@ def _frame(spark, n, seed=3):
 
 def test_fit_is_a_spark_ml_model_of_the_grown_nodes(spark, monkeypatch):
     df = _frame(spark, 500).repartition(3).cache()
-    nodes = CR.fit_forest(df, 500, 7, 5, 42)
-    model = CR.ml_model(nodes, 7, 5, 42)
+    nodes = CR.fit_forest(df, 500, CR._forest(7, 5, 42))
+    model = CR.ml_model(nodes, CR._forest(7, 5, 42))
     assert model.getNumTrees == 7 and model.numFeatures == 20 and model.numClasses == 2 and model.getMaxDepth() == 5
     assert model.totalNumNodes == nodes.count() and abs(sum(model.featureImportances.toArray()) - 1.0) < 1e-9
     ml = CR.probability_col(model.transform(CR._assemble(df))).select("event_id", "proba_crisis", "prediction")
@@ -98,12 +98,12 @@ def test_fit_is_a_spark_ml_model_of_the_grown_nodes(spark, monkeypatch):
                                           | ((F.col("p") > 0.5).cast("double") != F.col("prediction")))
     assert diff.isEmpty()
     monkeypatch.setattr(G, "HELD_BYTES", 0)  # blocks are read again for every level
-    assert CR.fit_forest(df, 500, 7, 5, 42).exceptAll(nodes).isEmpty()
+    assert CR.fit_forest(df, 500, CR._forest(7, 5, 42)).exceptAll(nodes).isEmpty()
 
 
 def test_labels_other_than_two_are_an_error(spark):
     with pytest.raises(Exception, match="labels of a forest are 0 and 1"):
-        CR.fit_forest(_frame(spark, 60).withColumn("symptom_label", F.lit(2)), 60, 2, 3, 42).count()
+        CR.fit_forest(_frame(spark, 60).withColumn("symptom_label", F.lit(2)), 60, CR._forest(2, 3, 42)).count()
 
 
 def _users(spark, n_users, rows=60):
